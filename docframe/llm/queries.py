@@ -12,13 +12,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import packing, piecebpe
+from docframe.llm import packing, piecebpe, quality_knn, toxicity
+from docframe.llm.labelled import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score(docs, model), 0.5, "llr")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.fit(docs, _table(spark, sf_dir, "labels"))
+    return _scored(quality_knn.score(docs, model), 0.3, "nearest")
+
+
+def _scored(df: DataFrame, cut: float, *more: str) -> DataFrame:
+    return df.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *more)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,7 +47,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op5_packing": op5_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
