@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import packing, piecebpe, quality_knn, toxicity
+from docframe.llm import lm, packing, piecebpe, quality_knn, toxicity
+from docframe.llm.arrowmap import shared_dir
 from docframe.llm.labelled import fold
 
 
@@ -36,6 +37,13 @@ def _scored(df: DataFrame, cut: float, *more: str) -> DataFrame:
     return df.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *more)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.where(fold("doc_id", 7) != 2), shared_dir(spark))
+    columns = ("n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return lm.score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), *columns)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,6 +56,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_scoring": op2_lm_scoring,
     "op5_packing": op5_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
