@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import lm, packing, piecebpe, quality_knn, toxicity
+from docframe.llm import lm, neardup, packing, piecebpe, quality_knn, toxicity
 from docframe.llm.arrowmap import shared_dir
 from docframe.llm.labelled import fold
 
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, model), 0.5, "llr")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_knn.fit(docs, _table(spark, sf_dir, "labels"))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
     "op5_packing": op5_packing,
+    "op6_near_dedup": op6_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
 }
