@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import lm, neardup, packing, piecebpe, quality_knn, toxicity
+from docframe.llm import gif, lm, neardup, packing, piecebpe, quality_knn, toxicity, warc
 from docframe.llm.arrowmap import shared_dir
 from docframe.llm.labelled import fold
 
@@ -31,6 +31,18 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = gif.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    feature = F.concat_ws(":", "n_frames", "duration_ms", F.array_join(F.transform("histogram", lambda n: n.cast("string")), ","))
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    archives = warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_knn.fit(docs, _table(spark, sf_dir, "labels"))
@@ -63,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
+    "op7_gif_media": op7_gif_media,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
