@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import gif, lm, neardup, packing, piecebpe, quality_knn, quality_rules, toxicity, warc
+from docframe.llm import gif, licences, lm, neardup, packing, piecebpe, quality_knn, quality_rules, toxicity, warc
 from docframe.llm.arrowmap import shared_dir
 from docframe.llm.labelled import fold
 
@@ -60,6 +60,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), *columns)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.expr(licences.PATH_SQL.format(div="div")).alias("path"), "text")
+    return licences.scan(files, keep=("doc_id",))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -77,6 +83,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
@@ -86,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {
+    "op3_license_scan": licences.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
 }
