@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from docframe.plans import analytics, documents, operations
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = analytics.QUERIES | documents.QUERIES | operations.QUERIES
+ORACLES = analytics.ORACLES | documents.ORACLES | operations.ORACLES
