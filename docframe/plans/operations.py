@@ -1,4 +1,270 @@
-from docframe.plans.registry import Register
+"""Queries on runs: page selection, batches, caches, settings, errors, histories, geometry and identifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docframe.functions import text as X
+from docframe.operators import control as C
+from docframe.operators import geometry as G
+from docframe.operators import lines as L
+from docframe.operators import numeric as N
+from docframe.plans import derived as D
+from docframe.plans.registry import Register, rows
 
 register = Register()
+
+_SPECS = "(VALUES (1, 'all', 3), (2, '2-4,7', 6), (3, '3;1 2', 5), (4, '', 2), (5, '9-12', 10), (6, 'все', 2), (7, '5-2', 9), (8, '*', 1), (9, '0,1', 4)) t(id, spec, total)"
+
+
+@register(
+    f"""WITH p AS (SELECT id, total, lower(trim(spec)) AS s FROM {_SPECS}),
+    e AS (SELECT id, unnest(range(0, total)) AS page FROM p WHERE s IN ('', 'all', '*', 'все') UNION ALL
+      SELECT id, unnest(CASE WHEN contains(x, '-') THEN range(greatest(1, split_part(x, '-', 1)::INT) - 1, least(total, split_part(x, '-', 2)::INT)) WHEN x::INT BETWEEN 1 AND total THEN [x::BIGINT - 1] ELSE [] END)
+      FROM (SELECT id, total, unnest(list_filter(regexp_split_to_array(s, '[,;\\s]+'), lambda v: v <> '')) AS x FROM p WHERE s NOT IN ('', 'all', '*', 'все')))
+    SELECT p.id, coalesce(string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR), '') AS pages FROM p LEFT JOIN e USING (id) GROUP BY p.id"""
+)
+def page_spec(spark, sf_dir):
+    pages = C.pages(F.col("spec"), F.col("total"))
+    return rows(spark, _SPECS).select("id", F.array_join(F.array_sort(F.transform(pages, lambda p: p.cast("string"))), ",").alias("pages"))
+
+
+_KEY = "(CASE WHEN trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') = '' THEN 'document' ELSE trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') END || '_page_' || lpad((page_id + 1)::VARCHAR, 4, '0'))"
+
+
+@register(f"SELECT page_id, {_KEY} AS key FROM pages")
+def batch_keys(spark, sf_dir):
+    return D.table(spark, sf_dir, "pages").select("page_id", C.batch_key(F.col("url"), F.col("page_id")).alias("key"))
+
+
+# A response for each document, of which every eleventh is an error; requests for those with an even id.
+_BATCH = "(SELECT r.key, coalesce(q.source, 'batch') AS source, coalesce(q.page, 0) AS page, r.text, r.error FROM (SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE left(text, 40) END AS text, CASE WHEN doc_id % 11 = 0 THEN 'empty' END AS error FROM documents) r LEFT JOIN (SELECT 'k' || doc_id AS key, source, doc_id AS page FROM documents WHERE doc_id % 2 = 0) q USING (key))"
+
+
+def _batch(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents")
+    key = F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key")
+    bad = F.col("doc_id") % 11 == 0
+    responses = docs.select(key, F.when(~bad, F.left("text", F.lit(40))).alias("text"), F.when(bad, "empty").alias("error"))
+    return C.assemble(responses, docs.where("doc_id % 2 = 0").select(key, "source", F.col("doc_id").alias("page")))
+
+
+@register(f"SELECT key, source, page, error FROM {_BATCH} WHERE error IS NOT NULL")
+def batch_join_errors(spark, sf_dir):
+    return _batch(spark, sf_dir).where("error IS NOT NULL").select("key", "source", "page", "error")
+
+
+@register(f"SELECT source, count(*) AS pages, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page, text) AS text FROM {_BATCH} WHERE error IS NULL AND trim(coalesce(text, '')) <> '' GROUP BY source")
+def batch_assembly(spark, sf_dir):
+    # No white space other than spaces can make up a whole excerpt here; blank ones are left out alike.
+    return C.merged_pages(_batch(spark, sf_dir))
+
+
+@register("SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3)::INT AS chunk FROM documents")
+def chunk_pages(spark, sf_dir):
+    return C.chunked(D.table(spark, sf_dir, "documents").select("doc_id", "source"), 3, "source", "doc_id")
+
+
+@register("SELECT doc_id, sha256(text) AS key, min(c.first) IS NOT NULL AS hit FROM documents LEFT JOIN (SELECT DISTINCT sha256(text) AS key, 1 AS first FROM documents WHERE doc_id % 3 = 0) c ON c.key = sha256(text) GROUP BY ALL")
+def cache_hit_miss(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
+    cache = docs.where("doc_id % 3 = 0").select("key").distinct()
+    hits, misses = C.split_by_cache(docs, cache)
+    return hits.select("doc_id", "key", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", "key", F.lit(False).alias("hit")))
+
+
+_CACHE = "(VALUES ('a', 10, 5), ('b', 20, 9), ('c', 30, NULL), ('d', 15, 7), ('e', 25, 7)) t(key, bytes, accessed)"
+
+
+@register(f"SELECT key, bytes, accessed FROM (SELECT *, sum(bytes) OVER (ORDER BY coalesce(accessed, 0) DESC, key DESC) AS k FROM {_CACHE}) WHERE k > 50")
+def lru_evict(spark, sf_dir):
+    return C.evicted(rows(spark, _CACHE), 50)
+
+
+_PARAMS = "(VALUES (1, 'model', 'm1'), (1, 'api_key', 'abc'), (2, 'Token', 't'), (2, 'dpi', '300'), (3, 'password_file', 'p')) t(id, name, value)"
+
+
+@register(f"SELECT id, string_agg(name || '=' || CASE WHEN regexp_matches(name, '(?i)key|token|secret|password') THEN '[redacted]' ELSE value END, ';' ORDER BY name) AS params FROM {_PARAMS} GROUP BY id")
+def redact_params(spark, sf_dir):
+    maps = rows(spark, _PARAMS).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m")).select("id", C.redacted(F.col("m")).alias("m"))
+    pairs = F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return maps.select("id", F.array_join(pairs, ";").alias("params"))
+
+
+_PROFILES = "(VALUES ('raw', 0, 'none', 300), ('heavy', 2, 'median', 300), ('auto', 1, 'light', NULL)) p(profile, level, denoise, dpi)"
+_RUNS = "(VALUES (1, 'raw', NULL, NULL, 'png'), (2, 'heavy', 1, NULL, 'jpeg'), (3, 'auto', NULL, 'strong', 'png'), (4, 'missing', 3, NULL, 'png')) r(id, profile, level_override, denoise_override, format)"
+
+
+@register(f"SELECT id, coalesce(level_override, level, 1) AS level, CASE WHEN format = 'png' AND denoise_override IS NULL THEN 'none' ELSE coalesce(denoise_override, denoise, 'light') END AS denoise, coalesce(dpi, 300) AS dpi FROM {_RUNS} LEFT JOIN {_PROFILES} USING (profile)")
+def profile_resolve(spark, sf_dir):
+    joined = rows(spark, _RUNS).join(F.broadcast(rows(spark, _PROFILES)), "profile", "left")
+    denoise = F.when((F.col("format") == "png") & F.col("denoise_override").isNull(), "none").otherwise(F.coalesce("denoise_override", "denoise", F.lit("light")))
+    return joined.select("id", F.coalesce("level_override", "level", F.lit(1)).alias("level"), denoise.alias("denoise"), F.coalesce("dpi", F.lit(300)).alias("dpi"))
+
+
+_FORMS = "(VALUES (1, 'Mistral', 'true', ''), (2, 'tesseract', 'no', 'x'), (3, 'yandex', 'ON', NULL), (4, 'surya', '1', 'y')) f(id, engine, second, note)"
+
+
+@register(f"SELECT id, lower(engine) IN ('mistral', 'yandex') AND lower(second) IN ('1', 'true', 'yes', 'on', 'enabled') AS a, lower(engine) <> 'tesseract' AND coalesce(note, '') = '' AS b FROM {_FORMS}")
+def conditions_eval(spark, sf_dir):
+    a = C.condition({"engine": ["mistral", "yandex"], "second": True}, F.col)
+    b = C.condition([{"engine": {"not": "tesseract"}}, {"note": {"empty": True}}], F.col)
+    return rows(spark, _FORMS).select("id", a.alias("a"), b.alias("b"))
+
+
+_PATHS = "(VALUES (1, 'docs/a.pdf'), (2, 'MD/x/y.md'), (3, 'docs/'), (4, 'other/docs/a'), (5, 'md')) t(id, path)"
+
+
+@register(f"SELECT id, CASE WHEN regexp_matches(path, '^(?i:docs|md)/.') THEN regexp_replace(path, '^(?i:docs|md)/', '') ELSE path END AS path FROM {_PATHS}")
+def rel_path(spark, sf_dir):
+    return rows(spark, _PATHS).select("id", C.relative_path(F.col("path")).alias("path"))
+
+
+_OPTIONS = "(VALUES (1, 'GPT-4', true, true), (2, 'gpt-4', true, true), (3, 'vision', false, true), (4, 'Text', true, false), (5, 'VISION', true, true)) t(ord, value, image, text)"
+
+
+@register(f"SELECT ord, value FROM (SELECT *, row_number() OVER (PARTITION BY lower(value) ORDER BY ord) AS r FROM {_OPTIONS}) WHERE r = 1")
+def options_dedupe(spark, sf_dir):
+    return C.first_of_each(rows(spark, _OPTIONS), F.lower("value"), "ord").select("ord", "value")
+
+
+@register(f"SELECT ord, value FROM {_OPTIONS} WHERE image AND text")
+def modality_filter(spark, sf_dir):
+    kinds = rows(spark, _OPTIONS).withColumn("inputs", F.when(F.col("image"), F.array(F.lit("text"), F.lit("image"))).otherwise(F.array(F.lit("text")))).withColumn("outputs", F.when(F.col("text"), F.array(F.lit("text"))).otherwise(F.array(F.lit("audio"))))
+    return kinds.where(F.array_contains("inputs", "image") & F.array_contains("outputs", "text")).select("ord", "value")
+
+
+@register("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def status_hist(spark, sf_dir):
+    return D.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+
+
+@register("SELECT event_type, round(sum(coalesce(CASE WHEN event_id % 7 > 0 THEN (event_id % 1000) * 1000000 / 1e10 END, 0)), 8) AS cost FROM events GROUP BY event_type")
+def cost_total(spark, sf_dir):
+    ticks = F.when(F.col("event_id") % 7 > 0, (F.col("event_id") % 1000) * 1000000)
+    return D.table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.sum(F.coalesce(X.cost_usd(ticks), F.lit(0.0))), 8).alias("cost"))
+
+
+_ERRORS = "(VALUES (1, '429 RESOURCE_EXHAUSTED, retry in 12.5s'), (2, 'User location is not supported for the API use.'), (3, '403 PERMISSION DENIED'), (4, 'Read timed out'), (5, 'bad request'), (6, 'HTTP 503 unavailable; Retry-After: 7'), (7, 'rate limit reached')) t(id, message)"
+
+
+@register(
+    f"""SELECT id, CASE WHEN regexp_matches(message, '{C.REGION}') THEN 'region' WHEN regexp_matches(message, '{C.RATE}') THEN 'rate_limit' WHEN regexp_matches(message, '{C.TRANSIENT}') THEN 'transient' ELSE 'other' END AS class,
+    TRY_CAST(nullif(regexp_extract(message, '{C.RETRY_AFTER}', 1), '') AS DOUBLE) AS retry_after FROM {_ERRORS}"""
+)
+def error_class(spark, sf_dir):
+    return rows(spark, _ERRORS).select("id", C.error_class(F.col("message")).alias("class"), C.retry_after(F.col("message")).alias("retry_after"))
+
+
+_LOG = "(SELECT user_id AS model, event_id AS attempt, event_type = 'error' OR event_id % 3 > 0 AS limited FROM events)"
+
+
+@register(
+    f"""WITH r AS (SELECT *, sum(CASE WHEN limited THEN 0 ELSE 1 END) OVER (PARTITION BY model ORDER BY attempt) AS run FROM {_LOG}),
+    s AS (SELECT *, sum(CASE WHEN limited THEN 1 ELSE 0 END) OVER (PARTITION BY model, run ORDER BY attempt)::BIGINT AS streak FROM r)
+    SELECT model, attempt, streak, round(CASE WHEN streak > 0 THEN least(60.0, 10.0 * pow(1.7, streak - 1)) ELSE 0 END, 6) AS wait, streak >= 2 AS fail_over FROM s"""
+)
+def rate_limit_streaks(spark, sf_dir):
+    log = D.table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), F.col("event_id").alias("attempt"), ((F.col("event_type") == "error") | (F.col("event_id") % 3 > 0)).alias("limited"))
+    return C.streaks(log).select("model", "attempt", "streak", F.round("wait", 6).alias("wait"), "fail_over")
+
+
+_LOGLINES = "(VALUES (1, '[ERROR] no file'), (2, 'Warning: slow'), (3, 'done in 3 s'), (4, '=== START ==='), (5, 'plain words'), (6, 'task failed'), (7, '[RESOLVER] x')) t(id, line)"
+
+
+@register(f"SELECT id, CASE WHEN regexp_matches(line, '(?i)^\\s*(\\[?error\\]?|traceback)|\\berror\\b|\\bfailed\\b') THEN 'error' WHEN regexp_matches(line, '(?i)\\bwarn(ing)?\\b') THEN 'warning' WHEN regexp_matches(line, '(?i)\\b(ok|done|success|completed)\\b') THEN 'success' WHEN regexp_matches(line, '^\\s*(\\[[A-Z ]+\\]|=+)') THEN 'heading' ELSE 'plain' END AS tone FROM {_LOGLINES}")
+def log_tone(spark, sf_dir):
+    return rows(spark, _LOGLINES).select("id", C.log_tone(F.col("line")).alias("tone"))
+
+
+_SEARCH = "(VALUES (1, 'ocr page', 'Page count', 'OCR'), (2, 'missing', 'Page', 'OCR'), (3, ' ', 'a', 'b')) t(id, query, label, value)"
+
+
+@register(f"SELECT id, len(list_filter(list_filter(string_split(lower(trim(query)), ' '), lambda w: w <> ''), lambda w: NOT contains(lower(label || ' ' || value), w))) = 0 AS found FROM {_SEARCH}")
+def search_and_words(spark, sf_dir):
+    return rows(spark, _SEARCH).select("id", C.matches_all_words(F.col("query"), F.col("label"), F.col("value")).alias("found"))
+
+
+@register("SELECT url AS path, count(*)::BIGINT AS count, max(page_id) AS last_used, bool_or(page_id % 10 = 0) AS pinned FROM pages GROUP BY url ORDER BY pinned DESC, count DESC, last_used DESC, path LIMIT 100")
+def history_top100(spark, sf_dir):
+    h = D.table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.lit(1).cast("long").alias("count"), F.col("page_id").alias("last_used"), (F.col("page_id") % 10 == 0).alias("pinned"))
+    return C.merged_history(h).select("path", "count", "last_used", "pinned")
+
+
+_PLACED, _KNOWN = "(VALUES ('a'), ('b'), ('zz')) p(id)", "(VALUES ('a'), ('b'), ('c')) k(id)"
+
+
+@register(f"SELECT id, 'unknown' AS problem FROM {_PLACED} WHERE id NOT IN (SELECT id FROM {_KNOWN}) UNION ALL SELECT id, 'missing' FROM {_KNOWN} WHERE id NOT IN (SELECT id FROM {_PLACED})")
+def layout_problems(spark, sf_dir):
+    placed, known = rows(spark, _PLACED), rows(spark, _KNOWN)
+    return placed.join(known, "id", "left_anti").withColumn("problem", F.lit("unknown")).unionByName(known.join(placed, "id", "left_anti").withColumn("problem", F.lit("missing")))
+
+
+_ITEMS = "(VALUES (1, 1, 'low', true), (1, 2, 'low', false), (1, 3, 'ocr_engine_missing', true), (1, 4, 'wide', true), (1, 5, 'wide', true), (2, 6, 'low', true)) t(run_id, item_id, kind, has_crop)"
+
+
+@register(
+    f"""SELECT run_id, item_id, CASE WHEN NOT has_crop THEN 'manual_review_no_crop' WHEN kind = 'ocr_engine_missing' THEN 'manual_review_needs_local_ocr' WHEN n <= 2 THEN 'attempt' ELSE 'queued_by_limit' END AS status
+    FROM (SELECT *, sum(CASE WHEN has_crop AND kind <> 'ocr_engine_missing' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY item_id) AS n FROM {_ITEMS})"""
+)
+def resolver_status(spark, sf_dir):
+    return L.resolver_queue(rows(spark, _ITEMS), 2).select("run_id", "item_id", "status")
+
+
+_PROJ = "(VALUES (1, 10), (1, 11), (1, 13), (1, 40), (1, 44), (1, 50), (2, 7)) t(region, pos)"
+
+
+@register(
+    f"""SELECT region, round_even((min(pos) + max(pos)) / 2.0, 0)::BIGINT AS center FROM (SELECT *, sum(f) OVER (PARTITION BY region ORDER BY pos) AS g
+    FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY region ORDER BY pos) > 5 THEN 1 ELSE 0 END AS f FROM {_PROJ})) GROUP BY region, g"""
+)
+def physical_line_centers(spark, sf_dir):
+    return G.line_centers(rows(spark, _PROJ))
+
+
+_COMPS = "(VALUES (1, 0, 0), (1, 0, 1), (2, 1, 0), (2, 2, 1), (3, 0, 0), (3, 0, 1), (3, 1, 0), (3, 1, 1)) t(component, row, col)"
+
+
+@register(f"SELECT component, (max(row) - min(row) + 1) * (max(col) - min(col) + 1) = count(DISTINCT (row, col)) AS rectangular FROM {_COMPS} GROUP BY component")
+def rectangularity(spark, sf_dir):
+    return G.rectangular(rows(spark, _COMPS))
+
+
+@register("SELECT doc_id, sha256(text) AS sha, left(sha256(text), 24) AS document_id, strlen(text) AS size FROM documents")
+def sha256_docs(spark, sf_dir):
+    sha = F.sha2("text", 256)
+    return D.table(spark, sf_dir, "documents").select("doc_id", sha.alias("sha"), F.left(sha, F.lit(24)).alias("document_id"), F.octet_length("text").cast("long").alias("size"))
+
+
+_LATIN = "len(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё]'))"
+
+
+@register(f"SELECT doc_id, CASE WHEN {_LATIN} > 0 THEN len(regexp_extract_all(text, '[А-Яа-яЁё]')) / {_LATIN} ELSE 0 END >= 0.18 OR regexp_matches(source, '[А-Яа-яЁё]') AS second_pass FROM documents")
+def two_pass_gate(spark, sf_dir):
+    gate = F.col("source").rlike(X.CYRILLIC) | (X.cyrillic_ratio("text") >= 0.18)
+    return D.table(spark, sf_dir, "documents").select("doc_id", gate.alias("second_pass"))
+
+
+# Lines with four digits or more as candidates, on a page of 30 a line.
+_CAND = f"(SELECT doc_id, line_pos, len(regexp_extract_all(line, '[0-9]')) AS digits FROM {D.LINES})"
+
+
+@register(f"SELECT doc_id, line_pos, digits::BIGINT AS digits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY digits DESC, line_pos) AS r FROM {_CAND} WHERE digits >= 4) WHERE r <= 6")
+def candidate_topk(spark, sf_dir):
+    lines = D.lines(D.table(spark, sf_dir, "documents")).select("doc_id", "line_pos", F.col("line").alias("text"), (F.col("line_pos") * 30).alias("y"))
+    best = N.candidates(lines, least=4, most=6)
+    return best.select("doc_id", F.col("line_pos").cast("long").alias("line_pos"), F.col("digits").cast("long").alias("digits"))
+
+
+_RAW = "(VALUES (1, ' some  text ', '92', true, 'low'), (2, NULL, '0.9', true, 'low'), (3, 'x', '0.5', true, 'low'), (4, 'x', 'bad', true, 'low'), (5, 'x', '0.99', true, 'ocr_engine_missing'), (6, 'x', '250', false, 'low')) t(id, visible, confidence, safe, kind)"
+
+
+@register(
+    f"""SELECT id, v AS visible, c AS confidence, safe AND v IS NOT NULL AND c >= 0.85 AND kind <> 'ocr_engine_missing' AS safe FROM (SELECT *, nullif(trim(regexp_replace(visible, '\\s+', ' ', 'g')), '') AS v,
+    greatest(0.0, least(1.0, CASE WHEN n > 1 AND n <= 100 THEN n / 100 ELSE n END)) AS c FROM (SELECT *, coalesce(TRY_CAST(confidence AS DOUBLE), 0.0) AS n FROM {_RAW}))"""
+)
+def resolver_normalize(spark, sf_dir):
+    return N.resolver_result(rows(spark, _RAW)).select("id", "visible", "confidence", "safe")
+
+
 QUERIES, ORACLES = register.queries, register.oracles
