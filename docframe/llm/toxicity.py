@@ -5,7 +5,7 @@ byte given up to ORDER bytes before it in the word, with absolute discounting.
 A class's counts back off to one shared model of all training words
 (interpolated Kneser-Ney with continuation counts), with a fixed strength, so
 that an expression which is rare in a class is judged alike by both and adds
-no evidence.  A toxic document is a mixture: a share of its words come from
+little evidence; letters that neither class has seen together add none.  A toxic document is a mixture: a share of its words come from
 the toxic model, the rest are ordinary; the toxic model is refitted a few
 times with each word weighted by its share in that mixture.  A document's two
 log-likelihoods are compared per word, and by the root of the number of words,
@@ -36,7 +36,7 @@ from docframe.llm.textbytes import LOWER, hash_spans, mix, ragged, slices, spans
 
 ORDER = 6
 DISCOUNT = 0.75
-STRENGTH = 30.0
+STRENGTH = 20.0
 TOXIC_SHARE = 0.03
 REFITS = 2
 #: Labelled documents of each class that are used at most.
@@ -69,9 +69,7 @@ def _spell(buf: np.ndarray, begin: np.ndarray, lengths: np.ndarray, order: int)
 @dataclass
 class Model:
     grams: np.ndarray
-    evidence: np.ndarray
-    contexts: np.ndarray
-    unseen: np.ndarray
+    evidence: np.ndarray  # log ratio of either class's probability of the gram; grams that neither has seen say nothing
     order: int
     share: float
     weights: tuple[float, float, float]  # of the two normalised log-likelihood ratios, and the constant
@@ -81,14 +79,9 @@ class Model:
         lengths = stop - begin
         if not len(self.grams):
             return np.zeros(len(lengths), np.float32)
-        context, gram, _, _ = _spell(buf, begin, lengths, self.order)
-        value = np.zeros(len(gram))
+        _, gram, _, _ = _spell(buf, begin, lengths, self.order)
         at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        seen = self.grams[at] == gram
-        value[seen] = self.evidence[at[seen]]
-        rest = np.flatnonzero(~seen)
-        at = np.minimum(np.searchsorted(self.contexts, context[rest]), len(self.contexts) - 1)
-        value[rest] = np.where(self.contexts[at] == context[rest], self.unseen[at], 0)
+        value = np.where(self.grams[at] == gram, self.evidence[at], 0)
         ratio = np.add.reduceat(value, np.cumsum(lengths) - lengths)
         return np.log1p(self.share * np.expm1(np.minimum(ratio, 40))).astype(np.float32)
 
@@ -103,7 +96,7 @@ def fit_words(words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray, order
     buf = np.frombuffer(b"".join(words), np.uint8)
     lengths = np.array([len(w) for w in words], np.int64)
     if not len(buf) or not toxic.sum() or not ordinary.sum():
-        return Model(*[np.zeros(0)] * 4, order, share, (0.0, 0.0, 0.0))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), order, share, (0.0, 0.0, 0.0))
     begin = np.cumsum(lengths) - lengths
     both = np.repeat((ordinary + toxic).astype(np.float32), lengths)
 
@@ -134,26 +127,21 @@ def fit_words(words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray, order
     first[g] = np.arange(len(buf))
     shared_of = shared[first]
 
-    def fit(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log probability of each gram, and the log of the mass left to unseen ones in each context, over the shared model's."""
+    def fit(weight: np.ndarray) -> np.ndarray:
+        """log probability of each gram in a class: its own counts over the shared model's."""
         counts = np.bincount(g, np.repeat(weight.astype(np.float32), lengths), len(of))
         total, kinds = np.bincount(of, counts), np.bincount(of, counts > 0)
-        mass = np.log((STRENGTH + DISCOUNT * kinds) / (total + STRENGTH))
-        return np.log((np.maximum(counts - DISCOUNT, 0) + (STRENGTH + DISCOUNT * kinds[of]) * shared_of) / (total[of] + STRENGTH)), mass
+        return np.log((np.maximum(counts - DISCOUNT, 0) + (STRENGTH + DISCOUNT * kinds[of]) * shared_of) / (total[of] + STRENGTH))
 
     mine = np.ones(len(words))
     for again in range(REFITS + 1):
-        gram_t, rest_t = fit(toxic * mine)
-        gram_o, rest_o = fit(ordinary + toxic * (1 - mine if again else 0))
-        ratio = np.add.reduceat((gram_t - gram_o)[g], begin)
+        evidence = fit(toxic * mine) - fit(ordinary + toxic * (1 - mine if again else 0))
+        ratio = np.add.reduceat(evidence[g], begin)
         odds = share * np.exp(np.minimum(ratio, 40))
         mine = odds / (1 - share + odds)
-    context, gram, _, _ = _spell(buf, begin, lengths, order)
-    at = np.zeros(len(rest_t), np.int64)
-    at[c] = np.arange(len(buf))
-    contexts, grams = context[at], gram[first]
-    order_c, order_g = np.argsort(contexts), np.argsort(grams)
-    return Model(grams[order_g], (gram_t - gram_o)[order_g].astype(np.float32), contexts[order_c], (rest_t - rest_o)[order_c].astype(np.float32), order, share, (0.0, 0.0, 0.0))
+    grams = _spell(buf, begin, lengths, order)[1][first]
+    by_hash = np.argsort(grams)
+    return Model(grams[by_hash], evidence[by_hash].astype(np.float32), order, share, (0.0, 0.0, 0.0))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
