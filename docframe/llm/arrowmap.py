@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 #: Makes, once per task, a function from a batch's input columns to its new columns.
@@ -72,6 +72,13 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def counted(df: DataFrame, folder: str, name: str, **figures) -> tuple[DataFrame, dict]:
+    """As written(), with aggregates that are taken while the rows are written, so that no further job is needed."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(k) for k, c in figures.items()]).write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}"), seen.get
+
+
 def drop_dir(spark: SparkSession, folder: str) -> None:
     """Removes a folder made by shared_dir."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

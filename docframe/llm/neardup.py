@@ -15,13 +15,14 @@ similarity of at least 0.75; groups are the connected components of all links.
    3e-8, and two documents that share a fifth of their shingles meet in one with
    2 %.
 3. Stars: a bucket links its members to centres only, never all pairs.  In
-   round t each bucket takes its next 2**t members (in an order that differs
-   by bucket) as centres; an edge goes from a centre to each other member that
-   is not yet known to be in its component.  Candidate edges are confirmed on
-   the full sets and joined into components; buckets whose members all belong
-   to one component are done.  A large group of copies is done after the first
-   round, with one edge a member and bucket; a bucket of unrelated documents
-   goes on until every pair has been tried, so no link among candidates is lost.
+   the first round each bucket takes its first member as centre (in an order
+   by a hash of the id), then its next GROWTH members, and so on; an edge goes
+   from a centre to each other member that is not yet known to be in its
+   component.  Candidate edges are confirmed on the full sets and joined into
+   components; buckets whose members all belong to one component are done.  A
+   large group of copies is done after the first round, with one edge a member
+   and bucket; a bucket of unrelated documents goes on until every pair has
+   been tried, so no link among candidates is lost.
 4. Components by alternating large and small stars, with tables written to the
    shared folder between the rounds.
 
@@ -40,13 +41,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.arrowmap import add_columns, list_array, shared_dir, written
+from docframe.llm.arrowmap import add_columns, counted, list_array, shared_dir, written
 from docframe.llm.textbytes import LOWER, hash_spans, mix, slices, spans, text_bytes
 
 WORDS = 5
 #: Similarity of at least 75 / 100.
 LEAST = (75, 100)
 BANDS, ROWS = 64, 5
+#: A round has so many times the centres of all rounds before it.
+GROWTH = 15
 
 _STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(64)]
 
@@ -158,25 +161,25 @@ def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
     Each round is two shuffles of at most the number of edges; the rounds grow with the logarithm of a
     component's width.  Tables are written to the shared folder, so nothing is held on one machine.
     """
+    mark = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs = written(pairs, folder, f"{tag}-0")
+    pairs, before = counted(pairs, folder, f"{tag}-0", **mark)
     n = 0
     while True:
         n += 1
         # Large star: every larger neighbour of a node, to the least of the node and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: every smaller neighbour, and the node itself, to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = written(small, folder, f"{tag}-{n}")
-        marks = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (pairs, small)]
-        pairs = small
-        if marks[0] == marks[1]:
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
+        pairs, after = counted(joined.select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct(), folder, f"{tag}-{n}", **mark)
+        if before == after:
             roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = after
 
 
 def _confirmed(candidates: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,40 +215,38 @@ def _alike(a: str, b: str):
 
 def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
     """(node, root) of all representatives that are linked with another one."""
-    members = written(_members(signed), folder, "members")
-    largest = members.agg(F.max("size")).first()[0]
-    if largest is None:
+    size = {"largest": F.max("size")}
+    members, seen = counted(_members(signed), folder, "members", **size)
+    if seen["largest"] is None:
         return None
     met = members.select(F.col("id").alias("_id")).distinct()
     sets = written(_set_arrays(docs.join(met, "_id", "left_semi"), "_text").select("_id", "_set").where(F.size("_set") > 0), folder, "sets")
     candidates = members.where((F.col("nth") > 1) & (F.col("first") != F.col("id")) & _alike("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    roots, tried, step = None, None, 0
+    roots, tried, step, tested = None, None, 0, 1
     while True:
         candidates = written(candidates, folder, f"candidates-{step}")
-        links = written(_confirmed(candidates, sets), folder, f"links-{step}")
+        links, found = counted(_confirmed(candidates, sets), folder, f"links-{step}", n=F.count(F.lit(1)))
         tried = candidates if tried is None else tried.unionByName(candidates)
-        if not links.isEmpty():
+        if found["n"]:
             roots = _merged(roots, links, folder, f"round-{step}")
-        step += 1
-        low = 2**step  # the next centres: places low to 2 * low - 1
-        if low >= largest:
+        if tested >= seen["largest"] - 1:
             return roots
-        # Buckets with members of several components, and with members behind the next centres.
-        left = members.where(F.col("size") > low)
+        # Buckets with members of several components, and with members behind the centres that have been tested.
+        step += 1
+        left = members.select("key", "id", "n", "nth", "size").where(F.col("size") > tested + 1)
         if roots is None:
             left = left.withColumn("root", F.col("id"))
         else:
             left = left.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        several = left.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.max("size").alias("_size")).where("_low <> _high")
-        left = left.join(several.select("key"), "key", "left_semi").select("key", "id", "n", "nth", "size", "root")
-        members = written(left.drop("root"), folder, f"members-{step}")
-        largest = members.agg(F.max("size")).first()[0]
-        if largest is None:
+        several = left.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
+        left, seen = counted(left.join(several.select("key"), "key", "left_semi"), folder, f"left-{step}", **size)
+        if seen["largest"] is None:
             return roots
-        left = written(left, folder, f"left-{step}") if roots is not None else left
-        centres = left.where((F.col("nth") >= low) & (F.col("nth") < 2 * low)).select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("nth").alias("nth_a"), F.col("root").alias("root_a"))
-        pairs = left.where(F.col("nth") > low).join(centres, "key").where((F.col("nth") > F.col("nth_a")) & (F.col("root") != F.col("root_a")) & (F.col("id") != F.col("a")) & _alike("n", "n_a"))
+        members = left
+        centres = left.where((F.col("nth") > tested) & (F.col("nth") <= tested * GROWTH + tested)).select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("nth").alias("nth_a"), F.col("root").alias("root_a"))
+        pairs = left.where(F.col("nth") > tested + 1).join(centres, "key").where((F.col("nth") > F.col("nth_a")) & (F.col("root") != F.col("root_a")) & (F.col("id") != F.col("a")) & _alike("n", "n_a"))
         candidates = pairs.select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        tested += tested * GROWTH
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
