@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -40,30 +41,37 @@ def paragraphs(fused: Column, regions: Column, word_lines: Column, text: Column)
     return F.when(has(fused), fused).when(has(regions), regions).when(has(word_lines), word_lines).otherwise(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != ""))
 
 
-def column_widths(scores: list[float], total: float, least: float = 0.08, most: float = 0.6) -> list[float]:
-    """Shares of a width by the roots of the columns' content scores, each within bounds where these allow it; they sum up to the total."""
+def content_score(text: str) -> float:
+    """How much width a cell asks for: numbers little, long texts by the root of their length and their longest word (fixed values)."""
+    text = " ".join(text.split())
+    if not text:
+        return 4.0
+    longest = max(map(len, text.split(" ")))
+    if re.fullmatch(r"[\s\d.,%+\-–—/()№]+", text):
+        return 3.0 if len(text) <= 8 else 4.5
+    if len(text) <= 6 and longest <= 6:
+        return 4.0
+    return min(22.0, 4.5 + math.sqrt(min(len(text), 500)) * 0.8 + min(longest, 30) * 0.18)
+
+
+def column_widths(scores: list[float], total: float) -> list[float]:
+    """Widths that sum up to the total: a least width each, the rest in proportion to the scores up to a greatest width.
+
+    The greatest factor for which the bounded widths fit is found over the columns in the order in which they reach
+    their bound; what no column may take goes to the last one."""
     n = len(scores)
     if not n:
         return []
-    low, high = min(least, 1 / n), max(most, 1 / n)
-    share, fixed = [0.0] * n, [False] * n
-    weight = [math.sqrt(max(s, 1.0)) for s in scores]
-    while True:
-        rest = 1 - sum(s for s, f in zip(share, fixed, strict=True) if f)
-        free = sum(w for w, f in zip(weight, fixed, strict=True) if not f)
-        out = []
-        for i in range(n):
-            if not fixed[i]:
-                share[i] = rest * weight[i] / free
-                out.append((max(low - share[i], share[i] - high), i))
-        worst, i = max(out, default=(0, -1))
-        if worst <= 1e-12:
-            break
-        share[i], fixed[i] = min(max(share[i], low), high), True
-        if all(fixed):
-            break
-    widths = [round(total * s, 4) for s in share]
-    widths[-1] = total - sum(widths[:-1])
+    low = 0.28 if n > 20 else 0.38 if n > 10 else 0.55
+    high = min(total - low * (n - 1), max(total / n * 1.6, min(3.5, max(1.25, total * 0.24))))
+    room, rest, open_ = max(0.0, high - low), max(0.0, total - low * n), sum(scores)
+    widths = [low] * n
+    for i in sorted(range(n), key=lambda i: -scores[i]):
+        more = min(room, rest * scores[i] / open_) if open_ > 0 else 0.0
+        widths[i] += more
+        rest -= more
+        open_ -= scores[i]
+    widths[-1] += max(0.0, rest)
     return widths
 
 
@@ -96,7 +104,7 @@ def docx(title: str, blocks: list[tuple[str, list]]) -> bytes:
             cells = [[c.strip() for c in x.strip().strip("|").split("|")] for x in lines]
             n = max(map(len, cells))
             wide = max(wide, n)
-            widths = column_widths([max((len(r[i]) if i < len(r) else 0) for r in cells) for i in range(n)], 9000)
+            widths = [900 * w for w in column_widths([max(4.0, *(content_score(r[i]) for r in cells if i < len(r))) for i in range(n)], 10.0)]
             grid = "".join(f'<w:gridCol w:w="{int(w)}"/>' for w in widths)
             body.append(f"<w:tbl><w:tblGrid>{grid}</w:tblGrid>" + "".join("<w:tr>" + "".join(f"<w:tc><w:p>{text(c)}</w:p></w:tc>" for c in r + [""] * (n - len(r))) + "</w:tr>" for r in cells) + "</w:tbl>")
             continue
