@@ -224,14 +224,14 @@ def median_sizes_upper(spark, sf_dir):
     return W.medians(_words(spark, sf_dir)).select(*[F.col(c).cast("long").alias(c) for c in ("doc_id", "median_w", "median_h")])
 
 
-# A tenth of a page's words, in three wide columns, so that there are gaps to find.
-_COLUMNED = f"(SELECT doc_id, line_pos, word_pos, text, (word_pos % 3) * 900 + (word_pos // 30) * 7 AS x, y, w, h FROM {D.WORDS} WHERE word_pos % 10 = 0)"
+# A page's words in three wide columns, so that there are gaps to find.
+_COLUMNED = f"(SELECT doc_id, line_pos, word_pos, text, (word_pos % 3) * 900 + (word_pos // 3) * 7 AS x, y, w, h FROM {D.WORDS})"
 _BOUNDS = f"(SELECT doc_id, (x + before) / 2.0 AS bound FROM (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY x) AS before FROM {_COLUMNED}) JOIN {_MEDIAN.replace(D.WORDS, _COLUMNED)} USING (doc_id) WHERE x - before > median_w * 1.5)"
 
 
 def _columned(spark, sf_dir):
-    w = _words(spark, sf_dir).where("word_pos % 10 = 0")
-    return w.withColumn("x", (F.col("word_pos") % 3) * 900 + F.floor(F.col("word_pos") / 30) * 7)
+    w = _words(spark, sf_dir)
+    return w.withColumn("x", (F.col("word_pos") % 3) * 900 + F.floor(F.col("word_pos") / 3) * 7)
 
 
 @register(f"SELECT doc_id, bound::DOUBLE AS bound FROM {_BOUNDS}")
@@ -329,9 +329,14 @@ def near_equal_numbers(spark, sf_dir):
     return t.select("id", X.near_equal_numbers(X.canonical_numbers("a"), X.canonical_numbers("b")).alias("near"))
 
 
-@register(r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^0-9a-zа-я]+', ' ', 'g'), '\s+', ' ', 'g')) AS normal FROM documents WHERE NOT regexp_matches(text, '[-–—]') ")
+# Words broken by a hyphen: without look-around, and twice, as neighbouring breaks share a letter.
+_JOIN = r"regexp_replace({x}, '([\p{{L}}\p{{N}}_])[-–—]\s*([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
+_JOINED = _JOIN.format(x=_JOIN.format(x="replace(lower(text), 'ß', 'ss')"))
+
+
+@register(rf"SELECT doc_id, trim(regexp_replace({_JOINED}, '[^0-9a-zа-я]+', ' ', 'g')) AS normal FROM documents")
 def semantic_normal(spark, sf_dir):
-    return _docs(spark, sf_dir).where(~F.col("text").rlike("[-–—]")).select("doc_id", X.semantic_normal("text").alias("normal"))
+    return _docs(spark, sf_dir).select("doc_id", X.semantic_normal("text").alias("normal"))
 
 
 _FLAGS = "(VALUES (1, 'Чистый русский текст без ошибок'), (2, 'Текcт с латинской буквой в слове'), (3, 'Плохой � знак в тексте документа'), (4, 'short'), (5, ''), (6, 'РџСЂРёРІРµС‚ and more text here')) t(id, text)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docframe.plans import analytics, documents, operations
+from docframe.plans import analytics, documents, more, operations
 
-QUERIES = analytics.QUERIES | documents.QUERIES | operations.QUERIES
-ORACLES = analytics.ORACLES | documents.ORACLES | operations.ORACLES
+QUERIES = analytics.QUERIES | documents.QUERIES | operations.QUERIES | more.QUERIES
+ORACLES = analytics.ORACLES | documents.ORACLES | operations.ORACLES | more.ORACLES

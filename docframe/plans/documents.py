@@ -107,8 +107,8 @@ def html_escape(spark, sf_dir):
     return D.table(spark, sf_dir, "pages").select("page_id", X.escape_html("html").alias("escaped"))
 
 
-# Cells of each document's first lines; every fifth is left out and every seventh comes twice.
-_CELLS = f"(SELECT doc_id AS table_id, line_pos AS row, word_pos % 4 AS col, word_pos AS cell_no, text FROM {D.WORDS} WHERE line_pos < 5 AND word_pos < 8 AND word_pos % 5 <> 4)"
+# Every line's words dealt to four columns: short lines leave gaps, and of words in one place the last counts.
+_CELLS = f"(SELECT doc_id AS table_id, line_pos AS row, word_pos % 4 AS col, word_pos AS cell_no, text FROM {D.WORDS})"
 
 
 @register(
@@ -117,7 +117,7 @@ _CELLS = f"(SELECT doc_id AS table_id, line_pos AS row, word_pos % 4 AS col, wor
     SELECT table_id, row, string_agg(coalesce(text, ''), '|' ORDER BY col) AS texts FROM g LEFT JOIN c USING (table_id, row, col) GROUP BY ALL"""
 )
 def table_matrix(spark, sf_dir):
-    w = D.words(D.table(spark, sf_dir, "documents")).where("line_pos < 5 AND word_pos < 8 AND word_pos % 5 <> 4")
+    w = D.words(D.table(spark, sf_dir, "documents"))
     cells = w.select(F.col("doc_id").alias("table_id"), F.col("line_pos").alias("row"), (F.col("word_pos") % 4).alias("col"), F.col("word_pos").alias("cell_no"), "text")
     return W.matrix(cells).select("table_id", F.col("row").cast("long").alias("row"), F.array_join("texts", "|").alias("texts"))
 

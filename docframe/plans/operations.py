@@ -38,14 +38,14 @@ def batch_keys(spark, sf_dir):
 
 
 # A response for each document, of which every eleventh is an error; requests for those with an even id.
-_BATCH = "(SELECT r.key, coalesce(q.source, 'batch') AS source, coalesce(q.page, 0) AS page, r.text, r.error FROM (SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE left(text, 40) END AS text, CASE WHEN doc_id % 11 = 0 THEN 'empty' END AS error FROM documents) r LEFT JOIN (SELECT 'k' || doc_id AS key, source, doc_id AS page FROM documents WHERE doc_id % 2 = 0) q USING (key))"
+_BATCH = "(SELECT r.key, coalesce(q.source, 'batch') AS source, coalesce(q.page, 0) AS page, r.text, r.error FROM (SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS text, CASE WHEN doc_id % 11 = 0 THEN 'empty' END AS error FROM documents) r LEFT JOIN (SELECT 'k' || doc_id AS key, source, doc_id AS page FROM documents WHERE doc_id % 2 = 0) q USING (key))"
 
 
 def _batch(spark, sf_dir):
     docs = D.table(spark, sf_dir, "documents")
     key = F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key")
     bad = F.col("doc_id") % 11 == 0
-    responses = docs.select(key, F.when(~bad, F.left("text", F.lit(40))).alias("text"), F.when(bad, "empty").alias("error"))
+    responses = docs.select(key, F.when(~bad, F.col("text")).alias("text"), F.when(bad, "empty").alias("error"))
     return C.assemble(responses, docs.where("doc_id % 2 = 0").select(key, "source", F.col("doc_id").alias("page")))
 
 
@@ -56,7 +56,6 @@ def batch_join_errors(spark, sf_dir):
 
 @register(f"SELECT source, count(*) AS pages, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page, text) AS text FROM {_BATCH} WHERE error IS NULL AND trim(coalesce(text, '')) <> '' GROUP BY source")
 def batch_assembly(spark, sf_dir):
-    # No white space other than spaces can make up a whole excerpt here; blank ones are left out alike.
     return C.merged_pages(_batch(spark, sf_dir))
 
 
