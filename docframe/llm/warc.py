@@ -68,10 +68,11 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
 
 def archive(records: list[bytes], level: int = 3) -> bytes:
     """Records as one archive; without a dictionary if there are too few to train one."""
-    every = max(1, sum(map(len, records)) // SAMPLE_BYTES)
+    total = sum(map(len, records))
+    every = max(1, total // SAMPLE_BYTES)
     samples = [r[: 64 << 10] for r in records[::every]]
     try:
-        trained = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=1024, d=8)
+        trained = zstandard.train_dictionary(max(256, min(DICTIONARY_BYTES, total // 32)), samples, k=1024, d=8)
     except zstandard.ZstdError:
         trained = None
     out = []

@@ -50,7 +50,7 @@ def test_patterns_fill_sequences_and_fit():
     tokens = np.arange(129)
     assert np.abs(left * tokens).sum() < 0.2 * (histogram * tokens).sum()
     plan = packing.make_plan(histogram)
-    assert plan.sequences <= np.ceil((histogram * tokens).sum() / 128) * 1.003
+    assert plan.sequences <= np.ceil((histogram * tokens).sum() / 128) * 1.006
 
 
 def test_pack_operator(spark):
@@ -90,27 +90,15 @@ def test_lzw_fills_and_clears_its_table():
 
 
 def test_lzw_with_a_full_table_kept():
-    """A stream that goes on with 12-bit codes after its table is full."""
+    """A stream of literals that goes on with 12-bit codes after its table is full."""
     data = np.random.default_rng(4).bytes(6000)
-    codes, widths, n = [256], [9], 258
-    for i, b in enumerate(data):
-        codes.append(b)
-        widths.append(min(12, max(9, (n + max(0, i - 1)).bit_length() if n + i - 1 < 4096 else 12)))
-    value = bits = 0
-    # Widths as a reader has them: entries are added with each code but the first.
-    entries = 258
-    value = bits = 0
-    for k, c in enumerate(codes):
-        w = 9 if k == 0 else min(12, max(9, entries.bit_length() if entries == 1 << entries.bit_length() - 1 else entries.bit_length()))
-        value |= c << bits
-        bits += w
-        if k > 1 and entries < 4096:
-            entries += 1
-        elif k == 1:
-            pass
-    del widths
-    stream = value.to_bytes(-(-bits // 8), "little")
-    assert gif.lzw_unpack(stream, 8, 200) == data[:200]
+    value, bits, entries = 256, 9, 258
+    for k, b in enumerate(data):
+        width = min(12, max(9, entries.bit_length()))
+        value |= b << bits
+        bits += width
+        entries += k > 0 and entries < 4096
+    assert gif.lzw_unpack(value.to_bytes(-(-bits // 8) + 2, "little"), 8, 6000) == data
 
 
 def image(left, top, w, h, samples, local=None, interlaced=False, size=2):
@@ -210,7 +198,7 @@ def test_warc_operator(spark, monkeypatch, least):
 
 # -- native operators, against SQL on small tables --
 
-TEXTS = [None, "", " \n\t", "Released under the MIT License.", "a b c d e f g h i", "x y z " * 30, "Home | About | News | More\n" * 2 + "A good sentence that is long enough to be kept, as it has words. " * 3,
+TEXTS = [None, "", " \n\t", "Released under the MIT License.", "a b c d e f g h i", "x y z " * 30, "Home | About | News | More\n" * 2 + "A good sentence that is long enough to be kept, as it has words. Another one stands behind it, with other words in it, and ends here.",
          "Licensed under CC BY-NC 4.0.\n\nbody text follows here", "same line here\nsame line here\n### $$$", "p q r s t u v w p q r s t u v w p", "Ümläut über alles, auch hier. " * 12, "w " * 3000]
 
 
