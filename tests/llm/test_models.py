@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docframe.llm import lm, neardup, quality_knn, toxicity
 from docframe.llm.arrowmap import shared_dir
@@ -184,7 +185,7 @@ def test_stars_try_all_pairs_of_mixed_buckets(spark, tmp_path):
     """In one bucket, the first member is like none, the others are alike in pairs: later centres find them."""
     texts = {1: "a b c d e f g h", 2: "q r s t u v w x", 3: "q r s t u v w x y", 4: "k l m n o p q1 r1", 5: "k l m n o p q1 r1 s1"}
     docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "_id long, _text string")
-    signed = spark.createDataFrame([(i, len(shingle_set(t)), [77]) for i, t in texts.items()], "_id long, n_shingles long, _keys array<long>")
+    signed = neardup._signed(docs, "_text").drop("_text").withColumn("_keys", F.array(F.lit(77).cast("long")))
     roots = {r.node: r.root for r in neardup._links(docs, signed, f"file://{tmp_path}/x").collect()}
     assert roots == {2: 2, 3: 2, 4: 4, 5: 4}
 
@@ -205,5 +206,8 @@ def test_densified_signatures_estimate_similarity(n):
     one = signer.signature(a)
     assert set(one) <= set(a) and (one == signer.signature(a)).all()
     both = np.unique(np.concatenate([a, rng.integers(0, 2**63, max(1, n // 4)).astype(np.uint64)]))
-    share = (one == signer.signature(both)).mean()
+    two = signer.signature(both)
+    share = (one == two).mean()
+    apart = sum(int(x).bit_count() for x in (signer.bits(one) ^ signer.bits(two)).view(np.uint64))
+    assert abs(apart / signer.bins - (1 - share) / 2) < 0.1
     assert abs(share - len(a) / len(both)) < 0.25
