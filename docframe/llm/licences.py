@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.llm.arrowmap import shared_dir, written
+
 LEAST = 0.5
 MOSTLY = 50  # percent of a file's words that its headers make up
 CUE = r"(?i)(licen[sc]e|copyright|spdx-|permission is hereby granted|redistribution and use)"
@@ -54,16 +56,21 @@ def _templates(spark, templates: dict[str, tuple[str, ...]]) -> DataFrame:
 
 
 def match(units: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """The best licence of each distinct text of the column `unit`, with its cosine, if that is at least LEAST."""
-    known = _templates(units.sparkSession, templates)
+    """The best licence of each distinct unit (unit_id, unit), with its cosine, if that is at least LEAST.
+
+    Terms travel with the id of their unit, not with its text."""
+    spark = units.sparkSession
+    table = _templates(spark, templates)
+    known = spark.createDataFrame(table.collect(), table.schema)  # as many rows as the templates have terms
     idf = known.select("term", "idf").distinct()
     unseen = F.log(F.lit(1.0 + sum(map(len, templates.values())))) + 1
-    tf = units.select("unit").distinct().select("unit", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    distinct = units.groupBy("unit_id").agg(F.first("unit").alias("unit"))
+    tf = distinct.select("unit_id", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("unit_id", "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", unseen))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("unit")))
-    dots = weighed.withColumn("norm", norm).join(F.broadcast(known.drop("idf")), "term").groupBy("unit", "licence", "template").agg((F.sum(F.col("x") * F.col("w")) / F.max("norm")).alias("cosine"))
-    best = dots.groupBy("unit").agg(F.min(F.struct((-F.round("cosine", 6)).alias("c"), "licence")).alias("best"))
-    return best.select("unit", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine")).where(F.col("cosine") >= LEAST)
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("unit_id")))
+    dots = weighed.withColumn("norm", norm).join(F.broadcast(known.drop("idf")), "term").groupBy("unit_id", "licence", "template").agg((F.sum(F.col("x") * F.col("w")) / F.max("norm")).alias("cosine"))
+    best = dots.groupBy("unit_id").agg(F.min(F.struct((-F.round("cosine", 6)).alias("c"), "licence")).alias("best"))
+    return best.select("unit_id", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine")).where(F.col("cosine") >= LEAST)
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = (), templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
@@ -78,9 +85,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep:
     joined = F.array_join("lines", "\n")
     whole = F.when(named, F.array(F.col("text"))).when(F.size("lines") > 1, F.array(joined)).otherwise(F.array().cast("array<string>"))
     marked = marked.select("path", F.concat(whole, "lines").alias("units"), (named | (words(joined) * 100 >= words(F.col("text")) * MOSTLY)).alias("rules"))
-    units = marked.select("path", "rules", F.explode("units").alias("unit"))
-    found = units.join(match(units, templates), "unit").groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"), F.max("rules").alias("rules"))
-    own = found.select("path", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"), "rules")
+    units = marked.select("path", "rules", F.explode("units").alias("unit")).withColumn("unit_id", F.unhex(F.md5("unit")))
+    found = units.drop("unit").join(match(units, templates), "unit_id").groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"), F.max("rules").alias("rules"))
+    own = written(found.select("path", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"), "rules"), shared_dir(files.sparkSession), "own")
     of = F.regexp_replace("path", r"/?[^/]*$", "")
     rulers = own.where("rules").withColumn("dir", of).groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best")).select(F.col("dir").alias("above"), F.col("best.licence").alias("licence"))
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
