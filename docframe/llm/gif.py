@@ -85,35 +85,58 @@ def lzw_pack(data: bytes, size: int = 8) -> bytes:
     return np.packbits(((values[:, None] >> places) & 1)[places < bits[:, None]].astype(np.uint8), bitorder="little").tobytes()
 
 
+def _run(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The samples of a run of codes between clear codes.
+
+    Each code but the first adds an entry: the string of the code before it and
+    one sample more, the first of its own string.  So entries form a forest with
+    the samples as roots; lengths and roots come from pointer doubling, and the
+    strings are written from their ends, one place of all codes at a time.
+    """
+    first = clear + 2
+    entries = min(len(codes) - 1, 4096 - first)
+    known = np.minimum(first + np.arange(len(codes)), 4096)
+    known[0] = clear
+    if (codes >= known).any():
+        raise ValueError("damaged LZW stream")
+    parent = np.arange(first + max(entries, 0))
+    parent[first:] = codes[:entries] if entries > 0 else []
+    root = parent.copy()
+    steps = (np.arange(len(parent)) >= first).astype(np.int64)
+    while (root >= first).any():
+        steps += steps[root]
+        root = root[root]
+    length = steps + 1
+    last = root.copy()
+    last[first:] = root[codes[1 : entries + 1]] if entries > 0 else []
+    ends = np.cumsum(length[codes])
+    out = np.empty(int(ends[-1]), np.uint8)
+    place, at = ends - 1, codes
+    while len(at):
+        out[place] = last[at]
+        more = at >= first
+        place, at = place[more] - 1, parent[at[more]]
+    return out
+
+
 def lzw_unpack(stream: bytes, size: int, most: int) -> bytes:
     """The samples of a code stream, `most` at the most."""
     clear, end = 1 << size, (1 << size) + 1
     widths, places = _LAYOUTS[size]
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     limit, bit, made, out = len(stream) * 8, 0, 0, []
-    literals = [bytes([i]) for i in range(clear)] + [b"", b""]
     while made < most and bit + size < limit:
-        # A run from here to the next clear code (which itself may come first), or the part of one that a full table allows.
+        # A run from here to the next clear code (which itself may come first).
         n = int(np.searchsorted(places, limit - bit - widths[0], side="right"))
+        while n and bit + int(places[n - 1] + widths[n - 1]) > limit:
+            n -= 1
         at = bit + places[:n]
-        codes = (raw[at >> 3] | raw[(at >> 3) + 1] << 8 | raw[np.minimum((at >> 3) + 2, len(raw) - 1)] << 16) >> (at & 7) & (1 << widths[:n]) - 1
+        codes = (raw[at >> 3] | raw[(at >> 3) + 1] << 8 | raw[(at >> 3) + 2] << 16) >> (at & 7) & (1 << widths[:n]) - 1
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else n
-        table = literals.copy()
-        add, give = table.append, out.append
-        last = b""
-        for code in codes[:stop].tolist():
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and last:
-                entry = last + last[:1]
-            else:
-                raise ValueError("damaged LZW stream")
-            give(entry)
-            made += len(entry)
-            if last and len(table) < 4096:
-                add(last + entry[:1])
-            last = entry
+        if stop:
+            out.append(_run(codes[:stop], clear).tobytes())
+            made += len(out[-1])
         if stop == n:
             if n == len(places):
                 raise ValueError("an LZW run of more codes than are read at once")
@@ -233,10 +256,12 @@ def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def histogram(canvas: np.ndarray, levels: int = LEVELS) -> np.ndarray:
     """How many shown pixels fall in each of levels ** 3 colour boxes (red, then green, then blue)."""
-    step = 256 // levels
+    shift = 9 - levels.bit_length()  # levels is a power of two
     shown = canvas.reshape(-1, 4)
-    shown = shown[shown[:, 3] > 0][:, :3] // step
-    box = (shown[:, 0].astype(np.int64) * levels + shown[:, 1]) * levels + shown[:, 2]
+    if not (shown[:, 3] > 0).all():
+        shown = shown[shown[:, 3] > 0]
+    red, green, blue = (shown[:, k] >> shift for k in range(3))
+    box = (red.astype(np.uint16) * levels + green) * levels + blue
     return np.bincount(box, minlength=levels**3)
 
 
