@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import text as X
 from docframe.operators import more as O
+from docframe.operators import settings as S
 from docframe.plans import derived as D
 from docframe.plans.registry import Register, rows
 
@@ -167,4 +168,77 @@ def invisible_text_places(spark, sf_dir):
     return placed.select("doc_id", F.col("word_pos").cast("long").alias("word_pos"), F.col("line_pos").cast("long").alias("line_pos"), "px", F.round("py", 4).alias("py"), F.round("size", 4).alias("size"))
 
 
+_SCANS = "(VALUES (1, 'a.PNG', 'on', 'surya', 'image', ''), (2, 'b.jpg', NULL, 'tesseract', 'text', 'm'), (3, 'c.tif', 'auto', 'tesseract', 'image', NULL), (4, 'd.png', 'off', 'tesseract', 'text', NULL)) t(id, path, mode, engine, intent, model)"
+
+
+@register(
+    f"""SELECT id, CASE WHEN ends_with(lower(path), '.png') THEN 'png' ELSE 'jpeg' END AS format, CASE lower(coalesce(mode, 'auto')) WHEN 'on' THEN true WHEN 'off' THEN false ELSE engine = 'tesseract' AND intent <> 'image' END AS binarise,
+    coalesce(nullif(model, ''), CASE WHEN ends_with(lower(path), '.png') THEN 'sharp' ELSE 'general' END) AS enlarger FROM {_SCANS}"""
+)
+def cleaning_decisions(spark, sf_dir):
+    fmt = S.source_format(F.col("path"))
+    return rows(spark, _SCANS).select("id", fmt.alias("format"), S.binarise(F.col("mode"), F.col("engine"), F.col("intent")).alias("binarise"), S.enlarger(F.col("model"), fmt).alias("enlarger"))
+
+
+_EXIF = "(VALUES (1, 271, 'jpeg'), (2, 1, 'jpeg'), (2, 2, 'jpeg'), (2, 3, 'jpeg'), (2, 4, 'jpeg'), (2, 5, 'jpeg'), (2, 6, 'jpeg'), (3, 1, 'png'), (4, 36867, 'png')) t(id, tag, format)"
+
+
+@register(f"SELECT id, bool_or(tag IN (271, 272, 33434, 33437, 34855, 36867, 37386)) OR (max(format) IN ('jpeg', 'jpg', 'tif', 'tiff') AND count(*) >= 6) AS photo FROM {_EXIF} GROUP BY id")
+def photos(spark, sf_dir):
+    maps = rows(spark, _EXIF).groupBy("id", "format").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.lit("")))).alias("exif"))
+    return maps.select("id", S.is_photo(F.col("exif"), F.col("format")).alias("photo"))
+
+
+@register(f"SELECT doc_id, line_pos, count(*) AS n, sum(x + greatest(1, w))::BIGINT AS rights, sum(y + h)::BIGINT AS bottoms FROM {D.WORDS} WHERE trim(text) <> '' GROUP BY ALL")
+def words_of_arrays(spark, sf_dir):
+    w = D.words(_docs(spark, sf_dir))
+    ordered = F.array_sort(F.collect_list(F.struct("word_pos", "text", "confidence", "x", "y", "w", "h")))
+    pages = w.groupBy("doc_id", "line_pos").agg(ordered.alias("a"))
+    names = {"text": "text", "conf": "confidence", "left": "x", "top": "y", "width": "w", "height": "h"}
+    field = lambda c: lambda v: v[c]
+    arrays = pages.select(F.struct("doc_id", "line_pos").alias("page_id"), *[F.transform("a", field(c)).alias(k) for k, c in names.items()])
+    return S.array_words(arrays).groupBy("page_id").agg(F.count("*").alias("n"), F.sum("right").cast("long").alias("rights"), F.sum("bottom").cast("long").alias("bottoms")).select("page_id.doc_id", F.col("page_id.line_pos").cast("long").alias("line_pos"), "n", "rights", "bottoms")
+
+
+_CACHED = "(VALUES (1, 'Gem-1'), (2, '# note'), (3, ''), (4, 'checked at 2020'), (5, 'GEM-1'), (6, ' other ')) t(ord, line)"
+
+
+@register(f"SELECT ord, trim(line) AS line FROM {_CACHED} WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') AND NOT regexp_matches(lower(trim(line)), '^checked (at|from)')")
+def cached_models(spark, sf_dir):
+    return S.model_list(rows(spark, _CACHED))
+
+
+@register(f"SELECT ord, model FROM (SELECT ord, line AS model, row_number() OVER (PARTITION BY lower(line) ORDER BY ord) AS r FROM {_CACHED} WHERE lower(line) IN ('gem-1', 'x')) WHERE r = 1")
+def allowed_models(spark, sf_dir):
+    allow = rows(spark, "(VALUES ('gem-1'), ('X')) a(model)")
+    return S.allowed(rows(spark, _CACHED).withColumnRenamed("line", "model"), allow).select("ord", "model")
+
+
+@register("SELECT doc_id, CASE WHEN trim(text) = '' THEN 'Read ' || source ELSE trim('Read ' || source) || chr(10) || chr(10) || 'A first reading of this page, which may be wrong:' || chr(10) || CASE WHEN length(trim(text)) > 6000 THEN rtrim(left(trim(text), 6000)) || chr(10) || '[truncated]' ELSE trim(text) END END AS prompt FROM documents")
+def prompts_with_hints(spark, sf_dir):
+    prompt = S.filled(F.lit("Read {source}"), {"source": F.col("source")})
+    return _docs(spark, sf_dir).select("doc_id", S.with_hint(prompt, F.col("text")).alias("prompt"))
+
+
+@register("SELECT doc_id, left('k-' || sha256(source || chr(31) || text), 200) AS key FROM documents")
+def idempotency_keys(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", S.idempotency_key(F.col("source"), F.col("text")).alias("key"))
+
+
+_PRESETS = "(VALUES (1, 'a,b', 'b,a'), (2, 'a', 'a,b'), (3, 'a,a', 'a')) t(id, chosen, preset)"
+
+
+@register(f"SELECT id, list_sort(list_distinct(string_split(chosen, ','))) = list_sort(list_distinct(string_split(preset, ','))) AS active FROM {_PRESETS}")
+def active_presets(spark, sf_dir):
+    return rows(spark, _PRESETS).select("id", S.preset_is_active(F.split("chosen", ","), F.split("preset", ",")).alias("active"))
+
+
+_FILES, _PACKAGES = "(VALUES ('out/a.document/pages/1.json'), ('out/b.json'), ('out/c.txt'), ('out/a.documents.json')) f(path)", "(VALUES ('out/a.document')) p(path)"
+
+
+@register(f"SELECT f.path FROM {_FILES} WHERE ends_with(lower(f.path), '.json') AND NOT EXISTS (SELECT 1 FROM {_PACKAGES} WHERE f.path = p.path OR starts_with(f.path, p.path || '/'))")
+def stray_artifacts(spark, sf_dir):
+    return S.artifacts(rows(spark, _FILES), rows(spark, _PACKAGES))
+
+
 QUERIES, ORACLES = register.queries, register.oracles
