@@ -10,11 +10,6 @@ from docframe.functions import text as X
 BAND = 256  # height of the bands by which words and rectangles are matched
 
 
-def upper_median(column: str) -> Column:
-    """The element at n // 2 of the ascending values, as a percentile needs no list of them."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column})")
-
-
 def medians(words: DataFrame, by: str = "doc_id") -> DataFrame:
     """Upper medians of heights and widths of each page: from the ranks, in one sort by page."""
     w = Window.partitionBy(by)
