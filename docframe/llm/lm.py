@@ -108,7 +108,7 @@ class Model:
     pair_files: list[tuple[str, str]] = field(default_factory=list)
     pair_borders: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     first_files: list[tuple[str, str]] = field(default_factory=list)
-    shared_firsts: dict[int, tuple[int, int, int]] = field(default_factory=dict)  # first words on a border: sums over ranges
+    shared_firsts: dict[int, tuple[int, int, int]] = field(default_factory=dict)  # first words that aren't whole in the range of their lowest key: sums over ranges
     pairs: int = 0
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     word_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -286,10 +286,14 @@ def train(docs: DataFrame, folder: str, text_col: str = "text") -> Model:
     model.pairs = sum(r["pairs"] for r in files)
     model.discounts = discounts_of(np.sum([r["of_counts"] for r in files], 0))
     sums: dict[int, list[np.ndarray]] = {}
-    for r in files:
+    apart: set[int] = set()  # words with a file other than the one that their lowest key falls in, as ranges without pairs have none
+    for i, r in enumerate(files):
         for e in np.array(r["edges"]).reshape(-1, 4):
-            sums.setdefault(int(e[0]), []).append(e[1:])
-    model.shared_firsts = {k: tuple(int(x) for x in np.sum(v, 0)) for k, v in sums.items() if len(v) > 1}
+            k = int(e[0])
+            sums.setdefault(k, []).append(e[1:])
+            if max(0, int(np.searchsorted(model.pair_borders, np.uint64(k << 32), side="right")) - 1) != i:
+                apart.add(k)
+    model.shared_firsts = {k: tuple(int(x) for x in np.sum(v, 0)) for k, v in sums.items() if k in apart}
     base = shared.value.word_base
 
     def keep_befores(key, table):

@@ -115,6 +115,16 @@ def test_language_model_against_brute_force(spark, monkeypatch, pair_tokens):
         assert math.isclose(r.base_score, w[2], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.score, w[3], rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_language_model_with_hot_words_of_one_successor(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PAIR_TOKENS", 50)  # each first word is cut in seven, and six parts hold no pair
+    texts = [f"{a} {b}" for a, b in zip(CALM, CALM[1:], strict=False)] * 300
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), shared_dir(spark))
+    tested = [*sorted(set(texts)), *(f"{w} unseen" for w in CALM)]
+    out = lm.score(spark.createDataFrame(list(enumerate(tested)), "i int, text string"), model).orderBy("i").collect()
+    for r, w in zip(out, brute_force(texts, tested)[0], strict=True):
+        assert math.isclose(r.score, w[3], rel_tol=1e-9, abs_tol=1e-9), r.text
+
+
 def test_language_model_is_a_distribution(spark):
     texts = ["a b a c", "b a", "c c a b"]
     model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), shared_dir(spark))
