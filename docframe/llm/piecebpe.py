@@ -2,8 +2,9 @@
 
 Normalisation takes, at each place, the longest prefix that the model's
 compiled character map replaces, and records for each byte of the outcome the
-byte of the text that it comes from; the spans of the pieces are projected
-through that.  Pieces never hold a space after another character, so the
+byte of the text that it comes from; the pieces' own lengths are laid over the
+outcome, and their spans are projected through that.  A model without a map
+needs no search, so its texts are normalised by index arithmetic.  Pieces never hold a space after another character, so the
 normalised text is cut before runs of spaces (and around characters that occur
 in no longer piece), each distinct segment is encoded once, and the ids are
 laid out by index arithmetic.
@@ -132,12 +133,15 @@ class PieceBpe:
         usual = {n: i for i, (n, k) in enumerate(zip(names, kinds, strict=True)) if k == 1}
         byte_ids = [i for i, k in enumerate(kinds) if k == 6]
         #: Other models go to the library text by text.
-        self.fast = proto.trainer_spec.model_type == 2 and len(byte_ids) == 256 and not {4, 5} & {*kinds} and self.normalize.plain and not any("▁" in n.lstrip("▁") for n in usual)
+        self.fast = proto.trainer_spec.model_type == 2 and len(byte_ids) == 256 and not {4, 5} & {*kinds} and self.normalize.escape and not proto.trainer_spec.treat_whitespace_as_suffix and not any("▁" in n.lstrip("▁") for n in usual)
         self.byte_ids = np.array(byte_ids, np.int64)
         self.pieces = [bytes([int(n[3:5], 16)]) if k == 6 else b"" if k == 3 else n.replace("▁", " ").encode() if k != 2 else b" \xe2\x81\x87 " for n, k in zip(names, kinds, strict=True)]
         self.piece_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.piece_lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.piece_starts = np.cumsum(self.piece_lengths) - self.piece_lengths
+        #: Bytes of normalised text, where the space mark is one byte, that a piece stands for.
+        self.piece_covers = self.piece_lengths.copy()
+        self.piece_covers[byte_ids] = 1
         digits = [f"{i},".encode() for i in range(len(names))]
         self.digits = np.frombuffer(b"".join(digits), np.uint8)
         self.digit_lengths = np.array([len(d) for d in digits], np.int64)
@@ -158,31 +162,66 @@ class PieceBpe:
 
     def encode_slice(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice of texts, and their number for each."""
+        return self.encode_aligned(raw, offsets)[:2]
+
+    def encode_aligned(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a slice of texts, their number for each, and the pieces' begins and ends in bytes of their text."""
         n = len(offsets) - 1
+        none = np.zeros(0, np.int64)
         if not len(raw):
-            return np.zeros(0, np.int64), np.zeros(n, np.int64)
+            return none, np.zeros(n, np.int64), none, none
         if not self.fast:
-            got = self.library.encode([raw[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], num_threads=1)
-            return np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64)
-        # A space stands for the space mark: one byte in place of three; literal marks become spaces likewise.
-        data = raw
-        marks = np.flatnonzero((raw[:-2] == SPACE[0]) & (raw[1:-1] == SPACE[1]) & (raw[2:] == SPACE[2])) if len(raw) > 2 else []
+            texts = [raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            got = [np.array(x, np.int64) for x in self.library.encode([t.decode() for t in texts], num_threads=1)]
+            spans = [self.spans_of(t, x) for t, x in zip(texts, got, strict=True)]
+            return np.concatenate(got), np.array([len(x) for x in got], np.int64), *(np.concatenate([x[k] for x in spans]) for k in (0, 1))
+        buf, lengths, source, stops = self._normalised(raw, offsets)
+        if not len(buf):
+            return none, np.zeros(n, np.int64), none, none
+        ids, counts = self._ids(buf, lengths)
+        # The pieces of a row cover its normalised text from end to end.
+        ends = np.cumsum(self.piece_covers[ids])
+        begins = ends - self.piece_covers[ids]
+        if not np.array_equal(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])], np.concatenate([[0], np.cumsum(lengths)])):
+            raise ValueError("pieces that don't cover the normalised text")
+        until = source[np.minimum(ends, len(source) - 1)]
+        last = (np.cumsum(counts) - 1)[counts > 0]
+        until[last] = stops[counts > 0]
+        return ids, counts, source[begins], until
+
+    def _normalised(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Normalised texts end to end, a space standing for the space mark, and their lengths; the place in its text
+        of each byte, and of each text's end."""
+        if self.normalize.plain:
+            lengths = np.diff(offsets)
+            data, stops = raw, lengths
+            lead = np.where((raw & 0xC0) != 0x80, np.arange(len(raw)), 0)
+            source = np.maximum.accumulate(lead) - np.repeat(offsets[:-1] - offsets[0], lengths)
+        else:
+            made = [self.normalize(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            data = np.frombuffer(b"".join(x for x, _ in made), np.uint8)
+            lengths = np.array([len(x) for x, _ in made], np.int64)
+            stops = np.array([x[-1] for _, x in made], np.int64)
+            source = np.concatenate([np.array(x[:-1], np.int64) for _, x in made])
+        # One byte in place of the mark's three; literal marks become spaces likewise.
+        marks = np.flatnonzero((data[:-2] == SPACE[0]) & (data[1:-1] == SPACE[1]) & (data[2:] == SPACE[2])) if len(data) > 2 else []
         if len(marks):
-            keep = np.ones(len(raw), bool)
+            keep = np.ones(len(data), bool)
             keep[marks + 1] = keep[marks + 2] = False
-            data = raw.copy()
+            data = data.copy()
             data[marks] = 0x20
-            data = data[keep]
-            offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        lengths = np.diff(offsets)
-        if self.normalize.prefix:
-            lead = lengths > 0
-            place = np.arange(len(data)) + np.repeat(np.cumsum(lead), lengths)
-            buf = np.full(len(data) + int(lead.sum()), 0x20, np.uint8)
-            buf[place] = data
-            lengths = lengths + lead
-        else:
-            buf = data
+            lengths = np.diff(np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lengths)])])
+            data, source = data[keep], source[keep]
+        if not (self.normalize.plain and self.normalize.prefix):
+            return data, lengths, source, stops
+        lead = lengths > 0
+        place = np.arange(len(data)) + np.repeat(np.cumsum(lead), lengths)
+        buf, of = np.full(len(data) + int(lead.sum()), 0x20, np.uint8), np.zeros(len(data) + int(lead.sum()), np.int64)
+        buf[place], of[place] = data, source
+        return buf, lengths + lead, of, stops
+
+    def _ids(self, buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised texts, and their number for each."""
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         space = buf == 0x20
         fresh = np.zeros(len(buf), bool)
@@ -199,7 +238,7 @@ class PieceBpe:
         starts, counts = self.cache.look_up(hashes, lambda new: self._segments(buf, begin[first[new]], stop[first[new]]))
         per_segment = counts[inverse]
         ids = self.cache.ids[ragged(starts[inverse], per_segment)].astype(np.int64)
-        return ids, np.bincount(rows, per_segment, n).astype(np.int64)
+        return ids, np.bincount(rows, per_segment, len(lengths)).astype(np.int64)
 
     def _segments(self, buf: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct segments and their numbers."""
@@ -218,7 +257,7 @@ class PieceBpe:
         symbols[missing] = -points[missing] - 1
         of = np.searchsorted(np.cumsum(lengths), at, side="right")
         many = np.bincount(of, minlength=len(lengths))
-        long = many > LONG
+        long = (many > LONG) & self.normalize.plain  # the library would normalise a second time
         if long.any():
             ids, counts = self.merges.encode(symbols[~long[of]], many[~long])
         else:
@@ -283,13 +322,14 @@ class PieceBpe:
 
 _FIELDS = {
     "n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "begins": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()),
-    "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(),
+    "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "spans_sha256": T.StringType(),
 }
 
 
 def encode(df: DataFrame, model: str, text_col: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends", "decoded")) -> DataFrame:
     """df with the named columns: n_tokens, ids, begins and ends (byte spans of the pieces), decoded (the text that
-    the ids decode to), and the digests ids_sha256 (decimal ids joined by commas) and decoded_sha256.
+    the ids decode to), and the digests ids_sha256 (decimal ids joined by commas), decoded_sha256 and spans_sha256
+    (begin and end of each piece in turn, as little-endian numbers of 4 bytes).
 
     Cases: null and empty texts have no ids and decode to ''; columns of these
     names are replaced, all others pass through; one row out for each row in;
@@ -305,8 +345,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", columns: tuple[str
             made: dict[str, list] = {c: [] for c in columns}
             for a, b in slices(offsets, 1 << 20):
                 raw, part = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                ids, counts = coder.encode_slice(raw, part)
-                ends = np.concatenate([[0], np.cumsum(counts)])
+                ids, counts, begins, ends = coder.encode_aligned(raw, part)
                 for c in columns:
                     if c == "n_tokens":
                         made[c].append(pa.array(counts))
@@ -322,11 +361,13 @@ def encode(df: DataFrame, model: str, text_col: str = "text", columns: tuple[str
                         made["decoded"].append(pa.array([bytes(data[i:j]).decode(errors="replace") for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
                     if "decoded_sha256" in made:
                         made["decoded_sha256"].append(_hashes(data, bounds, 0))
-                if {"begins", "ends"} & made.keys():
-                    both = [coder.spans_of(raw[part[i] : part[i + 1]].tobytes(), ids[ends[i] : ends[i + 1]]) for i in range(b - a)]
-                    for k, c in enumerate(("begins", "ends")):
-                        if c in made:
-                            made[c].append(list_array(np.concatenate([x[k] for x in both]), counts, pa.int32()))
+                if "begins" in made:
+                    made["begins"].append(list_array(begins, counts, pa.int32()))
+                if "ends" in made:
+                    made["ends"].append(list_array(ends, counts, pa.int32()))
+                if "spans_sha256" in made:
+                    both = np.stack([begins, ends], 1).astype("<i4").view(np.uint8).ravel()
+                    made["spans_sha256"].append(_hashes(both, np.concatenate([[0], np.cumsum(counts * 8)]), 0))
             return [pa.concat_arrays(made[c]) for c in columns]
 
         return run

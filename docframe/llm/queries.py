@@ -76,8 +76,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = piecebpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
-    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = piecebpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), columns=("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

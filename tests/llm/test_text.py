@@ -1,5 +1,6 @@
 """Word spans, hashes, in-step BPE, and the two tokenizers against their libraries."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
-from docframe.llm import piecebpe
+from docframe.llm import piecebpe, queries
 from docframe.llm.textbytes import hash_spans, slices, spans, text_bytes
 from docframe.llm.wordbpe import WordBpe
 
@@ -103,6 +104,39 @@ def test_longest_prefix_normalisation(rule, squeeze):
         assert len(source) == len(normal) + 1 and source == sorted(source) and source[-1] <= len(text.encode())
 
 
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_ids_and_spans_come_from_own_normalisation(tmp_path, monkeypatch, rule, squeeze):
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        proto.ParseFromString(f.read())
+    rules = sentencepiece_model_pb2.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=squeeze).serialized_model_proto())
+    proto.normalizer_spec.CopyFrom(rules.normalizer_spec)
+    path = tmp_path / "own.model"
+    path.write_bytes(proto.SerializeToString())
+    coder = piecebpe.PieceBpe(str(path))
+    texts = [*ODD, "ＡＢＣ ｶﾞ ﬁ ① Ⅳ  x  ", "  ½ é　z", "Straße İ", "x" * 400]
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    want = [library.encode(t) for t in texts]
+    if not coder.normalize.plain:
+        monkeypatch.setattr(coder, "library", None)
+    ids, counts, begins, ends = coder.encode_aligned(*text_bytes(pa.array(texts)))
+    stops = np.cumsum(counts)
+    for t, w, a, b in zip(texts, want, stops - counts, stops, strict=True):
+        assert ids[a:b].tolist() == w, t
+        assert [x.tolist() for x in (begins[a:b], ends[a:b])] == [x.tolist() for x in coder.spans_of(t.encode(), ids[a:b])], t
+
+
+def test_query_has_the_spans_of_every_text(spark, tmp_path):
+    texts = ["Hello  world", None, "", "a ▁é日😀"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans_sha256 for r in queries.op10_sentencepiece(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        both = PIECES.spans_of((t or "").encode(), np.array(PIECES_LIBRARY.encode(t or ""), np.int64))
+        assert got[i] == hashlib.sha256(np.stack(both, 1).astype("<i4").tobytes()).hexdigest()
+
+
 def test_encode_operator(spark):
     rows = spark.createDataFrame([(1, "Hello world", "x"), (2, None, "y"), (3, "", "z"), (1, "Hello world", "x")], "id long, text string, n_tokens string")
     out = piecebpe.encode(rows, public_tokenizers.path("piece_bpe_32k.model")).collect()
