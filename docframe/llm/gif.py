@@ -2,9 +2,10 @@
 
 The reader takes any GIF 87a or 89a: global and local palettes, interlaced
 images, transparency, the four ways of disposal, delays, and LZW code streams
-with clear codes, growing widths and full tables.  Code streams are unpacked a
-run between clear codes at a time, as the width of each code follows from its
-place in the run.
+with clear codes, growing widths and full tables, which may stay in use for as long
+as the encoder likes.  Code streams are unpacked a run between clear codes at a
+time, as the width of each code follows from its place in the run; a run that
+goes on with a full table is unpacked in blocks of codes of 12 bits.
 
 Cases: null and empty texts are stored as 64 zero bytes; texts of any length
 are stored whole, in frames of at most FRAME_ROWS rows; equal texts give equal
@@ -45,6 +46,8 @@ def _run_layout(size: int) -> tuple[np.ndarray, np.ndarray]:
     return widths, np.cumsum(widths) - widths
 
 
+#: Codes that are read at once with a full table that stays in use.
+_BLOCK = 1 << 13
 _LAYOUTS = {size: _run_layout(size) for size in range(2, 9)}
 
 
@@ -85,8 +88,26 @@ def lzw_pack(data: bytes, size: int = 8) -> bytes:
     return np.packbits(((values[:, None] >> places) & 1)[places < bits[:, None]].astype(np.uint8), bitorder="little").tobytes()
 
 
-def _run(codes: np.ndarray, clear: int) -> np.ndarray:
-    """The samples of a run of codes between clear codes.
+class _Table:
+    """Strings of the codes: the last sample, the code of what stands before it, and the length."""
+
+    def __init__(self, parent: np.ndarray, last: np.ndarray, length: np.ndarray, first: int):
+        self.parent, self.last, self.length, self.first = parent, last, length, first
+
+    def write(self, codes: np.ndarray) -> np.ndarray:
+        """The samples that codes stand for."""
+        ends = np.cumsum(self.length[codes])
+        out = np.empty(int(ends[-1]), np.uint8)
+        place, at = ends - 1, codes
+        while len(at):
+            out[place] = self.last[at]
+            more = at >= self.first
+            place, at = place[more] - 1, self.parent[at[more]]
+        return out
+
+
+def _run(codes: np.ndarray, clear: int) -> tuple[np.ndarray, _Table]:
+    """The samples of a run of codes after a clear code, and the table that it leaves.
 
     Each code but the first adds an entry: the string of the code before it and
     one sample more, the first of its own string.  So entries form a forest with
@@ -109,14 +130,13 @@ def _run(codes: np.ndarray, clear: int) -> np.ndarray:
     length = steps + 1
     last = root.copy()
     last[first:] = root[codes[1 : entries + 1]] if entries > 0 else []
-    ends = np.cumsum(length[codes])
-    out = np.empty(int(ends[-1]), np.uint8)
-    place, at = ends - 1, codes
-    while len(at):
-        out[place] = last[at]
-        more = at >= first
-        place, at = place[more] - 1, parent[at[more]]
-    return out
+    table = _Table(parent, last, length, first)
+    return table.write(codes), table
+
+
+def _codes(raw: np.ndarray, at: np.ndarray, widths: np.ndarray | int) -> np.ndarray:
+    """The codes of these widths that begin at these bits."""
+    return (raw[at >> 3] | raw[(at >> 3) + 1] << 8 | raw[(at >> 3) + 2] << 16) >> (at & 7) & (1 << widths) - 1
 
 
 def lzw_unpack(stream: bytes, size: int, most: int) -> bytes:
@@ -125,22 +145,40 @@ def lzw_unpack(stream: bytes, size: int, most: int) -> bytes:
     widths, places = _LAYOUTS[size]
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     limit, bit, made, out = len(stream) * 8, 0, 0, []
-    while made < most and bit + size < limit:
+    table = None  # a full table that stays in use
+    while made < most and bit + (12 if table else size + 1) <= limit:
+        if table:
+            n = min(_BLOCK, (limit - bit) // 12)
+            at = bit + 12 * np.arange(n)
+            codes = _codes(raw, at, 12)
+            stops = np.flatnonzero((codes == clear) | (codes == end))
+            stop = int(stops[0]) if len(stops) else n
+            if stop:
+                out.append(table.write(codes[:stop]).tobytes())
+                made += len(out[-1])
+            if stop < n and codes[stop] == end:
+                break
+            bit += 12 * min(n, stop + 1)
+            if stop < n:
+                table = None
+            continue
         # A run from here to the next clear code (which itself may come first).
         n = int(np.searchsorted(places, limit - bit - widths[0], side="right"))
         while n and bit + int(places[n - 1] + widths[n - 1]) > limit:
             n -= 1
         at = bit + places[:n]
-        codes = (raw[at >> 3] | raw[(at >> 3) + 1] << 8 | raw[(at >> 3) + 2] << 16) >> (at & 7) & (1 << widths[:n]) - 1
+        codes = _codes(raw, at, widths[:n])
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else n
         if stop:
-            out.append(_run(codes[:stop], clear).tobytes())
+            samples, left = _run(codes[:stop], clear)
+            out.append(samples.tobytes())
             made += len(out[-1])
         if stop == n:
-            if n == len(places):
-                raise ValueError("an LZW run of more codes than are read at once")
-            break
+            if n < len(places):
+                break
+            table, bit = left, bit + int(places[-1] + widths[-1])
+            continue
         if codes[stop] == end:
             break
         bit = int(at[stop] + widths[stop])

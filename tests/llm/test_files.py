@@ -101,6 +101,52 @@ def test_lzw_with_a_full_table_kept():
     assert gif.lzw_unpack(value.to_bytes(-(-bits // 8) + 2, "little"), 8, 6000) == data
 
 
+def deferred(data, size, every=None):
+    """A code stream by the rules of GIF 89a that clears its table only before every so many samples, not when it is full."""
+    clear, first = 1 << size, (1 << size) + 2
+    codes, bits = [], []
+    table, n, prefix = {}, first, b""
+
+    def put(code):
+        codes.append(code)
+        bits.append(min(12, max(size + 1, (n - 1).bit_length())))
+
+    put(clear)
+    for i in range(len(data)):
+        b = data[i : i + 1]
+        if every and i and i % every == 0:
+            put(table.get(prefix, prefix[0]))
+            if n < 4096:
+                n += 1
+            put(clear)
+            table, n, prefix = {}, first, b""
+        if not prefix or prefix + b in table:
+            prefix += b
+            continue
+        put(table.get(prefix, prefix[0]))
+        if n < 4096:
+            table[prefix + b] = n
+            n += 1
+        prefix = b
+    put(table.get(prefix, prefix[0]))
+    if n < 4096:
+        n += 1
+    put(clear + 1)
+    places = np.arange(12)
+    return np.packbits(((np.array(codes)[:, None] >> places) & 1)[places < np.array(bits)[:, None]].astype(np.uint8), bitorder="little").tobytes(), len(codes)
+
+
+@pytest.mark.parametrize("size", [2, 4, 8])
+@pytest.mark.parametrize("every", [None, 100_000, 131])
+def test_lzw_with_a_clear_code_deferred_for_long(size, every):
+    data = bytes(b & (1 << size) - 1 for b in np.random.default_rng(6).bytes(300_000))
+    stream, n = deferred(data, size, every)
+    assert n > 3 << 13 and gif.lzw_unpack(stream, size, len(data)) == data
+    w = 300
+    made = screen(w, 1000, b"," + struct.pack("<HHHHB", 0, 0, w, 1000, 0x80 | 7) + bytes(range(256)) * 3 + bytes([size]) + gif._blocks(stream))
+    assert next(iter(gif.decode(made))).canvas.shape == (1000, w, 4)
+
+
 def image(left, top, w, h, samples, local=None, interlaced=False, size=2):
     flags = (0x80 | 1 if local else 0) | (0x40 if interlaced else 0)
     return b"," + struct.pack("<HHHHB", left, top, w, h, flags) + (local or b"") + bytes([size]) + gif._blocks(gif.lzw_pack(bytes(samples), size))
