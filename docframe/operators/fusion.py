@@ -88,6 +88,22 @@ def counters(decisions: DataFrame, *by: str) -> DataFrame:
     return decisions.groupBy(*by).agg(F.count_if("selected").alias("replaced"), F.count_if(F.col("reason").isin(*REVIEWED)).alias("review_items"), F.count("*").alias("decisions"))
 
 
+def _valid(words: DataFrame) -> DataFrame:
+    return words.where((F.trim("text") != "") & (F.col("w") >= 0) & (F.col("h") >= 0))
+
+
+def _texts(found: DataFrame, *keys: str) -> DataFrame:
+    """The text of each key's words: their lines from top to bottom, words from left to right."""
+    from docframe.operators.words import group_lines
+
+    words = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y", "w", "h", "text"))).alias("ws"))
+    numbered = words.select(*keys, F.struct(*keys).alias("_key"), F.posexplode("ws").alias("_no", "_w")).select(*keys, "_key", "_no", "_w.*")
+    lines = group_lines(numbered, "_key", "_no").groupBy(*keys, "line_no").agg(F.array_sort(F.collect_list(F.struct("x", "_no", "text"))).alias("ws"))
+    line = F.array_join(F.transform("ws", lambda w: w["text"]), " ")
+    texts = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))).alias("ls"))
+    return texts.select(*keys, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("candidate"))
+
+
 def fuse_regions(regions: DataFrame, words: DataFrame, by: str = "doc_id", region: str = "region_id") -> DataFrame:
     """Regions (x, y, w, h, text) with the words of another engine that lie in them as candidate, decided.
 
@@ -96,8 +112,44 @@ def fuse_regions(regions: DataFrame, words: DataFrame, by: str = "doc_id", regio
     from docframe.operators.words import words_in
 
     rects = regions.select(by, region, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("w").alias("rw"), F.col("h").alias("rh"))
-    found = words_in(words, rects, by)
-    line = F.floor((F.col("y") + F.col("h") / 2.0) / 12)
-    texts = found.groupBy(by, region).agg(F.array_sort(F.collect_list(F.struct(line.alias("l"), "x", "text"))).alias("ws")).select(by, region, F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("candidate"))
+    found = words_in(_valid(words), rects, by)
+    texts = _texts(found, by, region)
     joined = regions.withColumnRenamed("text", "primary").join(texts, [by, region], "left").withColumn("candidate", F.coalesce("candidate", F.lit("")))
     return fused_text(decide(joined))
+
+
+def fuse_tables(tables: DataFrame, cells: DataFrame, words: DataFrame, third: DataFrame, by: str = "doc_id", region: str = "region_id") -> DataFrame:
+    """Decisions on the cells of tables (rows, cols): a row per trusted cell, with the words of two other engines in its
+    box as candidate and third, or one row of kind table where no cell's place may be trusted.
+
+    cells: row, col, rowspan, colspan, text, box (x, y, width, height), coordinate_source, coordinate_confidence and
+    coordinate_anchor_count.  The source of its place says how a cell is decided; merged cells whose place was found
+    by text always go to review.  Cells outside the grid have no decision, nor have tables without rows or columns.
+    """
+    from docframe.operators.words import cell_is_trusted, words_in
+
+    rect = ["rx", "ry", "rw", "rh"]
+    trusted = cell_is_trusted(F.col("box"), F.col("coordinate_source"), F.col("coordinate_confidence"), F.col("coordinate_anchor_count"))
+    whole = {k: F.coalesce(F.col(k).cast("int"), F.lit(0)) for k in ("row", "col")} | {k: F.greatest(F.lit(1), F.coalesce(F.col(k).cast("int"), F.lit(1))) for k in ("rowspan", "colspan")}
+    boxes = {k: F.get("box", i).cast("int") for i, k in enumerate(rect)}
+    sized = tables.where((F.col("rows") >= 1) & (F.col("cols") >= 1)).select(by, region, F.col("rows").alias("_rows"), F.col("cols").alias("_cols"))
+    marked = cells.select(by, region, *[c.alias(k) for k, c in whole.items()], F.coalesce("text", F.lit("")).alias("primary"), "coordinate_source", trusted.alias("_trusted"), *[c.alias(k) for k, c in boxes.items()])
+    held = sized.join(marked, [by, region], "left")
+    placed = held.where(F.col("_trusted") & (F.col("row") < F.col("_rows")) & (F.col("col") < F.col("_cols"))).drop("_rows", "_cols", "_trusted")
+    rects = placed.select(by, *rect).distinct()
+    for name, of in (("candidate", words), ("third", third)):
+        texts = _texts(words_in(_valid(of), rects, by, 1.0), by, *rect).withColumnRenamed("candidate", name)
+        placed = placed.join(texts, [by, *rect], "left").withColumn(name, F.coalesce(name, F.lit("")))
+    source = F.col("coordinate_source")
+    physical, aligned = source == "physical_grid_verified", source == "tesseract_native_alignment"
+    merged = (F.col("rowspan") > 1) | (F.col("colspan") > 1)
+    parts = [
+        decide_physical(placed.where(physical)).withColumn("third", X.physical_cell("third")),
+        placed.where(aligned & merged).withColumn("reason", F.lit("merged_cell_coordinate_review")).withColumn("selected", F.lit(False)),
+        decide(placed.where(aligned & ~merged), anchored=True),
+        decide(placed.where(~physical & ~aligned)),
+    ]
+    decided = fused_text(reduce(lambda a, b: a.unionByName(b), parts)).withColumn("kind", F.lit("table_cell")).withColumn("box", F.array(*rect)).drop(*rect, "coordinate_source")
+    none = held.groupBy(by, region).agg(F.count("_trusted").alias("cells"), F.count_if("_trusted").alias("_n")).where("_n = 0").drop("_n")
+    missing = none.withColumns({"kind": F.lit("table"), "reason": F.lit("trusted_cell_coordinates_missing"), "selected": F.lit(False)})
+    return decided.unionByName(missing, allowMissingColumns=True)

@@ -108,6 +108,33 @@ def test_fused_regions(spark):
     found = spark.createDataFrame([(1, "аренды", 80, 6, 50, 12), (1, "Договор", 5, 5, 60, 12)], "doc_id int, text string, x int, y int, w int, h int")
     got = {r.region_id: r.text for r in fusion.fuse_regions(regions, found).collect()}
     assert got == {1: "Договор аренды", 2: "пусто"}
+    # One line on both sides of a multiple of 12 pixels, and a second line.
+    found = spark.createDataFrame([(1, "аренды", 80, 5, 50, 12), (1, "Договор", 5, 7, 60, 12), (1, "дома", 5, 22, 50, 12)], "doc_id int, text string, x int, y int, w int, h int")
+    got = {r.region_id: r.candidate for r in fusion.fuse_regions(regions.replace(30, 40, "h"), found).collect()}
+    assert got == {1: "Договор аренды\nдома", 2: ""}
+
+
+def test_fused_tables(spark):
+    tables = spark.createDataFrame([(1, 0, 2, 3), (1, 1, 1, 1), (1, 2, 0, 1), (1, 3, 1, 1)], "doc_id int, region_id int, rows int, cols int")
+    native, grid, aligned = "provider_native", "physical_grid_verified", "tesseract_native_alignment"
+    cells = [
+        (1, 0, 0, 0, None, None, "Договор аренд", [0, 0, 100, 20], native, None, None), (1, 0, 0, 1, 1, 2, "Сумма", [100, 0, 100, 20], aligned, 1.0, 2),
+        (1, 0, 1, 0, 1, 1, "Акт сверкн", [0, 20, 100, 20], aligned, 1.0, 2), (1, 0, 1, 1, 1, 1, "12", [100, 20, 100, 20], grid, 0.8, None),
+        (1, 0, 5, 0, 1, 1, "x", [0, 0, 9, 9], native, None, None), (1, 0, 1, 2, 1, 1, "y", [0, 0, 9, 9], "inferred", 1.0, 3), (1, 1, 0, 0, 1, 1, "z", [0, 0, 9, 9], grid, 0.6, None),
+        (1, 2, 0, 0, 1, 1, "z", [0, 0, 9, 9], native, None, None),
+    ]
+    cells = spark.createDataFrame(cells, "doc_id int, region_id int, row int, col int, rowspan int, colspan int, text string, box array<int>, coordinate_source string, coordinate_confidence double, coordinate_anchor_count int")
+    box = "doc_id int, text string, x int, y int, w int, h int"
+    words = spark.createDataFrame([(1, "аренды", 60, 3, 30, 12), (1, "Договор", 5, 5, 50, 12), (1, "Сумма", 105, 4, 40, 12), (1, "Акт", 5, 24, 20, 12), (1, "сверки", 40, 24, 40, 12), (1, "13", 110, 24, 20, 12)], box)
+    out = fusion.fuse_tables(tables, cells, words, spark.createDataFrame([(1, "14", 110, 24, 20, 12)], box))
+    got = {(r.region_id, r.kind, r.row, r.col): (r.reason, r.selected, r.text) for r in out.collect()}
+    assert got == {
+        (0, "table_cell", 0, 0): ("preferred_candidate", True, "Договор аренды"), (0, "table_cell", 0, 1): ("merged_cell_coordinate_review", False, "Сумма"),
+        (0, "table_cell", 1, 0): ("coordinate_consensus", True, "Акт сверки"), (0, "table_cell", 1, 1): ("physical_numeric_disagreement", False, "12"),
+        (1, "table", None, None): ("trusted_cell_coordinates_missing", False, None), (3, "table", None, None): ("trusted_cell_coordinates_missing", False, None),
+    }
+    assert {r.region_id: r.cells for r in out.where("kind = 'table'").collect()} == {1: 1, 3: 0}
+    assert fusion.counters(out).first().review_items == 4
 
 
 def test_group_lines_keeps_a_lines_first_centre(spark):
