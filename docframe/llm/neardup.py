@@ -18,12 +18,13 @@ similarity of at least 0.75; groups are the connected components of all links.
    the first round each bucket takes its first member as centre (in an order
    by a hash of the id), then its next GROWTH members, and so on; an edge goes
    from a centre to each other member that is not yet known to be in its
-   component and differs in few enough bits of its signature, a test within the
-   join that unrelated documents fail.  Candidate edges are confirmed on the full sets and joined into
-   components; buckets whose members all belong to one component are done.  A
+   component and, if both sets are large (SURE), differs in few enough bits of
+   its signature, a test within the join that unrelated documents fail.
+   Candidate edges are confirmed on the full sets and joined into components; buckets whose members all belong to one component are done.  A
    large group of copies is done after the first round, with one edge a member
    and bucket; a bucket of unrelated documents goes on until every pair has
-   been tried, so no link among candidates is lost.
+   been tried; a link of two large sets is lost to the test with a probability
+   of about 2e-9, one of smaller sets never.
 4. Components by alternating large and small stars, with tables written to the
    shared folder between the rounds.
 
@@ -52,8 +53,11 @@ BANDS, ROWS = 64, 5
 #: A round has so many times the centres of all rounds before it.
 GROWTH = 15
 #: Bits, of one a bin, in which a candidate pair of the later rounds may differ. At a similarity of 0.75 an eighth
-#: differ, 40 on average with a deviation of 5.9; more than 75 do with probability 2e-9.
+#: differ, 40 on average with a deviation of 5.9 if bins are independent; more than 75 do with probability 2e-9.
 MOST_APART = 75
+#: Shingles that both sets of such a pair have at least: bins of small sets borrow from one another. In a simulation the
+#: probability was 1e-6 at a union of 8 to 32 shingles, 8e-9 at 320 and 1.5e-9 at 1,000.
+SURE = 1000
 
 _STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(64)]
 
@@ -262,7 +266,7 @@ def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
         centres = left.where((F.col("nth") > tested) & (F.col("nth") <= tested * GROWTH + tested)).select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "nth", "root", *names)])
         apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in names), F.lit(0))
         new = (F.col("nth") > F.col("nth_a")) & (F.col("root") != F.col("root_a")) & (F.col("id") != F.col("id_a"))
-        pairs = left.where(F.col("nth") > tested + 1).join(centres, "key").where(new & _alike("n", "n_a") & (apart <= MOST_APART))
+        pairs = left.where(F.col("nth") > tested + 1).join(centres, "key").where(new & _alike("n", "n_a") & ((F.least("n", "n_a") < SURE) | (apart <= MOST_APART)))
         candidates = pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         tested += tested * GROWTH
 

@@ -200,6 +200,11 @@ def test_stars_try_all_pairs_of_mixed_buckets(spark, tmp_path):
     assert roots == {2: 2, 3: 2, 4: 4, 5: 4}
 
 
+def test_small_sets_need_not_agree_in_bits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_APART", -1)  # no pair of large sets passes
+    test_stars_try_all_pairs_of_mixed_buckets(spark, tmp_path)
+
+
 def test_groups_edge_cases(spark):
     kind = "doc_id long, text string"
     assert neardup.groups(spark.createDataFrame([], kind)).count() == 0
