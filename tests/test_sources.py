@@ -108,9 +108,13 @@ def test_fused_regions(spark):
     found = spark.createDataFrame([(1, "аренды", 80, 6, 50, 12), (1, "Договор", 5, 5, 60, 12)], "doc_id int, text string, x int, y int, w int, h int")
     got = {r.region_id: r.text for r in fusion.fuse_regions(regions, found).collect()}
     assert got == {1: "Договор аренды", 2: "пусто"}
-    # One line on both sides of a multiple of 12 pixels, and a second line.
+
+
+def test_words_of_regions_stand_in_lines(spark):
+    """One line on both sides of a multiple of 12 pixels, and a second line."""
+    regions = spark.createDataFrame([(1, 1, 0, 0, 200, 40, "Договор аренды"), (1, 2, 0, 100, 200, 40, "пусто")], "doc_id int, region_id int, x int, y int, w int, h int, text string")
     found = spark.createDataFrame([(1, "аренды", 80, 5, 50, 12), (1, "Договор", 5, 7, 60, 12), (1, "дома", 5, 22, 50, 12)], "doc_id int, text string, x int, y int, w int, h int")
-    got = {r.region_id: r.candidate for r in fusion.fuse_regions(regions.replace(30, 40, "h"), found).collect()}
+    got = {r.region_id: r.candidate for r in fusion.fuse_regions(regions, found).collect()}
     assert got == {1: "Договор аренды\nдома", 2: ""}
 
 
