@@ -82,4 +82,4 @@ def counted(df: DataFrame, folder: str, name: str, **figures) -> tuple[DataFrame
 def drop_dir(spark: SparkSession, folder: str) -> None:
     """Removes a folder made by shared_dir."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.sparkContext().hadoopConfiguration()).delete(path, True)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

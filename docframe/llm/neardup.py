@@ -11,21 +11,24 @@ similarity of at least 0.75; groups are the connected components of all links.
    least value; an empty bin borrows from a bin found by hashing (bin, attempt)
    until one isn't empty, which keeps every bin an unbiased sample however
    short the text.  A band of ROWS bins is a bucket key.  At a similarity of
-   0.75 a pair misses all 64 bands of 5 with probability (1 - 0.75**5)**64 =
-   3e-8, and two documents that share a fifth of their shingles meet in one with
-   2 %.
-3. Stars: a bucket links its members to centres only, never all pairs.  In
-   the first round each bucket takes its first member as centre (in an order
-   by a hash of the id), then its next GROWTH members, and so on; an edge goes
-   from a centre to each other member that is not yet known to be in its
-   component and, if both sets are large (SURE), differs in few enough bits of
-   its signature, a test within the join that unrelated documents fail.
-   Candidate edges are confirmed on the full sets and joined into components; buckets whose members all belong to one component are done.  A
-   large group of copies is done after the first round, with one edge a member
-   and bucket; a bucket of unrelated documents goes on until every pair has
-   been tried; a link of two large sets is lost to the test with a probability
-   of about 2e-9, one of smaller sets never.
-4. Components by alternating large and small stars, with tables written to the
+   0.75 a pair misses all 48 bands of 5 with probability (1 - 0.75**5)**48 =
+   2e-6, at 0.8 with 6e-9.
+3. Stars: a bucket links its members to one centre, never all pairs.  First the
+   centre is the least id, and each member is tried with the centre that it
+   shares most buckets with.  Then, in the buckets whose members still belong to
+   several components, centres are drawn anew round by round, and each member is
+   tried with the nearest centre of another component: one candidate a member
+   and round, so a round's edges never outnumber the members.  Candidates are
+   confirmed on the full sets and joined into components.
+4. The rest: once a round finds few links, each member that is outside its
+   bucket's largest component meets the bucket's members of other components in
+   a join whose condition is the bound of an odd sketch (PARITIES parities of the
+   set).  Two sketches never differ in more bits than the sets in elements, so
+   the bound loses no link, and as similar sets differ in few elements it lets
+   little else through.  So every pair that shares a bucket is in one component,
+   excluded by the bound or compared in full.  The join compares sketches of
+   outsiders with their whole bucket: work, not rows, that is the product of both.
+5. Components by alternating large and small stars, with tables written to the
    shared folder between the rounds.
 
 Cases: null and empty texts (or of white space) have an empty set, are linked
@@ -39,25 +42,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.arrowmap import add_columns, counted, list_array, shared_dir, written
+from docframe.llm.arrowmap import add_columns, counted, drop_dir, list_array, shared_dir, written
 from docframe.llm.textbytes import LOWER, hash_spans, mix, slices, spans, text_bytes
 
 WORDS = 5
 #: Similarity of at least 75 / 100.
 LEAST = (75, 100)
-BANDS, ROWS = 64, 5
-#: A round has so many times the centres of all rounds before it.
-GROWTH = 15
-#: Bits, of one a bin, in which a candidate pair of the later rounds may differ. At a similarity of 0.75 an eighth
-#: differ, 40 on average with a deviation of 5.9 if bins are independent; more than 75 do with probability 2e-9.
-MOST_APART = 75
-#: Shingles that both sets of such a pair have at least: bins of small sets borrow from one another. In a simulation the
-#: probability was 1e-6 at a union of 8 to 32 shingles, 8e-9 at 320 and 1.5e-9 at 1,000.
-SURE = 1000
+BANDS, ROWS = 48, 5
+#: Bits of an odd sketch.
+PARITIES = 2048
+SKETCH = [f"o{i}" for i in range(PARITIES // 64)]
+#: Stars are drawn anew until a round finds less than one link for so many bucket members; this decides on cost only.
+SETTLED = 1000
 
 _STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(64)]
 
@@ -122,11 +122,6 @@ class Signer:
             empty, k = empty[~found], k + 1
         return out
 
-    def bits(self, signature: np.ndarray) -> np.ndarray:
-        """One bit of each bin, as 64-bit words: two sets agree in (1 + similarity) / 2 of them on average."""
-        each = mix(signature ^ (np.arange(self.bins, dtype=np.uint64) * _STEPS[2])) & np.uint64(1)
-        return np.packbits(each.astype(np.uint8)).view(np.int64)
-
     def keys(self, signature: np.ndarray) -> np.ndarray:
         """A 64-bit key for each band."""
         values = signature.reshape(self.bands, self.rows)
@@ -137,9 +132,8 @@ class Signer:
 
 
 def _signed(df: DataFrame, text: str) -> DataFrame:
-    """df with n_shingles, a 128-bit fingerprint of the set, its band keys and its bits (null or none: empty set)."""
-    longs = T.ArrayType(T.LongType())
-    out = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("_print", T.StringType()), T.StructField("_keys", longs), T.StructField("_bits", longs)])
+    """df with n_shingles, a 128-bit fingerprint of the set and its band keys (null or none: empty set)."""
+    out = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("_print", T.BinaryType()), T.StructField("_keys", T.ArrayType(T.LongType()))])
 
     def make():
         import xxhash
@@ -149,23 +143,32 @@ def _signed(df: DataFrame, text: str) -> DataFrame:
         def run(batch: pa.RecordBatch) -> list:
             sets = shingles(batch.column(0))
             none = np.zeros(0, np.int64)
-            signed = [signer.signature(s) if len(s) else None for s in sets]
-            parts = [[none if x is None else f(x) for x in signed] for f in (lambda x: signer.keys(x).view(np.int64), signer.bits)]
-            lists = [list_array(np.concatenate([none, *p]), np.array([len(x) for x in p], np.int64), pa.int64()) for p in parts]
-            return [[len(s) for s in sets], [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], *lists]
+            keys = [signer.keys(signer.signature(s)).view(np.int64) if len(s) else none for s in sets]
+            lists = list_array(np.concatenate([none, *keys]), np.array([len(x) for x in keys], np.int64), pa.int64())
+            return [[len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], lists]
 
         return run
 
     return add_columns(df, [text], out, make)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes in each of PARITIES cells, as 64-bit words.
+
+    Sketches of two sets differ in at most as many bits as the sets have elements that only one of them has."""
+    cells = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 def _set_arrays(df: DataFrame, text: str) -> DataFrame:
-    out = T.StructType([T.StructField("_set", T.ArrayType(T.LongType()))])
+    """df with each text's set and the words of its odd sketch."""
+    out = T.StructType([T.StructField("_set", T.ArrayType(T.LongType()))] + [T.StructField(c, T.LongType()) for c in SKETCH])
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
             sets = shingles(batch.column(0))
-            return [list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())]
+            words = np.stack([odd_sketch(s) for s in sets])
+            return [list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64()), *words.T]
 
         return run
 
@@ -203,7 +206,7 @@ def _confirmed(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa"))
     right = sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb"))
-    both = candidates.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = candidates.join(left, "a").join(right, "b")
     same = F.size(F.array_intersect("_sa", "_sb"))
     union = F.size("_sa") + F.size("_sb") - same
     return both.where(same * LEAST[1] >= union * LEAST[0]).select("a", "b")
@@ -214,76 +217,94 @@ def _merged(known: DataFrame | None, links: DataFrame, folder: str, tag: str) ->
     return written(components(edges, folder, f"{tag}-star"), folder, f"{tag}-roots")
 
 
-def _members(signed: DataFrame) -> DataFrame:
-    """Members of all buckets of two and more: key, id, n, nth (its place in the bucket's order), size, and the first member.
+def _can_be_similar(other: str):
+    """What holds for every two sets that are similar enough, from their sizes and sketches (columns of the second
+    set end in `other`): at a similarity of t, (1 - t) / (1 + t) of the summed sizes are elements of only one set."""
+    n, m = F.col("n"), F.col(f"n{other}")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + other))) for c in SKETCH), F.lit(0))
+    sizes = F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]
+    return sizes & (apart * (LEAST[1] + LEAST[0]) <= (n + m) * (LEAST[1] - LEAST[0])), apart
 
-    The order is that of a hash of the id, the same in all buckets, so that the buckets of a large group share their centres."""
-    rows = signed.select(F.explode("_keys").alias("key"), F.col("_id").alias("id"), F.col("n_shingles").alias("n")).withColumn("rank", F.xxhash64("id"))
-    ordered = Window.partitionBy("key").orderBy("rank", "id")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = rows.select("key", "id", "n", F.row_number().over(ordered).alias("nth"), F.count("*").over(whole).alias("size"), F.first("id").over(whole).alias("first"), F.first("n").over(whole).alias("first_n"))
-    return placed.where("size > 1")
 
+def _unresolved(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members (key, id, root) of the buckets whose members belong to more than one component."""
+    rows = members.select("key", "id")
+    if roots is None:
+        rows = rows.withColumn("root", F.col("id"))
+    else:
+        rows = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
+    return rows.join(several, "key").select("key", "id", "root")
 
-def _alike(a: str, b: str):
-    """Sizes of two sets that can be similar enough."""
-    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
+
+def _with_suffix(df: DataFrame, suffix: str, key: str | None = None) -> DataFrame:
+    return df.select([F.col(c) if c == key else F.col(c).alias(c + suffix) for c in df.columns])
 
 
 def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
     """(node, root) of all representatives that are linked with another one."""
-    size = {"largest": F.max("size")}
-    members, seen = counted(_members(signed), folder, "members", **size)
-    if seen["largest"] is None:
+    rows = signed.select(F.explode("_keys").alias("key"), F.col("_id").alias("id"))
+    centres = rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
+    members, seen = counted(rows.join(centres, "key").select("key", "id", "centre"), folder, "members", n=F.count(F.lit(1)))
+    if not seen["n"]:
         return None
     met = members.select(F.col("id").alias("_id")).distinct()
-    sets = written(_set_arrays(docs.join(met, "_id", "left_semi"), "_text").select("_id", "_set").where(F.size("_set") > 0), folder, "sets")
-    candidates = members.where((F.col("nth") > 1) & (F.col("first") != F.col("id")) & _alike("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    names = [f"bits{i}" for i in range(BANDS * ROWS // 64)]
-    bits = signed.select(F.col("_id").alias("id"), *[F.get("_bits", i).alias(c) for i, c in enumerate(names)])
-    roots, tried, step, tested = None, None, 0, 1
+    texts = docs.join(met, "_id", "left_semi").withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_id", "_h"]).select("_id", "_text")
+    sets = written(_set_arrays(texts, "_text").where(F.size("_set") > 0).select("_id", "_set", *SKETCH), folder, "sets")
+    about = sets.select(F.col("_id").alias("id"), F.size("_set").alias("n"), *SKETCH)
+    # The first stars: a member is tried with the centre that it shares most buckets with.
+    shared = members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("bands"))
+    candidates = shared.groupBy("id").agg(F.max(F.struct("bands", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
+    roots, step = None, 1
     while True:
-        candidates = written(candidates, folder, f"candidates-{step}")
-        links, found = counted(_confirmed(candidates, sets), folder, f"links-{step}", n=F.count(F.lit(1)))
-        tried = candidates if tried is None else tried.unionByName(candidates)
+        links, found = counted(_confirmed(written(candidates, folder, f"candidates-{step}"), sets), folder, f"links-{step}", n=F.count(F.lit(1)))
         if found["n"]:
             roots = _merged(roots, links, folder, f"round-{step}")
-        if tested >= seen["largest"] - 1:
-            return roots
-        # Buckets with members of several components, and with members behind the centres that have been tested.
         step += 1
-        left = members.select("key", "id", "n", "nth", "size").where(F.col("size") > tested + 1)
-        if roots is None:
-            left = left.withColumn("root", F.col("id"))
-        else:
-            left = left.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        bucket = Window.partitionBy("key")
-        left = left.withColumn("_low", F.min("root").over(bucket)).withColumn("_high", F.max("root").over(bucket)).where("_low <> _high").drop("_low", "_high")
-        left, seen = counted(left.join(bits, "id"), folder, f"left-{step}", **size)
-        if seen["largest"] is None:
+        members, left = counted(_unresolved(members, roots), folder, f"left-{step}", n=F.count(F.lit(1)))
+        if not left["n"]:
             return roots
-        members = left
-        centres = left.where((F.col("nth") > tested) & (F.col("nth") <= tested * GROWTH + tested)).select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "nth", "root", *names)])
-        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in names), F.lit(0))
-        new = (F.col("nth") > F.col("nth_a")) & (F.col("root") != F.col("root_a")) & (F.col("id") != F.col("id_a"))
-        pairs = left.where(F.col("nth") > tested + 1).join(centres, "key").where(new & _alike("n", "n_a") & ((F.least("n", "n_a") < SURE) | (apart <= MOST_APART)))
-        candidates = pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        tested += tested * GROWTH
-
-
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of df: id, n_shingles, component_id (the least id that is reachable) and kept (it is its own)."""
-    folder = shared_dir(df.sparkSession)
+        if step > 2 and found["n"] * SETTLED < left["n"]:
+            break
+        # Another star in each bucket: a member is tried with the nearest centre of its buckets, by the sketches.
+        drawn = members.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("key", "id", F.lit(step))).alias("c")).select("key", "c.id", "c.root")
+        possible, apart = _can_be_similar("_c")
+        pairs = members.join(about, "id").join(_with_suffix(drawn.join(about, "id"), "_c", "key"), "key").where((F.col("root") != F.col("root_c")) & possible)
+        nearest = pairs.groupBy("id").agg(F.min(F.struct(apart.alias("apart"), F.col("id_c"))).alias("best"))
+        candidates = nearest.select(F.col("best.id_c").alias("a"), F.col("id").alias("b"))
+    # What is left: members outside a bucket's largest component, with every member of another component.
+    most = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.max(F.struct("many", "root")).alias("_m"))
+    rest = written(members.join(about, "id").join(most.select("key", F.col("_m.root").alias("main")), "key"), folder, "rest")
+    outer = _with_suffix(rest.where("root <> main").drop("main"), "_o", "key")
+    possible, _ = _can_be_similar("_o")
+    once = (F.col("root") != F.col("root_o")) & ((F.col("root") == F.col("main")) | (F.col("id_o") < F.col("id")))
+    pairs = rest.join(outer, "key").where(once & possible).select(F.col("id_o").alias("a"), F.col("id").alias("b")).distinct()
+    links, found = counted(_confirmed(written(pairs, folder, "candidates-rest"), sets), folder, "links-rest", n=F.count(F.lit(1)))
+    return _merged(roots, links, folder, "round-rest") if found["n"] else roots
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
+    """A row per row of df: id, n_shingles, component_id (the least id that is reachable) and kept (it is its own).
+
+    keep: further columns of df to hand on, by the names that they get."""
+    spark, folder = df.sparkSession, shared_dir(df.sparkSession)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    marked = written(_signed(docs, "_text").select("_id", "n_shingles", "_print", "_keys", "_bits"), folder, "signed")
+    more = {f"_keep{i}": name for i, name in enumerate(keep or {})}
+    wide = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col((keep or {})[name]).alias(c) for c, name in more.items()])
+    marked = written(_signed(wide, "_text").select("_id", "n_shingles", "_print", "_keys", *more), folder, "signed")
     filled = marked.where("_print is not null and _id is not null")
     classes = written(filled.groupBy("_print").agg(F.min("_id").alias("rep")), folder, "classes")
-    one = filled.join(classes.select("_print", F.col("rep").alias("_id")), ["_print", "_id"], "left_semi").dropDuplicates(["_print", "_id"])
-    roots = _links(docs.where("_id is not null"), one, folder)
-    joined = marked.select("_id", "n_shingles", "_print").join(classes, "_print", "left")
+    one = filled.select("_print", "_id", "_keys").join(classes.select("_print", F.col("rep").alias("_id")), ["_print", "_id"], "left_semi").dropDuplicates(["_print", "_id"])
+    roots = _links(docs.where("_id is not null"), one, f"{folder}/links")
     if roots is None:
-        joined = joined.withColumn("root", F.col("rep"))
+        classes = classes.withColumn("root", F.col("rep"))
     else:
-        joined = joined.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    component = F.coalesce("root", "rep", "_id")
-    return joined.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+        classes = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_print", F.coalesce("root", "rep").alias("root"))
+    classes = written(classes.select("_print", "root"), folder, "roots")
+    drop_dir(spark, f"{folder}/links")
+    rows = marked.select("_id", "n_shingles", "_print", *more)
+    without = rows.where("_print is null").withColumn("root", F.col("_id"))
+    joined = rows.where("_print is not null").join(classes, "_print", "left").select("_id", "n_shingles", "_print", *more, "root").unionByName(without)
+    component = F.when(F.col("_id").isNotNull(), F.coalesce("root", "_id"))
+    kept = F.coalesce(F.col("_id") == component, F.lit(True))
+    return joined.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), kept.alias("kept"), *[F.col(c).alias(name) for c, name in more.items()])
