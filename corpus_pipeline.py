@@ -3,6 +3,14 @@
 Toxic documents go, then documents of low quality, then all but one of each
 group of near-duplicates; the rest is packed into sequences.  Each stage works
 on all that its predecessor kept and is written before the next one starts.
+
+Cases, for every stage: null and empty texts are scored, kept apart from all
+groups and packed as the end id only; rows with a null id are handled like all
+others but never learnt from; repeated rows are scored and packed once each, and
+one of them stays where copies go; ties of a score with its limit are toxic
+(score >= TOXIC) and good (score >= GOOD); very long texts are read whole;
+further columns are passed on, whatever their names; an empty table stays empty
+(with its columns).
 """
 
 from __future__ import annotations
@@ -44,10 +52,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id."""
+    """One row of each group of near-duplicates: that with the least id (null ids last).
+
+    Decided row by row: rows are numbered in a table of their own, so that of rows that repeat an id (with the same text
+    or another) and of rows without an id one stays as well."""
     ship(spark)
-    gone = neardup.groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    folder = shared_dir(spark)
+    rows = written(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_nth")), folder, "rows")
+    marks = written(neardup.groups(rows, "_nth", "_row.text", keep={"_doc": "_row.doc_id"}), folder, "marks")
+    several = marks.where(~F.col("kept")).select("component_id").distinct()
+    group = marks.join(several, "component_id", "left_semi")
+    first = group.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_nth")).alias("first")).select(F.col("first._nth").alias("_nth"))
+    gone = group.select("_nth").join(first, "_nth", "left_anti")
+    return rows.join(gone, "_nth", "left_anti").select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
