@@ -2,11 +2,17 @@
 
 Lengths are whole numbers up to `capacity`, so the whole problem is its
 histogram of at most `capacity` counts, however many documents there are.  On
-the driver, patterns of one to three lengths that fill a sequence exactly are
-enumerated, repeat counts are fitted to the histogram by non-negative least
-squares and rounded, and what is left is packed best fit, longest first, many
-equal sequences at a time.  The plan is a short list of ranges of ranks within
-each length; a document finds its place from its length and its rank.
+the driver, all patterns of one to three lengths that fill a sequence exactly
+are enumerated, their repeat counts are fitted to the histogram by non-negative
+least squares and rounded up, the largest first, while documents last.  What is
+left is too short for three to fill a sequence, so the same is done for a half
+of a sequence, a quarter and so on: blocks of these sizes stand one after another,
+the larger ones first, and never cross a sequence's border.  The residue that no
+pattern takes is packed best fit, longest first, many equal sequences at a time:
+after each size of block what is too long for the next one, as long as there are
+short documents to go with it.
+The plan is a short list of ranges of ranks within each length; a document finds
+its place from its length and its rank.
 
 Cases: null or empty text is one document of the end id only; repeated rows
 are packed once each; an empty table gives an empty result; other columns of
@@ -31,55 +37,57 @@ from docframe.llm.wordbpe import WordBpe
 
 CAPACITY = 4096
 END_ID = 1
-#: Patterns that are fitted at most; where more exist, those of the commonest lengths. All that no pattern takes is packed as residue.
-MAX_PATTERNS = 40_000
+#: Steps of the fit.
+ROUNDS = 80
+#: Patterns, times the capacity, that get their fitted count; all others are taken in the order of theirs while documents last.
+#: This bounds the plan, which is sent to the executors: some tens of thousands of rows.
+COUNTED = 1
 
 
 @dataclass
 class Plan:
-    """Rows ascending by (length, rank): documents of `length` with ranks from `rank` on fill sequences from
-    `sequence` on, `each` of them a sequence, from `offset` on."""
+    """Rows ascending by (length, rank): documents of `length` with ranks from `rank` on, `each` of them side by side at
+    `place`, the next ones `stride` further; places count tokens over all sequences.  fitted: documents that patterns took."""
 
+    capacity: int
     length: np.ndarray
     rank: np.ndarray
     each: np.ndarray
-    sequence: np.ndarray
-    offset: np.ndarray
+    at: np.ndarray
+    stride: np.ndarray
     sequences: int
+    fitted: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of documents given by length and rank."""
         step = np.int64(1) << 48
-        at = np.searchsorted(self.length * step + self.rank, length * step + rank, side="right") - 1
-        nth = rank - self.rank[at]
-        return self.sequence[at] + nth // self.each[at], self.offset[at] + nth % self.each[at] * length
+        row = np.searchsorted(self.length * step + self.rank, length * step + rank, side="right") - 1
+        nth = rank - self.rank[row]
+        position = self.at[row] + nth // self.each[row] * self.stride[row] + nth % self.each[row] * length
+        return position // self.capacity, position % self.capacity
 
 
-def patterns(histogram: np.ndarray, most: int = MAX_PATTERNS) -> np.ndarray:
-    """Rows of three lengths (0: none), longest first, that fill a sequence exactly and occur in the histogram."""
-    capacity = len(histogram) - 1
-    present = histogram > 0
+def patterns(histogram: np.ndarray, target: int | None = None) -> np.ndarray:
+    """Rows of three lengths (0: none), longest first, that add up to the target (the capacity) and occur in the histogram."""
+    target = target or len(histogram) - 1
+    present = histogram[: target + 1] > 0
     present[0] = False
     lengths = np.flatnonzero(present)
-    found = [np.array([[capacity, 0, 0]])] if capacity and present[capacity] else []
-    a = lengths[(lengths * 2 >= capacity) & (lengths < capacity)]
-    a = a[present[capacity - a]]
-    found.append(np.stack([a, capacity - a, np.zeros_like(a)], 1))
-    for a in lengths[lengths * 3 >= capacity]:
-        b = lengths[(lengths <= a) & (2 * lengths >= capacity - a) & (lengths < capacity - a)]
-        b = b[present[capacity - a - b]]
-        found.append(np.stack([np.full_like(b, a), b, capacity - a - b], 1))
-    rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    if len(rows) > most:
-        scarce = np.where(rows > 0, histogram[rows], np.iinfo(np.int64).max).min(1)
-        rows = rows[np.sort(np.argsort(-scarce, kind="stable")[:most])]
-    return rows
-
-
-def nnls(rows: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
+    found = [np.array([[target, 0, 0]])] if target and present[target] else []
+    a = lengths[(lengths * 2 >= target) & (lengths < target)]
+    a = a[present[target - a]]
+    found.append(np.stack([a, target - a, np.zeros_like(a)], 1))
+    for a in lengths[lengths * 3 >= target]:
+        b = lengths[(lengths <= a) & (2 * lengths >= target - a) & (lengths < target - a)]
+        b = b[present[target - a - b]]
+        found.append(np.stack([np.full_like(b, a), b, target - a - b], 1))
+    return np.concatenate(found)
+
+
+def nnls(rows: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Repeat counts x >= 0 that bring the tokens used, length by length, closest to those of the histogram.
 
-    Accelerated projected gradient on || W (A x - h) ||^2 with W the lengths over the capacity."""
+    Accelerated projected gradient on || W (A x - h) ||^2 with W the lengths over the longest."""
     if not len(rows):
         return np.zeros(0)
     weight = (np.arange(len(histogram)) / (len(histogram) - 1)) ** 2
@@ -102,59 +110,95 @@ def nnls(rows: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarr
     return x
 
 
+def rounded(rows: np.ndarray, x: np.ndarray, left: np.ndarray, chunk: int = 8192) -> Iterator[tuple[list[int], int]]:
+    """Patterns with whole counts: x rounded to the nearest, the largest first, then what is still there, the longest
+    document first and in the order of x; `left` (documents by length) goes down as they are taken."""
+    order = np.argsort(-x, kind="stable")
+    nearest = np.zeros(len(x), np.int64)
+    nearest[order[: COUNTED * len(left)]] = np.floor(x[order[: COUNTED * len(left)]] + 0.5)
+    rest = np.lexsort((-x, -rows[:, 0]))
+    for order, whole in ((order, nearest), (rest, np.full(len(x), np.iinfo(np.int64).max))):
+        for at in range(0, len(order), chunk):
+            some = order[at : at + chunk]
+            some = some[(whole[some] > 0) & ((left[rows[some]] > 0) | (rows[some] == 0)).all(1)]
+            for i in some.tolist():
+                parts = [int(n) for n in rows[i] if n]
+                n = min(int(whole[i]), *(int(left[p]) // parts.count(p) for p in parts))
+                if n > 0:
+                    for p in parts:
+                        left[p] -= n
+                    yield parts, n
+
+
 def make_plan(histogram: np.ndarray) -> Plan:
     """The plan of a histogram (index: length) of documents."""
     histogram = histogram.astype(np.int64)
     capacity = len(histogram) - 1
     left, taken = histogram.copy(), np.zeros_like(histogram)
     steps: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
+    end = 0  # tokens of all blocks so far
 
-    def put(length: int, n: int, each: int, sequence: int, offset: int) -> None:
-        steps.append((length, int(taken[length]), each, sequence, offset))
+    def put(length: int, n: int, each: int, at: int, stride: int) -> None:
+        steps.append((length, int(taken[length]), each, at, stride))
         taken[length] += n
-        left[length] -= n
 
-    rows = patterns(histogram)
-    counts = np.floor(nnls(rows, histogram) + 1e-6).astype(np.int64)
-    for i in np.argsort(-counts, kind="stable"):
-        if counts[i] < 1:
-            break
-        parts = [int(x) for x in rows[i] if x]
-        n = min(int(counts[i]), *(int(left[x]) // parts.count(x) for x in parts))
-        offset = 0
-        for x in parts if n > 0 else ():
-            put(x, n, 1, sequences, offset)
-            offset += x
-        sequences += max(0, n)
     room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by tokens left: (first sequence, number)
-    for length in range(capacity, 0, -1):
-        free = length
-        while left[length]:
-            n = int(left[length])
-            while free <= capacity and not room[free]:
-                free += 1
-            if free > capacity:
-                each = capacity // length
-                first, many, used = sequences, -(-n // each), 0
-                sequences += many
-            else:
-                first, many = room[free].pop()
-                each, used = free // length, capacity - free
-            full = min(many, n // each)
-            if full:
-                put(length, full * each, each, first, used)
-                room[capacity - used - each * length].append((first, full))
-                first, many, n = first + full, many - full, n - full * each
-            if many and 0 < n < each:
-                put(length, n, n, first, used)
-                room[capacity - used - n * length].append((first, 1))
-                first, many, n = first + 1, many - 1, 0
-            if many:
-                room[capacity - used].append((first, many))
+
+    def best_fit(opens: int) -> None:
+        """Documents into the fullest sequences that take them, longest first; those of at least `opens` tokens may open new ones."""
+        nonlocal end
+        for length in range(capacity, 0, -1):
+            free = length
+            while left[length]:
+                n = int(left[length])
+                while free <= capacity and not room[free]:
+                    free += 1
+                if free <= capacity:
+                    first, many = room[free].pop()
+                    each, used = free // length, capacity - free
+                elif length >= opens:
+                    if end % capacity:
+                        room[capacity - end % capacity].append((end // capacity, 1))
+                        end += -end % capacity
+                        free = length
+                        continue
+                    each, used = capacity // length, 0
+                    first, many = end // capacity, -(-n // each)
+                    end += many * capacity
+                else:
+                    break
+                full = min(many, n // each)
+                if full:
+                    put(length, full * each, each, first * capacity + used, capacity)
+                    left[length] -= full * each
+                    room[capacity - used - each * length].append((first, full))
+                    first, many, n = first + full, many - full, n - full * each
+                if many and 0 < n < each:
+                    put(length, n, n, first * capacity + used, capacity)
+                    left[length] -= n
+                    room[capacity - used - n * length].append((first, 1))
+                    first, many, n = first + 1, many - 1, 0
+                if many:
+                    room[capacity - used].append((first, many))
+
+    target, fitted = capacity, 0
+    while left.any():
+        rows = patterns(left, target)
+        for parts, n in rounded(rows, nnls(rows, left[: target + 1]), left):
+            inner = 0
+            for p in parts:
+                put(p, n, 1, end + inner, target)
+                inner += p
+            end += n * target
+            fitted += n * len(parts)
+        # What is too long for the shorter blocks is residue; it comes before them, as they would use up what goes with it.
+        best_fit(0 if target % 2 else target // 2 + 1)
+        if target % 2:
+            break
+        target //= 2
     steps.sort()
     columns = [np.array(x, np.int64) for x in zip(*steps, strict=True)] if steps else [np.zeros(0, np.int64)] * 5
-    return Plan(*columns, sequences)
+    return Plan(capacity, *columns, -(-end // capacity), fitted)
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -36,7 +36,14 @@ def test_plan_packs_everything_once(counts):
     assert (used <= 60).all() and (used > 0).all()
     first = np.concatenate([[True], sequence[1:] != sequence[:-1]]) if len(length) else np.zeros(0, bool)
     assert (offset[first] == 0).all() and (offset[1:][~first[1:]] == (offset + length)[:-1][~first[1:]]).all()  # gapless
-    assert plan.sequences <= max(1, 1.25 * length.sum() / 60 + 1) or max(counts) > 30
+    free: list[int] = []  # first fit, longest first
+    for n in sorted(length.tolist(), reverse=True):
+        k = next((k for k, room in enumerate(free) if room >= n), None)
+        if k is None:
+            free.append(60 - n)
+        else:
+            free[k] -= n
+    assert plan.sequences <= 1.05 * len(free) + 2
 
 
 def test_patterns_fill_sequences_and_fit():
@@ -53,6 +60,16 @@ def test_patterns_fill_sequences_and_fit():
     assert plan.sequences <= np.ceil((histogram * tokens).sum() / 128) * 1.006
 
 
+@pytest.mark.parametrize("n, mean", [(1000, 6.0), (30_000, 5.5), (300_000, 6.0)])
+def test_patterns_place_most_documents(n, mean):
+    """Lengths like those of real texts: patterns take over 80 % of them, and the number of sequences is the least possible."""
+    lengths = np.clip(np.random.default_rng(n).lognormal(mean, 1.2, n).astype(int), 1, 4096)
+    histogram = np.bincount(lengths, minlength=4097)
+    plan = packing.make_plan(histogram)
+    assert plan.fitted > 0.8 * n and plan.sequences == -(-lengths.sum() // 4096)
+    assert len(plan.at) <= 100_000
+
+
 def test_pack_operator(spark):
     texts = ["the cat sat", "", None, "word " * 9000, "the cat sat", "l'eau 日本"]
     df = spark.createDataFrame([(i % 5, t, i) for i, t in enumerate(texts)], "doc_id long, text string, length long").repartition(3)
