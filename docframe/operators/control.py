@@ -9,10 +9,29 @@ from pyspark.sql import functions as F
 
 #: Parts of names whose values are hidden (fixed values).
 SECRET = r"(?i)key|token|secret|password"
-REGION = r"(?i)unsupported_country_region_territory|country, region, or territory not supported|user location is not supported|location is not supported|403.*permission denied|permission denied.*403|403.*forbidden|forbidden.*403"
-RATE = r"(?i)\b429\b|rate limit|resource_exhausted|quota"
-TRANSIENT = r"(?i)timeout|timed out|temporar|unavailable|overloaded|\b50[0234]\b|connection (reset|aborted|error)|deadline"
-RETRY_AFTER = r"(?i)retry[- ]?(?:after|in)[^0-9]{0,12}([0-9]+(?:\.[0-9]+)?)"
+# Parts of lower-case messages by which providers' errors are told apart.
+REGION_MARKS = ("unsupported_country_region_territory", "country, region, or territory not supported")
+REGION_MORE = {"gemini": ("user location is not supported", "location is not supported"), "openai": ()}
+RATE_MARKS = {"gemini": ("429", "quota", "rate limit", "too many requests"), "openai": ("rate limit", "rate_limit_exceeded", "tokens per min", "too many requests", "error code: 429")}
+TRANSIENT_MARKS = {
+    "gemini": ("timeout", "timed out", "readtimeout", "connecttimeout", "server disconnected", "connection reset", "connection aborted", "empty model response text", "502", "503", "504"),
+    "openai": ("timeout", "timed out", "apitimeouterror", "readtimeout", "connection reset", "connection aborted", "server disconnected", "502", "503", "504"),
+}
+TRANSPORT_MARKS = {
+    "gemini": ("connecterror", "readerror", "writeerror", "timeout", "network", "connection reset", "connection aborted", "server disconnected", "broken pipe", "eof", "unexpected eof", "ssl", "tls", "handshake"),
+    "openai": ("server disconnected", "connection error", "connection reset", "connection aborted", "broken pipe", "econnreset", "econnaborted", "remote end closed connection", "unexpected eof", "tls", "ssl", "handshake"),
+}
+TRANSPORT_NAMES = {"gemini": ("remoteprotocolerror", "protocolerror"), "openai": ("apiconnectionerror", "remoteprotocolerror", "protocolerror", "connecterror", "readerror", "writeerror")}
+RETRY_IN, RETRY_AFTER = r"(?i)try again in\s+([0-9]+(?:\.[0-9]+)?)s", r"(?i)retry after\s+([0-9]+(?:\.[0-9]+)?)\s*s"
+# What lines of a log begin with, by tone.
+TONES = (
+    ("bad", r"^\[ERROR\]|^\[ERR\] |^\[GUI ERROR\]|^\[[A-Z0-9 ]+ ERROR\]|^FAILED\b|^STOPPED: |^ERROR[: ]|^\[[^\]]+\] missing selector|^Log audit: issue candidates|^GitHub API report failed|^GPU\s+: NO NVIDIA CARD|^\[LOG CLEAN\] Partial"),
+    ("warn", r"^\[WARN|^WARNING\b|^\[SKIP|^\[API WAIT\]|^PARTIAL FAILURE|^GitHub: anonymous|^\[DRY|^Build finished with log issue|^\[GUI\] Process killed"),
+    ("good", r"^\[OK\]|^OK\b|^\[API GREEN\]|^Log audit: no error|^GitHub: authenticated|^\[DONE\]"),
+    ("head", r"^={10,}$|^-{10,}$|^\[\d+/\d+\] "),
+    ("muted", r"^\[GUI\]|^\[API (START|COUNT)\]|^(Map|Projects|Root|On error|API mode|Logs|API report|GPU|Scan root|Steps|API plan|GitHub API report)\s*:|^Press Enter"),
+)
+FRAMED = (("===== OK:", "good"), ("===== FAILED:", "bad"), ("===== PARTIAL FAILURE:", "warn"), ("===== STOPPED:", "warn"), ("===== ", "head"))
 
 
 def pages(spec: Column, total: Column) -> Column:
@@ -68,12 +87,40 @@ def redacted(params: Column) -> Column:
     return F.transform_values(params, lambda k, v: F.when(k.rlike(SECRET), F.lit("[redacted]")).otherwise(v))
 
 
-def error_class(message: Column) -> Column:
-    return F.when(message.rlike(REGION), "region").when(message.rlike(RATE), "rate_limit").when(message.rlike(TRANSIENT), "transient").otherwise("other")
+def _has_any(text: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in marks], F.lit(False))
 
 
-def retry_after(message: Column) -> Column:
-    return F.regexp_extract(message, RETRY_AFTER, 1).try_cast("double")
+def region_error(message: Column, dialect: str = "gemini") -> Column:
+    """The provider refuses the place of the caller."""
+    low = F.lower(message)
+    hit = _has_any(low, REGION_MARKS + REGION_MORE[dialect])
+    if dialect == "gemini":
+        hit = hit | (low.contains("403") & (low.contains("permission denied") | low.contains("forbidden")))
+    return hit
+
+
+def rate_limited(message: Column, dialect: str = "gemini") -> Column:
+    return _has_any(F.lower(message), RATE_MARKS[dialect])
+
+
+def transient_error(message: Column, dialect: str = "gemini") -> Column:
+    return _has_any(F.lower(message), TRANSIENT_MARKS[dialect])
+
+
+def transport_error(name: Column, message: Column, dialect: str = "gemini") -> Column:
+    """A failure of the connection, by the error's class name and message."""
+    name, low = F.lower(name), F.lower(message)
+    hit = _has_any(name, TRANSPORT_NAMES[dialect]) | _has_any(low, TRANSPORT_MARKS[dialect])
+    if dialect == "gemini":
+        hit = hit | _has_any(name, TRANSPORT_MARKS[dialect]) | (name.contains("apierror") & _has_any(low, ("502", "503", "504")))
+    return hit
+
+
+def retry_after(message: Column, dialect: str = "gemini") -> Column:
+    """Seconds that a message asks to wait; null if it names none."""
+    first = F.regexp_extract(message, RETRY_IN, 1).try_cast("double")
+    return F.coalesce(first, F.regexp_extract(message, RETRY_AFTER, 1).try_cast("double")) if dialect == "gemini" else first
 
 
 def cooldown(streak: Column, most: float = 60.0) -> Column:
@@ -100,31 +147,41 @@ def relative_path(path: Column) -> Column:
 
 
 def condition(spec: dict | list, value) -> Column:
-    """A condition on form fields as a column: keys are and-ed, lists are or-ed; not, in, equals and empty are known.
-
-    `value` gives the (string) column of a field."""
-    if isinstance(spec, list):
-        return reduce(lambda a, b: a & b, [condition(s, value) for s in spec], F.lit(True))
-    return reduce(lambda a, b: a & b, [_holds(value(k), v) for k, v in spec.items()], F.lit(True))
-
-
-def _holds(actual: Column, expected) -> Column:
-    text = F.lower(F.trim(F.coalesce(actual.cast("string"), F.lit(""))))
+    """A condition on form fields as a column; all its fields have to match.
+
+    A dict has what is expected by field; a list has entries with the field's name (field, id or key) and what is expected
+    (value, equals or in), and entries without a name are passed over.  An expected list is met by any of its items; of a dict the first of
+    not, in, equals and empty counts.  `value` gives a field's column, a string, boolean or array of strings."""
+    if isinstance(spec, dict):
+        items = [(str(k), v) for k, v in spec.items()]
+    else:
+        entries = [e for e in spec if isinstance(e, dict)]
+        named = [(str(e.get("field") or e.get("id") or e.get("key") or "").strip(), e) for e in entries]
+        items = [(k, next((e[n] for n in ("value", "equals", "in") if n in e), None)) for k, e in named if k]
+    return reduce(lambda a, b: a & b, [_holds(value(k), v) for k, v in items], F.lit(True))
+
+
+def _holds(actual: Column | tuple[Column, str], expected) -> Column:
+    """actual: a column, or a column and its kind (text, bool or list)."""
+    column, kind = actual if isinstance(actual, tuple) else (actual, "text")
+    some = lambda xs: reduce(lambda a, b: a | b, xs, F.lit(False))
+    if isinstance(expected, (list, tuple, set)):
+        return some([_holds(actual, x) for x in expected])
     if isinstance(expected, dict):
-        parts = []
-        for name, x in expected.items():
-            if name == "not":
-                parts.append(~_holds(actual, x))
-            elif name == "empty":
-                parts.append((text == "") if x else (text != ""))
-            else:  # in, equals
-                parts.append(_holds(actual, x))
-        return reduce(lambda a, b: a & b, parts, F.lit(True))
-    if isinstance(expected, (list, tuple)):
-        return reduce(lambda a, b: a | b, [_holds(actual, x) for x in expected], F.lit(False))
-    if isinstance(expected, bool):
-        return text.isin("1", "true", "yes", "on", "enabled") == F.lit(expected)
-    return text == str(expected).strip().lower()
+        name = next((n for n in ("not", "in", "equals", "empty") if n in expected), None)
+        if name == "not":
+            return ~_holds(actual, expected["not"])
+        if name == "empty":
+            empty = column.isNull() | (F.size(column) == 0 if kind == "list" else F.lit(False) if kind == "bool" else column == "")
+            return empty == F.lit(bool(expected["empty"]))
+        if name:
+            return _holds(actual, expected[name])
+    if kind == "list":
+        return F.coalesce(F.exists(column, lambda x: _holds(x, expected)), F.lit(False))
+    if kind == "bool" or isinstance(expected, bool):
+        true = column if kind == "bool" else F.length(column) > 0
+        return F.coalesce(true, F.lit(False)) == F.lit(bool(expected))
+    return F.coalesce(F.lower(F.trim(column.cast("string"))), F.lit("none")) == str(expected).strip().lower()
 
 
 def matches_all_words(query: Column, *texts: Column) -> Column:
@@ -139,8 +196,39 @@ def merged_history(history: DataFrame, limit: int = 100) -> DataFrame:
     return one.orderBy(F.col("pinned").desc(), F.col("count").desc(), F.col("last_used").desc(), "path").limit(limit)
 
 
-def log_tone(line: Column) -> Column:
-    """The tone of a log line, by the first rule that fits."""
-    return (
-        F.when(line.rlike(r"(?i)^\s*(\[?error\]?|traceback)|\berror\b|\bfailed\b"), "error").when(line.rlike(r"(?i)\bwarn(ing)?\b"), "warning").when(line.rlike(r"(?i)\b(ok|done|success|completed)\b"), "success").when(line.rlike(r"^\s*(\[[A-Z ]+\]|=+)"), "heading").otherwise("plain")
-    )
+def log_tone(line: Column, head: str | None = None) -> Column:
+    """The tone of a log line (bad, warn, good, head, muted or plain), by how it begins; `head`: a further pattern of headings."""
+    text = F.regexp_replace(line, r"\s+$", "")
+    out = F.when(F.trim(text) == "", "plain")
+    for begin, tone in FRAMED:
+        out = out.when(F.startswith(text, F.lit(begin)), tone)
+    for tone, pattern in TONES:
+        out = out.when(text.rlike(f"{pattern}|{head}" if head and tone == "head" else pattern), tone)
+    return out.otherwise("plain")
+
+
+def resolved_profile(runs: DataFrame, profiles: DataFrame, defaults: dict[str, object], name: str = "profile") -> DataFrame:
+    """The settings of each run: its own value, else its profile's, else the default, setting by setting.
+
+    runs and profiles have a column of each setting (null: not set).  PNG sources need no denoising unless the run sets
+    it.  A run without a known profile gets the defaults.  The profiles are a lookup table of a few rows."""
+    of = profiles.select(F.col(name).alias("_profile"), *[F.col(c).alias(f"_of_{c}") for c in defaults if c in profiles.columns])
+    joined = runs.join(of, F.col(name) == F.col("_profile"), "left")
+    for c, value in defaults.items():
+        parts = ([F.col(c)] if c in runs.columns else []) + ([F.col(f"_of_{c}")] if c in profiles.columns else []) + [F.lit(value)]
+        settled = F.coalesce(*parts)
+        if c == "denoise" and "source_format" in runs.columns:
+            settled = F.when((F.lower("source_format") == "png") & F.col(c).isNull(), "none").otherwise(settled)
+        joined = joined.withColumn(f"_set_{c}", settled)
+    return joined.select(*[F.col(c) for c in runs.columns if c not in defaults], *[F.col(f"_set_{c}").alias(c) for c in defaults])
+
+
+def model_ids(items: Column, vision_only: bool = False) -> Column:
+    """Sorted distinct ids of an array of models (structs of id, name, model, input_modalities, output_modalities and aliases).
+
+    With vision_only, models whose lists of modalities are given must take images and give text."""
+    text = lambda x: F.nullif(F.trim(x), F.lit(""))
+    lacks = lambda xs, kind: F.coalesce((F.size(xs) > 0) & ~F.exists(xs, lambda v: F.lower(F.trim(v)) == kind), F.lit(False))
+    kept = F.filter(items, lambda m: ~(lacks(m["input_modalities"], "image") | lacks(m["output_modalities"], "text"))) if vision_only else items
+    own = lambda m: F.concat(F.array(F.coalesce(text(m["id"]), text(m["name"]), text(m["model"]))), F.coalesce(F.transform(m["aliases"], text), F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(kept, own)), lambda v: v.isNotNull())))

@@ -90,25 +90,35 @@ def redact_params(spark, sf_dir):
     return maps.select("id", F.array_join(pairs, ";").alias("params"))
 
 
-_PROFILES = "(VALUES ('raw', 0, 'none', 300), ('heavy', 2, 'median', 300), ('auto', 1, 'light', NULL)) p(profile, level, denoise, dpi)"
-_RUNS = "(VALUES (1, 'raw', NULL, NULL, 'png'), (2, 'heavy', 1, NULL, 'jpeg'), (3, 'auto', NULL, 'strong', 'png'), (4, 'missing', 3, NULL, 'png')) r(id, profile, level_override, denoise_override, format)"
+_PROFILES = "(VALUES ('error', 0, 'none', 300), ('click', 2, 'median', 300), ('view', 1, 'light', NULL)) p(profile, sr_scale, denoise, dpi)"
+_RUNS = """(SELECT event_id AS id, event_type AS profile, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 3 AS INT) END AS sr_scale, CASE WHEN event_id % 7 = 0 THEN 'strong' END AS denoise,
+  CASE WHEN event_id % 2 = 0 THEN 'png' ELSE 'jpeg' END AS source_format FROM events)"""
 
 
-@register(f"SELECT id, coalesce(level_override, level, 1) AS level, CASE WHEN format = 'png' AND denoise_override IS NULL THEN 'none' ELSE coalesce(denoise_override, denoise, 'light') END AS denoise, coalesce(dpi, 300) AS dpi FROM {_RUNS} LEFT JOIN {_PROFILES} USING (profile)")
+@register(
+    f"""SELECT id, source_format, coalesce(r.sr_scale, p.sr_scale, 2) AS sr_scale, CASE WHEN source_format = 'png' AND r.denoise IS NULL THEN 'none' ELSE coalesce(r.denoise, p.denoise, 'weak') END AS denoise,
+    coalesce(dpi, 300) AS dpi FROM {_RUNS} r LEFT JOIN {_PROFILES} USING (profile)"""
+)
 def profile_resolve(spark, sf_dir):
-    joined = rows(spark, _RUNS).join(F.broadcast(rows(spark, _PROFILES)), "profile", "left")
-    denoise = F.when((F.col("format") == "png") & F.col("denoise_override").isNull(), "none").otherwise(F.coalesce("denoise_override", "denoise", F.lit("light")))
-    return joined.select("id", F.coalesce("level_override", "level", F.lit(1)).alias("level"), denoise.alias("denoise"), F.coalesce("dpi", F.lit(300)).alias("dpi"))
-
+    runs = D.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("profile"), F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 3).cast("int")).alias("sr_scale"),
+        F.when(F.col("event_id") % 7 == 0, "strong").alias("denoise"), F.when(F.col("event_id") % 2 == 0, "png").otherwise("jpeg").alias("source_format"))
+    return C.resolved_profile(runs, rows(spark, _PROFILES), {"sr_scale": 2, "denoise": "weak", "dpi": 300}).drop("profile")
 
-_FORMS = "(VALUES (1, 'Mistral', 'true', ''), (2, 'tesseract', 'no', 'x'), (3, 'yandex', 'ON', NULL), (4, 'surya', '1', 'y')) f(id, engine, second, note)"
 
-
-@register(f"SELECT id, lower(engine) IN ('mistral', 'yandex') AND lower(second) IN ('1', 'true', 'yes', 'on', 'enabled') AS a, lower(engine) <> 'tesseract' AND coalesce(note, '') = '' AS b FROM {_FORMS}")
+@register(
+    """SELECT event_id, lower(event_type) IN ('click', 'view') AND value > 50 AS a, lower(event_type) <> 'error' AND props <> '' AS b,
+    list_contains(['purchase', event_type, CAST(event_id % 4 AS VARCHAR)], '2') OR list_contains(['purchase', event_type, CAST(event_id % 4 AS VARCHAR)], 'error') AS c,
+    event_id % 3 = 0 AS d FROM events"""
+)
 def conditions_eval(spark, sf_dir):
-    a = C.condition({"engine": ["mistral", "yandex"], "second": True}, F.col)
-    b = C.condition([{"engine": {"not": "tesseract"}}, {"note": {"empty": True}}], F.col)
-    return rows(spark, _FORMS).select("id", a.alias("a"), b.alias("b"))
+    df = D.table(spark, sf_dir, "events").withColumn("large", F.col("value") > 50).withColumn("kinds", F.array(F.lit("purchase"), "event_type", (F.col("event_id") % 4).cast("string"))).withColumn("note", F.when(F.col("event_id") % 3 > 0, "x"))
+    field = lambda name: (F.col(name), {"large": "bool", "kinds": "list"}.get(name, "text"))
+    a = C.condition({"event_type": ["CLICK", " view "], "large": True}, field)
+    b = C.condition([{"field": "event_type", "value": {"not": "error"}}, {"id": "props", "equals": {"empty": False}}, {"value": "no name"}], field)
+    c = C.condition({"kinds": ["2", "Error"]}, field)
+    d = C.condition({"note": {"empty": False, "not": "X"}}, field)
+    return df.select("event_id", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
 
 
 _PATHS = "(VALUES (1, 'docs/a.pdf'), (2, 'MD/x/y.md'), (3, 'docs/'), (4, 'other/docs/a'), (5, 'md')) t(id, path)"
@@ -127,10 +137,20 @@ def options_dedupe(spark, sf_dir):
     return C.first_of_each(rows(spark, _OPTIONS), F.lower("value"), "ord").select("ord", "value")
 
 
-@register(f"SELECT ord, value FROM {_OPTIONS} WHERE image AND text")
+@register(
+    """WITH m AS (SELECT p_brand AS brand, p_name AS id, p_partkey % 3 AS k, p_partkey % 4 AS j FROM part WHERE trim(p_name) <> '' OR true)
+    SELECT brand, array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN k = 1 OR j = 3 THEN [] WHEN k = 2 THEN [trim(id), 'alias-' || trim(id)] ELSE [trim(id)] END)))), ',') AS ids FROM m GROUP BY brand"""
+)
 def modality_filter(spark, sf_dir):
-    kinds = rows(spark, _OPTIONS).withColumn("inputs", F.when(F.col("image"), F.array(F.lit("text"), F.lit("image"))).otherwise(F.array(F.lit("text")))).withColumn("outputs", F.when(F.col("text"), F.array(F.lit("text"))).otherwise(F.array(F.lit("audio"))))
-    return kinds.where(F.array_contains("inputs", "image") & F.array_contains("outputs", "text")).select("ord", "value")
+    """Models that take images (k = 1: text only) and give text (j = 3: sound only); those of k = 2 have an alias, those of k = 0 name no inputs."""
+    part = D.table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 3).withColumn("j", F.col("p_partkey") % 4)
+    lists = lambda x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    model = F.struct(
+        F.lit(" ").alias("id"), F.concat(F.lit(" "), "p_name").alias("name"), F.lit("unused").alias("model"),
+        F.when(F.col("k") == 1, lists(["Text"])).when(F.col("k") == 2, lists(["text", " IMAGE"])).alias("input_modalities"), F.when(F.col("j") == 3, lists(["audio"])).otherwise(lists([])).alias("output_modalities"),
+        F.when(F.col("k") == 2, F.array(F.concat(F.lit("alias-"), F.trim("p_name")), F.lit(""))).alias("aliases"))
+    grouped = part.groupBy(F.col("p_brand").alias("brand")).agg(F.collect_list(model).alias("models"))  # the models of one provider's reply
+    return grouped.select("brand", F.array_join(C.model_ids(F.col("models"), vision_only=True), ",").alias("ids"))
 
 
 @register("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
@@ -144,15 +164,46 @@ def cost_total(spark, sf_dir):
     return D.table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.sum(F.coalesce(X.cost_usd(ticks), F.lit(0.0))), 8).alias("cost"))
 
 
-_ERRORS = "(VALUES (1, '429 RESOURCE_EXHAUSTED, retry in 12.5s'), (2, 'User location is not supported for the API use.'), (3, '403 PERMISSION DENIED'), (4, 'Read timed out'), (5, 'bad request'), (6, 'HTTP 503 unavailable; Retry-After: 7'), (7, 'rate limit reached')) t(id, message)"
+_FAULTS = ("429 too many requests, retry after 7 s", "User location is not supported for the API use.", "403 Permission denied", "Read timed out", "bad request 500", "HTTP 503 overloaded", "Rate limit: try again in 12.5s", "tokens per min exceeded", "broken pipe", "empty model response text", "Quota", "error code: 429", "TLS handshake")
+_NAMES = ("APIError", "RemoteProtocolError", "ValueError", "ConnectError")
+_FAULT = "(SELECT event_id, list_extract([" + ", ".join(f"'{x}'" for x in _FAULTS) + f"], CAST(event_id % {len(_FAULTS)} AS INT) + 1) || ' ' || props AS message, list_extract([" + ", ".join(f"'{x}'" for x in _NAMES) + "], CAST(event_id // 13 % 4 AS INT) + 1) AS name FROM events)"
+
+
+def _faults(spark, sf_dir):
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i.cast("int") + 1)
+    return D.table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", pick(_FAULTS, F.col("event_id") % len(_FAULTS)), "props").alias("message"), pick(_NAMES, F.floor(F.col("event_id") / 13) % 4).alias("name"))
+
+
+def _any(column, *marks):
+    return "(" + " OR ".join(f"contains(lower({column}), '{m}')" for m in marks) + ")"
 
 
 @register(
-    f"""SELECT id, CASE WHEN regexp_matches(message, '{C.REGION}') THEN 'region' WHEN regexp_matches(message, '{C.RATE}') THEN 'rate_limit' WHEN regexp_matches(message, '{C.TRANSIENT}') THEN 'transient' ELSE 'other' END AS class,
-    TRY_CAST(nullif(regexp_extract(message, '{C.RETRY_AFTER}', 1), '') AS DOUBLE) AS retry_after FROM {_ERRORS}"""
+    rf"""SELECT event_id,
+    {_any('message', 'unsupported_country_region_territory', 'country, region, or territory not supported', 'location is not supported')}
+      OR (contains(message, '403') AND {_any('message', 'permission denied', 'forbidden')}) AS region,
+    {_any('message', '429', 'quota', 'rate limit', 'too many requests')} AS limited,
+    {_any('message', 'timeout', 'timed out', 'server disconnected', 'connection reset', 'connection aborted', 'empty model response text', '502', '503', '504')} AS transient,
+    (name = 'APIError' AND {_any('message', '502', '503', '504')}) OR name IN ('RemoteProtocolError', 'ConnectError')
+      OR {_any('message', 'connecterror', 'readerror', 'writeerror', 'timeout', 'network', 'connection reset', 'connection aborted', 'server disconnected', 'broken pipe', 'eof', 'ssl', 'tls', 'handshake')} AS transport,
+    TRY_CAST(nullif(coalesce(nullif(regexp_extract(message, '(?i)try again in\s+([0-9.]+)s', 1), ''), regexp_extract(message, '(?i)retry after\s+([0-9.]+)\s*s', 1)), '') AS DOUBLE) AS retry_after FROM {_FAULT}"""
 )
 def error_class(spark, sf_dir):
-    return rows(spark, _ERRORS).select("id", C.error_class(F.col("message")).alias("class"), C.retry_after(F.col("message")).alias("retry_after"))
+    m = F.col("message")
+    return _faults(spark, sf_dir).select("event_id", C.region_error(m).alias("region"), C.rate_limited(m).alias("limited"), C.transient_error(m).alias("transient"), C.transport_error(F.col("name"), m).alias("transport"), C.retry_after(m).alias("retry_after"))
+
+
+@register(
+    rf"""SELECT event_id, {_any('message', 'unsupported_country_region_territory', 'country, region, or territory not supported')} AS region,
+    {_any('message', 'rate limit', 'rate_limit_exceeded', 'tokens per min', 'too many requests', 'error code: 429')} AS limited,
+    {_any('message', 'timeout', 'timed out', 'apitimeouterror', 'connection reset', 'connection aborted', 'server disconnected', '502', '503', '504')} AS transient,
+    name IN ('RemoteProtocolError', 'ConnectError') OR {_any('message', 'server disconnected', 'connection error', 'connection reset', 'connection aborted', 'broken pipe', 'econnreset', 'econnaborted', 'remote end closed connection', 'unexpected eof', 'tls', 'ssl', 'handshake')} AS transport,
+    TRY_CAST(nullif(regexp_extract(message, '(?i)try again in\s+([0-9.]+)s', 1), '') AS DOUBLE) AS retry_after FROM {_FAULT}"""
+)
+def error_class_openai(spark, sf_dir):
+    m = F.col("message")
+    found = [f(m, "openai").alias(n) for n, f in (("region", C.region_error), ("limited", C.rate_limited), ("transient", C.transient_error), ("retry_after", C.retry_after))]
+    return _faults(spark, sf_dir).select("event_id", *found, C.transport_error(F.col("name"), m, "openai").alias("transport"))
 
 
 _LOG = "(SELECT user_id AS model, event_id AS attempt, event_type = 'error' OR event_id % 3 > 0 AS limited FROM events)"
@@ -168,12 +219,21 @@ def rate_limit_streaks(spark, sf_dir):
     return C.streaks(log).select("model", "attempt", "streak", F.round("wait", 6).alias("wait"), "fail_over")
 
 
-_LOGLINES = "(VALUES (1, '[ERROR] no file'), (2, 'Warning: slow'), (3, 'done in 3 s'), (4, '=== START ==='), (5, 'plain words'), (6, 'task failed'), (7, '[RESOLVER] x')) t(id, line)"
+_HEADS = ("[ERROR] ", "Failed Tests ", "FAILED ", "[WARN] ", "WARNING ", "OK ", "[DONE] ", "[3/14] ", "===== OK: ", "===== FAILED: ", "===== STOPPED: ", "===== ", "[GUI] ", "Root  : ", "error in the middle ", "[SKIP", "[A1 B ERROR] ", "===============", "  ")
+_LOGLINE = "(SELECT doc_id, list_extract([" + ", ".join(f"'{x}'" for x in _HEADS) + f"], CAST(doc_id % {len(_HEADS)} AS INT) + 1) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE left(text, 40) END AS line FROM documents)"
 
 
-@register(f"SELECT id, CASE WHEN regexp_matches(line, '(?i)^\\s*(\\[?error\\]?|traceback)|\\berror\\b|\\bfailed\\b') THEN 'error' WHEN regexp_matches(line, '(?i)\\bwarn(ing)?\\b') THEN 'warning' WHEN regexp_matches(line, '(?i)\\b(ok|done|success|completed)\\b') THEN 'success' WHEN regexp_matches(line, '^\\s*(\\[[A-Z ]+\\]|=+)') THEN 'heading' ELSE 'plain' END AS tone FROM {_LOGLINES}")
+@register(
+    rf"""SELECT doc_id, CASE WHEN trim(t) = '' THEN 'plain' WHEN starts_with(t, '===== OK:') THEN 'good' WHEN starts_with(t, '===== FAILED:') THEN 'bad'
+    WHEN starts_with(t, '===== PARTIAL FAILURE:') OR starts_with(t, '===== STOPPED:') THEN 'warn' WHEN starts_with(t, '===== ') THEN 'head'
+    WHEN regexp_matches(t, '^\[ERROR\]|^\[ERR\] |^\[[A-Z0-9 ]+ ERROR\]|^FAILED\b|^STOPPED: |^ERROR[: ]') THEN 'bad' WHEN regexp_matches(t, '^\[(WARN|SKIP|DRY)|^WARNING\b|^PARTIAL FAILURE') THEN 'warn'
+    WHEN regexp_matches(t, '^\[OK\]|^OK\b|^\[DONE\]') THEN 'good' WHEN regexp_matches(t, '^={{10,}}$|^-{{10,}}$|^\[\d+/\d+\] ') THEN 'head' WHEN regexp_matches(t, '^\[GUI\]|^(Map|Projects|Root|Logs|GPU|Steps)\s*:') THEN 'muted' ELSE 'plain' END AS tone
+    FROM (SELECT doc_id, regexp_replace(line, '\s+$', '') AS t FROM {_LOGLINE})"""
+)
 def log_tone(spark, sf_dir):
-    return rows(spark, _LOGLINES).select("id", C.log_tone(F.col("line")).alias("tone"))
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % len(_HEADS)).cast("int") + 1)
+    line = F.concat(head, F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.left("text", F.lit(40))))
+    return D.table(spark, sf_dir, "documents").select("doc_id", C.log_tone(line).alias("tone"))
 
 
 _SEARCH = "(VALUES (1, 'ocr page', 'Page count', 'OCR'), (2, 'missing', 'Page', 'OCR'), (3, ' ', 'a', 'b')) t(id, query, label, value)"
