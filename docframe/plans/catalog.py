@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docframe.plans import analytics, documents, more, operations
+from docframe.plans import analytics, documents, more, operations, runs
 
-QUERIES = analytics.QUERIES | documents.QUERIES | operations.QUERIES | more.QUERIES
-ORACLES = analytics.ORACLES | documents.ORACLES | operations.ORACLES | more.ORACLES
+QUERIES = analytics.QUERIES | documents.QUERIES | operations.QUERIES | more.QUERIES | runs.QUERIES
+ORACLES = analytics.ORACLES | documents.ORACLES | operations.ORACLES | more.ORACLES | runs.ORACLES
