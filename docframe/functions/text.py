@@ -135,11 +135,8 @@ def line_kind(x: Column | str) -> Column:
 
 
 def visible(x: Column | str) -> Column:
-    """HTML text without tags; the common entities are resolved by built-in functions (others stay as written)."""
-    x = _col(x)
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(mark))
-    return F.regexp_replace(x, "<[^>]+>", " ")
+    """HTML text whose entities are resolved (udf.unescape) without its tags."""
+    return F.regexp_replace(_col(x), "<[^>]+>", " ")
 
 
 def numeric_tokens(x: Column | str) -> Column:

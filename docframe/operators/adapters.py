@@ -8,14 +8,24 @@ value of its row, not the end of the job.
 
 from __future__ import annotations
 
+import contextlib
 import json
+import time
 from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docframe.functions import text as X
+from docframe.functions.udf import markers, seq_ratio
+from docframe.operators import control as C
+from docframe.operators.control import assemble
+from docframe.operators.runs import parsed_values_text, reply_text, reviewed
+from docframe.operators.verify import second_pass_gate, text_metrics, verify
+from docframe.session import kept, shared_folder
+
 
 class Adapter(Protocol):
     def recognize(self, content: bytes, params: dict) -> dict:
@@ -30,6 +40,92 @@ def register(kind: str, make: Callable[[], Adapter]) -> None:
     _REGISTRY[kind] = make
 
 
+def maker(kind: str) -> Callable[[], Adapter]:
+    """The maker of a named adapter."""
+    if kind not in _REGISTRY:
+        raise KeyError(f"no engine '{kind}'; known: {', '.join(sorted(_REGISTRY)) or 'none'}")
+    return _REGISTRY[kind]
+
+
+class Unusable(ValueError):
+    """A reply that no retry mends."""
+
+
+class Remote:
+    """An adapter of a paid engine: `send` takes model, content and parameters and gives the reply's JSON text.
+
+    Passing failures are tried again after a growing pause; after two rate limits in a row the next model of the chain is
+    asked; a refused region or an unusable reply ends the call at once.  What pauses is a parameter, so tests don't wait."""
+
+    def __init__(self, send: Callable[[str, bytes, dict], str], models: list[str], dialect: str = "gemini", attempts: int = 4, pause: Callable[[float], None] = time.sleep):
+        self.send, self.models, self.dialect, self.attempts, self.pause = send, models, dialect, attempts, pause
+        self.usage: dict = {}
+
+    def recognize(self, content: bytes, params: dict) -> dict:
+        at, streak, tried = 0, 0, 0
+        while True:
+            tried += 1
+            try:
+                reply = self.send(self.models[at], content, params)
+                return {"text": self._text(reply), "model": self.models[at], "words": []}
+            except Unusable:
+                raise
+            except Exception as e:  # noqa: BLE001 - told apart by name and message, as engines' libraries differ
+                message, name = str(e).lower(), type(e).__name__.lower()
+                has = lambda marks: any(m in message for m in marks)  # noqa: B023, E731
+                if has(C.REGION_MARKS + C.REGION_MORE[self.dialect]) or tried >= self.attempts * len(self.models):
+                    raise
+                if has(C.RATE_MARKS[self.dialect]):
+                    streak += 1
+                    if streak >= 2 and at + 1 < len(self.models):
+                        at, streak = at + 1, 0
+                    self.pause(min(60.0, 10.0 * 1.7 ** max(0, streak - 1)))
+                elif has(C.TRANSIENT_MARKS[self.dialect] + C.TRANSPORT_MARKS[self.dialect]) or any(m in name for m in C.TRANSPORT_NAMES[self.dialect]):
+                    streak = 0
+                    self.pause(min(20.0, 2.0 ** (tried - 1)))
+                else:
+                    raise
+
+    def _text(self, reply: str) -> str:
+        text = reply_text(reply).strip()
+        if not text:
+            raise TimeoutError("empty model response text")
+        if "\ufffd" in text or markers(text) >= 3:
+            raise Unusable("the reply's characters are broken")
+        with contextlib.suppress(ValueError, AttributeError):
+            self.usage = json.loads(reply).get("usage") or {}
+        return text
+
+
+class Fallback:
+    """Asks a second adapter for all later pages once the first one's provider refuses the region."""
+
+    def __init__(self, first: Adapter, second: Adapter):
+        self.first, self.second, self.refused = first, second, False
+
+    def recognize(self, content: bytes, params: dict) -> dict:
+        if not self.refused:
+            try:
+                return self.first.recognize(content, params)
+            except Exception as e:  # noqa: BLE001
+                if not any(m in str(e).lower() for m in C.REGION_MARKS + C.REGION_MORE["gemini"]):
+                    raise
+                self.refused = True
+        return self.second.recognize(content, params)
+
+
+class Refining:
+    """A first reading, then a second request with the draft in its prompt; an empty refinement keeps the draft."""
+
+    def __init__(self, adapter: Adapter, prompt: str = "{draft}"):
+        self.adapter, self.prompt = adapter, prompt
+
+    def recognize(self, content: bytes, params: dict) -> dict:
+        draft = self.adapter.recognize(content, params)
+        better = self.adapter.recognize(content, params | {"prompt": self.prompt.replace("{draft}", draft["text"])})
+        return draft | {"draft": draft["text"], "text": better["text"].strip() or draft["text"]}
+
+
 class Replay:
     """An adapter that gives the stored reply of each page: for tests, and for payloads that were made elsewhere."""
 
@@ -69,9 +165,101 @@ def recognize(pages: DataFrame, make: Callable[[], Adapter], params: dict, key:
 
 
 def run_pages(pages: DataFrame, cache: DataFrame, engine: str, make: Callable[[], Adapter], params: dict, content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """Results of all pages, and the new ones among them for the cache: equal pages are recognised once."""
+    """Results of all pages, and the new ones among them for the cache: equal pages are recognised once.
+
+    New results are written to the shared folder before they are used, so each call is made once however often they are read."""
     keyed = pages.withColumn("key", cache_key(content, engine, params))
     misses = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
-    new = recognize(misses, make, params, content=content)
+    new = kept(recognize(misses, make, params, content=content), shared_folder(pages.sparkSession), "new")
     known = cache.unionByName(new.where("ok").select(*cache.columns), allowMissingColumns=True)
     return keyed.drop(content).join(known, "key", "left"), new
+
+
+def local_pass(pages: DataFrame, make: Callable[[], Adapter], params: dict, engine: str = "tesseract", key: str = "key", content: str = "content") -> DataFrame:
+    """A second reading of every page by a local engine: key and second_pass (ok, engine, text, words_count, error)."""
+    read = recognize(pages, make, params, key, content)
+    fields = F.struct("ok", F.lit(engine).alias("engine"), "text", F.when(F.col("ok"), F.size("words")).alias("words_count"), "error")
+    return read.select(key, fields.alias("second_pass"))
+
+
+def second_pass(results: DataFrame, make: Callable[[], Adapter], params: dict, scope: str = "suspicious", threshold: float = 0.90, key: str = "key", content: str = "content") -> DataFrame:
+    """A second engine's reading of the pages that need one, and its agreement with the first.
+
+    results: key, content, text and verification (struct of status and verified, or null).  Pages that pass keep the reason
+    for which they were skipped; only the others are sent, in a pass of their own."""
+    v = F.col("verification")
+    gate = second_pass_gate(F.lit(scope), v.isNotNull(), v["status"], v["verified"], F.col("text"))
+    gated = results.withColumn("_g", gate)
+    open_ = gated.where("_g.run")
+    read = kept(recognize(open_, make, params, key, content), shared_folder(results.sparkSession), "second")
+    both = open_.select(key, F.col("text").alias("_first")).join(read.where("ok").select(key, F.col("text").alias("_second")), key)
+    agreed = verify(both, "_first", "_second", key, threshold).select(key, F.col("status").alias("second_status"), "numeric_agreement", "text_jaccard")
+    told = read.select(key, F.col("ok").alias("second_ok"), F.col("text").alias("second_text"), F.col("error").alias("second_error"))
+    joined = gated.join(told, key, "left").join(agreed, key, "left")
+    return joined.select(*results.columns, (~F.col("_g.run")).alias("skipped"), F.col("_g.reason").alias("reason"), F.coalesce("second_ok", ~F.col("_g.run")).alias("second_ok"), "second_text", "second_error", "second_status", "numeric_agreement", "text_jaccard")
+
+
+def review_pass(results: DataFrame, make: Callable[[], Adapter], params: dict, key: str = "key", content: str = "content") -> DataFrame:
+    """Pages whose text has signs of a bad recognition are read again; the review takes the draft's place unless it changes too much."""
+    flagged = results.withColumn("flags", X.quality_flags("text"))
+    open_ = flagged.where((F.size("flags") > 0) & (F.trim("text") != ""))
+    read = kept(recognize(open_, make, params, key, content), shared_folder(results.sparkSession), "reviews").select(key, F.col("text").alias("_review"), F.col("error").alias("_error"))
+    rated = open_.join(read, key).withColumn("_draft", F.trim("text")).withColumn("_similar", seq_ratio(F.trim("text"), F.trim(F.coalesce("_review", F.lit("")))))
+    judged = rated.withColumn("_r", reviewed(F.col("_draft"), F.col("_review"), F.col("_similar"), F.col("flags")))
+    done = judged.select(key, F.col("_r.text").alias("_text"), F.col("_r.applied").alias("_applied"), F.col("_r.change_ratio").alias("change_ratio"), F.coalesce("_error", "_r.error").alias("review_error"))
+    joined = flagged.join(done, key, "left")
+    applied = F.coalesce("_applied", F.lit(False))
+    columns = [F.coalesce("_text", "text").alias("text") if c == "text" else F.col(c) for c in results.columns]
+    return joined.select(*columns, "flags", F.when(applied, F.col("text")).alias("raw_text"), applied.alias("review_applied"), "change_ratio", "review_error")
+
+
+def upgraded(cached: DataFrame, markdown: Column, threshold: float = 0.90, key: str = "key") -> DataFrame:
+    """Cached results brought up to date without a call: text from the provider's page where that gives any, and the verification
+    against a stored second reading computed anew."""
+    fresh = cached.withColumn("_new", F.coalesce(F.nullif(markdown, F.lit("")), F.col("text"))).drop("text").withColumnRenamed("_new", "text")
+    agreed = verify(fresh.where("second_text is not null"), "text", "second_text", key, threshold).select(key, F.col("status").alias("_status"), F.col("numeric_agreement").alias("_agreement"))
+    joined = fresh.join(agreed, key, "left")
+    return joined.withColumn("status", F.coalesce("_status", "status")).withColumn("numeric_agreement", F.coalesce("_agreement", "numeric_agreement")).drop("_status", "_agreement")
+
+
+def numeric_checks(candidates: DataFrame, make: Callable[[], Adapter], params: dict, key: str = "id", content: str = "crop") -> DataFrame:
+    """Every candidate's crop read by a verifying engine: key, status and both digit sequences.  Candidates that no locator found
+    (kind vision_page) come as whole pages, with an empty text."""
+    read = kept(recognize(candidates, make, params, key, content), shared_folder(candidates.sparkSession), "checks")
+    joined = candidates.join(read.select(key, "ok", F.col("text").alias("_reply"), "error"), key)
+    said = parsed_values_text(F.col("_reply"), F.col("_reply"))
+    located, verified = X.digit_sequences(F.col("text")), X.digit_sequences(said)
+    status = F.when(~F.col("ok"), "error").otherwise(X.comparison_status(F.coalesce(F.col("_reply"), F.lit("")), located, verified))
+    return joined.select(key, status.alias("status"), located.alias("located"), verified.alias("verified"), "error")
+
+
+def quality_runs(pages: DataFrame, engines: dict[str, Callable[[], Adapter]], variants: dict[str, str], params: dict, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """Text metrics of every page by every engine and variant, and the engines that can't be made, with their errors.
+
+    variants: the column that holds each variant's image."""
+    results, missing = None, []
+    for engine, make in engines.items():
+        try:
+            make()
+        except Exception as e:  # noqa: BLE001 - an engine that isn't there is a line of the report
+            missing.append((engine, f"{type(e).__name__}: {e}"))
+            continue
+        for variant, column in variants.items():
+            read = recognize(pages, make, params, key, column).select(key, F.lit(engine).alias("engine"), F.lit(variant).alias("variant"), "ok", F.coalesce("text", F.lit("")).alias("text"), "error")
+            results = read if results is None else results.unionByName(read)
+    errors = pages.sparkSession.createDataFrame(missing, "engine string, error string")
+    return (None if results is None else text_metrics(kept(results, shared_folder(pages.sparkSession), "runs"))), errors
+
+
+def collected_batch(output: DataFrame, requests: DataFrame, state: str) -> DataFrame:
+    """Replies of a finished batch job with their pages: rows of JSON lines (key and response or error) joined to the requests.
+
+    Nothing is taken from a job that isn't done; jobs that failed give no rows."""
+    if state not in ("JOB_STATE_SUCCEEDED", "completed"):
+        return assemble(output.sparkSession.createDataFrame([], "key string, text string, error string"), requests)
+    line = F.col("line")
+    body = F.get_json_object(line, "$.response")
+    parts = F.from_json(F.get_json_object(body, "$.candidates[0].content.parts"), "array<struct<text:string>>")
+    text = F.coalesce(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), F.get_json_object(body, "$.text"))
+    key = F.coalesce(F.get_json_object(line, "$.key"), F.get_json_object(line, "$.metadata.key"))
+    return assemble(output.where(F.trim(line) != "").select(key.alias("key"), text.alias("text"), F.get_json_object(line, "$.error").alias("error")), requests)

@@ -76,10 +76,20 @@ def split_by_cache(wanted: DataFrame, cache: DataFrame, key: str = "key") -> tup
     return wanted.join(cache, key), wanted.join(cache.select(key), key, "left_anti")
 
 
-def evicted(cache: DataFrame, cap: int, key: str = "key") -> DataFrame:
-    """Entries to remove, oldest first, until the rest fits (unknown times are oldest). One list of file sizes: it is small beside the files."""
-    w = Window.orderBy(F.coalesce("accessed", F.lit(0)).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return cache.withColumn("kept_to_here", F.sum("bytes").over(w)).where(F.col("kept_to_here") > cap).drop("kept_to_here")
+def evicted(cache: DataFrame, cap: int, key: str = "key", steps: int = 4096) -> DataFrame:
+    """Entries to remove, oldest first, until the rest fits (unknown times are oldest).
+
+    A running sum over all entries without sorting them in one task: times fall in `steps` equal steps, the sums of
+    whole steps are taken first (a table of as many rows), then the running sum within each step."""
+    timed = cache.withColumn("_at", F.coalesce(F.col("accessed").cast("double"), F.lit(0.0)))
+    low, high = timed.agg(F.min("_at"), F.max("_at")).first()
+    width = ((high - low) if low is not None else 0.0) / steps or 1.0
+    timed = timed.withColumn("_step", F.floor((F.col("_at") - F.lit(low or 0.0)) / width))
+    newer = Window.orderBy(F.col("_step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = timed.groupBy("_step").agg(F.sum("bytes").alias("_bytes")).select("_step", F.coalesce(F.sum("_bytes").over(newer), F.lit(0)).alias("_newer"))
+    own = Window.partitionBy("_step").orderBy(F.col("_at").desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = timed.withColumn("_own", F.sum("bytes").over(own)).join(whole, "_step")
+    return summed.where(F.col("_own") + F.col("_newer") > cap).drop("_at", "_step", "_own", "_newer")
 
 
 def redacted(params: Column) -> Column:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.session import kept, shared_folder
+
 FORMATS = ("docx", "html", "json", "md", "odt", "pdf", "xlsx")
 
 
@@ -26,12 +28,17 @@ def visible_with_headings(items: DataFrame, by: str = "page", order: str = "ord"
 
 
 def callers_of(edges: DataFrame, target: str) -> DataFrame:
-    """All that reach a node along the edges (caller, callee), by a recursive query."""
-    edges.createOrReplaceTempView("docframe_edges")
-    return edges.sparkSession.sql(
-        "WITH RECURSIVE up(node, depth) AS (SELECT caller, 1 FROM docframe_edges WHERE callee = :target UNION ALL SELECT e.caller, depth + 1 FROM up JOIN docframe_edges e ON e.callee = up.node WHERE depth < (SELECT count(*) FROM docframe_edges)) SELECT DISTINCT node AS caller FROM up",
-        {"target": target},
-    )
+    """All that reach a node along the edges (caller, callee): level by level, each with the distinct new callers only, so paths
+    aren't enumerated.  Levels are written to the shared folder; there are as many as the longest shortest path."""
+    folder = shared_folder(edges.sparkSession)
+    edges = edges.select("caller", "callee").distinct()
+    level = kept(edges.where(F.col("callee") == target).select("caller").distinct(), folder, "0")
+    found, n = level, 0
+    while not level.isEmpty():
+        n += 1
+        level = kept(edges.join(level.select(F.col("caller").alias("callee")), "callee").select("caller").distinct().join(found, "caller", "left_anti"), folder, str(n))
+        found = found.unionByName(level)
+    return found
 
 
 def model_name(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions import text as X
+from docframe.functions.udf import unescape
 
 
 def token_counts(df: DataFrame, tokens: Column, *by: str) -> DataFrame:
@@ -42,16 +43,25 @@ def status(agreement: Column, total: Column, threshold: float) -> Column:
     return F.when(total == 0, "insufficient").when(agreement >= threshold, "pass").otherwise("review")
 
 
+def _shared(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with the size of the multiset intersection of two arrays of tokens, within the row: one sort of both, then runs of
+    equal tokens of a side, and the lesser of two neighbouring runs of a token."""
+    tagged = lambda c, side: F.transform(c, lambda t: F.struct(t.alias("t"), F.lit(side).alias("s")))
+    df = df.withColumn("_all", F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))))
+    begins = F.transform("_all", lambda x, i: F.when((i == 0) | (F.get("_all", i - 1) != x), F.struct(x["t"].alias("t"), i.alias("i"))))
+    df = df.withColumn("_begins", F.filter(begins, lambda x: x.isNotNull()))
+    df = df.withColumn("_runs", F.transform("_begins", lambda x, k: F.struct(x["t"].alias("t"), (F.coalesce(F.get("_begins", k + 1)["i"], F.size("_all")) - x["i"]).alias("n"))))
+    both = F.transform("_runs", lambda x, k: F.when(F.get("_runs", k + 1)["t"] == x["t"], F.least(x["n"], F.get("_runs", k + 1)["n"])).otherwise(0))
+    return df.withColumn(out, F.aggregate(both, F.lit(0), lambda n, x: n + x)).drop("_all", "_begins", "_runs")
+
+
 def verify(df: DataFrame, primary: str, secondary: str, key: str, threshold: float = 0.90) -> DataFrame:
     """Agreement of two readings of each page: numbers as multisets, words as sets, and a status.
 
-    The multisets stay within the row, as sorted arrays of (token, count) are
-    not needed: equal tokens are counted by a fold over the distinct ones.
-    A page's tokens number some hundreds, so nothing is shuffled.
-    """
-    shown = df.select(key, X.numeric_tokens(X.visible(primary)).alias("a"), X.numeric_tokens(X.visible(secondary)).alias("b"), X.word_tokens(X.visible(primary)).alias("wa"), X.word_tokens(X.visible(secondary)).alias("wb"))
-    shared = F.aggregate(F.array_intersect("a", "b"), F.lit(0), lambda n, t: n + F.least(_times("a", t), _times("b", t)))
-    rated = shown.withColumn("matched", shared).withColumn("total", F.greatest(F.size("a"), F.size("b")))
+    Everything stays within the row, in time that grows with its tokens and their sort, so nothing is shuffled."""
+    seen = df.select(key, X.visible(unescape(primary)).alias("_p"), X.visible(unescape(secondary)).alias("_q"))
+    shown = seen.select(key, X.numeric_tokens("_p").alias("a"), X.numeric_tokens("_q").alias("b"), X.word_tokens("_p").alias("wa"), X.word_tokens("_q").alias("wb"))
+    rated = _shared(shown, "a", "b", "matched").withColumn("total", F.greatest(F.size("a"), F.size("b")))
     agreement = F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(0.0)
     return rated.select(
         key, status(agreement, F.col("total"), threshold).alias("status"), F.round(agreement, 4).alias("numeric_agreement"), F.round(X.jaccard(F.col("wa"), F.col("wb")), 4).alias("text_jaccard"),
@@ -59,10 +69,6 @@ def verify(df: DataFrame, primary: str, secondary: str, key: str, threshold: flo
     )
 
 
-def _times(array: str, token: Column) -> Column:
-    return F.size(F.filter(array, lambda x: x == token))
-
-
 def second_pass_gate(scope: Column, has_verification: Column, state: Column, verified: Column, text: Column) -> Column:
     """Whether a page goes to the second engine, and why: a struct of run and reason."""
     open_ = state.isin("review", "insufficient", "error") | ~F.coalesce(verified, F.lit(False))

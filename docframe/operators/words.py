@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docframe.functions import text as X
 
@@ -11,37 +14,53 @@ BAND = 256  # height of the bands by which words and rectangles are matched
 
 
 def medians(words: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Upper medians of heights and widths of each page: from the ranks, in one sort by page."""
-    w = Window.partitionBy(by)
-    ranked = words.select(by, "w", "h", F.row_number().over(w.orderBy("w")).alias("rw"), F.row_number().over(w.orderBy("h")).alias("rh"), F.count("*").over(w).alias("n"))
-    middle = F.floor(F.col("n") / 2) + 1
-    return ranked.groupBy(by).agg(F.max(F.when(F.col("rw") == middle, F.col("w"))).alias("median_w"), F.max(F.when(F.col("rh") == middle, F.col("h"))).alias("median_h"))
+    """Upper medians of heights and widths of each page, from the numbers of words of each size: a page has few sizes,
+    so what is sorted is small however many words it has."""
+    out = None
+    for size in ("w", "h"):
+        counts = words.groupBy(by, size).agg(F.count("*").alias("n"))
+        w = Window.partitionBy(by)
+        ranked = counts.withColumn("_to", F.sum("n").over(w.orderBy(size).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_half", F.floor(F.sum("n").over(w) / 2))
+        middle = ranked.where("_to > _half").groupBy(by).agg(F.min(size).alias(f"median_{size}"))
+        out = middle if out is None else out.join(middle, by)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _sticky(centres: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """Line numbers of ascending centres: a line goes on while they are near the centre of its first word."""
+
+    def one(ys, most):
+        out, base, n = np.empty(len(ys), np.int32), None, 0
+        for i, y in enumerate(ys):
+            if base is None or abs(y - base) > most:
+                base, n = y, n + 1
+            out[i] = n
+        return out
+
+    return pd.Series([one(ys, most) for ys, most in zip(centres, tolerance, strict=True)])
 
 
 def group_lines(words: DataFrame, by: str = "doc_id", order: str = "word_no", tolerance: float = 0.6) -> DataFrame:
     """Words with line_no: sorted by centre, a word joins the line if it is near the centre of the line's first word.
 
-    That first word moves only when a line ends, so this is a fold over a page's words, not a lag.
+    That first word moves only when a line ends, so this is a fold over a page's words, not a lag; one pass in an Arrow function.
     """
     middle = F.col("y") + F.col("h") / 2.0
     pages = words.withColumn("_cy", middle).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_cy", order, "h"))).alias("ws"))
     pages = pages.withColumn("tol", F.element_at(F.array_sort(F.transform("ws", lambda w: w["h"])), (F.floor(F.size("ws") / 2) + 1).cast("int")) * tolerance)
-    start = F.struct(F.lit(None).cast("double").alias("base"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        fresh = acc["base"].isNull() | (F.abs(w["_cy"] - acc["base"]) > F.col("tol"))
-        n = acc["n"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(F.when(fresh, w["_cy"]).otherwise(acc["base"]).alias("base"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
-
-    folded = pages.withColumn("nos", F.aggregate("ws", start, step)["out"])
+    folded = pages.withColumn("nos", _sticky(F.transform("ws", lambda w: w["_cy"].cast("double")), F.col("tol").cast("double")))
     placed = folded.select(by, F.explode(F.arrays_zip(F.transform("ws", lambda w: w[order]).alias("id"), F.col("nos").alias("no"))).alias("p"))
     return words.join(placed.select(by, F.col("p.id").alias(order), F.col("p.no").alias("line_no")), [by, order])
 
 
 def column_bounds(words: DataFrame, by: str = "doc_id", factor: float = 1.5) -> DataFrame:
-    """Middles of the gaps between neighbouring word starts that are wider than `factor` median widths."""
-    gaps = words.select(by, "x", F.lag("x").over(Window.partitionBy(by).orderBy("x")).alias("before"))
-    return gaps.join(medians(words, by), by).where(F.col("x") - F.col("before") > F.col("median_w") * factor).select(by, ((F.col("x") + F.col("before")) / 2.0).alias("bound"))
+    """Middles of the gaps between neighbouring word starts that are wider than `factor` median widths.
+
+    Equal starts make no gap, so only the distinct ones are sorted."""
+    starts = words.select(by, "x").distinct()
+    gaps = starts.select(by, "x", F.lag("x").over(Window.partitionBy(by).orderBy("x")).alias("before"))
+    return gaps.join(medians(words, by).select(by, "median_w"), by).where(F.col("x") - F.col("before") > F.col("median_w") * factor).select(by, ((F.col("x") + F.col("before")) / 2.0).alias("bound"))
 
 
 def grid(words: DataFrame, line: str = "line_pos", by: str = "doc_id", factor: float = 1.5) -> DataFrame:
@@ -71,15 +90,17 @@ def words_in(words: DataFrame, rects: DataFrame, by: str = "doc_id", inset: floa
 
 
 def unique_anchors(words: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Words whose folded token occurs once on the page."""
+    """Words whose folded token occurs once on the page: counted with partial sums, no sort; of a token that occurs once the
+    least values are its own."""
     tokens = words.withColumn("token", X.anchor_token("text")).where("token <> ''")
-    return tokens.withColumn("_n", F.count("*").over(Window.partitionBy(by, "token"))).where("_n = 1").drop("_n")
+    own = [c for c in tokens.columns if c not in (by, "token")]
+    return tokens.groupBy(by, "token").agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in own]).where("_n = 1").drop("_n")
 
 
 def anchor_cells(cells: DataFrame, words: DataFrame, by: str = "doc_id", cell: str = "cell_id") -> DataFrame:
     """Boxes of cells from the unique words that they name: two at least, or one of ten characters; padded."""
     named = cells.select(by, cell, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[0-9A-Za-zА-Яа-яЁё]+"), F.lit(0)), X.anchor_token))).alias("token"))
-    found = named.join(unique_anchors(words, by), [by, "token"])
+    found = named.join(unique_anchors(words.select(by, "text", "x", "y", "w", "h"), by), [by, "token"])
     boxes = found.groupBy(by, cell).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), F.count("*").alias("anchors"), F.max(F.length("token")).alias("_long"))
     pad_x, pad_y = F.greatest(F.lit(3.0), (F.col("x1") - F.col("x0")) * 0.03), F.greatest(F.lit(3.0), (F.col("y1") - F.col("y0")) * 0.12)
     box = [F.greatest(F.lit(0.0), F.col("x0") - pad_x).cast("int").alias("x"), F.greatest(F.lit(0.0), F.col("y0") - pad_y).cast("int").alias("y")]
