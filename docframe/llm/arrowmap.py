@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +16,13 @@ from pyspark.sql import types as T
 Maker = Callable[[], Callable[[pa.RecordBatch], list]]
 
 
+def release() -> None:
+    """Gives memory that is no longer used back to the system: workers are kept from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(df: DataFrame, needs: list[str], out: T.StructType, make: Maker) -> DataFrame:
     """df with the columns of `out`, one row per row; a column of the same name is replaced.
 
@@ -33,6 +42,9 @@ def add_columns(df: DataFrame, needs: list[str], out: T.StructType, make: Maker)
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             made = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, wanted, strict=True)]
             yield pa.RecordBatch.from_arrays(columns + made, names=names + [f.name for f in wanted])
+            del batch, made, columns
+        run = None
+        release()
 
     return df.mapInArrow(work, schema)
 

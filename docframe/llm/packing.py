@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.arrowmap import shared_dir, to_arrow, written
+from docframe.llm.arrowmap import release, shared_dir, to_arrow, written
 from docframe.llm.wordbpe import WordBpe
 
 CAPACITY = 4096
@@ -228,6 +228,8 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity:
             seen += np.bincount(length, minlength=capacity + 1)
             columns = [batch.column(0).take(pa.array(parents, pa.int64())), *(pa.array(x, f.type) for x, f in zip([*made, np.full(len(length), task), nth], list(schema)[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        del encoder
+        release()
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(work, out)
 

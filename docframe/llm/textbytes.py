@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (whole documents; a longer document makes a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes that are hashed at once.
 HASH_BYTES = 1 << 20
 
