@@ -9,7 +9,7 @@ from docframe.operators import lines as L
 from docframe.operators import verify as V
 from docframe.operators import words as W
 from docframe.plans import derived as D
-from docframe.plans.registry import Register, rows
+from docframe.plans.registry import Register, over, rows
 
 register = Register()
 
@@ -115,7 +115,7 @@ def numeric_comparison(spark, sf_dir):
     return parts.select("doc_id", X.comparison_status(F.col("other"), F.col("a"), F.col("b")).alias("status"))
 
 
-_KINDS = "(VALUES (1, 'Идентификационный код ИКЗ 123'), (2, 'Контракт № 45'), (3, 'ИНН 7701'), (4, 'р/с 40702810'), (5, 'Протокол 12'), (6, 'цена 100 руб'), (7, 'plain 1234567'), (8, 'АКТ 5'), (9, 'Договор и ИНН')) t(id, line)"
+_KINDS = over("(VALUES (1, 'Идентификационный код ИКЗ 123'), (2, 'Контракт № 45'), (3, 'ИНН 7701'), (4, 'р/с 40702810'), (5, 'Протокол 12'), (6, 'цена 100 руб'), (7, 'plain 1234567'), (8, 'АКТ 5'), (9, 'Договор и ИНН')) t(id, line)")
 
 
 @register(
@@ -125,7 +125,7 @@ _KINDS = "(VALUES (1, 'Идентификационный код ИКЗ 123'), (
     FROM (SELECT id, lower(line) AS l FROM {_KINDS})"""
 )
 def line_kinds_of_numbers(spark, sf_dir):
-    return rows(spark, _KINDS).select("id", X.line_kind("line").alias("kind"))
+    return rows(spark, _KINDS, sf_dir).select("id", X.line_kind("line").alias("kind"))
 
 
 _TOKENS = r"regexp_extract_all(text, '[0-9]+')"
@@ -186,7 +186,7 @@ def verification(spark, sf_dir):
     return V.verify(docs, "text", "other", "doc_id")
 
 
-_GATES = "(VALUES (1, 'all', true, 'pass', true, 'x'), (2, 'suspicious', true, 'pass', true, 'x'), (3, 'suspicious', true, 'review', false, 'x'), (4, 'suspicious', true, 'pass', false, 'x'), (5, 'suspicious', false, NULL, NULL, ' '), (6, 'suspicious', false, NULL, NULL, 'x'), (7, 'suspicious', true, '', false, 'x'), (8, 'suspicious', true, 'error', true, 'x')) t(id, scope, has_v, state, verified, text)"
+_GATES = over("(VALUES (1, 'all', true, 'pass', true, 'x'), (2, 'suspicious', true, 'pass', true, 'x'), (3, 'suspicious', true, 'review', false, 'x'), (4, 'suspicious', true, 'pass', false, 'x'), (5, 'suspicious', false, NULL, NULL, ' '), (6, 'suspicious', false, NULL, NULL, 'x'), (7, 'suspicious', true, '', false, 'x'), (8, 'suspicious', true, 'error', true, 'x')) t(id, scope, has_v, state, verified, text)")
 
 
 @register(
@@ -196,7 +196,7 @@ _GATES = "(VALUES (1, 'all', true, 'pass', true, 'x'), (2, 'suspicious', true, '
 )
 def needs_review_reason(spark, sf_dir):
     gate = V.second_pass_gate(*[F.col(c) for c in ("scope", "has_v", "state", "verified", "text")])
-    return rows(spark, _GATES).select("id", gate.alias("g")).select("id", "g.run", "g.reason")
+    return rows(spark, _GATES, sf_dir).select("id", gate.alias("g")).select("id", "g.run", "g.reason")
 
 
 @register(f"SELECT doc_id, count(*) AS n_words, round(avg(confidence), 4) AS mean_confidence, round(avg(CASE WHEN confidence < 0.7 THEN 1.0 ELSE 0.0 END), 4) AS low_share FROM {D.WORDS} GROUP BY doc_id")
@@ -251,7 +251,8 @@ _RECTS = "(VALUES (1, 0, 0, 400, 100), (2, 300, 20, 500, 300), (3, 0, 250, 2000,
 @register(f"SELECT rect, doc_id, count(*) AS n, sum(x)::BIGINT AS sum_x FROM {D.WORDS} JOIN {_RECTS} ON x + w / 2.0 BETWEEN rx + 1 AND rx + rw - 1 AND y + h / 2.0 BETWEEN ry + 1 AND ry + rh - 1 GROUP BY ALL")
 def words_in_rect(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    rects = docs.select("doc_id").join(F.broadcast(rows(spark, _RECTS)))
+    rect = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("rect", "rx", "ry", "rw", "rh"), r, strict=True)]) for r in ((1, 0, 0, 400, 100), (2, 300, 20, 500, 300), (3, 0, 250, 2000, 40))]
+    rects = docs.select("doc_id", F.explode(F.array(*rect)).alias("r")).select("doc_id", "r.*")
     return W.words_in(D.words(docs), rects, inset=1.0).groupBy("rect", "doc_id").agg(F.count("*").alias("n"), F.sum("x").cast("long").alias("sum_x"))
 
 
@@ -260,7 +261,16 @@ def anchor_unique_tokens(spark, sf_dir):
     return W.unique_anchors(_words(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("anchors"), F.sum(F.length("token")).alias("chars"))
 
 
-@register()
+_FOLD = "regexp_replace(translate(replace(lower({x}), 'ß', 'ss'), 'ё', 'е'), '[^0-9a-zа-я]+', '', 'g')"
+
+
+@register(
+    f"""WITH t AS (SELECT doc_id, min(x) AS x, min(y) AS y, min(w) AS w, min(h) AS h, token FROM (SELECT *, {_FOLD.format(x="text")} AS token FROM {D.WORDS}) WHERE token <> '' GROUP BY doc_id, token HAVING count(*) = 1),
+    c AS (SELECT DISTINCT doc_id, line_pos, {_FOLD.format(x="x")} AS token FROM (SELECT doc_id, line_pos, unnest(regexp_extract_all(line, '[0-9A-Za-zА-Яа-яЁё]+')) AS x FROM {D.LINES})),
+    b AS (SELECT doc_id, line_pos AS cell_id, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1, count(*) AS anchors, max(length(token)) AS longest FROM c JOIN t USING (doc_id, token) GROUP BY ALL),
+    p AS (SELECT *, greatest(3.0::DOUBLE, (x1 - x0) * 0.03::DOUBLE) AS px, greatest(3.0::DOUBLE, (y1 - y0) * 0.12::DOUBLE) AS py FROM b WHERE anchors >= 2 OR longest >= 10)
+    SELECT doc_id, cell_id, trunc(greatest(0.0::DOUBLE, x0 - px))::INT AS x, trunc(greatest(0.0::DOUBLE, y0 - py))::INT AS y, trunc(x1 - x0 + px * 2)::INT AS w, trunc(y1 - y0 + py * 2)::INT AS h, anchors FROM p"""
+)
 def anchor_boxes(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     cells = D.lines(docs).select("doc_id", F.col("line_pos").alias("cell_id"), F.col("line").alias("text"))
@@ -273,13 +283,13 @@ def grouped_lines(spark, sf_dir):
     return W.group_lines(words).groupBy("doc_id", "line_no").agg(F.count("*").alias("n"), F.min("y").alias("top"))
 
 
-_TRUST = "(VALUES (1, 'provider_native', NULL, NULL), (2, 'physical_grid_verified', 0.7, NULL), (3, 'physical_grid_verified', 0.6, NULL), (4, 'tesseract_native_alignment', 0.95, 1), (5, 'tesseract_native_alignment', 0.95, 0), (6, 'other', 1.0, 5)) t(id, origin, confidence, anchors)"
+_TRUST = over("(VALUES (1, 'provider_native', NULL, NULL), (2, 'physical_grid_verified', 0.7, NULL), (3, 'physical_grid_verified', 0.6, NULL), (4, 'tesseract_native_alignment', 0.95, 1), (5, 'tesseract_native_alignment', 0.95, 0), (6, 'other', 1.0, 5)) t(id, origin, confidence, anchors)")
 
 
 @register(f"SELECT id, coalesce(origin = 'provider_native' OR (origin = 'physical_grid_verified' AND confidence >= 0.70) OR (origin = 'tesseract_native_alignment' AND confidence >= 0.90 AND anchors >= 1), false) AS trusted FROM {_TRUST}")
 def cell_trust(spark, sf_dir):
     box = F.array(*[F.lit(v) for v in (0, 0, 5, 5)])
-    return rows(spark, _TRUST).select("id", W.cell_is_trusted(box, F.col("origin"), F.col("confidence"), F.col("anchors")).alias("trusted"))
+    return rows(spark, _TRUST, sf_dir).select("id", W.cell_is_trusted(box, F.col("origin"), F.col("confidence"), F.col("anchors")).alias("trusted"))
 
 
 _QUALITY = """(SELECT doc_id, len(regexp_extract_all({x}, '[A-Za-z]')) / greatest(1, length({x})) AS latin, len(regexp_extract_all({x}, '!{{3,}}')) AS punct FROM documents)"""
@@ -293,7 +303,7 @@ def raw_clean_pivot(spark, sf_dir):
     return wide.where("raw IS NOT NULL AND clean IS NOT NULL").select("doc_id", F.round("raw", 6).alias("raw_latin"), F.round("clean", 6).alias("clean_latin"))
 
 
-_VERDICTS = "(VALUES (1, 0.5, 0.51, 0.0, 0.0, 3, 1, 0, 0, 0.8, 0.9, 0.2, 0.1), (2, 0.5, 0.4, 0.0, 0.1, 0, 0, 0, 1, NULL, NULL, NULL, NULL), (3, 0.5, 0.502, 0.0, 0.0, 0, 0, 0, 0, 0.5, 0.4, 0.3, 0.2)) t(id, c0, c1, s0, s1, r0, r1, f0, f1, a0, a1, l0, l1)"
+_VERDICTS = over("(VALUES (1, 0.5, 0.51, 0.0, 0.0, 3, 1, 0, 0, 0.8, 0.9, 0.2, 0.1), (2, 0.5, 0.4, 0.0, 0.1, 0, 0, 0, 1, NULL, NULL, NULL, NULL), (3, 0.5, 0.502, 0.0, 0.0, 0, 0, 0, 0, 0.5, 0.4, 0.3, 0.2)) t(id, c0, c1, s0, s1, r0, r1, f0, f1, a0, a1, l0, l1)")
 _WIN = lambda a, b, least: f"CASE WHEN {b} - {a} > {least} THEN 1 WHEN {b} - {a} < -{least} THEN -1 ELSE 0 END"
 _SCORE = " + ".join(f"coalesce({_WIN(a, b, t)}, 0)" for a, b, t in (("c0", "c1", 0.005), ("s1", "s0", 0.0005), ("r1", "r0", 0.0), ("f1", "f0", 0.0), ("a0", "a1", 0.005), ("l1", "l0", 0.005)))
 
@@ -301,11 +311,11 @@ _SCORE = " + ".join(f"coalesce({_WIN(a, b, t)}, 0)" for a, b, t in (("c0", "c1",
 @register(f"SELECT id, CASE WHEN s > 0 THEN 'clean better' WHEN s < 0 THEN 'raw better' ELSE 'mixed' END AS verdict FROM (SELECT id, {_SCORE} AS s FROM {_VERDICTS})")
 def quality_verdict(spark, sf_dir):
     names = [m[0] for m in V.WEIGHED]
-    t = rows(spark, _VERDICTS)
+    t = rows(spark, _VERDICTS, sf_dir)
     return t.select("id", *[F.col(f"{k}{i}").alias(f"{p}_{n}") for k, n in zip("csrfal", names, strict=True) for i, p in ((0, "raw"), (1, "clean"))]).select("id", V.verdict().alias("verdict"))
 
 
-_DECIDE = "(VALUES (1, 'Договор аренды', ''), (2, '', 'x'), (3, 'Straße', 'STRASSE'), (4, '12.5', '12,5'), (5, '12', '13'), (6, 'abcdefgh', 'ab'), (7, 'Общество с ограниченной ответственностью ромашка', 'Общество с ограниченной ответст'), (8, 'Договор', 'Dogovor'), (9, 'other words here', 'other words there')) t(id, a, b)"
+_DECIDE = over("(VALUES (1, 'Договор аренды', ''), (2, '', 'x'), (3, 'Straße', 'STRASSE'), (4, '12.5', '12,5'), (5, '12', '13'), (6, 'abcdefgh', 'ab'), (7, 'Общество с ограниченной ответственностью ромашка', 'Общество с ограниченной ответст'), (8, 'Договор', 'Dogovor'), (9, 'other words here', 'other words there')) t(id, a, b)")
 _NO = r"^[\s\d.,%+\-–—/()№]+$"
 _CAN = r"list_transform(regexp_extract_all({x}, '\d[\d\s.,]*'), lambda v: regexp_replace(v, '[\s.,]', '', 'g'))"
 
@@ -317,15 +327,15 @@ _CAN = r"list_transform(regexp_extract_all({x}, '\d[\d\s.,]*'), lambda v: regexp
     WHEN len(regexp_extract_all(a, '[А-Яа-яЁё]')) > 0 AND len(regexp_extract_all(b, '[А-Яа-яЁё]')) < greatest(1, floor(len(regexp_extract_all(a, '[А-Яа-яЁё]')) * 0.25)) THEN 'cyrillic_loss' END AS reason FROM {_DECIDE}"""
 )
 def decision_prefilter(spark, sf_dir):
-    return rows(spark, _DECIDE).select("id", X.prefix_conditions(F.col("a"), F.col("b")).alias("reason"))
+    return rows(spark, _DECIDE, sf_dir).select("id", X.prefix_conditions(F.col("a"), F.col("b")).alias("reason"))
 
 
-_NEAR = "(VALUES (1, '10 20', '10 201'), (2, '10', '10 20'), (3, '5', '6'), (4, '', ''), (5, '1.250,5', '12505')) t(id, a, b)"
+_NEAR = over("(VALUES (1, '10 20', '10 201'), (2, '10', '10 20'), (3, '5', '6'), (4, '', ''), (5, '1.250,5', '12505')) t(id, a, b)")
 
 
 @register(f"SELECT id, len(x) > 0 AND len(x) = len(y) AND len(list_filter(list_zip(x, y), lambda p: NOT (p[1] = p[2] OR p[2] = p[1] || '1'))) = 0 AS near FROM (SELECT id, {_CAN.format(x='a')} AS x, {_CAN.format(x='b')} AS y FROM (SELECT id, replace(a, ' ', ';') AS a, replace(b, ' ', ';') AS b FROM {_NEAR}))")
 def near_equal_numbers(spark, sf_dir):
-    t = rows(spark, _NEAR).select("id", F.replace("a", F.lit(" "), F.lit(";")).alias("a"), F.replace("b", F.lit(" "), F.lit(";")).alias("b"))
+    t = rows(spark, _NEAR, sf_dir).select("id", F.replace("a", F.lit(" "), F.lit(";")).alias("a"), F.replace("b", F.lit(" "), F.lit(";")).alias("b"))
     return t.select("id", X.near_equal_numbers(X.canonical_numbers("a"), X.canonical_numbers("b")).alias("near"))
 
 
@@ -339,36 +349,41 @@ def semantic_normal(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.semantic_normal("text").alias("normal"))
 
 
-_FLAGS = "(VALUES (1, 'Чистый русский текст без ошибок'), (2, 'Текcт с латинской буквой в слове'), (3, 'Плохой � знак в тексте документа'), (4, 'short'), (5, ''), (6, 'РџСЂРёРІРµС‚ and more text here')) t(id, text)"
+_FLAGS = over("(VALUES (1, 'Чистый русский текст без ошибок'), (2, 'Текcт с латинской буквой в слове'), (3, 'Плохой � знак в тексте документа'), (4, 'short'), (5, ''), (6, 'РџСЂРёРІРµС‚ and more text here')) t(id, text)")
 
 
-@register()
+@register(
+    rf"""SELECT id, array_to_string(list_filter([CASE WHEN contains(text, '�') THEN 'replacement_character' END,
+    CASE WHEN len(list_filter(['Рџ', 'Рё', 'Рµ', 'Р°', 'РЅ', 'С‚', 'СЂ', 'СЏ'], lambda m: contains(text, m))) >= 3 THEN 'probable_mojibake' END,
+    CASE WHEN len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_-]+'), lambda w: regexp_matches(w, '(?i)[а-яё]') AND regexp_matches(w, '(?i)[a-z]'))) > 0 THEN 'mixed_latin_cyrillic' END,
+    CASE WHEN length(text) BETWEEN 1 AND 19 THEN 'suspiciously_short' END], lambda f: f IS NOT NULL), ',') AS flags FROM {_FLAGS}"""
+)
 def quality_flags(spark, sf_dir):
-    return rows(spark, _FLAGS).select("id", F.array_join(X.quality_flags("text"), ",").alias("flags"))
+    return rows(spark, _FLAGS, sf_dir).select("id", F.array_join(X.quality_flags("text"), ",").alias("flags"))
 
 
-_CELLS = "(VALUES (1, 'COBET'), (2, 'дого- вор'), (3, '| 12 _'), (4, 'Text  here')) t(id, text)"
+_CELLS = over("(VALUES (1, 'COBET'), (2, 'дого- вор'), (3, '| 12 _'), (4, 'Text  here')) t(id, text)")
 
 
-@register()
+@register(f"SELECT id, CASE id % 4 WHEN 0 THEN 'СОВЕТ' WHEN 1 THEN 'дого- вор' WHEN 2 THEN '12' ELSE 'Text here' END AS text FROM {_CELLS}")
 def physical_cells(spark, sf_dir):
-    return rows(spark, _CELLS).select("id", X.physical_cell("text").alias("text"))
+    return rows(spark, _CELLS, sf_dir).select("id", X.physical_cell("text").alias("text"))
 
 
-_ENTRIES = "(VALUES (1, 1234.5), (2, 0.0), (3, 0.12345), (4, 99.5), (5, 12.0), (6, NULL)) t(id, v)"
+_ENTRIES = over("(VALUES (1, 1234.5), (2, 0.0), (3, 0.12345), (4, 99.5), (5, 12.0), (6, NULL)) t(id, v)")
 
 
 @register(f"SELECT id, CASE WHEN v IS NULL THEN 'n/a' WHEN v = 0 THEN '0' WHEN abs(v) >= 100 THEN printf('%.0f', v::DOUBLE) ELSE regexp_replace(printf('%.4f', v::DOUBLE), '\\.?0+$', '') END AS shown FROM {_ENTRIES}")
 def number_text(spark, sf_dir):
-    return rows(spark, _ENTRIES).select("id", X.number_text(F.col("v").cast("double")).alias("shown"))
+    return rows(spark, _ENTRIES, sf_dir).select("id", X.number_text(F.col("v").cast("double")).alias("shown"))
 
 
-_FLOATS = "(VALUES (1, '12.5'), (2, ' 3 '), (3, 'x'), (4, NULL), (5, 'NaN')) t(id, v)"
+_FLOATS = over("(VALUES (1, '12.5'), (2, ' 3 '), (3, 'x'), (4, NULL), (5, 'NaN')) t(id, v)")
 
 
 @register(f"SELECT id, CASE WHEN isnan(TRY_CAST(trim(v) AS DOUBLE)) THEN -1.0 ELSE coalesce(TRY_CAST(trim(v) AS DOUBLE), -1.0) END::DOUBLE AS value FROM {_FLOATS}")
 def safe_float(spark, sf_dir):
-    return rows(spark, _FLOATS).select("id", X.safe_float("v").alias("value"))
+    return rows(spark, _FLOATS, sf_dir).select("id", X.safe_float("v").alias("value"))
 
 
 QUERIES, ORACLES = register.queries, register.oracles

@@ -8,22 +8,25 @@ from docframe.functions import text as X
 from docframe.operators import markdown as M
 from docframe.operators import words as W
 from docframe.plans import derived as D
-from docframe.plans.registry import Register, rows
+from docframe.plans.registry import Register, over, rows
 
 register = Register()
 
-#: A small Markdown document, line by line, that both engines read.
-_MD_LINES = ["# Title", "", "## Part one", "Intro text", "more text", "| a | b |", "| --- | --- |", "| 1 | 2 |", "### Sub", "1. first", "2) second", "- item", "* other", "| x | y |", "", "## Part two", "```", "code | here", "```", "__wrapped__", "tail"]
-_MD = "(VALUES " + ", ".join(f"(1, {i + 1}, '{x}')" for i, x in enumerate(_MD_LINES)) + ") t(doc_id, line_no, line)"
+#: The shapes that the lines of a text are given in turn, so that every document becomes a Markdown document (% is the line's beginning).
+_SHAPES = ("# %", "", "## %", "Intro %", "more %", "| a | % |", "| --- | --- |", "| 1 | % |", "### %", "1. %", "2) %", "- %", "* %", "| % | y |", "", "## Part %", "```", "code | %", "```", "__%__", "tail %")
+_MD = "(SELECT doc_id, line_pos + 1 AS line_no, replace(list_extract([" + ", ".join(f"'{x}'" for x in _SHAPES) + f"], CAST((line_pos + doc_id) % {len(_SHAPES)} AS INT) + 1), '%', regexp_replace(left(line, 12), '[^A-Za-z0-9 ]', '', 'g')) AS line FROM {D.LINES})"
 
 
-def _md(spark):
-    return rows(spark, _MD)
+def _md(spark, sf_dir):
+    begin = F.regexp_replace(F.left("line", F.lit(12)), "[^A-Za-z0-9 ]", "")
+    shape = F.element_at(F.array(*map(F.lit, _SHAPES)), ((F.col("line_pos") + F.col("doc_id")) % len(_SHAPES)).cast("int") + 1)
+    lines = D.lines(D.table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", (F.col("line_pos") + 1).alias("line_no"), F.replace(shape, F.lit("%"), begin).alias("line"))
 
 
 @register(r"SELECT doc_id, line_no, CASE WHEN starts_with(line, '### ') THEN 3 ELSE 2 END AS level, trim(regexp_extract(line, '^#{2,3}\s+(.+)$', 1)) AS title FROM " + _MD + r" WHERE regexp_matches(line, '^#{2,3}\s+.+$')")
 def md_headings(spark, sf_dir):
-    return M.headings(_md(spark)).select("doc_id", "line_no", "level", "title")
+    return M.headings(_md(spark, sf_dir)).select("doc_id", "line_no", "level", "title")
 
 
 @register(
@@ -36,7 +39,7 @@ def md_headings(spark, sf_dir):
     FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id, island) AS e FROM d) GROUP BY doc_id, island"""
 )
 def md_table_blocks(spark, sf_dir):
-    return M.table_blocks(_md(spark))
+    return M.table_blocks(_md(spark, sf_dir))
 
 
 _KIND = r"""CASE WHEN starts_with(s, '|') THEN CASE WHEN contains(s, '---') THEN 'table_separator' ELSE 'table' END WHEN s = '' THEN 'blank' WHEN starts_with(s, '# ') THEN 'heading1' WHEN starts_with(s, '## ') THEN 'heading2' WHEN starts_with(s, '### ') THEN 'heading3'
@@ -46,7 +49,7 @@ _STRIPPED = rf"(SELECT doc_id, line_no, line, trim(regexp_replace(rtrim(line), '
 
 @register(f"SELECT doc_id, line_no, {_KIND} AS kind FROM {_STRIPPED}")
 def md_line_kinds(spark, sf_dir):
-    return _md(spark).select("doc_id", "line_no", M.line_kinds(F.col("line")).alias("kind"))
+    return _md(spark, sf_dir).select("doc_id", "line_no", M.line_kinds(F.col("line")).alias("kind"))
 
 
 @register(
@@ -56,17 +59,17 @@ def md_line_kinds(spark, sf_dir):
     SELECT doc_id, block::BIGINT AS block, min(kind) AS kind, string_agg(trim(line), '/' ORDER BY line_no) AS content FROM b WHERE kind <> 'blank' AND raw <> 'table_separator' GROUP BY doc_id, block"""
 )
 def md_blocks(spark, sf_dir):
-    return M.blocks(_md(spark)).select("doc_id", "block", "kind", F.array_join("lines", "/").alias("content"))
+    return M.blocks(_md(spark, sf_dir)).select("doc_id", "block", "kind", F.array_join("lines", "/").alias("content"))
 
 
 @register(rf"""SELECT doc_id, slide, count(*) AS n FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,3}}\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS slide FROM {_MD}) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '|') GROUP BY ALL""")
 def md_slides(spark, sf_dir):
-    return M.slides(_md(spark)).groupBy("doc_id", "slide").agg(F.count("*").alias("n"))
+    return M.slides(_md(spark, sf_dir)).groupBy("doc_id", "slide").agg(F.count("*").alias("n"))
 
 
 @register(f"SELECT doc_id, line_no, n % 2 = 1 AS is_code FROM (SELECT *, sum(CASE WHEN starts_with(trim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM {_MD}) WHERE NOT starts_with(trim(line), '```')")
 def md_code_lines(spark, sf_dir):
-    return M.fenced(_md(spark)).select("doc_id", "line_no", "is_code")
+    return M.fenced(_md(spark, sf_dir)).select("doc_id", "line_no", "is_code")
 
 
 @register("SELECT doc_id, replace(replace(replace(text, '|', chr(92) || '|'), chr(13), ' '), chr(10), '<br>') AS exported, replace(trim(replace(replace(text, chr(13), ' '), chr(10), ' ')), '|', chr(92) || '|') AS extracted FROM documents")
@@ -84,7 +87,7 @@ def md_normalize(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").select("doc_id", X.normalize_markdown("text").alias("text"))
 
 
-_CSV = "(VALUES (1, 'a,b,c\n1,2\n\n x|y ,z'), (2, ''), (3, 'one')) t(id, text)"
+_CSV = over("(VALUES (1, 'a,b,c\n1,2\n\n x|y ,z'), (2, ''), (3, 'one')) t(id, text)")
 
 
 @register(
@@ -94,7 +97,7 @@ _CSV = "(VALUES (1, 'a,b,c\n1,2\n\n x|y ,z'), (2, ''), (3, 'one')) t(id, text)"
     SELECT id, CASE WHEN len(lines) > 0 THEN array_to_string(list_concat([lines[1]], list_concat(['| ' || array_to_string(list_resize(['---'], n, '---'), ' | ') || ' |'], lines[2:])), chr(10)) ELSE '' END AS md FROM l"""
 )
 def csv_to_md(spark, sf_dir):
-    return rows(spark, _CSV).select("id", M.csv_table(F.col("text")).alias("md"))
+    return rows(spark, _CSV, sf_dir).select("id", M.csv_table(F.col("text")).alias("md"))
 
 
 @register(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")

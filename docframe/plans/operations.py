@@ -10,11 +10,11 @@ from docframe.operators import geometry as G
 from docframe.operators import lines as L
 from docframe.operators import numeric as N
 from docframe.plans import derived as D
-from docframe.plans.registry import Register, rows
+from docframe.plans.registry import Register, over, rows
 
 register = Register()
 
-_SPECS = "(VALUES (1, 'all', 3), (2, '2-4,7', 6), (3, '3;1 2', 5), (4, '', 2), (5, '9-12', 10), (6, 'все', 2), (7, '5-2', 9), (8, '*', 1), (9, '0,1', 4)) t(id, spec, total)"
+_SPECS = over("(VALUES (1, 'all', 3), (2, '2-4,7', 6), (3, '3;1 2', 5), (4, '', 2), (5, '9-12', 10), (6, 'все', 2), (7, '5-2', 9), (8, '*', 1), (9, '0,1', 4)) t(id, spec, total)")
 
 
 @register(
@@ -26,7 +26,7 @@ _SPECS = "(VALUES (1, 'all', 3), (2, '2-4,7', 6), (3, '3;1 2', 5), (4, '', 2), (
 )
 def page_spec(spark, sf_dir):
     pages = C.pages(F.col("spec"), F.col("total"))
-    return rows(spark, _SPECS).select("id", F.array_join(F.array_sort(F.transform(pages, lambda p: p.cast("string"))), ",").alias("pages"))
+    return rows(spark, _SPECS, sf_dir).select("id", F.array_join(F.array_sort(F.transform(pages, lambda p: p.cast("string"))), ",").alias("pages"))
 
 
 _KEY = "(CASE WHEN trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') = '' THEN 'document' ELSE trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') END || '_page_' || lpad((page_id + 1)::VARCHAR, 4, '0'))"
@@ -72,20 +72,20 @@ def cache_hit_miss(spark, sf_dir):
     return hits.select("doc_id", "key", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", "key", F.lit(False).alias("hit")))
 
 
-_CACHE = "(VALUES ('a', 10, 5), ('b', 20, 9), ('c', 30, NULL), ('d', 15, 7), ('e', 25, 7)) t(key, bytes, accessed)"
+_CACHE = "(SELECT CAST(event_id AS VARCHAR(20)) AS key, event_id % 50 + 1 AS bytes, CASE WHEN event_id % 9 > 0 THEN user_id END AS accessed FROM events) t"
 
 
-@register(f"SELECT key, bytes, accessed FROM (SELECT *, sum(bytes) OVER (ORDER BY coalesce(accessed, 0) DESC, key DESC) AS k FROM {_CACHE}) WHERE k > 50")
+@register(f"SELECT key, bytes, accessed FROM (SELECT *, sum(bytes) OVER (ORDER BY coalesce(accessed, 0) DESC, key DESC) AS k FROM {_CACHE}) WHERE k > 5000")
 def lru_evict(spark, sf_dir):
-    return C.evicted(rows(spark, _CACHE), 50)
+    return C.evicted(rows(spark, _CACHE, sf_dir), 5000)
 
 
-_PARAMS = "(VALUES (1, 'model', 'm1'), (1, 'api_key', 'abc'), (2, 'Token', 't'), (2, 'dpi', '300'), (3, 'password_file', 'p')) t(id, name, value)"
+_PARAMS = "(SELECT event_id AS id, 'api_key' AS name, event_type AS value FROM events UNION ALL SELECT event_id, 'model', props FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'Token_x', props FROM events WHERE event_id % 3 = 0) t"
 
 
 @register(f"SELECT id, string_agg(name || '=' || CASE WHEN regexp_matches(name, '(?i)key|token|secret|password') THEN '[redacted]' ELSE value END, ';' ORDER BY name) AS params FROM {_PARAMS} GROUP BY id")
 def redact_params(spark, sf_dir):
-    maps = rows(spark, _PARAMS).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m")).select("id", C.redacted(F.col("m")).alias("m"))
+    maps = rows(spark, _PARAMS, sf_dir).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m")).select("id", C.redacted(F.col("m")).alias("m"))
     pairs = F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return maps.select("id", F.array_join(pairs, ";").alias("params"))
 
@@ -103,7 +103,7 @@ def profile_resolve(spark, sf_dir):
     runs = D.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("profile"), F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 3).cast("int")).alias("sr_scale"),
         F.when(F.col("event_id") % 7 == 0, "strong").alias("denoise"), F.when(F.col("event_id") % 2 == 0, "png").otherwise("jpeg").alias("source_format"))
-    return C.resolved_profile(runs, rows(spark, _PROFILES), {"sr_scale": 2, "denoise": "weak", "dpi": 300}).drop("profile")
+    return C.resolved_profile(runs, rows(spark, _PROFILES, sf_dir), {"sr_scale": 2, "denoise": "weak", "dpi": 300}).drop("profile")
 
 
 @register(
@@ -121,20 +121,20 @@ def conditions_eval(spark, sf_dir):
     return df.select("event_id", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
 
 
-_PATHS = "(VALUES (1, 'docs/a.pdf'), (2, 'MD/x/y.md'), (3, 'docs/'), (4, 'other/docs/a'), (5, 'md')) t(id, path)"
+_PATHS = over("(VALUES (1, 'docs/a.pdf'), (2, 'MD/x/y.md'), (3, 'docs/'), (4, 'other/docs/a'), (5, 'md')) t(id, path)")
 
 
 @register(f"SELECT id, CASE WHEN regexp_matches(path, '^(?i:docs|md)/.') THEN regexp_replace(path, '^(?i:docs|md)/', '') ELSE path END AS path FROM {_PATHS}")
 def rel_path(spark, sf_dir):
-    return rows(spark, _PATHS).select("id", C.relative_path(F.col("path")).alias("path"))
+    return rows(spark, _PATHS, sf_dir).select("id", C.relative_path(F.col("path")).alias("path"))
 
 
-_OPTIONS = "(VALUES (1, 'GPT-4', true, true), (2, 'gpt-4', true, true), (3, 'vision', false, true), (4, 'Text', true, false), (5, 'VISION', true, true)) t(ord, value, image, text)"
+_OPTIONS = over("(VALUES (1, 'GPT-4', true, true), (2, 'gpt-4', true, true), (3, 'vision', false, true), (4, 'Text', true, false), (5, 'VISION', true, true)) t(ord, value, image, text)")
 
 
 @register(f"SELECT ord, value FROM (SELECT *, row_number() OVER (PARTITION BY lower(value) ORDER BY ord) AS r FROM {_OPTIONS}) WHERE r = 1")
 def options_dedupe(spark, sf_dir):
-    return C.first_of_each(rows(spark, _OPTIONS), F.lower("value"), "ord").select("ord", "value")
+    return C.first_of_each(rows(spark, _OPTIONS, sf_dir), F.lower("value"), "ord").select("ord", "value")
 
 
 @register(
@@ -236,12 +236,12 @@ def log_tone(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").select("doc_id", C.log_tone(line).alias("tone"))
 
 
-_SEARCH = "(VALUES (1, 'ocr page', 'Page count', 'OCR'), (2, 'missing', 'Page', 'OCR'), (3, ' ', 'a', 'b')) t(id, query, label, value)"
+_SEARCH = over("(VALUES (1, 'ocr page', 'Page count', 'OCR'), (2, 'missing', 'Page', 'OCR'), (3, ' ', 'a', 'b')) t(id, query, label, value)")
 
 
 @register(f"SELECT id, len(list_filter(list_filter(string_split(lower(trim(query)), ' '), lambda w: w <> ''), lambda w: NOT contains(lower(label || ' ' || value), w))) = 0 AS found FROM {_SEARCH}")
 def search_and_words(spark, sf_dir):
-    return rows(spark, _SEARCH).select("id", C.matches_all_words(F.col("query"), F.col("label"), F.col("value")).alias("found"))
+    return rows(spark, _SEARCH, sf_dir).select("id", C.matches_all_words(F.col("query"), F.col("label"), F.col("value")).alias("found"))
 
 
 @register("SELECT url AS path, count(*)::BIGINT AS count, max(page_id) AS last_used, bool_or(page_id % 10 = 0) AS pinned FROM pages GROUP BY url ORDER BY pinned DESC, count DESC, last_used DESC, path LIMIT 100")
@@ -250,16 +250,16 @@ def history_top100(spark, sf_dir):
     return C.merged_history(h).select("path", "count", "last_used", "pinned")
 
 
-_PLACED, _KNOWN = "(VALUES ('a'), ('b'), ('zz')) p(id)", "(VALUES ('a'), ('b'), ('c')) k(id)"
+_PLACED, _KNOWN = "(SELECT DISTINCT concat('f', user_id) AS id FROM events WHERE event_id % 3 = 0) p", "(SELECT concat('f', c_custkey) AS id FROM customer WHERE c_custkey < 90) k"
 
 
 @register(f"SELECT id, 'unknown' AS problem FROM {_PLACED} WHERE id NOT IN (SELECT id FROM {_KNOWN}) UNION ALL SELECT id, 'missing' FROM {_KNOWN} WHERE id NOT IN (SELECT id FROM {_PLACED})")
 def layout_problems(spark, sf_dir):
-    placed, known = rows(spark, _PLACED), rows(spark, _KNOWN)
+    placed, known = rows(spark, _PLACED, sf_dir), rows(spark, _KNOWN, sf_dir)
     return placed.join(known, "id", "left_anti").withColumn("problem", F.lit("unknown")).unionByName(known.join(placed, "id", "left_anti").withColumn("problem", F.lit("missing")))
 
 
-_ITEMS = "(VALUES (1, 1, 'low', true), (1, 2, 'low', false), (1, 3, 'ocr_engine_missing', true), (1, 4, 'wide', true), (1, 5, 'wide', true), (2, 6, 'low', true)) t(run_id, item_id, kind, has_crop)"
+_ITEMS = "(SELECT user_id AS run_id, event_id AS item_id, CASE WHEN event_id % 7 = 0 THEN 'ocr_engine_missing' ELSE event_type END AS kind, event_id % 5 > 0 AS has_crop FROM events) t"
 
 
 @register(
@@ -267,10 +267,10 @@ _ITEMS = "(VALUES (1, 1, 'low', true), (1, 2, 'low', false), (1, 3, 'ocr_engine_
     FROM (SELECT *, sum(CASE WHEN has_crop AND kind <> 'ocr_engine_missing' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY item_id) AS n FROM {_ITEMS})"""
 )
 def resolver_status(spark, sf_dir):
-    return L.resolver_queue(rows(spark, _ITEMS), 2).select("run_id", "item_id", "status")
+    return L.resolver_queue(rows(spark, _ITEMS, sf_dir), 2).select("run_id", "item_id", "status")
 
 
-_PROJ = "(VALUES (1, 10), (1, 11), (1, 13), (1, 40), (1, 44), (1, 50), (2, 7)) t(region, pos)"
+_PROJ = "(SELECT DISTINCT user_id AS region, event_id % 400 AS pos FROM events) t"
 
 
 @register(
@@ -278,15 +278,15 @@ _PROJ = "(VALUES (1, 10), (1, 11), (1, 13), (1, 40), (1, 44), (1, 50), (2, 7)) t
     FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY region ORDER BY pos) > 5 THEN 1 ELSE 0 END AS f FROM {_PROJ})) GROUP BY region, g"""
 )
 def physical_line_centers(spark, sf_dir):
-    return G.line_centers(rows(spark, _PROJ))
+    return G.line_centers(rows(spark, _PROJ, sf_dir))
 
 
-_COMPS = "(VALUES (1, 0, 0), (1, 0, 1), (2, 1, 0), (2, 2, 1), (3, 0, 0), (3, 0, 1), (3, 1, 0), (3, 1, 1)) t(component, row, col)"
+_COMPS = "(SELECT DISTINCT user_id AS component, event_id % 3 AS row, event_id % 4 AS col FROM events WHERE event_id % 5 < 2) t"
 
 
 @register(f"SELECT component, (max(row) - min(row) + 1) * (max(col) - min(col) + 1) = count(DISTINCT (row, col)) AS rectangular FROM {_COMPS} GROUP BY component")
 def rectangularity(spark, sf_dir):
-    return G.rectangular(rows(spark, _COMPS))
+    return G.rectangular(rows(spark, _COMPS, sf_dir))
 
 
 @register("SELECT doc_id, sha256(text) AS sha, left(sha256(text), 24) AS document_id, strlen(text) AS size FROM documents")
@@ -315,7 +315,7 @@ def candidate_topk(spark, sf_dir):
     return best.select("doc_id", F.col("line_pos").cast("long").alias("line_pos"), F.col("digits").cast("long").alias("digits"))
 
 
-_RAW = "(VALUES (1, ' some  text ', '92', true, 'low'), (2, NULL, '0.9', true, 'low'), (3, 'x', '0.5', true, 'low'), (4, 'x', 'bad', true, 'low'), (5, 'x', '0.99', true, 'ocr_engine_missing'), (6, 'x', '250', false, 'low')) t(id, visible, confidence, safe, kind)"
+_RAW = over("(VALUES (1, ' some  text ', '92', true, 'low'), (2, NULL, '0.9', true, 'low'), (3, 'x', '0.5', true, 'low'), (4, 'x', 'bad', true, 'low'), (5, 'x', '0.99', true, 'ocr_engine_missing'), (6, 'x', '250', false, 'low')) t(id, visible, confidence, safe, kind)")
 
 
 @register(
@@ -323,7 +323,7 @@ _RAW = "(VALUES (1, ' some  text ', '92', true, 'low'), (2, NULL, '0.9', true, '
     greatest(0.0, least(1.0, CASE WHEN n > 1 AND n <= 100 THEN n / 100 ELSE n END)) AS c FROM (SELECT *, coalesce(TRY_CAST(confidence AS DOUBLE), 0.0) AS n FROM {_RAW}))"""
 )
 def resolver_normalize(spark, sf_dir):
-    return N.resolver_result(rows(spark, _RAW)).select("id", "visible", "confidence", "safe")
+    return N.resolver_result(rows(spark, _RAW, sf_dir)).select("id", "visible", "confidence", "safe")
 
 
 QUERIES, ORACLES = register.queries, register.oracles

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,24 @@ class Register:
         return add
 
 
-def rows(spark: SparkSession, values: str) -> DataFrame:
-    """A literal table, written so that DuckDB reads it alike: "(VALUES ...) t(...)"."""
-    return spark.sql(f"SELECT * FROM {values}")
+_TABLE = re.compile(r"\bFROM (documents|pages|benchmark|labels|conversations|embeddings|events|part|customer|supplier|orders|lineitem|nation|region)\b")
+
+
+def rows(spark: SparkSession, source: str, sf_dir: str) -> DataFrame:
+    """A table expression in SQL that both engines read alike, over the Parquet tables of a folder."""
+    return spark.sql("SELECT * FROM " + _TABLE.sub(lambda m: f"FROM parquet.`{sf_dir}/{m[1]}.parquet`", source))
+
+
+def over(values: str, table: str = "events", key: str = "event_id") -> str:
+    """A table expression with a row for each row of a table: its key as the first column, and the other columns of one of the
+    cases (VALUES ...) t(id, ...), which are numbered from 1 and taken in turn."""
+    cases, alias, columns = re.fullmatch(r"\((VALUES .*)\) (\w+)\(([^()]*)\)", values, re.DOTALL).groups()
+    first, rest = columns.split(", ", 1)
+    depth = n = 0
+    quoted = False
+    for c in cases:
+        quoted ^= c == "'"
+        if not quoted:
+            depth += (c == "(") - (c == ")")
+            n += c == "(" and depth == 1
+    return f"(SELECT _key AS {first}, {rest} FROM (SELECT {key} AS _key, {key} % {n} + 1 AS _case FROM {table}) k JOIN ({cases}) v(_case, {rest}) USING (_case)) {alias}"
