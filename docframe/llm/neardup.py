@@ -56,6 +56,8 @@ BANDS, ROWS = 48, 5
 #: Bits of an odd sketch.
 PARITIES = 2048
 SKETCH = [f"o{i}" for i in range(PARITIES // 64)]
+#: Ids that are broadcast at most, some tens of MB.
+BROADCAST = 2_000_000
 #: Stars are drawn anew until a round finds less than one link for so many bucket members; this decides on cost only.
 SETTLED = 1000
 
@@ -202,14 +204,21 @@ def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
         before = after
 
 
-def _confirmed(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa"))
-    right = sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb"))
-    both = candidates.join(left, "a").join(right, "b")
+def checked(ids: DataFrame, n: int) -> DataFrame:
+    """A table of n ids as the lesser side of a join: sent to all executors up to BROADCAST rows, beyond them merged."""
+    return F.broadcast(ids) if n <= BROADCAST else ids.hint("merge")
+
+
+def _confirmed(candidates: DataFrame, sets: DataFrame, folder: str, tag: str) -> tuple[DataFrame, int]:
+    """Candidate pairs (a, b) whose sets are similar enough, written, and their number; only the sets that they name are moved."""
+    candidates, tried = counted(candidates, folder, f"candidates-{tag}", n=F.count(F.lit(1)))
+    named = candidates.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    needed = sets.select("_id", "_set").join(checked(named, 2 * tried["n"]), "_id", "left_semi")
+    both = candidates.join(needed.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), "a").join(needed.select(F.col("_id").alias("b"), F.col("_set").alias("_sb")), "b")
     same = F.size(F.array_intersect("_sa", "_sb"))
     union = F.size("_sa") + F.size("_sb") - same
-    return both.where(same * LEAST[1] >= union * LEAST[0]).select("a", "b")
+    links, found = counted(both.where(same * LEAST[1] >= union * LEAST[0]).select("a", "b"), folder, f"links-{tag}", n=F.count(F.lit(1)))
+    return links, found["n"]
 
 
 def _merged(known: DataFrame | None, links: DataFrame, folder: str, tag: str) -> DataFrame:
@@ -248,8 +257,8 @@ def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
     members, seen = counted(rows.join(centres, "key").select("key", "id", "centre"), folder, "members", n=F.count(F.lit(1)))
     if not seen["n"]:
         return None
-    met = members.select(F.col("id").alias("_id")).distinct()
-    texts = docs.join(met, "_id", "left_semi").withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_id", "_h"]).select("_id", "_text")
+    met, several = counted(members.select(F.col("id").alias("_id")).distinct(), folder, "met", n=F.count(F.lit(1)))
+    texts = docs.join(checked(met, several["n"]), "_id", "left_semi").withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_id", "_h"]).select("_id", "_text")
     sets = written(_set_arrays(texts, "_text").where(F.size("_set") > 0).select("_id", "_set", *SKETCH), folder, "sets")
     about = sets.select(F.col("_id").alias("id"), F.size("_set").alias("n"), *SKETCH)
     # The first stars: a member is tried with the centre that it shares most buckets with.
@@ -257,14 +266,14 @@ def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
     candidates = shared.groupBy("id").agg(F.max(F.struct("bands", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
     roots, step = None, 1
     while True:
-        links, found = counted(_confirmed(written(candidates, folder, f"candidates-{step}"), sets), folder, f"links-{step}", n=F.count(F.lit(1)))
-        if found["n"]:
+        links, found = _confirmed(candidates, sets, folder, str(step))
+        if found:
             roots = _merged(roots, links, folder, f"round-{step}")
         step += 1
         members, left = counted(_unresolved(members, roots), folder, f"left-{step}", n=F.count(F.lit(1)))
         if not left["n"]:
             return roots
-        if step > 2 and found["n"] * SETTLED < left["n"]:
+        if step > 2 and found * SETTLED < left["n"]:
             break
         # Another star in each bucket: a member is tried with the nearest centre of its buckets, by the sketches.
         drawn = members.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("key", "id", F.lit(step))).alias("c")).select("key", "c.id", "c.root")
@@ -279,8 +288,8 @@ def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
     possible, _ = _can_be_similar("_o")
     once = (F.col("root") != F.col("root_o")) & ((F.col("root") == F.col("main")) | (F.col("id_o") < F.col("id")))
     pairs = rest.join(outer, "key").where(once & possible).select(F.col("id_o").alias("a"), F.col("id").alias("b")).distinct()
-    links, found = counted(_confirmed(written(pairs, folder, "candidates-rest"), sets), folder, "links-rest", n=F.count(F.lit(1)))
-    return _merged(roots, links, folder, "round-rest") if found["n"] else roots
+    links, found = _confirmed(pairs, sets, folder, "rest")
+    return _merged(roots, links, folder, "round-rest") if found else roots
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
