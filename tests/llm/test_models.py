@@ -74,27 +74,48 @@ def tokens(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()) + [None]
 
 
-def brute_force(train, texts):
+def kneser_ney(train):
+    """Trigram model by dictionaries: the probability of a word after two, its words, their counts and the number of tokens."""
     rows = [tokens(t) for t in train]
     c = Counter(w for r in rows for w in r)
     total, words = sum(c.values()), len(c)
-    pairs = Counter(p for r in rows for p in zip([0, *r[:-1]], r, strict=True))
+    padded = [["<0>", "<s>", *r] for r in rows]
+    triples = Counter((r[i - 2], r[i - 1], r[i]) for r in padded for i in range(3, len(r)))
+    pairs = Counter({k[1:]: 0 for k in triples})
+    for _, v, w in triples:
+        pairs[v, w] += 1  # different words before the pair
+    pairs.update(("<s>", r[0]) for r in rows)  # none can be before these: their count
     before = Counter(w for _, w in pairs)
-    d2, d1 = ([0, *lm.discounts_of([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)])] for x in (pairs, before))
-    first, kinds = Counter(), Counter()
-    for (h, _), v in pairs.items():
-        first[h] += v
-        kinds[h] += d2[min(v, 3)]
-    rest = sum(d1[min(v, 3)] for v in before.values()) / len(pairs)
+    d3, d2, d1 = ([0, *lm.discounts_of([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)])] for x in (triples, pairs, before))
+    n3, n2, off3, off2 = Counter(), Counter(), Counter(), Counter()
+    for (u, v, _), k in triples.items():
+        n3[u, v] += k
+        off3[u, v] += d3[min(k, 3)]
+    for (v, _), k in pairs.items():
+        n2[v] += k
+        off2[v] += d2[min(k, 3)]
+    rest = sum(d1[min(v, 3)] for v in before.values()) / len(pairs) if pairs else 1
+
+    def probability(u, v, w):
+        p = (max(before[w] - d1[min(before[w], 3)], 0) / len(pairs) if pairs else 0) + rest / (words + 1)
+        if n2[v]:
+            p = (max(pairs[v, w] - d2[min(pairs[v, w], 3)], 0) + off2[v] * p) / n2[v]
+        if n3[u, v]:
+            p = (max(triples[u, v, w] - d3[min(triples[u, v, w], 3)], 0) + off3[u, v] * p) / n3[u, v]
+        return p
+
+    return probability, c, total
+
+
+def brute_force(train, texts):
+    probability, c, total = kneser_ney(train)
     out = []
     for t in texts:
         base = score = 0.0
-        for h, w in zip([0, *tokens(t)[:-1]], tokens(t), strict=True):
-            p = max(before[w] - d1[min(before[w], 3)], 0) / len(pairs) + rest / (words + 1)
-            if first[h]:
-                p = (max(pairs[h, w] - d2[min(pairs[h, w], 3)], 0) + kinds[h] * p) / first[h]
-            score += math.log10(p)
-            base += math.log10((c[w] + 1) / (total + words + 1))
+        row = ["<0>", "<s>", *tokens(t)]
+        for i in range(2, len(row)):
+            score += math.log10(probability(row[i - 2], row[i - 1], row[i]))
+            base += math.log10((c[row[i]] + 1) / (total + len(c) + 1))
         out.append((len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), base, score))
     return out, total
 
@@ -126,13 +147,31 @@ def test_language_model_with_hot_words_of_one_successor(spark, monkeypatch):
 
 
 def test_language_model_is_a_distribution(spark):
-    texts = ["a b a c", "b a", "c c a b"]
+    """After every context the probabilities of all words, of the end and of one unknown word add up to one, and scores are
+    made of these probabilities."""
+    texts = ["a b a c a b a", "b a b", "c c a b a c", "a b", "", "d a b a"]
+    probability, c, _ = kneser_ney(texts)
+    contexts = [["<0>", "<s>"], ["<s>", b"a"], [b"a", b"b"], [b"b", b"a"], [b"c", b"a"], [b"a", b"unknown"], [b"unknown", b"a"], [b"d", b"d"]]
+    for u, v in contexts:
+        assert math.isclose(sum(probability(u, v, w) for w in [*c, b"another"]), 1, rel_tol=1e-12), (u, v)
     model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), shared_dir(spark))
-    words = ["a", "b", "c", "unknown"]
-    # P(w then end | "a" before) over all words, and the end itself after "a".
-    both = {t: 10**s for t, s in lm.score(spark.createDataFrame([(t,) for t in ["a"] + [f"a {w}" for w in words] + words + [""]], "text string"), model).select("text", "score").collect()}
-    start = sum(10 ** (math.log10(both[w])) for w in [""])
-    assert 0 < start < 1 and all(0 < p < 1 for p in both.values())
+    asked = [f"{x} {y} {z}".strip() for x in ("", "a", "b", "unknown") for y in ("a", "c", "d") for z in ("a", "b", "unknown", "")]
+    found = [r.score for r in lm.score(spark.createDataFrame(list(enumerate(asked)), "i int, text string"), model).orderBy("i").collect()]
+    assert all(math.isclose(x, w[3], rel_tol=1e-9) for x, w in zip(found, brute_force(texts, asked)[0], strict=True))
+
+
+def test_language_model_input_cases(spark):
+    """Names that clash, null ids, an empty table, and a very long text."""
+    train = spark.createDataFrame([("a b c", 1), (None, 2), ("a b " * 60_000, 3)], "text string, score int")
+    model = lm.train(train, shared_dir(spark))
+    odd = spark.createDataFrame([(None, "a b", 1, 2), (None, None, 1, 2), (7, "b a " * 50_000, 1, 2)], "doc_id long, text string, score int, n_tokens int")
+    out = lm.score(odd, model)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "n_tokens", "n_known", "base_score", "score"])
+    rows = {(r.doc_id, r.text is None): r for r in out.collect()}
+    assert rows[None, True].n_tokens == 1 and rows[None, False].n_tokens == 3 and rows[7, False].n_tokens == 100_001
+    want = brute_force(["a b c", None, "a b " * 60_000], ["b a " * 50_000])[0][0]
+    assert math.isclose(rows[7, False].score, want[3], rel_tol=1e-9)
+    assert lm.score(odd.limit(0), model).count() == 0
 
 
 def test_empty_language_model(spark):
