@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -65,15 +67,36 @@ def high_bytes(part: bytes) -> int:
 
 
 _RUSSIAN = re.compile("[а-яё]", re.IGNORECASE)
+# Characters and pairs that mark text decoded with the wrong character set.
+WRONG = "\ufffdÐÑЋЎЄҐ¤©«»╨╤╬├┬"
+WORST = "╨╤"
+WRONG_PAIRS = (
+    "Р° Р± РІ Рі Рґ Рµ Рё Р№ Рє Р» Рј РЅ Рѕ Рї СЂ СЃ С‚ Сѓ С„ С… С† С‡ С€ С‰ С‹ СЊ СЌ СЋ СЏ С‘ Р” Рџ РЎ Рњ Рќ Рћ Р\u00ad â€¦ â€ â„ â€“ â€” "
+    "тА тВ тГ тД тЕ тЖ тЗ тИ тК тЛ тМ тН тО тП тР тС тТ тУ тФ тХ тЦ тЧ тШ тЩ тЪ тЫ тЬ тЭ тЮ тЯ"
+).split(" ")
+
+
+def _worth(c: str) -> int:
+    """What one character says for a decoding: Russian and printable ASCII letters, and the drawing characters of terminals."""
+    code = ord(c)
+    plain = c in "\r\n\t"
+    if _RUSSIAN.match(c):
+        value = 8
+    elif c.isascii() and (plain or c.isprintable()):
+        value = 2
+    elif 0x2500 <= code <= 0x259F or 0x2800 <= code <= 0x28FF:
+        value = 0 if c in WRONG else 30
+    else:
+        value = int(c.isprintable())
+    if c in WRONG:
+        value -= 60 if c in WORST else 20
+    return value - 30 * (code < 32 and not plain)
 
 
 def plausibility(text: str, encoding: str) -> int:
-    """How well decoded bytes read: Russian letters and printable ASCII count for, controls and mojibake pairs against."""
-    russian = len(_RUSSIAN.findall(text))
-    plain = sum(1 for c in text if c.isascii() and (c.isprintable() or c in "\r\n\t"))
-    controls = sum(1 for c in text if ord(c) < 32 and c not in "\r\n\t")
-    boxes = sum(1 for c in text if 0x2500 <= ord(c) <= 0x259F)
-    return 20 * (encoding == "utf-8") + 8 * russian + 2 * plain + (30 * boxes if encoding == "utf-8" else -20 * boxes) - 30 * controls - 40 * text.count("\0") - 120 * markers(text)
+    """How well decoded bytes read, from each character's worth and the pairs that wrong decodings leave."""
+    own = sum(_worth(c) * n for c, n in Counter(text).items())
+    return own + 20 * (encoding == "utf-8") - 40 * text.count("\0") - 80 * text.count("\ufffd" * 4) - 120 * sum(text.count(x) for x in WRONG_PAIRS)
 
 
 def decoded(data: bytes) -> str:
@@ -122,3 +145,9 @@ ANSI = r"\x1B\[[0-?]*[ -/]*[@-~]|\x1B\][^\x07\x1B]*(?:\x07|\x1B\\)?|\x1B[@-Z\\-_
 def strip_ansi(column):
     """Log lines without escape sequences and control characters (tabs and line ends stay)."""
     return F.regexp_replace(F.regexp_replace(column, ANSI, ""), r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", "")
+
+
+@F.pandas_udf(T.StringType())
+def blake2b_key(x: pd.Series) -> pd.Series:
+    """A key of 16 bytes in hexadecimal, for names of cached files."""
+    return x.map(lambda v: None if v is None else hashlib.blake2b(v.encode(), digest_size=16).hexdigest())

@@ -114,13 +114,6 @@ def nearest_lines(spark, sf_dir):
     return O.nearest_lines(rows(spark, _NEARLINES, sf_dir))
 
 
-@register("SELECT source, count(*) AS documents, sum(length(text))::BIGINT AS chars, string_agg(left(text, 10), ' | ' ORDER BY doc_id) AS heads FROM documents GROUP BY source")
-def merged_reports(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    heads = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.left("text", F.lit(10)).alias("h")))), lambda x: x["h"]), " | ")
-    return docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"), heads.alias("heads"))
-
-
 @register("SELECT doc_id, CASE WHEN length(text) > 1600 THEN rtrim(left(text, 1600)) || chr(10) || '[truncated]' ELSE text END AS excerpt FROM documents")
 def safe_excerpts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", O.excerpt(F.col("text"), 1600).alias("excerpt"))
