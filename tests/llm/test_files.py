@@ -36,14 +36,30 @@ def test_plan_packs_everything_once(counts):
     assert (used <= 60).all() and (used > 0).all()
     first = np.concatenate([[True], sequence[1:] != sequence[:-1]]) if len(length) else np.zeros(0, bool)
     assert (offset[first] == 0).all() and (offset[1:][~first[1:]] == (offset + length)[:-1][~first[1:]]).all()  # gapless
-    free: list[int] = []  # first fit, longest first
-    for n in sorted(length.tolist(), reverse=True):
+    assert plan.sequences <= 1.2 * first_fit(length, 60) + 2
+
+
+def first_fit(lengths, capacity):
+    """Sequences that first fit, longest first, takes."""
+    free: list[int] = []
+    for n in sorted(lengths.tolist(), reverse=True):
         k = next((k for k, room in enumerate(free) if room >= n), None)
         if k is None:
-            free.append(60 - n)
+            free.append(capacity - n)
         else:
             free[k] -= n
-    assert plan.sequences <= 1.05 * len(free) + 2
+    return len(free)
+
+
+def test_plans_take_no_more_sequences_than_first_fit_on_the_whole():
+    rng = np.random.default_rng(5)
+    own = other = 0
+    for _ in range(300):
+        histogram = np.zeros(61, np.int64)
+        histogram[rng.integers(1, 61, rng.integers(1, 8))] = rng.integers(1, 100)
+        own += packing.make_plan(histogram).sequences
+        other += first_fit(np.repeat(np.arange(61), histogram), 60)
+    assert own <= 1.01 * other
 
 
 def test_patterns_fill_sequences_and_fit():
@@ -279,6 +295,26 @@ def test_quality_rules(spark, duck):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+FRENCH = "Il répondit : « je ne sais pas », puis il partit. Elle dit alors « bon », et ferma la porte sans un mot de plus ; le voisin, lui, cria « attendez » de loin."
+GERMAN = "Der Dialog im Katalog war kurz. »Bitte anmelden«, sagte sie, »oder später wiederkommen«, und lachte, während er den Text über das Design in aller Ruhe las."
+ENGLISH = "The catalog in the hall lists each design in full, and a long dialog in the second act explains why the heroes read more than one privacy policy before they leave the town for good."
+
+
+def test_clean_texts_are_kept(spark, duck):
+    """Quotes in guillemets, words that hold a site phrase, and texts of one line lose nothing; menus and footers do."""
+    menu = "Home » Products » Lamps » Desk lamps\nAll rights reserved.\nHome | News | Sport | Weather | Contact\nPlease read more | Sign in"
+    texts = [FRENCH, GERMAN, ENGLISH, f"{FRENCH}\n{GERMAN}\n{ENGLISH}\n{menu}", menu + "\n" + "word " * 30, "a >> b >> " * 4, (ENGLISH + " ") * 1, " ".join(f"w{i}" for i in range(60_000)), f"{ENGLISH}\n{ENGLISH}"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality_rules.judge(df)
+    assert same(out.drop("text", "source"), duck(quality_rules.ORACLE, documents=("doc_id BIGINT, text VARCHAR, source VARCHAR", rows)))
+    got = {r.doc_id: r for r in out.collect()}
+    for i in (0, 1, 2, 6, 7):
+        assert got[i].kept and got[i].lost_chars == 0 and got[i].n_failed_lines == 0
+    assert got[3].kept and got[3].n_failed_lines == 4 and got[3].lost_chars == len(menu) - 3
+    assert got[4].n_failed_lines == 4 and got[8].n_dup_lines == 1
+
+
 def test_licences(spark, duck):
     rows, df = documents(spark)
     files = df.select("doc_id", F.expr(licences.PATH_SQL.format(div="div")).alias("path"), "text", F.lit(1).alias("licence"))
@@ -291,6 +327,19 @@ def test_licences(spark, duck):
     assert licences.scan(odd.limit(0)).count() == 0
 
 
+def test_real_notices_get_their_own_licence(spark):
+    two = licences._BSD_TWO + licences._BSD_END
+    files = [
+        ("a.py", "# SPDX-License-Identifier: MIT", "MIT"), ("b.py", "// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("c.md", "This page is CC BY-SA 4.0 licensed.", "CC-BY-SA-4.0"),
+        ("d.md", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"), ("e.c", "This library is free software; it is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("f.c", "You can redistribute it under the terms of the GNU Affero General Public License, version 3", "AGPL-3.0"), ("g.js", "Released under the ISC License.", "ISC"), ("h/LICENSE", "Copyright 2020 X\n" + two, "BSD-2-Clause"),
+        ("i/LICENSE", licences._BSD_TWO + "3. " + licences._BSD_NAMES + licences._BSD_END, "BSD-3-Clause"), ("j/LICENSE", "MIT License\n\nCopyright (c) 2021 Y\n\n" + licences._MIT_TEXT, "MIT"), ("k.go", "Released under the Example Affero License.", None),
+    ]
+    found = licences.scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()
+    got = {r.path: r.licence if r.origin in ("header", "file") else None for r in found}
+    assert {p: got[p] for p, _, want in files} == {p: want for p, _, want in files}
+
+
 def test_native_plans_hold_no_python(spark):
     _, df = documents(spark)
     for frame in (quality_rules.judge(df), licences.scan(df.select(F.col("source").alias("path"), "text"))):
