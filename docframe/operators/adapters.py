@@ -263,3 +263,15 @@ def collected_batch(output: DataFrame, requests: DataFrame, state: str) -> DataF
     text = F.coalesce(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), F.get_json_object(body, "$.text"))
     key = F.coalesce(F.get_json_object(line, "$.key"), F.get_json_object(line, "$.metadata.key"))
     return assemble(output.where(F.trim(line) != "").select(key.alias("key"), text.alias("text"), F.get_json_object(line, "$.error").alias("error")), requests)
+
+
+class TextPages:
+    """An adapter for pages that are text already: their bytes as UTF-8, each word with a box by its place in its line."""
+
+    def recognize(self, content: bytes, params: dict) -> dict:
+        text = content.decode("utf-8").translate(str.maketrans(params.get("exchange", {})))
+        words = [{"text": w, "box": [x, y, len(w), 1]} for y, line in enumerate(text.split("\n")) for x, w in enumerate(line.split())]
+        return {"text": text, "words": words}
+
+
+register("text", TextPages)

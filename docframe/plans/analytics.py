@@ -180,12 +180,6 @@ def word_jaccard(spark, sf_dir):
     return docs.select("doc_id", F.round(X.jaccard(F.col("a"), F.col("b")), 4).alias("jaccard"))
 
 
-@register()
-def verification(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", "text", D.second_text().alias("other"))
-    return V.verify(docs, "text", "other", "doc_id")
-
-
 _GATES = over("(VALUES (1, 'all', true, 'pass', true, 'x'), (2, 'suspicious', true, 'pass', true, 'x'), (3, 'suspicious', true, 'review', false, 'x'), (4, 'suspicious', true, 'pass', false, 'x'), (5, 'suspicious', false, NULL, NULL, ' '), (6, 'suspicious', false, NULL, NULL, 'x'), (7, 'suspicious', true, '', false, 'x'), (8, 'suspicious', true, 'error', true, 'x')) t(id, scope, has_v, state, verified, text)")
 
 
@@ -277,12 +271,6 @@ def anchor_boxes(spark, sf_dir):
     return W.anchor_cells(cells, D.words(docs))
 
 
-@register()
-def grouped_lines(spark, sf_dir):
-    words = _words(spark, sf_dir).withColumn("word_no", F.xxhash64("line_pos", "word_pos"))
-    return W.group_lines(words).groupBy("doc_id", "line_no").agg(F.count("*").alias("n"), F.min("y").alias("top"))
-
-
 _TRUST = over("(VALUES (1, 'provider_native', NULL, NULL), (2, 'physical_grid_verified', 0.7, NULL), (3, 'physical_grid_verified', 0.6, NULL), (4, 'tesseract_native_alignment', 0.95, 1), (5, 'tesseract_native_alignment', 0.95, 0), (6, 'other', 1.0, 5)) t(id, origin, confidence, anchors)")
 
 

@@ -106,14 +106,6 @@ def short_selections(spark, sf_dir):
     return rows(spark, _REQUIRED, sf_dir).where(F.size(F.filter(F.split("chosen", ","), lambda x: x != "")) < F.col("least")).select("id", "field")
 
 
-_NEARLINES = "(SELECT user_id AS page, event_id AS word, event_id * 13 % 700 AS x, event_id * 7 % 300 AS y, 10 AS h FROM events) t"
-
-
-@register()
-def nearest_lines(spark, sf_dir):
-    return O.nearest_lines(rows(spark, _NEARLINES, sf_dir))
-
-
 @register("SELECT doc_id, CASE WHEN length(text) > 1600 THEN rtrim(left(text, 1600)) || chr(10) || '[truncated]' ELSE text END AS excerpt FROM documents")
 def safe_excerpts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", O.excerpt(F.col("text"), 1600).alias("excerpt"))
