@@ -3,8 +3,8 @@
 Lengths are whole numbers up to `capacity`, so the whole problem is its
 histogram of at most `capacity` counts, however many documents there are.  On
 the driver, all patterns of one to three lengths that fill a sequence exactly
-are enumerated, their repeat counts are fitted to the histogram by non-negative
-least squares and rounded up, the largest first, while documents last.  What is
+are enumerated (for lengths that have none, the fullest), their repeat counts are fitted to the histogram by non-negative
+least squares and rounded: down first, then up while documents last.  What is
 left is too short for three to fill a sequence, so the same is done for a half
 of a sequence, a quarter and so on: blocks of these sizes stand one after another,
 the larger ones first, and never cross a sequence's border.  The residue that no
@@ -68,7 +68,10 @@ class Plan:
 
 
 def patterns(histogram: np.ndarray, target: int | None = None) -> np.ndarray:
-    """Rows of three lengths (0: none), longest first, that add up to the target (the capacity) and occur in the histogram."""
+    """Rows of three lengths (0: none), longest first, that add up to the target (the capacity) and occur in the histogram.
+
+    Of whole sequences, lengths over half of them that are in no such row get their fullest pair and triple."""
+    whole = not target or target == len(histogram) - 1
     target = target or len(histogram) - 1
     present = histogram[: target + 1] > 0
     present[0] = False
@@ -81,7 +84,18 @@ def patterns(histogram: np.ndarray, target: int | None = None) -> np.ndarray:
         b = lengths[(lengths <= a) & (2 * lengths >= target - a) & (lengths < target - a)]
         b = b[present[target - a - b]]
         found.append(np.stack([np.full_like(b, a), b, target - a - b], 1))
-    return np.concatenate(found)
+    if whole:
+        covered = np.zeros(target + 1, bool)
+        for rows in found:
+            covered[rows[:, 0]] = True
+        for a in lengths[(lengths * 2 > target) & ~covered[lengths]]:
+            b = lengths[lengths <= target - a]
+            if len(b):
+                near = np.searchsorted(b, np.minimum(b, target - a - b), side="right") - 1
+                c = np.where(near >= 0, b[near], 0)
+                k = int(np.argmax(b + c))
+                found.append(np.array([[a, b[-1], 0], [a, b[k], c[k]]])[: 2 if c[k] else 1])
+    return np.concatenate(found).astype(np.int16 if target < 1 << 15 else np.int64)
 
 
 def nnls(rows: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -92,32 +106,33 @@ def nnls(rows: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.nd
         return np.zeros(0)
     weight = (np.arange(len(histogram)) / (len(histogram) - 1)) ** 2
     weight[0] = 0
-    flat = rows.ravel()
-    use = lambda x: np.bincount(flat, np.repeat(x, rows.shape[1]), len(histogram))
-    back = lambda r: (weight * r)[rows].sum(1)
-    v = np.ones(len(rows))
+    histogram = histogram.astype(np.float32)
+    # Column by column, in single precision: there may be over a million patterns.
+    use = lambda x: sum(np.bincount(c, x, len(histogram)) for c in rows.T).astype(np.float32)
+    back = lambda r: sum((weight * r).astype(np.float32)[c] for c in rows.T)
+    v = np.ones(len(rows), np.float32)
     for _ in range(30):  # the largest eigenvalue, for the step
         w = back(use(v))
         v = w / np.linalg.norm(w)
     step = 1 / (1.05 * np.linalg.norm(back(use(v))))
-    x = y = np.zeros(len(rows))
+    x = y = np.zeros(len(rows), np.float32)
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * back(use(y) - histogram))
+        new = np.maximum(0, y - np.float32(step) * back(use(y) - histogram))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = new + (t - 1) / t_new * (new - x)
+        y = new + np.float32((t - 1) / t_new) * (new - x)
         x, t = new, t_new
     return x
 
 
 def rounded(rows: np.ndarray, x: np.ndarray, left: np.ndarray, chunk: int = 8192) -> Iterator[tuple[list[int], int]]:
-    """Patterns with whole counts: x rounded to the nearest, the largest first, then what is still there, the longest
+    """Patterns with whole counts: x rounded down, the largest first, then what is still there, the longest
     document first and in the order of x; `left` (documents by length) goes down as they are taken."""
     order = np.argsort(-x, kind="stable")
-    nearest = np.zeros(len(x), np.int64)
-    nearest[order[: COUNTED * len(left)]] = np.floor(x[order[: COUNTED * len(left)]] + 0.5)
+    down = np.zeros(len(x), np.int64)
+    down[order[: COUNTED * len(left)]] = np.floor(x[order[: COUNTED * len(left)]])
     rest = np.lexsort((-x, -rows[:, 0]))
-    for order, whole in ((order, nearest), (rest, np.full(len(x), np.iinfo(np.int64).max))):
+    for order, whole in ((order, down), (rest, np.full(len(x), np.iinfo(np.int64).max))):
         for at in range(0, len(order), chunk):
             some = order[at : at + chunk]
             some = some[(whole[some] > 0) & ((left[rows[some]] > 0) | (rows[some] == 0)).all(1)]
@@ -189,6 +204,8 @@ def make_plan(histogram: np.ndarray) -> Plan:
             for p in parts:
                 put(p, n, 1, end + inner, target)
                 inner += p
+            if inner < target:
+                room[target - inner].append((end // capacity, n))
             end += n * target
             fitted += n * len(parts)
         # What is too long for the shorter blocks is residue; it comes before them, as they would use up what goes with it.
@@ -249,6 +266,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     for length, n in by_task.groupBy("length").agg(F.sum("n")).collect():
         histogram[length] = n
     plan = spark.sparkContext.broadcast(make_plan(histogram))
+    release()
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = rows.join(base, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from docframe.llm import labelled
-from docframe.llm.arrowmap import add_columns
+from docframe.llm.arrowmap import add_columns, release
 from docframe.llm.textbytes import hash_spans, slices, spans, text_bytes
 
 PAIRS = 4096
@@ -144,7 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     # At most 2 * most rows of 2 * (PAIRS + STYLES) bytes.
     got = add_columns(rows, ["_text"], out, make).select("_id", "_label", "_terms").toArrow().sort_by("_id")
     counts = np.frombuffer(b"".join(got["_terms"].to_pylist()), np.float16).reshape(-1, PAIRS + STYLES).astype(np.float32)
-    return fit_terms(counts, got["_label"].to_numpy(), totals)
+    model = fit_terms(counts, got["_label"].to_numpy(), totals)
+    del got, counts
+    release()
+    return model
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

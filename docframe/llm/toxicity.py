@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe.llm import labelled
-from docframe.llm.arrowmap import add_columns, shared_dir, written
+from docframe.llm.arrowmap import add_columns, release, shared_dir, written
 from docframe.llm.bpe import WordCache
 from docframe.llm.textbytes import LOWER, hash_spans, mix, ragged, slices, spans, text_bytes
 
@@ -227,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     w = fit_curve(x, y, weight * len(y) / weight.sum())
     w[2] -= best_cut(x @ w, y, weight)
     model.weights = tuple(float(v) for v in w)
+    release()
     return model
 
 
