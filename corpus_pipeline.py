@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import neardup, packing, quality_knn, toxicity
-from docframe.llm.arrowmap import shared_dir, written
+from docframe.llm.arrowmap import counted, shared_dir, written
 from docframe.session import ship
 
 TOXIC = 0.5
@@ -63,8 +63,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     several = marks.where(~F.col("kept")).select("component_id").distinct()
     group = marks.join(several, "component_id", "left_semi")
     first = group.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_nth")).alias("first")).select(F.col("first._nth").alias("_nth"))
-    gone = group.select("_nth").join(first, "_nth", "left_anti")
-    return rows.join(gone, "_nth", "left_anti").select("_row.*")
+    gone, n = counted(group.select("_nth").join(first, "_nth", "left_anti"), folder, "gone", n=F.count(F.lit(1)))
+    return rows.join(neardup.checked(gone, n["n"]), "_nth", "left_anti").select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
