@@ -12,8 +12,10 @@ their characters cost.  Repeated 8-word windows are found by sorting the
 windows' 64-bit hashes, and only in texts where a hash occurs twice.
 
 Cases: null and empty texts have no words and fail the base rules; repeated
-rows are judged alike; columns of the same names are replaced, others pass
-through; an empty table stays empty.
+rows are judged alike; of equal lines the first is judged as if it were alone;
+a text that loses exactly the limit is kept; very long texts are read whole;
+columns of the same names are replaced, others pass through; an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -31,8 +33,12 @@ _BLANKS = r"[ \t\n\x0B\f\r]+"
 #: A line fails with more than this percentage of marks that are neither letters, digits, spaces nor usual punctuation.
 MAX_MARKS = 10
 MARKS = r"[#*$%&|<>{}\[\]\\^~_=+@/!]"
-NAVIGATION = r"(\|[^|]*){3}|(»|›|→|>>)"
-BOILERPLATE = r"(?i)(cookie policy|accept cookies|privacy policy|terms of (use|service)|all rights reserved|javascript (is|must)|enable javascript|click here|sign (in|up)|log ?in|subscribe (now|to)|share (this|on)|read more|lorem ipsum|page not found)"
+#: A line of short items between two arrows or three bars at least; quotation marks that look like arrows come in pairs.
+NAVIGATION = r"^[^«»›→>]{0,40}((»|›|→|>>)[^«»›→>]{0,40}){2,}$|^[^|]{0,40}(\|[^|]{0,40}){3,}$"
+#: Site phrases, as whole words.
+BOILERPLATE = r"(?i)(^|[^\p{L}\p{N}])(cookie policy|accept cookies|privacy policy|terms of (use|service)|all rights reserved|javascript (is|must)|enable javascript|click here|sign (in|up)|log ?in|subscribe (now|to)|share (this|on)|read more|lorem ipsum|page not found)($|[^\p{L}\p{N}])"
+#: They fail a line of at most so many characters, or one of which they make up a third.
+SHORT_LINE = 60
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -42,7 +48,8 @@ def _without(text: Column, characters: str) -> Column:
 def _line_fails(line: Column) -> Column:
     marks = F.length(line) - F.length(F.regexp_replace(line, MARKS, ""))
     punctuation = (marks * 100 > F.length(line) * MAX_MARKS) | ~line.rlike(r"\p{L}")
-    return punctuation | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    phrases = F.length(line) - F.length(F.regexp_replace(line, BOILERPLATE, ""))
+    return punctuation | line.rlike(NAVIGATION) | ((phrases > 0) & ((F.length(line) <= SHORT_LINE) | (phrases * 3 >= F.length(line))))
 
 
 def _repeated(df: DataFrame) -> DataFrame:
@@ -108,7 +115,8 @@ WITH t AS (
   SELECT doc_id, length(x) AS n,
          row_number() OVER (PARTITION BY doc_id, x ORDER BY place) > 1 AS again,
          (length(x) - length(regexp_replace(x, '{MARKS}', '', 'g'))) * 100 > length(x) * {MAX_MARKS}
-           OR NOT regexp_matches(x, '\p{{L}}') OR regexp_matches(x, '{NAVIGATION}') OR regexp_matches(x, '{BOILERPLATE}') AS bad
+           OR NOT regexp_matches(x, '\p{{L}}') OR regexp_matches(x, '{NAVIGATION}')
+           OR (regexp_matches(x, '{BOILERPLATE}') AND (length(x) <= {SHORT_LINE} OR (length(x) - length(regexp_replace(x, '{BOILERPLATE}', '', 'g'))) * 3 >= length(x))) AS bad
   FROM line
 ), lost AS (
   SELECT doc_id, sum(n) AS line_chars, sum(CASE WHEN again OR bad THEN n ELSE 0 END) AS lost_chars,
