@@ -178,7 +178,7 @@ def _values(templates: dict[str, tuple[str, ...]]) -> str:
 
 
 #: Where the query puts documents: those of a source in folders of 1,024 and in them of 64, the first of each a licence file.
-PATH_SQL = "concat(source, '/', doc_id {div} 1024, '/', doc_id {div} 64, '/', CASE WHEN doc_id % 64 = 0 THEN 'LICENSE' ELSE concat('doc', doc_id, '.txt') END)"
+PATH_SQL = "source || '/' || (doc_id {div} 1024) || '/' || (doc_id {div} 64) || '/' || CASE WHEN doc_id % 64 = 0 THEN 'LICENSE' ELSE 'doc' || doc_id || '.txt' END"
 
 ORACLE = rf"""
 WITH doc AS (SELECT doc_id, {PATH_SQL.format(div="//")} AS path, coalesce(text, '') AS text FROM documents),
