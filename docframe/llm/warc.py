@@ -67,21 +67,25 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
 
 
 def archive(records: list[bytes], level: int = 3) -> bytes:
-    """Records as one archive; without a dictionary if there are too few to train one."""
-    total = sum(map(len, records))
-    every = max(1, total // SAMPLE_BYTES)
-    samples = [r[: 64 << 10] for r in records[::every]]
-    try:
-        trained = zstandard.train_dictionary(max(256, min(DICTIONARY_BYTES, total // 32)), samples, k=1024, d=8)
-    except zstandard.ZstdError:
-        trained = None
-    out = []
-    if trained is not None:
-        held = trained.as_bytes()
-        out.append(struct.pack("<II", MAGIC, len(held)) + held)
-        trained.precompute_compress(level=level)
+    """Records as one archive, which begins with a dictionary trained on them.
+
+    Few records are too few samples for the trainer: then short pieces of theirs are the samples."""
+    data = b"".join(records)
+    every = max(1, len(data) // SAMPLE_BYTES)
+    size = max(256, min(DICTIONARY_BYTES, len(data) // 32))
+    samples, segment = [r[: 64 << 10] for r in records[::every]], 1024
+    for piece in (32, 16, None):
+        try:
+            trained = zstandard.train_dictionary(size, samples, k=segment, d=8)
+            break
+        except zstandard.ZstdError:
+            if piece is None:
+                raise
+            samples, segment = [data[i : i + piece] for i in range(0, min(len(data), SAMPLE_BYTES), piece)], 16
+    held = trained.as_bytes()
+    trained.precompute_compress(level=level)
     pack = zstandard.ZstdCompressor(level=level, dict_data=trained)
-    return b"".join(out + [pack.compress(r) for r in records])
+    return b"".join([struct.pack("<II", MAGIC, len(held)) + held, *(pack.compress(r) for r in records)])
 
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -139,14 +143,14 @@ def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id"
     return written(known.mapInArrow(work, "name string, layout string, records long, bytes long"), folder, "archives")
 
 
-def read(archives: DataFrame, folder: str) -> DataFrame:
+def read(archives: DataFrame, folder: str, id_kind: str = "long") -> DataFrame:
     """A row per record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, html (null
-    in revisits). The payloads of responses are checked against their digests."""
+    in revisits). The payloads of responses are checked against their digests.  id_kind: the type of the ids."""
     n = archives.count()
-    kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html binary"
+    kind = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, html binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("html", pa.binary())])
+        schema = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("html", pa.binary())])
         store = Store(f"{folder}/warc")
         for batch in batches:
             for name, layout in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -158,8 +162,9 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                     if response and digest(body) != told:
                         raise ValueError(f"{name}: a payload differs from its digest")
                     size = int(re.search(rb"(?i)content-length: (\d+)", head)[1])
-                    ids = [int(x) if x is not None else None for x in (fields.get("x-page-id"), fields.get("x-refers-to-page-id"))]
+                    ids = [fields.get("x-page-id"), fields.get("x-refers-to-page-id")]
                     rows.append((ids[0], fields.get("warc-target-uri"), size, told, fields["warc-type"], ids[1], body if response else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return archives.select("name", "layout").repartition(max(1, n)).mapInArrow(work, kind)
+    found = archives.select("name", "layout").repartition(max(1, n)).mapInArrow(work, kind)
+    return found.withColumns({c: F.col(c).cast(id_kind) for c in ("page_id", "refers_to")})

@@ -250,8 +250,19 @@ def test_archive_round_trip():
     assert len(found) == 300 and found[1][0]["x-page-id"] == "1" and found[1][1].endswith(b"</p>")
     assert found[1][0]["warc-target-uri"] == "http://x/1%0D%0AX:%20y"
     assert found[3][0]["warc-type"] == "revisit" and found[3][0]["x-refers-to-page-id"] == "0"
-    few = warc.archive(pages[:1])  # too few for a dictionary
-    assert len(list(warc.records_of(few))) == 1
+    for few in ([warc.record(None, None, b"", None)], [warc.record(7, "http://x", b"", None)], pages[:1], pages[:3]):
+        data = warc.archive(few)
+        assert struct.unpack_from("<I", data)[0] == warc.MAGIC and len(list(warc.records_of(data))) == len(few)
+
+
+def test_warc_with_other_ids_and_long_payloads(spark):
+    """Ids that are text, and a page of several megabytes."""
+    folder = shared_dir(spark)
+    long = "<p>" + "".join(f"{i * i} " for i in range(600_000)) + "</p>"
+    df = spark.createDataFrame([("a/1", None, long), ("b/2", "http://b", "x"), ("c/3", None, "x")], "page_id string, url string, html string")
+    out = {r.page_id: r for r in warc.read(warc.write(df, folder), folder, "string").collect()}
+    assert out["a/1"].payload_bytes == len(long) and bytes(out["a/1"].html).decode() == long
+    assert out["c/3"].record_type == "revisit" and out["c/3"].refers_to == "b/2"
 
 
 @pytest.mark.parametrize("least", [0, 10])

@@ -143,3 +143,14 @@ def test_encode_operator(spark):
     assert [r.n_tokens for r in out] == [2, 0, 0, 2] and out[0].ids == PIECES_LIBRARY.encode("Hello world")
     assert out[0].begins == [0, 5] and out[0].ends == [5, 11] and out[0].decoded == "Hello world" and out[1].decoded == ""
     assert piecebpe.encode(rows.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+@pytest.mark.parametrize("n", [94, 95, 96, 97, 98, 192, 193])
+def test_long_words_at_the_border(n):
+    """Words around the length from which the library encodes them give its ids too."""
+    check_word_bpe(["a" * n, "é" * (n // 2) + "b" * (n % 2), "ab " + "the" * (n // 3) + "x" * (n % 3) + " end", "'" * n])
+
+
+@pytest.mark.parametrize("n", [254, 255, 256, 257, 258, 512, 513])
+def test_long_segments_at_the_border(n):
+    check_pieces(["a" * n, "é" * n, " " + "ab" * (n // 2) + "c" * (n % 2), "x " + "the" * (n // 3) + "\n" + "日" * n, "▁" * n])
