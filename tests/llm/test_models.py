@@ -70,6 +70,96 @@ def test_toxicity_shares_backoff():
     assert score[0] > 1 and score[1] < 0.1 and abs(score[2]) < 0.5  # an unknown word is no evidence
 
 
+def spelling(words, ordinary, toxic, order, share):
+    """The evidence of each word by dictionaries: class-conditional Kneser-Ney over a shared model, the toxic one refitted."""
+    discount, strength = toxicity.DISCOUNT, toxicity.STRENGTH
+    padded = {w: [None] * order + ["^", *w] for w in words}
+    grams = lambda w, k: [tuple(padded[w][i - k : i + 1]) for i in range(order + 1, len(padded[w]))]
+
+    def smoothed(counts, low):
+        total, kinds = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += n > 0
+        return {g: (max(n - discount, 0) + discount * kinds[g[:-1]] * low(g)) / total[g[:-1]] for g, n in counts.items()}
+
+    shared = {}
+    for k in range(order + 1):
+        if k < order:  # different longer grams that end so
+            counts = Counter(g[1:] for g in {g for w in words for g in grams(w, k + 1)})
+        else:
+            counts = Counter()
+            for w, n in zip(words, ordinary + toxic, strict=True):
+                for g in grams(w, k):
+                    counts[g] += int(n)
+        lower = shared
+        shared = smoothed(counts, (lambda g: lower[g[1:]]) if k else (lambda g: 1 / 256))
+
+    def fit(weights):
+        counts, total, kinds = Counter(), Counter(), Counter()
+        for w, n in zip(words, weights, strict=True):
+            for g in grams(w, order):
+                counts[g] += n
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += n > 0
+        return {g: math.log((max(n - discount, 0) + (strength + discount * kinds[g[:-1]]) * shared[g]) / (total[g[:-1]] + strength)) for g, n in counts.items()}
+
+    mine = np.ones(len(words))
+    for again in range(toxicity.REFITS + 1):
+        a, b = fit(toxic * mine), fit(ordinary + toxic * (1 - mine if again else 0))
+        ratio = np.array([sum(a[g] - b[g] for g in grams(w, order)) for w in words])
+        odds = share * np.exp(np.minimum(ratio, 40))
+        mine = odds / (1 - share + odds)
+    return np.log1p(share * np.expm1(np.minimum(ratio, 40)))
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_toxicity_against_brute_force(order):
+    rng = np.random.default_rng(order)
+    words = sorted({bytes(rng.choice(list(b"abcde"), int(rng.integers(1, 9)))) for _ in range(60)})
+    ordinary, toxic = rng.integers(0, 30, len(words)), rng.integers(0, 6, len(words)) * (rng.random(len(words)) < 0.4)
+    ordinary[ordinary + toxic == 0] = 1
+    model = toxicity.fit_words(words, ordinary, toxic, order=order, share=0.05)
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    stop = np.cumsum([len(w) for w in words])
+    got = model.words(buf, stop - [len(w) for w in words], stop)
+    assert np.allclose(got, spelling(words, ordinary, toxic, order, 0.05), atol=1e-4)
+
+
+def test_votes_against_brute_force():
+    """Every document's nearest labelled ones by all cosines, their votes weighted by a power of the cosine."""
+    rng = np.random.default_rng(6)
+    size = quality_knn.PAIRS + quality_knn.STYLES
+    draw = lambda n: np.log1p(rng.poisson(rng.random((n, size)) ** 6 * 3)).astype(np.float32)
+    counts, good = draw(120), rng.integers(0, 2, 120)
+    model = quality_knn.fit_terms(counts, good, (300, 900))
+    tested = draw(25)
+    tested[3] = 0
+    score, nearest = model.score(tested)
+    vectors = model.project(tested).astype(np.float64)
+    weights = [300 / (good == 0).sum(), 900 / (good == 1).sum()]
+    for i, v in enumerate(vectors):
+        if i == 3:
+            assert math.isclose(score[i], 0.75, rel_tol=1e-6) and nearest[i] == 0  # without terms: the share of good labels
+            continue
+        cosines = sorted(((float(v @ u), int(g)) for u, g in zip(model.vectors, good, strict=True)), reverse=True)[: quality_knn.NEIGHBOURS]
+        votes = [(max(c, 1e-3) ** quality_knn.POWER * weights[g], g) for c, g in cosines]
+        assert math.isclose(score[i], sum(w for w, g in votes if g) / sum(w for w, _ in votes), rel_tol=1e-3, abs_tol=1e-6)
+        assert math.isclose(nearest[i], cosines[0][0], rel_tol=1e-4)
+
+
+def test_the_sample_is_bounded(spark):
+    """An id that the documents list a thousand times is one row of the sample."""
+    from docframe.llm import labelled
+
+    docs = spark.range(2000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows, _ = labelled.sample(docs, labels, "toxic", 50)
+    found = rows.collect()
+    assert len(found) <= 100 and len({r._id for r in found}) == len(found) and all(r._fold for r in found)
+
+
 def tokens(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()) + [None]
 
