@@ -8,6 +8,7 @@ value of its row, not the end of the job.
 
 from __future__ import annotations
 
+import base64
 import contextlib
 import json
 import time
@@ -265,6 +266,52 @@ def collected_batch(output: DataFrame, requests: DataFrame, state: str) -> DataF
     return assemble(output.where(F.trim(line) != "").select(key.alias("key"), text.alias("text"), F.get_json_object(line, "$.error").alias("error")), requests)
 
 
+class Service:
+    """An adapter of an engine that runs as a service of its own: `post` takes a path and a JSON object and gives one."""
+
+    def __init__(self, post: Callable[[str, dict], dict], path: str = "/ocr"):
+        self.post, self.path = post, path
+
+    def recognize(self, content: bytes, params: dict) -> dict:
+        reply = self.post(self.path, {"image": base64.b64encode(content).decode(), "params": params})
+        if "error" in reply:
+            raise RuntimeError(str(reply["error"]))
+        return {"text": reply.get("text", ""), "words": reply.get("words", [])}
+
+    def ready(self) -> bool:
+        """Whether the service answers."""
+        try:
+            return bool(self.post("/health", {}).get("ok"))
+        except Exception:  # noqa: BLE001 - any failure means that it isn't
+            return False
+
+
+_WARM: dict[str, Adapter] = {}
+
+
+def warm(name: str, make: Callable[[], Adapter]) -> Callable[[], Adapter]:
+    """A maker whose adapter is made once in a worker and kept for its later tasks: for engines that take long to start."""
+
+    def get() -> Adapter:
+        if name not in _WARM:
+            _WARM[name] = make()
+        return _WARM[name]
+
+    return get
+
+
+def smoke(engines: dict[str, Callable[[], Adapter]], image: bytes, params: dict | None = None) -> list[dict]:
+    """One page through every engine: name, ok, the number of characters read, or what went wrong."""
+    out = []
+    for name, make in sorted(engines.items()):
+        try:
+            text = make().recognize(image, params or {}).get("text", "")
+            out.append({"engine": name, "ok": bool(text.strip()), "chars": len(text), "error": None if text.strip() else "no text"})
+        except Exception as e:  # noqa: BLE001 - what an engine raises is its line of the report
+            out.append({"engine": name, "ok": False, "chars": 0, "error": f"{type(e).__name__}: {e}"})
+    return out
+
+
 class TextPages:
     """An adapter for pages that are text already: their bytes as UTF-8, each word with a box by its place in its line."""
 

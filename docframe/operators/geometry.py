@@ -151,6 +151,110 @@ def preclean(gray: np.ndarray, level: int = 1) -> np.ndarray:
     return unsharp(contrast(autocontrast(gray, 0.5 if level == 1 else 1.0), 1.0 + 0.15 * level))
 
 
+def deskew(gray: np.ndarray) -> np.ndarray:
+    """Straightened page: as it is, since no library for line transforms is at hand."""
+    return gray
+
+
+def resized(gray: np.ndarray, width: int, height: int, lobes: int = 3) -> np.ndarray:
+    """An image of another size by windowed sinc interpolation (Lanczos), row by row and column by column."""
+
+    def weights(old: int, new: int) -> np.ndarray:
+        scale = max(1.0, old / new)
+        centre = (np.arange(new) + 0.5) * old / new - 0.5
+        x = (np.arange(old)[None, :] - centre[:, None]) / scale
+        w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0)
+        return w / w.sum(1, keepdims=True)
+
+    out = weights(gray.shape[0], height) @ gray.astype(np.float64) @ weights(gray.shape[1], width).T
+    return np.clip(out, 0, 255).round().astype(np.uint8)
+
+
+def upscaled(gray: np.ndarray, factor: int, enlarge=None) -> np.ndarray:
+    """An enlarged page: by a program given as a function, else by interpolation; factors under two change nothing."""
+    if factor < 2:
+        return gray
+    if enlarge is not None:
+        try:
+            return enlarge(gray, factor)
+        except (OSError, ValueError):  # the program isn't there, or failed
+            pass
+    return resized(gray, gray.shape[1] * factor, gray.shape[0] * factor)
+
+
+def normalized(gray: np.ndarray, least: int = 1600, most: int = 2800, stretch: bool = True, factor: float = 1.0, sharpness: float = 1.0, median: int = 0) -> np.ndarray:
+    """A photographed page made ready: long side between two bounds, contrast stretched and raised, sharpened, smoothed."""
+    long = max(gray.shape)
+    scale = least / long if long < least else most / long if long > most else 1.0
+    if scale != 1.0:
+        gray = resized(gray, max(1, int(gray.shape[1] * scale + 0.5)), max(1, int(gray.shape[0] * scale + 0.5)))
+    if stretch:
+        gray = autocontrast(gray, 0.0)
+    if factor != 1.0:
+        gray = contrast(gray, factor)
+    if sharpness != 1.0:
+        soft = box_mean(gray, 1)
+        gray = np.clip(soft + (gray - soft) * sharpness, 0, 255).round().astype(np.uint8)
+    return median3(gray) if median >= 3 else gray
+
+
+def numeric_enhanced(gray: np.ndarray) -> np.ndarray:
+    """A crop of numbers with its contrast stretched and raised, and sharpened."""
+    return unsharp(contrast(autocontrast(gray, 0.25), 1.55), 1, 140, 2)
+
+
+def numeric_crop(gray: np.ndarray, box: tuple[int, int, int, int], pad: int = 8, wide: int = 1200, most: int = 4) -> np.ndarray:
+    """A padded crop, enlarged to a width of `wide` by at most `most` times."""
+    part = crop(gray, box, pad)
+    factor = min(most, wide / part.shape[1]) if part.size else 1.0
+    return resized(part, round(part.shape[1] * factor), round(part.shape[0] * factor)) if factor > 1 else part
+
+
+def tiff_frames(data: bytes) -> list[np.ndarray]:
+    """All frames of a TIFF of uncompressed strips, as gray images: 8 bits a sample, one sample (either polarity) or three a pixel."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+        raise ValueError("not a TIFF file")
+    sizes = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
+    frames, at = [], struct.unpack_from(order + "I", data, 4)[0]
+    while at:
+        tags: dict[int, tuple] = {}
+        n = struct.unpack_from(order + "H", data, at)[0]
+        for i in range(n):
+            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+            if kind in sizes:
+                code, size = sizes[kind]
+                place = at + 2 + 12 * i + 8
+                if size * count > 4:
+                    place = struct.unpack_from(order + "I", data, place)[0]
+                tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, place)
+        width, height, samples = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+        if tags.get(259, (1,))[0] != 1 or set(tags.get(258, (1,))) != {8} or samples not in (1, 3):
+            raise ValueError("a TIFF frame of a kind that isn't read")
+        raw = b"".join(data[o : o + c] for o, c in zip(tags[273], tags[279], strict=True))
+        pixels = np.frombuffer(raw, np.uint8, width * height * samples).reshape(height, width, samples)
+        gray = pixels[..., 0] if samples == 1 else (pixels @ np.array([299, 587, 114]) // 1000).astype(np.uint8)
+        frames.append(255 - gray if samples == 1 and tags.get(262, (1,))[0] == 0 else gray)
+        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+    return frames
+
+
+def image_frames(files: DataFrame, key: str = "path", content: str = "content", first_only: bool = False) -> DataFrame:
+    """Frames of image files as PNG pages: key, frame (from 0), content; only the first where that is asked for."""
+    kind = dict(files.dtypes)[key]
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for k, data in zip(batch[key], batch[content], strict=True):
+                data = bytes(data)
+                frames = [png_decode(data)] if data[:8] == b"\x89PNG\r\n\x1a\n" else tiff_frames(data)
+                out += [(k, i, png_encode(f)) for i, f in enumerate(frames[:1] if first_only else frames)]
+            yield pd.DataFrame(out, columns=[key, "frame", "content"])
+
+    return files.select(key, content).mapInPandas(work, f"{key} {kind}, frame int, content binary")
+
+
 def crop(gray: np.ndarray, box: tuple[int, int, int, int], pad: int = 8) -> np.ndarray:
     x, y, w, h = box
     return gray[max(0, y - pad) : max(0, y + h + pad), max(0, x - pad) : max(0, x + w + pad)]

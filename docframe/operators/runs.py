@@ -339,3 +339,36 @@ def clear_refusal(path: Column, program: str, working: list[str]) -> Column:
 def keys_by_provider(files: DataFrame) -> DataFrame:
     """How many key files of each provider hold a key: a count, never a key."""
     return files.groupBy("provider").agg(F.count_if(F.trim(F.coalesce("first_line", F.lit(""))) != "").alias("keys"))
+
+
+def engine_runtime(version: Column, languages: Column) -> Column:
+    """Version and languages of the local engine from what its program prints: the number in the first line, and the lines
+    after the one that heads the list."""
+    number = F.regexp_extract(F.split_part(version, F.lit("\n"), F.lit(1)), r"v?(\d+(?:\.\d+)+)", 1)
+    lines = F.transform(F.split(F.regexp_replace(languages, "\r", ""), "\n"), lambda x: F.trim(x))
+    return F.struct(F.nullif(number, F.lit("")).alias("version"), F.array_sort(F.filter(lines, lambda x: (x != "") & ~x.contains(":") & (x != "osd"))).alias("languages"))
+
+
+def without_measures(text: Column) -> Column:
+    """Text whose times, dates, paths and measured numbers are masked, so that runs can be compared."""
+    x = F.regexp_replace(text, r"\d{4}-\d{2}-\d{2}[T ]\d{2}[:-]\d{2}[:-]\d{2}(?:\.\d+)?", "<time>")
+    x = F.regexp_replace(x, r"(?:[A-Za-z]:)?(?:[/\\\\][\w.~-]+){2,}", "<path>")
+    return F.regexp_replace(x, r"\d+(?:\.\d+)? ?(?:ms|s|sec|MB|KB|GB)\b", "<measure>")
+
+
+def template_pairs(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """Lines with the template that they are made of: equal to it, or with something in place of {0}.
+
+    Templates are a list of some hundreds; each is split at its first place holder, and the beginnings' first eight characters are the
+    join's key for those that have them."""
+    parts = templates.select("template", F.substring_index("template", "{", 1).alias("_head"), F.regexp_extract("template", r"\}([^{]*)$", 1).alias("_tail"), F.contains("template", F.lit("{")).alias("_open"))
+    key = lambda c: F.left(c, F.lit(8))
+    long, short = parts.where(F.length("_head") >= 8), parts.where(F.length("_head") < 8)
+    fits = F.when(F.col("_open"), F.startswith("line", F.col("_head")) & F.endswith("line", F.col("_tail")) & (F.length("line") >= F.length("_head") + F.length("_tail"))).otherwise(F.col("line") == F.col("template"))
+    keyed = lines.withColumn("_k", key("line")).join(long.withColumn("_k", key("_head")), "_k").where(fits)
+    heads = [r["template"] for r in short.select("template").take(1000)]  # templates are a bounded list
+    found = keyed.select(*lines.columns, "template")
+    if heads:
+        listed = lines.withColumn("template", F.explode(F.array(*map(F.lit, heads)))).join(F.broadcast(short), "template").where(fits)
+        found = found.unionByName(listed.select(*lines.columns, "template"))
+    return found

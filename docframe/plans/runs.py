@@ -296,4 +296,26 @@ def provider_keys(spark, sf_dir):
     return R.keys_by_provider(files)
 
 
+@register("SELECT event_id, event_type || ' at <time> in <path> took <measure> of <measure>' AS line FROM events")
+def masked_lines(spark, sf_dir):
+    line = F.concat("event_type", F.lit(" at "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" in /data/x"), F.col("user_id").cast("string"), F.lit("/y.log took "), F.col("value").cast("string"), F.lit(" s of "), F.col("event_id").cast("string"), F.lit(" MB"))
+    return D.table(spark, sf_dir, "events").select("event_id", R.without_measures(line).alias("line"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 4 > 0 THEN '5.' || event_id || '.1' END AS version, CASE WHEN event_id % 3 = 0 THEN 'eng' ELSE 'eng,rus' END AS languages FROM events")
+def engine_runtimes(spark, sf_dir):
+    version = F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("tesseract v5."), F.col("event_id").cast("string"), F.lit(".1\n leptonica-1.8"))).otherwise("not found\n1.2")
+    languages = F.concat(F.lit("List of available languages in x: (2)\r\n"), F.when(F.col("event_id") % 3 == 0, "").otherwise("rus\r\n"), F.lit("osd\n eng\n"))
+    got = D.table(spark, sf_dir, "events").select("event_id", R.engine_runtime(version, languages).alias("r"))
+    return got.select("event_id", "r.version", F.array_join("r.languages", ",").alias("languages"))
+
+
+@register("SELECT event_id, CASE event_type WHEN 'error' THEN 'The run ended with {0} errors' WHEN 'view' THEN '{0} views' ELSE 'nothing else was done' END AS template FROM events WHERE event_type IN ('error', 'view', 'click')")
+def template_matches(spark, sf_dir):
+    number = F.col("user_id").cast("string")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("The run ended with "), number, F.lit(" errors"))).when(F.col("event_type") == "view", F.concat(number, F.lit(" views"))).when(F.col("event_type") == "click", "nothing else was done").otherwise(F.concat(F.lit("no "), "event_type"))
+    templates = spark.createDataFrame([("The run ended with {0} errors",), ("{0} views",), ("nothing else was done",), ("nothing else was left",)], "template string")
+    return R.template_pairs(D.table(spark, sf_dir, "events").select("event_id", line.alias("line")), templates).select("event_id", "template")
+
+
 QUERIES, ORACLES = register.queries, register.oracles

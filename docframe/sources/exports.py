@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import math
 import re
 import zipfile
@@ -200,3 +201,54 @@ def _file(kind: str, title: str, blocks: list[tuple[str, list[str]]]) -> bytes:
         elif k != "table" and slides:
             slides[-1][1].extend(lines)
     return pptx(slides)
+
+
+#: What each export format is called and made of, in the order in which formats are written; the archive holds the others.
+FORMATS = ("docx", "html", "json", "md", "odt", "pptx", "xlsx")
+
+
+def exported(packages: DataFrame, wanted: list[str]) -> DataFrame:
+    """Exports of document packages (document_id, title, engine, blocks of kind and lines): a row per document and format with the
+    file's name, content and hash; with "zip" an archive of the others last.  Unknown formats are passed over; none is json.
+
+    A document's files are made in one task, documents are dealt by their ids."""
+    formats = [f for f in FORMATS if f in wanted] or ["json"]
+    kind = "document_id string, format string, name string, content binary, place int"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for p in batch.to_pylist():
+                blocks = [(b["kind"], b["lines"]) for b in p["blocks"]]
+                made = [(f, f"{p['document_id']}.{f}", _export(f, p, blocks)) for f in formats]
+                if "zip" in wanted:
+                    made.append(("zip", f"{p['document_id']}.zip", archive([(n, c) for _, n, c in made])))
+                rows += [{"document_id": p["document_id"], "format": f, "name": n, "content": c, "place": i} for i, (f, n, c) in enumerate(made)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("document_id", pa.string()), ("format", pa.string()), ("name", pa.string()), ("content", pa.binary()), ("place", pa.int32())]))
+
+    return packages.select("document_id", "title", "engine", "blocks").mapInArrow(work, kind).withColumn("sha256", F.sha2("content", 256))
+
+
+def _export(kind: str, package: dict, blocks: list[tuple[str, list[str]]]) -> bytes:
+    if kind in ("docx", "xlsx", "odt", "pptx"):
+        return _file(kind, package["title"], blocks)
+    if kind == "json":
+        return (json.dumps({"document_id": package["document_id"], "title": package["title"], "blocks": [{"kind": k, "lines": x} for k, x in blocks]}, ensure_ascii=False, indent=2) + "\n").encode()
+    lines = {"table": lambda x: "\n".join(x), "bullet_item": lambda x: "- " + " ".join(x)}
+    body = "\n\n".join(lines.get(k, " ".join)(x) for k, x in blocks)
+    if kind == "md":
+        return f"# {package['title']}\n\n> {package['engine']}\n\n{body}\n".encode()
+    paragraphs = "".join(f"<p>{escape(' '.join(x))}</p>" for _, x in blocks)
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(package["title"])}</title></head><body>{paragraphs}</body></html>'.encode()
+
+
+def export_history(exports: DataFrame) -> DataFrame:
+    """What was written for each document, in order: an array of format, name and hash."""
+    entry = F.struct("place", "format", "name", "sha256")
+    return exports.groupBy("document_id").agg(F.array_sort(F.collect_list(entry)).alias("h")).select("document_id", F.transform("h", lambda x: F.struct(x["format"].alias("format"), x["name"].alias("name"), x["sha256"].alias("sha256"))).alias("history"))
+
+
+def audited_xlsx(tables: list[list[list[str]]], audit: list[list[str]]) -> bytes:
+    """A workbook of a document's tables, one sheet each, and the audit sheet last."""
+    head = ["page", "engine", "first_status", "first_numbers", "second_status", "second_numbers", "replaced", "review", "confidence"]
+    return xlsx([*((f"Page_{i}", rows) for i, rows in enumerate(tables, 1)), ("OCR Audit", [head, *audit])])
