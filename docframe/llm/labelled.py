@@ -17,7 +17,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: st
 
     An id with several labels counts as 1 if any is 1; ids that are null or have
     a null label are left out.  The chosen ids are at most 2 * most rows, which
-    bounds the broadcast.
+    bounds the broadcast; of documents that repeat an id one text is taken (that
+    with the least hash), so that the sample has at most as many rows too.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_label"))
     known = known.withColumn("_fold", fold(id_col, folds)).where("_fold <> 0")
@@ -28,4 +29,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: st
         picked = some if picked is None else picked.unionByName(some)
     picked = picked.select(F.col(id_col).alias("_id"), "_label", "_fold")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return texts.join(F.broadcast(picked), "_id").select("_id", "_text", "_label", "_fold"), (counts.get(0, 0), counts.get(1, 0))
+    found = texts.join(F.broadcast(picked), "_id").withColumn("_h", F.xxhash64("_text"))
+    one = found.groupBy("_id", "_label", "_fold").agg(F.min(F.struct("_h", "_text")).alias("_t"))
+    return one.select("_id", F.col("_t._text").alias("_text"), "_label", "_fold"), (counts.get(0, 0), counts.get(1, 0))

@@ -50,7 +50,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(df: DataFrame, cut: float, *more: str) -> DataFrame:
-    return df.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *more)
+    return df.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *more)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
