@@ -20,6 +20,7 @@ from docframe.plans import derived as D
 from docframe.plans.registry import Register, over, rows
 from docframe.sources import exports as E
 from docframe.sources import files as S
+from docframe.sources import pdf as B
 from docframe.sources import payloads as P
 
 register = Register()
@@ -409,4 +410,15 @@ def ruled_tables(spark, sf_dir):
     return G.tables_of(pages).groupBy("page_id").agg(F.count("*").cast("int").alias("cells"), F.max("colspan").alias("widest"), F.sum(area).alias("area"))
 
 
+@register("SELECT page_id, unnest([1, 2]) AS page, unnest(['page ' || page_id || ' Ж' || chr(10) || '(next)', url]) AS text, 3 AS pages FROM pages")
+def pdf_round_trip(spark, sf_dir):
+    pages = D.table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), "url", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("page"))
+    word = lambda text, x, y: F.struct(text.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(80).alias("w"), F.lit(12).alias("h"))
+    first = F.array(word(F.lit("Ж"), 200, 11), word(F.lit("page"), 5, 10), word(F.col("document_id").cast("string"), 100, 10), word(F.lit("(next)"), 5, 30))
+    words = pages.select("document_id", "page", F.explode(F.when(F.col("page") == 0, F.sort_array(first)).when(F.col("page") == 1, F.array(word(F.col("url"), 5, 10))).otherwise(F.array().cast("array<struct<text:string,x:int,y:int,w:int,h:int>>"))).alias("w")).select("document_id", "page", "w.*")
+    images = pages.select("document_id", "page", _plain_page(F.lit(300), F.lit(60), F.lit(255)).alias("content"))
+    made = B.searchable_files(images, words)
+    return B.text_pages(made, "document_id").withColumnRenamed("document_id", "page_id")
+
+
 QUERIES, ORACLES = register.queries, register.oracles

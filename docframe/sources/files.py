@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.functions.udf import read_text
+from docframe.sources.pdf import markdown_of as pdf_markdown
 
 SCANS = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "webp", "bmp")
-OFFICE = ("docx", "pptx", "xlsx", "html", "htm", "txt", "csv", "md")
+OFFICE = ("docx", "pptx", "xlsx", "pdf", "html", "htm", "txt", "csv", "md")
 
 
 def suffix(path: Column) -> Column:
@@ -127,7 +128,7 @@ def xlsx_markdown(data: bytes) -> str:
 
 def _converted(kind: str, data: bytes) -> tuple[bool, str]:
     try:
-        return True, {"docx": docx_markdown, "pptx": pptx_markdown, "xlsx": xlsx_markdown}[kind](data)
+        return True, {"docx": docx_markdown, "pptx": pptx_markdown, "xlsx": xlsx_markdown, "pdf": pdf_markdown}[kind](data)
     except KeyError:
         return False, f"unsupported: {kind}"
     except (zipfile.BadZipFile, ET.ParseError, StopIteration, IndexError, ValueError) as e:
@@ -145,7 +146,7 @@ def convert(files: DataFrame) -> DataFrame:
     def office(kinds: pd.Series, data: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_converted(k, bytes(d)) for k, d in zip(kinds, data, strict=True)], columns=["ok", "markdown"])
 
-    zipped = files.where(kind.isin("docx", "pptx", "xlsx")).withColumn("_r", office(kind, "content"))
+    zipped = files.where(kind.isin("docx", "pptx", "xlsx", "pdf")).withColumn("_r", office(kind, "content"))
     plain = texts(files.where(kind.isin("html", "htm", "csv", "txt", "md")))
     text = F.when(kind == "csv", csv_table(F.col("text"))).when(kind.isin("html", "htm"), html_to_text("text")).otherwise(F.col("text"))
     other = files.where(~kind.isin(*OFFICE))
