@@ -95,26 +95,66 @@ def _rels(name: str, targets: list[tuple[str, str]]) -> tuple[str, str]:
     return name, f'<Relationships xmlns="{_REL}">' + "".join(f'<Relationship Id="rId{i + 1}" Type="{_OFFICE}/{kind}" Target="{to}"/>' for i, (kind, to) in enumerate(targets)) + "</Relationships>"
 
 
-def docx(title: str, blocks: list[tuple[str, list]]) -> bytes:
-    """Blocks (kind, lines): headings, paragraphs and items are paragraphs, a table's lines are rows of cells."""
+def _docx_styles() -> str:
+    """Headings by size, items and code, on a plain text style."""
+    style = lambda key, name, run, para="": f'<w:style w:type="paragraph" w:styleId="{key}"><w:name w:val="{name}"/>{"" if key == "Normal" else "<w:basedOn w:val=" + chr(34) + "Normal" + chr(34) + "/>"}<w:pPr>{para}</w:pPr><w:rPr>{run}</w:rPr></w:style>'
+    size = lambda n: f'<w:sz w:val="{n}"/>'
+    heads = "".join(style(f"Heading{i}", f"heading {i}", "<w:b/>" + size(34 - 3 * i), f'<w:keepNext/><w:outlineLvl w:val="{i - 1}"/>') for i in range(1, 7))
+    others = style("Normal", "Normal", size(22)) + style("ListBullet", "List Bullet", "", '<w:ind w:left="360"/>') + style("Code", "Code", '<w:rFonts w:ascii="Courier New" w:hAnsi="Courier New"/>' + size(18))
+    return f'<w:styles xmlns:w="{_W}">{others}{heads}</w:styles>'
+
+
+def _table_xml(rows: list[list[tuple[str, int, int]]], widths: list[float], text) -> str:
+    """A table of cells (text, rows and columns that it covers): covered places below are continued, those beside are left out."""
+    n, down = len(widths), {}
+    body = []
+    for row in rows:
+        cells, x, own = [], 0, iter(row)
+        while x < n:
+            if down.get(x, (0, 0))[0] > 0:
+                left, wide = down[x]
+                down[x] = (left - 1, wide)
+                cells.append((x, "", wide, '<w:vMerge/>'))
+                x += wide
+                continue
+            value, tall, wide = next(own, ("", 1, 1))
+            wide = min(wide, n - x)
+            if tall > 1:
+                down[x] = (tall - 1, wide)
+            cells.append((x, value, wide, '<w:vMerge w:val="restart"/>' if tall > 1 else ""))
+            x += wide
+        parts = []
+        for x, value, wide, merge in cells:
+            span = f'<w:gridSpan w:val="{wide}"/>' if wide > 1 else ""
+            parts.append(f'<w:tc><w:tcPr><w:tcW w:w="{int(sum(widths[x : x + wide]))}" w:type="dxa"/>{span}{merge}</w:tcPr><w:p>{text(value)}</w:p></w:tc>')
+        body.append("<w:tr>" + "".join(parts) + "</w:tr>")
+    edge = "".join(f'<w:{side} w:val="single" w:sz="4"/>' for side in ("top", "left", "bottom", "right", "insideH", "insideV"))
+    return f"<w:tbl><w:tblPr><w:tblBorders>{edge}</w:tblBorders></w:tblPr><w:tblGrid>" + "".join(f'<w:gridCol w:w="{int(w)}"/>' for w in widths) + "</w:tblGrid>" + "".join(body) + "</w:tbl>"
+
+
+def docx(title: str, blocks: list[tuple[str, list]], width: float = 10.0) -> bytes:
+    """Blocks (kind, lines): headings, paragraphs, items and code are paragraphs with their styles; a table's lines are rows of
+    cells, and of kind "cells" lists of (text, rowspan, colspan).  Wide tables turn the page, very wide ones take a larger one."""
     body = []
     text = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
     wide = 0
     for kind, lines in blocks:
-        if kind == "table":
-            cells = [[c.strip() for c in x.strip().strip("|").split("|")] for x in lines]
-            n = max(map(len, cells))
+        if kind in ("table", "cells"):
+            rows = lines if kind == "cells" else [[(c.strip(), 1, 1) for c in x.strip().strip("|").split("|")] for x in lines]
+            n = max(sum(c[2] for c in r) for r in rows)
             wide = max(wide, n)
-            widths = [900 * w for w in column_widths([max(4.0, *(content_score(r[i]) for r in cells if i < len(r))) for i in range(n)], 10.0)]
-            grid = "".join(f'<w:gridCol w:w="{int(w)}"/>' for w in widths)
-            body.append(f"<w:tbl><w:tblGrid>{grid}</w:tblGrid>" + "".join("<w:tr>" + "".join(f"<w:tc><w:p>{text(c)}</w:p></w:tc>" for c in r + [""] * (n - len(r))) + "</w:tr>" for r in cells) + "</w:tbl>")
+            scores = [max(4.0, *(content_score(r[i][0]) for r in rows if i < len(r) and r[i][2] == 1), 4.0) for i in range(n)]
+            body.append(_table_xml(rows, [900 * w for w in column_widths(scores, width)], text))
             continue
-        style = f'<w:pPr><w:pStyle w:val="Heading{kind[-1]}"/></w:pPr>' if kind.startswith("heading") else ""
-        lead = "- " if kind == "bullet_item" else ""
-        body.append(f"<w:p>{style}{text(lead + ' '.join(lines))}</w:p>")
+        name = {"bullet_item": "ListBullet", "code": "Code"}.get(kind) or (f"Heading{kind[-1]}" if kind.startswith("heading") else "")
+        style = f'<w:pPr><w:pStyle w:val="{name}"/></w:pPr>' if name else ""
+        body += [f"<w:p>{style}{text(x)}</w:p>" for x in (lines if kind == "code" else [" ".join(lines)])]
     size = ("23811", "16838") if wide > 12 else ("16838", "11906") if wide > 7 else ("11906", "16838")
-    doc = f'<w:document xmlns:w="{_W}"><w:body>{"".join(body)}<w:sectPr><w:pgSz w:w="{size[0]}" w:h="{size[1]}"/></w:sectPr></w:body></w:document>'
-    return _zip([_types({"/word/document.xml": "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"}), _rels("_rels/.rels", [("officeDocument", "word/document.xml")]), ("word/document.xml", doc)])
+    turned = ' w:orient="landscape"' if wide > 7 else ""
+    doc = f'<w:document xmlns:w="{_W}"><w:body>{"".join(body)}<w:sectPr><w:pgSz w:w="{size[0]}" w:h="{size[1]}"{turned}/></w:sectPr></w:body></w:document>'
+    kind = "application/vnd.openxmlformats-officedocument.wordprocessingml"
+    parts = {"/word/document.xml": f"{kind}.document.main+xml", "/word/styles.xml": f"{kind}.styles+xml"}
+    return _zip([_types(parts), _rels("_rels/.rels", [("officeDocument", "word/document.xml")]), ("word/document.xml", doc), ("word/styles.xml", _docx_styles()), _rels("word/_rels/document.xml.rels", [("styles", "styles.xml")])])
 
 
 def _column(i: int) -> str:
@@ -126,19 +166,28 @@ def _column(i: int) -> str:
     return name
 
 
+#: Two cell styles: plain, and white bold letters on blue for heads.
+_XLSX_STYLES = (
+    f'<styleSheet xmlns="{_S}"><fonts count="2"><font><sz val="11"/><name val="Arial"/></font><font><b/><sz val="11"/><color rgb="FFFFFFFF"/><name val="Arial"/></font></fonts>'
+    '<fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF2F5597"/></patternFill></fill></fills>'
+    '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf xfId="0"/><xf xfId="0" fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>'
+)
+
+
 def xlsx(sheets: list[tuple[str, list[list[str]]]]) -> bytes:
     """Sheets (name, rows of texts); an empty workbook gets one empty sheet."""
     sheets = sheets or [("Sheet1", [])]
-    parts = {"/xl/workbook.xml": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"}
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {"/xl/workbook.xml": f"{kind}.sheet.main+xml", "/xl/styles.xml": f"{kind}.styles+xml"}
     files = []
     for i, (_, table) in enumerate(sheets, 1):
-        parts[f"/xl/worksheets/sheet{i}.xml"] = "application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"
+        parts[f"/xl/worksheets/sheet{i}.xml"] = f"{kind}.worksheet+xml"
         n = max(map(len, table), default=0)
         cols = "".join(f'<col min="{k + 1}" max="{k + 1}" width="{min(62, max((len(r[k]) for r in table if k < len(r)), default=0) + 2)}" customWidth="1"/>' for k in range(n))
-        data = "".join(f'<row r="{y}">' + "".join(f'<c r="{_column(x)}{y}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for x, v in enumerate(r)) + "</row>" for y, r in enumerate(table, 1))
-        files.append((f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_S}">{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{data}</sheetData></worksheet>'))
+        data = "".join(f'<row r="{y}">' + "".join(f'<c r="{_column(x)}{y}" s="{int(y == 1)}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for x, v in enumerate(r)) + "</row>" for y, r in enumerate(table, 1))
+        files.append((f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_S}"><sheetViews><sheetView showGridLines="0" workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{data}</sheetData></worksheet>'))
     book = "".join(f'<sheet name="{escape(name, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, (name, _) in enumerate(sheets, 1))
-    files = [_types(parts), _rels("_rels/.rels", [("officeDocument", "xl/workbook.xml")]), ("xl/workbook.xml", f'<workbook xmlns="{_S}" xmlns:r="{_OFFICE}"><sheets>{book}</sheets></workbook>'), _rels("xl/_rels/workbook.xml.rels", [("worksheet", f"worksheets/sheet{i}.xml") for i in range(1, len(sheets) + 1)]), *files]
+    files = [_types(parts), _rels("_rels/.rels", [("officeDocument", "xl/workbook.xml")]), ("xl/workbook.xml", f'<workbook xmlns="{_S}" xmlns:r="{_OFFICE}"><sheets>{book}</sheets></workbook>'), _rels("xl/_rels/workbook.xml.rels", [*(("worksheet", f"worksheets/sheet{i}.xml") for i in range(1, len(sheets) + 1)), ("styles", "styles.xml")]), ("xl/styles.xml", _XLSX_STYLES), *files]
     return _zip(files)
 
 

@@ -212,6 +212,35 @@ def test_streams(spark, tmp_path):
     assert "".join(map(decoder.feed, cut)) == "Строка\nвторая\nконец\n"
 
 
+def test_streams_are_decoded_with_state(spark, tmp_path):
+    """A stream's half character waits for its next chunk; two streams don't disturb each other."""
+    wide = "Строка\nвторая\n".encode("utf-16-le")
+    at = wide.index(b"\n") + 1
+    rows = [("a", 0, wide[:at]), ("a", 1, wide[at:]), ("b", 0, "plain\n".encode())]
+    spark.createDataFrame(rows, "stream string, chunk long, data binary").coalesce(1).write.parquet(str(tmp_path / "in"))
+    chunks = spark.readStream.schema("stream string, chunk long, data binary").parquet(str(tmp_path / "in"))
+    query = ingest.decode_stream(chunks).writeStream.format("memory").queryName("decoded").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r.stream: "".join(x.text for x in sorted(spark.table("decoded").where(f"stream = '{r.stream}'").collect(), key=lambda x: x.chunk)) for r in spark.table("decoded").collect()}
+    assert got == {"a": "Строка\nвторая\n", "b": "plain\n"}
+
+
+def test_events_are_counted_by_window(spark, tmp_path):
+    spark.sql("SELECT timestamp'2024-01-01 00:01:00' AS ts, 'click' AS event_type, 2.0D AS value UNION ALL SELECT timestamp'2024-01-01 00:04:59', 'click', 3.0D UNION ALL SELECT timestamp'2024-01-01 00:05:00', 'view', 1.0D").coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
+    query = ingest.windowed_counts(events).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((str(r.window.start), r.event_type, r.n, r.total) for r in spark.table("counted").collect()) == [("2024-01-01 00:00:00", "click", 2, 5.0), ("2024-01-01 00:05:00", "view", 1, 1.0)]
+
+
+def test_docx_tables_with_spans():
+    data = exports.docx("t", [("cells", [[("head", 1, 2), ("tall", 2, 1)], [("a", 1, 1), ("b", 1, 1)]]), ("code", ["x = 1", "y"])])
+    body = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode()
+    assert body.count('<w:gridSpan w:val="2"/>') == 1 and body.count('<w:vMerge w:val="restart"/>') == 1 and body.count("<w:vMerge/>") == 1 and body.count('w:val="Code"') == 2
+    assert files.docx_markdown(data).split("\n\n")[0].split("\n")[0] == "| head | tall |"
+    assert b"Heading3" in zipfile.ZipFile(io.BytesIO(data)).read("word/styles.xml")
+
+
 def test_markdown_tables_end_with_the_text(spark):
     rows = [(1, i, x) for i, x in enumerate(["## H", "| a |", "### S", "| b |"], 1)]
     got = markdown.table_blocks(spark.createDataFrame(rows, "doc_id int, line_no int, line string")).orderBy("start_line").collect()
