@@ -37,8 +37,14 @@ def batch_keys(spark, sf_dir):
     return D.table(spark, sf_dir, "pages").select("page_id", C.batch_key(F.col("url"), F.col("page_id")).alias("key"))
 
 
-# A response for each document, of which every eleventh is an error; requests for those with an even id.
-_BATCH = "(SELECT r.key, coalesce(q.source, 'batch') AS source, coalesce(q.page, 0) AS page, r.text, r.error FROM (SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS text, CASE WHEN doc_id % 11 = 0 THEN 'empty' END AS error FROM documents) r LEFT JOIN (SELECT 'k' || doc_id AS key, source, doc_id AS page FROM documents WHERE doc_id % 2 = 0) q USING (key))"
+# A fixture of a batch job over the whole table: a response for each document, of which every eleventh is an error, and
+# requests for those with an even id, so that responses without a request occur.
+_BATCH = "(SELECT r.key, coalesce(q.source, 'batch') AS source, coalesce(q.page, 0) AS page, r.text, r.error FROM (SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS text, CASE WHEN doc_id % 11 = 0 THEN 'empty' END AS error FROM documents) r LEFT JOIN (SELECT 'k' || doc_id AS key, source || '/' || (doc_id // 16) AS source, doc_id AS page FROM documents WHERE doc_id % 2 = 0) q USING (key))"
+
+
+def _file(pages):
+    """The file that a page belongs to: a batch's sources are files of some pages, not the corpora of a whole table."""
+    return F.concat_ws("/", "source", F.floor(F.col("doc_id") / pages).cast("string"))
 
 
 def _batch(spark, sf_dir):
@@ -46,7 +52,7 @@ def _batch(spark, sf_dir):
     key = F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key")
     bad = F.col("doc_id") % 11 == 0
     responses = docs.select(key, F.when(~bad, F.col("text")).alias("text"), F.when(bad, "empty").alias("error"))
-    return C.assemble(responses, docs.where("doc_id % 2 = 0").select(key, "source", F.col("doc_id").alias("page")))
+    return C.assemble(responses, docs.where("doc_id % 2 = 0").select(key, _file(16).alias("source"), F.col("doc_id").alias("page")))
 
 
 @register(f"SELECT key, source, page, error FROM {_BATCH} WHERE error IS NOT NULL")
@@ -59,11 +65,12 @@ def batch_assembly(spark, sf_dir):
     return C.merged_pages(_batch(spark, sf_dir))
 
 
-@register("SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3)::INT AS chunk FROM documents")
+@register("SELECT doc_id, file, ((row_number() OVER (PARTITION BY file ORDER BY doc_id) - 1) // 3)::INT AS chunk FROM (SELECT doc_id, source || '/' || (doc_id // 16) AS file FROM documents)")
 def chunk_pages(spark, sf_dir):
-    return C.chunked(D.table(spark, sf_dir, "documents").select("doc_id", "source"), 3, "source", "doc_id")
+    return C.chunked(D.table(spark, sf_dir, "documents").select("doc_id", _file(16).alias("file")), 3, "file", "doc_id")
 
 
+# The cache holds what every third document has; a fixture, so that hits and misses occur.
 @register("SELECT doc_id, sha256(text) AS key, min(c.first) IS NOT NULL AS hit FROM documents LEFT JOIN (SELECT DISTINCT sha256(text) AS key, 1 AS first FROM documents WHERE doc_id % 3 = 0) c ON c.key = sha256(text) GROUP BY ALL")
 def cache_hit_miss(spark, sf_dir):
     docs = D.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
