@@ -127,8 +127,3 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.arange(total, dtype=np.int64)
     out += np.repeat(starts - (ends - lengths), lengths)
     return out
-
-
-def by_row(rows: np.ndarray, n: int) -> np.ndarray:
-    """n + 1 bounds of each row's entries in an ascending array of row numbers."""
-    return np.searchsorted(rows, np.arange(n + 1))
