@@ -262,9 +262,15 @@ def family_options(spark, sf_dir):
     return R.options_of_family(options, fields, ["tesseract", "surya"])
 
 
-@register()
+_ZERO = "{'l': 0::BIGINT, 'r': 0::BIGINT, 'h': %s, 'out': ''}"
+
+
+@register(
+    f"""SELECT doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda x: {_ZERO % 'length(x)::BIGINT'}),
+      lambda a, x: {{'l': CASE WHEN a.r < a.l THEN a.l ELSE a.l + x.h END, 'r': CASE WHEN a.r < a.l THEN a.r + x.h ELSE a.r END, 'h': x.h, 'out': a.out || CASE WHEN a.r < a.l THEN '1' ELSE '0' END}}, {_ZERO % '0::BIGINT'}).out AS sides FROM documents"""
+)
 def two_columns(spark, sf_dir):
-    """Blocks as tall as a document's lines are long; no SQL: each place depends on all before it."""
+    """Blocks as tall as a document's lines are long."""
     heights = F.transform(F.split("text", "\n"), lambda x: F.length(x).cast("long"))
     return D.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(R.right_column(heights), lambda b: b.cast("int").cast("string")), "").alias("sides"))
 
