@@ -89,18 +89,18 @@ def words_in(words: DataFrame, rects: DataFrame, by: str = "doc_id", inset: floa
     return points.join(bands, [by, "band"]).where(inside).drop("band", "cx", "cy")
 
 
-def unique_anchors(words: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Words whose folded token occurs once on the page: counted with partial sums, no sort; of a token that occurs once the
-    least values are its own."""
+def unique_anchors(words: DataFrame, by: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Words whose folded token occurs once on the page: counted with partial sums; of a token that occurs once the least
+    values are its own.  keep: the columns wanted (all); if they are numbers, nothing is sorted."""
     tokens = words.withColumn("token", X.anchor_token("text")).where("token <> ''")
-    own = [c for c in tokens.columns if c not in (by, "token")]
+    own = [c for c in tokens.columns if c not in (by, "token")] if keep is None else keep
     return tokens.groupBy(by, "token").agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in own]).where("_n = 1").drop("_n")
 
 
 def anchor_cells(cells: DataFrame, words: DataFrame, by: str = "doc_id", cell: str = "cell_id") -> DataFrame:
     """Boxes of cells from the unique words that they name: two at least, or one of ten characters; padded."""
     named = cells.select(by, cell, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[0-9A-Za-zА-Яа-яЁё]+"), F.lit(0)), X.anchor_token))).alias("token"))
-    found = named.join(unique_anchors(words.select(by, "text", "x", "y", "w", "h"), by), [by, "token"])
+    found = named.join(unique_anchors(words, by, ("x", "y", "w", "h")), [by, "token"])
     boxes = found.groupBy(by, cell).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), F.count("*").alias("anchors"), F.max(F.length("token")).alias("_long"))
     pad_x, pad_y = F.greatest(F.lit(3.0), (F.col("x1") - F.col("x0")) * 0.03), F.greatest(F.lit(3.0), (F.col("y1") - F.col("y0")) * 0.12)
     box = [F.greatest(F.lit(0.0), F.col("x0") - pad_x).cast("int").alias("x"), F.greatest(F.lit(0.0), F.col("y0") - pad_y).cast("int").alias("y")]

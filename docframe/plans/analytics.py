@@ -252,7 +252,7 @@ def words_in_rect(spark, sf_dir):
 
 @register(f"SELECT doc_id, count(*) AS anchors, sum(length(token))::BIGINT AS chars FROM (SELECT doc_id, token FROM (SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^0-9a-zа-я]+', '', 'g') AS token FROM {D.WORDS}) WHERE token <> '' GROUP BY doc_id, token HAVING count(*) = 1) GROUP BY doc_id")
 def anchor_unique_tokens(spark, sf_dir):
-    return W.unique_anchors(_words(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("anchors"), F.sum(F.length("token")).alias("chars"))
+    return W.unique_anchors(_words(spark, sf_dir), keep=()).groupBy("doc_id").agg(F.count("*").alias("anchors"), F.sum(F.length("token")).alias("chars"))
 
 
 _FOLD = "regexp_replace(translate(replace(lower({x}), 'ß', 'ss'), 'ё', 'е'), '[^0-9a-zа-я]+', '', 'g')"
