@@ -51,11 +51,11 @@ END = np.uint64(0x8F1BBCDC5A827999)
 WORD_BYTES = 8 << 20
 PAIR_TOKENS = 2_000_000
 #: Distinct words, or triples, that a task holds before it deals them out.
-HOLD = 3_000_000
+HOLD = 2_000_000
 #: Contexts with more following words have their sums stored, others have them added up when asked for.
 WIDE = 8
 #: Bytes of text that are scored at once: each slice asks every file it needs once.
-SCORED_BYTES = 8 << 20
+SCORED_BYTES = 4 << 20
 _BLOB = "bucket int, keys binary, counts binary"
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
