@@ -23,9 +23,12 @@ from docframe.functions import text as X
 from docframe.functions.udf import markers, seq_ratio
 from docframe.operators import control as C
 from docframe.operators.control import assemble
+from docframe.operators.lines import resolver_queue
+from docframe.operators.numeric import resolver_result
 from docframe.operators.runs import parsed_values_text, reply_text, reviewed
 from docframe.operators.verify import second_pass_gate, text_metrics, verify
 from docframe.session import kept, shared_folder
+from docframe.sources.payloads import strip_fence
 
 
 class Adapter(Protocol):
@@ -234,6 +237,26 @@ def numeric_checks(candidates: DataFrame, make: Callable[[], Adapter], params: d
     return joined.select(key, status.alias("status"), located.alias("located"), verified.alias("verified"), "error")
 
 
+def resolve_crops(items: DataFrame, make: Callable[[], Adapter] | None, mode: str = "suggest", limit: int = -1, by: str = "run_id", order: str = "item_id", content: str = "crop") -> DataFrame:
+    """Review items with the outcome of a repair-only engine: status, visible, confidence and safe.
+
+    mode: off (nothing is sent), suggest, or auto-fix-safe (only then may a repair be marked as safe).  Without an engine items are
+    queued for one.  Items without a crop, of missing engines, and beyond the limit aren't sent; each crop that is sent costs one call."""
+    empty = items.withColumns({"status": F.lit("disabled" if mode == "off" else "queued_for_engine"), "visible": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "safe": F.lit(False)})
+    if mode == "off" or make is None:
+        return empty.drop(content)
+    queued = resolver_queue(items.withColumn("has_crop", F.col(content).isNotNull()), limit, by, order).drop("has_crop").withColumn("_key", F.concat_ws("/", F.col(by).cast("string"), F.col(order).cast("string")))
+    read = kept(recognize(queued.where("status = 'attempt'"), make, {}, "_key", content), shared_folder(items.sparkSession), "crops")
+    reply = F.from_json(strip_fence(F.col("text")), "visible_text string, confidence string, reason string, safe_to_autofix boolean")
+    told = read.select("_key", "ok", reply.alias("r")).join(queued.select("_key", "kind"), "_key")
+    result = resolver_result(told.select("_key", "ok", "kind", F.col("r.visible_text").alias("visible"), F.col("r.confidence").alias("confidence"), F.coalesce("r.safe_to_autofix", F.lit(False)).alias("safe")))
+    safe = F.col("safe") & F.lit(mode == "auto-fix-safe")
+    status = F.when(~F.col("ok"), "resolver_error").when(safe, "safe_autofix_candidate").when(F.col("visible").isNotNull(), "resolved_review").otherwise("unresolved_review")
+    done = result.select("_key", status.alias("_status"), "visible", "confidence", safe.alias("safe"))
+    joined = queued.join(done, "_key", "left")
+    return joined.select(*[c for c in items.columns if c != content], F.coalesce("_status", "status").alias("status"), "visible", "confidence", F.coalesce("safe", F.lit(False)).alias("safe"))
+
+
 def quality_runs(pages: DataFrame, engines: dict[str, Callable[[], Adapter]], variants: dict[str, str], params: dict, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """Text metrics of every page by every engine and variant, and the engines that can't be made, with their errors.
 

@@ -46,3 +46,17 @@ def resolver_queue(items: DataFrame, limit: int, by: str = "run_id", order: str
     status = F.when(~F.col("has_crop"), "manual_review_no_crop").when(F.col("kind") == "ocr_engine_missing", "manual_review_needs_local_ocr")
     status = status.when(F.lit(limit < 0) | (place <= limit), "attempt").otherwise("queued_by_limit")
     return items.withColumn("status", status)
+
+
+def workbench(pages: DataFrame, words: DataFrame, by: str = "source", threshold: float = LOW_CONFIDENCE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages (source, page, text) and words (source, page, text, confidence) as coordinate rows, review items and figures of each source.
+
+    Lines that aren't blank are numbered over all pages of a source; wide lines and words of low confidence are reviewed."""
+    split = pages.select(by, "page", F.posexplode(F.split("text", "\n")).alias("_pos", "line")).withColumn("line", X.squeeze("line")).where(F.length("line") > 0)
+    lines = split.withColumn("line_no", F.row_number().over(Window.partitionBy(by).orderBy("page", "_pos"))).drop("_pos")
+    found = coordinate_rows(lines).select(by, "page", "line_no", "numbers", F.col("line").alias("raw"))
+    weak = low_confidence(words, threshold).select(by, "page", F.lit("low_confidence_word").alias("kind"), "text")
+    wide = review_items(lines).select(by, "page", F.lit("wide_line").alias("kind"), F.col("shown").alias("text"))
+    reviews = wide.unionByName(weak)
+    figures = stats(lines, by).drop("reviews", "chars").join(reviews.groupBy(by).agg(F.count("*").alias("reviews")), by, "left").join(pages.groupBy(by).agg(F.count_distinct("page").alias("pages")), by)
+    return found, reviews, figures.withColumn("reviews", F.coalesce("reviews", F.lit(0)))

@@ -205,3 +205,33 @@ def image_size(width: Column, height: Column, least: int = 1600, most: int = 280
     scale = F.when(long < least, F.lit(float(least)) / long).when(long > most, F.lit(float(most)) / long).otherwise(1.0)
     side = lambda v: F.greatest(F.lit(1), F.floor(v * scale + 0.5)).cast("int")
     return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def regions_text(regions: DataFrame, cells: DataFrame, by: str = "page", region: str = "region") -> DataFrame:
+    """The text of each page's regions in order: rows of tables (rows, cols, cells) with tabs between their cells, texts of the others.
+
+    A table's cells outside its grid are left out; of several in one place the last (by cell_no) counts."""
+    tables = regions.where((F.col("kind") == "table") & (F.col("rows") > 0))
+    inside = cells.join(tables.select(by, region, "rows", "cols"), [by, region]).where((F.col("row") >= 0) & (F.col("row") < F.col("rows")) & (F.col("col") >= 0) & (F.col("col") < F.col("cols")))
+    last = inside.groupBy(by, region, "row", "col").agg(F.max_by(F.coalesce("text", F.lit("")), "cell_no").alias("text"))
+    held = last.groupBy(by, region, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m")).groupBy(by, region).agg(F.map_from_entries(F.collect_list(F.struct("row", "m"))).alias("grid"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    joined = regions.join(held, [by, region], "left")
+    row = lambda r: F.array_join(F.transform(upto(F.col("cols")), lambda c: F.coalesce(F.element_at(F.element_at("grid", r), c), F.lit(""))), "\t")
+    lines = F.when(F.col("kind") == "table", F.transform(upto(F.coalesce("rows", F.lit(0))), row)).when(F.trim(F.coalesce("text", F.lit(""))) != "", F.array("text")).otherwise(F.array().cast("array<string>"))
+    parts = joined.select(by, region, lines.alias("lines")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(region, "lines"))).alias("p"))
+    return parts.select(by, F.array_join(F.flatten(F.transform("p", lambda x: x["lines"])), "\n").alias("text"))
+
+
+def depends_on(fields: DataFrame) -> DataFrame:
+    """For each field (field, named: array) the fields whose change asks for its options anew: those that are named, and for a model
+    the key that its provider is asked with."""
+    named = F.coalesce("named", F.array().cast("array<string>"))
+    key = F.concat(F.regexp_replace("field", "_model$", ""), F.lit("_api_key"))
+    return fields.select("field", F.when(F.endswith("field", F.lit("_model")) & ~F.array_contains(named, key), F.concat(named, F.array(key))).otherwise(named).alias("depends_on"))
+
+
+def default_options(fields: DataFrame, values: DataFrame, options: DataFrame) -> DataFrame:
+    """Each field with the value it has, else its provider's default option (the first in the options' order), else nothing."""
+    first = options.groupBy("provider").agg(F.min_by("value", "ord").alias("_first"))
+    return fields.join(values.select("field", F.col("value").alias("_own")), "field", "left").join(first, "provider", "left").select("field", F.coalesce(F.nullif("_own", F.lit("")), "_first", F.lit("")).alias("value"))

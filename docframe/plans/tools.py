@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docframe.operators import adapters as A
+from docframe.operators import lines as L
 from docframe.operators import tools as T
 from docframe.plans import derived as D
+from docframe.plans.analytics import _COORD, _TABLE
 from docframe.plans.registry import Register, over, rows
 
 register = Register()
@@ -197,4 +200,60 @@ def file_totals(spark, sf_dir):
     return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count_if(F.col("doc_id") % 3 == 0).alias("selected"))
 
 
+@register(
+    """SELECT event_id AS page, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || chr(10) END || 'a' || chr(9) || props || chr(10) || chr(9) || 'last' || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'end' ELSE '' END AS text FROM events"""
+)
+def regions_text(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    region = lambda n, kind, text, rows=0, cols=0: F.struct(F.lit(n).alias("region"), F.lit(kind).alias("kind"), text.alias("text"), F.lit(rows).alias("rows"), F.lit(cols).alias("cols"))
+    regions = e.select(F.col("event_id").alias("page"), F.explode(F.array(region(3, "paragraph", F.when(F.col("event_id") % 2 == 0, "end")), region(1, "heading", F.when(F.col("event_id") % 3 > 0, F.col("event_type")).otherwise(" ")), region(2, "table", F.lit("not shown"), 2, 2), region(4, "table", F.lit(""), 0, 3))).alias("r")).select("page", "r.*")
+    cell = lambda n, row, col, text: F.struct(F.lit(2).alias("region"), F.lit(n).alias("cell_no"), F.lit(row).alias("row"), F.lit(col).alias("col"), text.alias("text"))
+    cells = e.select(F.col("event_id").alias("page"), F.explode(F.array(cell(0, 0, 0, F.lit("a")), cell(1, 0, 1, F.col("props")), cell(2, 1, 1, F.lit("first")), cell(3, 1, 1, F.lit("last")), cell(4, 5, 0, F.lit("outside")))).alias("c")).select("page", "c.*")
+    return T.regions_text(regions, cells)
+
+
+@register("SELECT p_partkey, field, CASE WHEN ends_with(field, '_model') AND p_partkey % 3 > 0 THEN 'x,' || regexp_replace(field, '_model$', '') || '_api_key' WHEN ends_with(field, '_model') THEN regexp_replace(field, '_model$', '') || '_api_key' ELSE 'x' END AS depends_on FROM (SELECT p_partkey, 'f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '_model' ELSE '' END AS field FROM part) WHERE ends_with(field, '_model') OR p_partkey % 3 > 0")
+def field_dependencies(spark, sf_dir):
+    part = D.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "_model").otherwise("")).alias("field"))
+    named = part.withColumn("named", F.when(F.col("p_partkey") % 3 == 1, F.array(F.lit("x"))).when(F.col("p_partkey") % 3 == 2, F.when(F.endswith("field", F.lit("_model")), F.array(F.lit("x"), F.concat(F.regexp_replace("field", "_model$", ""), F.lit("_api_key")))).otherwise(F.array(F.lit("x")))))
+    got = T.depends_on(named).where(F.size("depends_on") > 0)
+    return got.select(F.regexp_extract("field", "([0-9]+)", 1).cast("long").alias("p_partkey"), "field", F.array_join("depends_on", ",").alias("depends_on"))
+
+
+@register("SELECT 'f' || event_id AS field, CASE WHEN event_id % 3 = 0 THEN event_type ELSE coalesce(f.value, '') END AS value FROM events LEFT JOIN (SELECT p_size AS provider, arg_min(p_name, p_partkey) AS value FROM part WHERE p_size % 2 = 0 GROUP BY p_size) f ON f.provider = user_id % 60")
+def default_options(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("field"), (F.col("user_id") % 60).alias("provider"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, "").alias("value"))
+    options = D.table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.col("p_size").alias("provider"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("value"))
+    return T.default_options(e.select("field", "provider"), e.where("value IS NOT NULL").select("field", "value"), options)
+
+
+@register(
+    """SELECT user_id AS run_id, event_id AS item_id, CASE WHEN event_id % 5 = 0 THEN 'manual_review_no_crop' WHEN event_id % 7 = 0 THEN 'manual_review_needs_local_ocr' WHEN n > 2 THEN 'queued_by_limit'
+    WHEN event_id % 4 = 0 THEN 'safe_autofix_candidate' WHEN event_id % 4 = 1 THEN 'unresolved_review' ELSE 'resolved_review' END AS status FROM
+    (SELECT *, sum(CASE WHEN event_id % 5 > 0 AND event_id % 7 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"""
+)
+def resolved_crops(spark, sf_dir):
+    k = F.col("event_id") % 4
+    reply = F.to_json(F.struct(F.when(k != 1, F.col("event_type")).alias("visible_text"), F.when(k == 2, 0.5).otherwise(0.95).cast("string").alias("confidence"), F.lit("r").alias("reason"), (k != 3).alias("safe_to_autofix")))
+    crop = F.when(F.col("event_id") % 5 > 0, F.encode(F.concat(F.lit("```json\n"), reply, F.lit("\n```")), "utf-8"))
+    items = _events(spark, sf_dir).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("item_id"), F.when(F.col("event_id") % 7 == 0, "ocr_engine_missing").otherwise("low").alias("kind"), crop.alias("crop"))
+    return A.resolve_crops(items, A.maker("text"), "auto-fix-safe", 2).select("run_id", "item_id", "status")
+
+
+_SHOWN_LINES = "(SELECT * FROM (SELECT doc_id, line_pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM " + D.LINES + ") WHERE line <> '')"
+
+
+@register(
+    f"""WITH l AS (SELECT doc_id // 4 AS source, count(*) AS lines FROM {_SHOWN_LINES} GROUP BY ALL), w AS (SELECT doc_id // 4 AS source, count(*) AS weak FROM {D.WORDS} WHERE confidence * 100 < 3 GROUP BY ALL),
+    v AS (SELECT doc_id // 4 AS source, count(*) AS wide FROM {_SHOWN_LINES} WHERE NOT {_COORD} AND {_TABLE} AND length(line) > 180 GROUP BY ALL), p AS (SELECT doc_id // 4 AS source, count(*) AS pages FROM documents GROUP BY ALL)
+    SELECT source, lines, coalesce(weak, 0) + coalesce(wide, 0) AS reviews, pages FROM l JOIN p USING (source) LEFT JOIN w USING (source) LEFT JOIN v USING (source)"""
+)
+def workbench_figures(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents")
+    file = F.floor(F.col("doc_id") / 4).alias("source")
+    pages = docs.select(file, F.col("doc_id").alias("page"), "text")
+    words = D.words(docs).select(file, F.col("doc_id").alias("page"), "text", (F.col("confidence") * 100).alias("confidence"))
+    return L.workbench(pages, words, threshold=3)[2].select("source", "lines", "reviews", "pages")
+
+
 QUERIES, ORACLES = register.queries, register.oracles
