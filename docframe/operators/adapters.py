@@ -10,7 +10,11 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import html
 import json
+import re
+import subprocess
+import tempfile
 import time
 from collections.abc import Callable
 from typing import Protocol
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions import text as X
-from docframe.functions.udf import markers, seq_ratio
+from docframe.functions.udf import decoded, markers, repaired, seq_ratio
 from docframe.operators import control as C
 from docframe.operators.control import assemble
 from docframe.operators.lines import resolver_queue
@@ -289,6 +293,120 @@ def collected_batch(output: DataFrame, requests: DataFrame, state: str) -> DataF
     return assemble(output.where(F.trim(line) != "").select(key.alias("key"), text.alias("text"), F.get_json_object(line, "$.error").alias("error")), requests)
 
 
+def program(command: list[str], timeout: float = 180.0) -> Callable[[bytes, dict], str]:
+    """Runs a program on a page: the image goes to a file that it is given for {image}, parameters for {name}; what it prints is the reply."""
+
+    def run(content: bytes, params: dict) -> str:
+        with tempfile.NamedTemporaryFile(suffix=".png") as image:
+            image.write(content)
+            image.flush()
+            filled = [part.format_map({"image": image.name, **params}) for part in command]
+            done = subprocess.run(filled, capture_output=True, timeout=timeout, check=False)
+        if done.returncode:
+            raise RuntimeError(done.stderr.decode("utf-8", "replace").strip()[-300:] or f"ended with {done.returncode}")
+        return decoded(done.stdout)
+
+    return run
+
+
+def _clean_word(text: str) -> str:
+    """A word without a quote that stands on one side only."""
+    text = text.strip()
+    if text.startswith('"') != text.endswith('"') or text == '"':
+        text = text.strip('"').strip()
+    return text
+
+
+class Listing:
+    """An adapter of an engine that lists words with their boxes in tab-separated rows (`run` gives the listing of a page)."""
+
+    def __init__(self, run: Callable[[bytes, dict], str]):
+        self.run = run
+
+    def recognize(self, content: bytes, params: dict) -> dict:
+        words, lines = [], {}
+        for row in self.run(content, params).replace("\r", "").split("\n")[1:]:
+            part = row.split("\t", 11)
+            if len(part) < 12 or part[0] != "5":
+                continue
+            try:
+                place, box, conf = tuple(map(int, part[2:5])), list(map(int, part[6:10])), float(part[10])
+            except ValueError:
+                continue
+            text = _clean_word(part[11])
+            if text and conf >= 0:
+                words.append({"text": text, "box": box, "confidence": conf / 100})
+                lines.setdefault(place, []).append(text)
+        return {"text": "\n".join(" ".join(x) for x in lines.values()), "words": words}
+
+
+class Blocks:
+    """An adapter of a layout engine whose reply is JSON of blocks (text or html, polygon, reading_order, label, confidence)."""
+
+    def __init__(self, run: Callable[[bytes, dict], str]):
+        self.run = run
+
+    def recognize(self, content: bytes, params: dict) -> dict:
+        reply = json.loads(self.run(content, params))
+        words, texts = [], []
+        for block in sorted(reply.get("blocks") or [], key=lambda b: b.get("reading_order") or 0):
+            text = (block.get("text") or _plain(block.get("html") or "")).strip()
+            if not text:
+                continue
+            label = str(block.get("label") or "").lower()
+            texts.append(f"## {text}" if "header" in label or label == "title" else text)
+            points = block.get("polygon") or []
+            if points:
+                xs, ys = [int(p[0]) for p in points], [int(p[1]) for p in points]
+                words.append({"text": text, "box": [min(xs), min(ys), max(1, max(xs) - min(xs)), max(1, max(ys) - min(ys))], "confidence": block.get("confidence") or 1.0})
+        return {"text": "\n\n".join(texts), "words": words}
+
+
+def _plain(markup: str) -> str:
+    """Block markup as lines: cells are parted by tabs."""
+    markup = re.sub(r"(?i)</t[dh]>", "\t", markup)
+    markup = re.sub(r"(?i)</(?:p|div|tr|li|h[1-6]|table)>|<br\s*/?>", "\n", markup)
+    lines = (" ".join(x.split()) for x in html.unescape(re.sub(r"<[^>]+>", "", markup)).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+class Vertices:
+    """An adapter of a service whose reply is JSON of blocks, lines and words with the corners of their boxes."""
+
+    def __init__(self, send: Callable[[bytes, dict], str]):
+        self.send = send
+
+    def recognize(self, content: bytes, params: dict) -> dict:
+        reply = json.loads(self.send(content, params))
+        page = reply.get("textAnnotation") or (reply.get("result") or {}).get("textAnnotation") or {}
+        words, lines = [], []
+        for line in (x for block in page.get("blocks") or [] for x in block.get("lines") or []):
+            lines.append(line.get("text") or "")
+            for word in line.get("words") or []:
+                corners = (word.get("boundingBox") or {}).get("vertices") or []
+                xs, ys = ([int(float(c.get(k) or 0)) for c in corners] for k in "xy")
+                if xs:
+                    words.append({"text": word.get("text") or "", "box": [min(xs), min(ys), max(xs) - min(xs), max(ys) - min(ys)], "confidence": 1.0 if word.get("confidence") is None else float(word["confidence"])})
+        return {"text": page.get("markdown") or "\n".join(lines) or page.get("fullText") or "", "words": words}
+
+
+class MarkdownPages:
+    """An adapter of a service whose reply is JSON of pages in Markdown with blocks and tables; the page itself is handed on for its layout
+    (sources.payloads.regions and page_markdown read it).  Replies with broken characters are refused."""
+
+    def __init__(self, send: Callable[[bytes, dict], str]):
+        self.send = send
+
+    def recognize(self, content: bytes, params: dict) -> dict:
+        pages = json.loads(self.send(content, params)).get("pages") or []
+        if not pages:
+            raise Unusable("the reply has no page")
+        text = repaired(str(pages[0].get("markdown") or "").strip())
+        if not text or "\ufffd" in text:
+            raise Unusable("the reply's text is empty or broken")
+        return {"text": text, "words": [], "page": pages[0]}
+
+
 class Service:
     """An adapter of an engine that runs as a service of its own: `post` takes a path and a JSON object and gives one."""
 

@@ -299,22 +299,38 @@ def ruled_grid(gray: np.ndarray, columns: float = 0.25, rows: float = 0.30, cove
     return cells
 
 
-def clean_pages(pages: DataFrame, content: str = "content", level: int = 1, binary: bool = False) -> DataFrame:
-    """PNG pages cleaned: a function of bytes and settings, by Arrow batches."""
+def clean_page(gray: np.ndarray, level: int = 1, strip: bool = True, scale: int = 0, straight: bool = True, binary: bool = False, intent: str = "text", enlarge=None) -> np.ndarray:
+    """A page made ready for recognition: cleaned (not where the image itself is wanted), without streaks, enlarged, straightened, in
+    black and white; each step only if it is asked for, in this order."""
+    if intent != "image":
+        gray = preclean(gray, level)
+    if strip:
+        gray = strip_vertical_lines(gray)
+    gray = upscaled(gray, scale, enlarge)
+    if straight:
+        gray = deskew(gray)
+    return binarize(gray) if binary else gray
+
+
+def clean_pages(pages: DataFrame, content: str = "content", enabled: bool = True, **steps) -> DataFrame:
+    """PNG pages cleaned by clean_page(): a function of bytes and settings, by Arrow batches; as they are if it isn't enabled."""
+    if not enabled:
+        return pages
 
     @F.pandas_udf("binary")
     def clean(images: pd.Series) -> pd.Series:
-        def one(data):
-            if data is None:
-                return None
-            gray = preclean(strip_vertical_lines(png_decode(data)), level)
-            return png_encode(binarize(gray) if binary else gray)
-
-        return images.map(one)
+        return images.map(lambda data: None if data is None else png_encode(clean_page(png_decode(data), **steps)))
 
     return pages.withColumn(content, clean(content))
 
 
+def page_assets(pages: DataFrame, source: str = "source", clean: str = "content", dpi: int = 300) -> DataFrame:
+    """For each page (page, from 0) the files of its source image and of the image that was read: their names, contents and hashes."""
+    number = F.lpad((F.col("page") + 1).cast("string"), 4, "0")
+    name = lambda kind: F.concat(F.lit("pages/page-"), number, F.lit(f".{kind}.png"))
+    return pages.withColumns({"source_page_image": name("source"), "ocr_page_image": name("ocr"), "source_page_sha256": F.sha2(source, 256), "ocr_page_sha256": F.sha2(clean, 256), "raster_dpi": F.lit(dpi)})
+
+
 def png_size(content: str):
     """Width and height of a PNG column, from its header (built-in functions)."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")

@@ -227,6 +227,24 @@ def verification(spark, sf_dir):
     return got.select("event_id", "matched_count", "status", "numeric_agreement", "text_jaccard")
 
 
+_CASES = (  # rows, cols, the cell's row and column, spans, text, source of its place, confidence, anchors
+    (2, 3, 0, 0, 1, 1, "WORD", "provider_native", None, None), (2, 3, 0, 1, 1, 2, "x", "tesseract_native_alignment", 1.0, 2), (2, 3, 0, 0, 1, 1, "12", "physical_grid_verified", 0.8, None),
+    (1, 1, 5, 0, 1, 1, "y", "provider_native", None, None), (1, 1, 0, 0, 1, 1, "z", "physical_grid_verified", 0.6, None),
+)
+
+
+@register("SELECT event_id AS doc_id, list_extract(['equivalent', 'merged_cell_coordinate_review', 'physical_consensus', '', 'trusted_cell_coordinates_missing'], CAST(event_id % 5 AS INT) + 1) AS reason, CASE WHEN event_id % 5 = 4 THEN 'table' ELSE 'table_cell' END AS kind FROM events WHERE event_id % 5 <> 3")
+def fused_tables(spark, sf_dir):
+    """A table of one cell for each event, of five kinds in turn; both other engines read the event's type in the cell's place."""
+    e = _events(spark, sf_dir).select(F.col("event_id").alias("doc_id"), F.col("event_type"), F.lit(0).alias("region_id"))
+    case = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in _CASES]), (F.col("doc_id") % 5).cast("int") + 1)
+    tables = e.select("doc_id", "region_id", case(0).alias("rows"), case(1).alias("cols"))
+    own = F.when(F.col("doc_id") % 5 == 0, F.upper("event_type")).otherwise(case(6))
+    cells = e.select("doc_id", "region_id", case(2).alias("row"), case(3).alias("col"), case(4).alias("rowspan"), case(5).alias("colspan"), own.alias("text"), F.array(*[F.lit(v) for v in (0, 0, 100, 20)]).alias("box"), case(7).alias("coordinate_source"), case(8).alias("coordinate_confidence"), case(9).alias("coordinate_anchor_count"))
+    words = e.select("doc_id", F.col("event_type").alias("text"), F.lit(5).alias("x"), F.lit(5).alias("y"), F.lit(50).alias("w"), F.lit(10).alias("h"))
+    return V.fuse_tables(tables, cells, words, words).select("doc_id", "reason", "kind")
+
+
 # -- exports and files --
 
 
@@ -421,4 +439,10 @@ def pdf_round_trip(spark, sf_dir):
     return B.text_pages(made, "document_id").withColumnRenamed("document_id", "page_id")
 
 
+@register("SELECT page_id, 'pages/page-' || lpad(CAST(page_id + 1 AS VARCHAR), 4, '0') || '.source.png' AS source_page_image, 'pages/page-' || lpad(CAST(page_id + 1 AS VARCHAR), 4, '0') || '.ocr.png' AS ocr_page_image, sha256(url) AS source_page_sha256, sha256(url || '!') AS ocr_page_sha256, 300 AS raster_dpi FROM pages WHERE page_id < 9999")
+def page_assets(spark, sf_dir):
+    pages = D.table(spark, sf_dir, "pages").where("page_id < 9999").select("page_id", F.col("page_id").alias("page"), F.encode("url", "utf-8").alias("source"), F.encode(F.concat("url", F.lit("!")), "utf-8").alias("content"))
+    return G.page_assets(pages).select("page_id", "source_page_image", "ocr_page_image", "source_page_sha256", "ocr_page_sha256", "raster_dpi")
+
+
 QUERIES, ORACLES = register.queries, register.oracles

@@ -189,3 +189,23 @@ def test_lines_keep_their_first_words_centre(spark):
     rows = [(1, i, y, 0, 10, 10) for i, y in enumerate([0, 4, 8, 12, 30, 33, 36])]
     words = spark.createDataFrame(rows, "doc_id long, word_no long, y long, x long, w long, h long")
     assert {r.word_no: r.line_no for r in W.group_lines(words).collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3, 5: 3, 6: 3}
+
+
+def test_adapters_of_programs_and_services():
+    tsv = "level\tx\r\n" + "\n".join("\t".join(map(str, r)) for r in [(5, 1, 1, 1, 1, 1, 10, 20, 30, 8, 96.5, '"Sum'), (5, 1, 1, 1, 2, 1, 10, 40, 30, 8, 80, "12"), (5, 1, 1, 1, 1, 2, 50, 20, 9, 8, 90, '"ok"'), (5, 1, 1, 1, 1, 3, 0, 0, 1, 1, -1, "gone"), (4, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, "")])
+    read = A.Listing(lambda c, p: tsv).recognize(b"", {})
+    assert read["text"] == 'Sum "ok"\n12' and read["words"][0] == {"text": "Sum", "box": [10, 20, 30, 8], "confidence": 0.965}
+    blocks = json.dumps({"blocks": [{"reading_order": 2, "html": "<table><tr><td>a</td><td>b&amp;c</td></tr></table>", "polygon": [[1, 2], [11, 2], [11, 2], [1, 2]]}, {"reading_order": 1, "label": "Title", "text": "Act"}, {"text": " "}]})
+    read = A.Blocks(lambda c, p: blocks).recognize(b"", {})
+    assert read["text"] == "## Act\n\na b&c" and read["words"] == [{"text": "a b&c", "box": [1, 2, 10, 1], "confidence": 1.0}]
+    corner = lambda x, y: {"x": str(x), "y": str(y)}
+    word = {"text": "w", "boundingBox": {"vertices": [corner(5, 6), corner(9, 6), corner(9, 8)]}}
+    reply = json.dumps({"result": {"textAnnotation": {"fullText": "full", "blocks": [{"lines": [{"text": "w x", "words": [word, {"text": "x"}]}]}]}}})
+    assert A.Vertices(lambda c, p: reply).recognize(b"", {}) == {"text": "w x", "words": [{"text": "w", "box": [5, 6, 4, 2], "confidence": 1.0}]}
+    assert A.MarkdownPages(lambda c, p: json.dumps({"pages": [{"markdown": " # T ", "index": 0}]})).recognize(b"", {})["text"] == "# T"
+    for bad in ({}, {"pages": [{"markdown": ""}]}, {"pages": [{"markdown": "a\ufffd"}]}):
+        with pytest.raises(A.Unusable):
+            A.MarkdownPages(lambda c, p, bad=bad: json.dumps(bad)).recognize(b"", {})
+    assert A.program(["sh", "-c", "cat {image}; printf ' {lang}'"])(b"page", {"lang": "rus"}) == "page rus"
+    with pytest.raises(RuntimeError, match="no such"):
+        A.program(["sh", "-c", "echo no such language >&2; exit 3"])(b"", {})
