@@ -50,7 +50,7 @@ def pages(spec: Column, total: Column) -> Column:
 
 def batch_key(stem: Column, page: Column) -> Column:
     safe = F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", "")
-    return F.concat(F.when(safe == "", "document").otherwise(safe), F.lit("_page_"), F.lpad((page + 1).cast("string"), 4, "0"))
+    return F.concat(F.when(safe == "", "document").otherwise(safe), F.lit("_page_"), F.format_string("%04d", (page + 1).cast("long")))
 
 
 def assemble(responses: DataFrame, requests: DataFrame) -> DataFrame:

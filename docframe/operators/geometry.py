@@ -326,7 +326,7 @@ def clean_pages(pages: DataFrame, content: str = "content", enabled: bool = True
 
 def page_assets(pages: DataFrame, source: str = "source", clean: str = "content", dpi: int = 300) -> DataFrame:
     """For each page (page, from 0) the files of its source image and of the image that was read: their names, contents and hashes."""
-    number = F.lpad((F.col("page") + 1).cast("string"), 4, "0")
+    number = F.format_string("%04d", (F.col("page") + 1).cast("long"))
     name = lambda kind: F.concat(F.lit("pages/page-"), number, F.lit(f".{kind}.png"))
     return pages.withColumns({"source_page_image": name("source"), "ocr_page_image": name("ocr"), "source_page_sha256": F.sha2(source, 256), "ocr_page_sha256": F.sha2(clean, 256), "raster_dpi": F.lit(dpi)})
 

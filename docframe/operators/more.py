@@ -94,22 +94,21 @@ def text_places(words: DataFrame, sx: float, sy: float) -> DataFrame:
 def nearest_lines(words: DataFrame, by: str = "page", order: str = "word") -> DataFrame:
     """Words with line_no: each joins the line whose mean centre is nearest, if it is near enough for its height.
 
-    The means move with every word, so a page is one fold in Python; a page's words are bounded."""
+    The means move with every word, so a page is one fold in Python; a page's words are bounded.  As words come in the order of their
+    centres, the nearest line is always the last one."""
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         page = page.assign(_c=page["y"] + page["h"] / 2).sort_values(["_c", "x"])
-        lines: list[list] = []  # sum of centres, number, top
+        tops, total, n = [], 0.0, 0
         place = []
         for c, y, h in page[["_c", "y", "h"]].itertuples(index=False):
-            best = min(range(len(lines)), key=lambda i: abs(c - lines[i][0] / lines[i][1]), default=None)
-            if best is None or abs(c - lines[best][0] / lines[best][1]) > max(8.0, h * 0.72):
-                lines.append([0.0, 0, y])
-                best = len(lines) - 1
-            lines[best][0] += c
-            lines[best][1] += 1
-            lines[best][2] = min(lines[best][2], y)
-            place.append(best)
-        rank = {k: i + 1 for i, k in enumerate(sorted(range(len(lines)), key=lambda k: lines[k][2]))}
+            if not tops or abs(c - total / n) > max(8.0, h * 0.72):
+                tops.append(y)
+                total, n = 0.0, 0
+            total, n = total + c, n + 1
+            tops[-1] = min(tops[-1], y)
+            place.append(len(tops) - 1)
+        rank = {k: i + 1 for i, k in enumerate(sorted(range(len(tops)), key=lambda k: tops[k]))}
         return pd.DataFrame({by: page[by], order: page[order], "line_no": [rank[p] for p in place]})
 
     kinds = dict(words.dtypes)

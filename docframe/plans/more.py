@@ -37,12 +37,12 @@ def visible_headings(spark, sf_dir):
     return O.visible_with_headings(rows(spark, _HEADS, sf_dir)).select("page", "ord", "label")
 
 
-_EDGES = "(SELECT DISTINCT concat('f', user_id) AS caller, concat('f', event_id % 60) AS callee FROM events WHERE event_id % 101 < 2) e"
+_EDGES = "(SELECT DISTINCT concat('f', user_id) AS caller, concat('f', user_id * user_id % 97) AS callee FROM events) e"
 
 
-@register(f"WITH RECURSIVE r(caller, callee) AS (SELECT caller, callee FROM {_EDGES} UNION SELECT r.caller, e.callee FROM r JOIN {_EDGES} ON r.callee = e.caller) SELECT DISTINCT caller FROM r WHERE callee = 'f7'")
+@register(f"WITH RECURSIVE r(caller, callee) AS (SELECT caller, callee FROM {_EDGES} UNION SELECT r.caller, e.callee FROM r JOIN {_EDGES} ON r.callee = e.caller) SELECT DISTINCT caller FROM r WHERE callee = 'f36'")
 def call_reachability(spark, sf_dir):
-    return O.callers_of(rows(spark, _EDGES, sf_dir), "f7")
+    return O.callers_of(rows(spark, _EDGES, sf_dir), "f36")
 
 
 _VALUES = "(SELECT event_id AS form, event_type AS name, CASE WHEN event_id % 7 = 0 THEN '' ELSE props END AS value, CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN '{}' END AS preset FROM events) t"
@@ -165,7 +165,7 @@ def cleaning_decisions(spark, sf_dir):
     return rows(spark, _SCANS, sf_dir).select("id", fmt.alias("format"), S.binarise(F.col("mode"), F.col("engine"), F.col("intent")).alias("binarise"), S.enlarger(F.col("model"), fmt).alias("enlarger"))
 
 
-_EXIF = "(SELECT DISTINCT user_id AS id, event_id % 700 AS tag, CASE user_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'tiff' END AS format FROM events WHERE event_id % 13 < 2) t"
+_EXIF = "(SELECT DISTINCT (event_id - event_id % 9) AS id, event_id * event_id % 40 + 250 AS tag, CASE (event_id - event_id % 9) % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'tiff' END AS format FROM events) t"
 
 
 @register(f"SELECT id, bool_or(tag IN (271, 272, 33434, 33437, 34855, 36867, 37386)) OR (max(format) IN ('jpeg', 'jpg', 'tif', 'tiff') AND count(*) >= 6) AS photo FROM {_EXIF} GROUP BY id")

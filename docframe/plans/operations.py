@@ -29,7 +29,7 @@ def page_spec(spark, sf_dir):
     return rows(spark, _SPECS, sf_dir).select("id", F.array_join(F.array_sort(F.transform(pages, lambda p: p.cast("string"))), ",").alias("pages"))
 
 
-_KEY = "(CASE WHEN trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') = '' THEN 'document' ELSE trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') END || '_page_' || lpad((page_id + 1)::VARCHAR, 4, '0'))"
+_KEY = "(CASE WHEN trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') = '' THEN 'document' ELSE trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') END || '_page_' || printf('%04d', page_id + 1))"
 
 
 @register(f"SELECT page_id, {_KEY} AS key FROM pages")
@@ -288,7 +288,7 @@ def physical_line_centers(spark, sf_dir):
     return G.line_centers(rows(spark, _PROJ, sf_dir))
 
 
-_COMPS = "(SELECT DISTINCT user_id AS component, event_id % 3 AS row, event_id % 4 AS col FROM events WHERE event_id % 5 < 2) t"
+_COMPS = "(SELECT DISTINCT (event_id - event_id % 4) AS component, event_id % 4 % 2 AS row, event_id * 7 % 5 % 3 AS col FROM events) t"
 
 
 @register(f"SELECT component, (max(row) - min(row) + 1) * (max(col) - min(col) + 1) = count(DISTINCT (row, col)) AS rectangular FROM {_COMPS} GROUP BY component")

@@ -204,9 +204,9 @@ def grouped_lines(spark, sf_dir):
     return W.group_lines(words).groupBy("doc_id", "line_no").agg(F.count("*").alias("n"), F.min("y").cast("long").alias("top"))
 
 
-@register(f"SELECT doc_id AS page, dense_rank() OVER (PARTITION BY doc_id ORDER BY line_pos)::INT AS line, count(*) AS n FROM {D.WORDS} WHERE word_pos < 12 GROUP BY doc_id, line_pos")
+@register(f"SELECT doc_id AS page, dense_rank() OVER (PARTITION BY doc_id ORDER BY line_pos)::INT AS line, count(*) AS n FROM {D.WORDS} GROUP BY doc_id, line_pos")
 def nearest_lines(spark, sf_dir):
-    words = D.words(_docs(spark, sf_dir)).where("word_pos < 12").select(F.col("doc_id").alias("page"), (F.col("line_pos") * 100_000 + F.col("word_pos")).alias("word"), "x", "y", "h")
+    words = D.words(_docs(spark, sf_dir)).select(F.col("doc_id").alias("page"), (F.col("line_pos") * 100_000 + F.col("word_pos")).alias("word"), "x", "y", "h")
     got = O.nearest_lines(words)
     lines = got.groupBy("page", "line_no").agg(F.count("*").alias("n"))
     least = got.groupBy("page").agg(F.min("line_no").alias("_first"))
@@ -439,9 +439,9 @@ def pdf_round_trip(spark, sf_dir):
     return B.text_pages(made, "document_id").withColumnRenamed("document_id", "page_id")
 
 
-@register("SELECT page_id, 'pages/page-' || lpad(CAST(page_id + 1 AS VARCHAR), 4, '0') || '.source.png' AS source_page_image, 'pages/page-' || lpad(CAST(page_id + 1 AS VARCHAR), 4, '0') || '.ocr.png' AS ocr_page_image, sha256(url) AS source_page_sha256, sha256(url || '!') AS ocr_page_sha256, 300 AS raster_dpi FROM pages WHERE page_id < 9999")
+@register("SELECT page_id, 'pages/page-' || printf('%04d', page_id + 1) || '.source.png' AS source_page_image, 'pages/page-' || printf('%04d', page_id + 1) || '.ocr.png' AS ocr_page_image, sha256(url) AS source_page_sha256, sha256(url || '!') AS ocr_page_sha256, 300 AS raster_dpi FROM pages")
 def page_assets(spark, sf_dir):
-    pages = D.table(spark, sf_dir, "pages").where("page_id < 9999").select("page_id", F.col("page_id").alias("page"), F.encode("url", "utf-8").alias("source"), F.encode(F.concat("url", F.lit("!")), "utf-8").alias("content"))
+    pages = D.table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("page"), F.encode("url", "utf-8").alias("source"), F.encode(F.concat("url", F.lit("!")), "utf-8").alias("content"))
     return G.page_assets(pages).select("page_id", "source_page_image", "ocr_page_image", "source_page_sha256", "ocr_page_sha256", "raster_dpi")
 
 

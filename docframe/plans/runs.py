@@ -62,9 +62,9 @@ _GRID_WORDS = f"(SELECT doc_id AS page, line_pos, word_pos, CASE WHEN line_pos %
     SELECT d.doc_id AS page, CASE WHEN b.score >= 0.7 THEN b.line_pos END AS row, round(coalesce(b.score, 0), 6) AS score FROM documents d LEFT JOIN b ON b.page = d.doc_id"""
 )
 def numbering_rows(spark, sf_dir):
-    # Cells of 60 by 30 whose corner is half a cell before the words' places, so that each word's centre lies in one cell.
+    # A grid of six columns and nine rows; words outside it lie in no cell. Its cells are 60 by 30, and begin a third of a cell before the words' places, so that each word's centre lies in one cell.
     told = F.concat((F.col("word_pos") + 1).cast("string"), F.when((F.col("doc_id") + F.col("word_pos")) % 7 == 0, "0").otherwise(""))
-    words = _words(spark, sf_dir).where("word_pos < 6 AND line_pos < 9").select(
+    words = _words(spark, sf_dir).select(
         F.col("doc_id").alias("page"), F.when(F.col("line_pos") % 3 == 1, told).otherwise(F.col("text")).alias("text"), (F.col("word_pos") * 60).alias("x"), (F.col("line_pos") * 30).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h"))
     line = lambda n, size: F.array(*[F.lit(i * size - size // 3) for i in range(n + 1)])
     grids = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), line(6, 60).alias("xs"), line(9, 30).alias("ys"))

@@ -154,11 +154,11 @@ def audit_sheet(spark, sf_dir):
 
 
 @register(
-    r"""WITH p AS (SELECT conv_id, 'IMG_' || lpad(CAST(turn AS VARCHAR), 5, '0') || '_' || role || '.png' AS path, regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM conversations)
+    r"""WITH p AS (SELECT conv_id, 'IMG_' || printf('%05d', turn) || '_' || role || '.png' AS path, regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM conversations)
     SELECT conv_id, trim(string_agg('<!-- source: ' || path || ' -->' || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY lower(path), path, body)) || chr(10) AS text FROM p WHERE length(body) > 0 GROUP BY conv_id"""
 )
 def merged_reports(spark, sf_dir):
-    path = F.concat(F.lit("IMG_"), F.lpad(F.col("turn").cast("string"), 5, "0"), F.lit("_"), "role", F.lit(".png"))
+    path = F.concat(F.lit("IMG_"), F.format_string("%05d", F.col("turn").cast("long")), F.lit("_"), "role", F.lit(".png"))
     return T.merged_markdown(D.table(spark, sf_dir, "conversations").select("conv_id", path.alias("path"), "text"), by="conv_id")
 
 
