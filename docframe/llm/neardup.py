@@ -26,8 +26,9 @@ similarity of at least 0.75; groups are the connected components of all links.
    set).  Two sketches never differ in more bits than the sets in elements, so
    the bound loses no link, and as similar sets differ in few elements it lets
    little else through.  So every pair that shares a bucket is in one component,
-   excluded by the bound or compared in full.  The join compares sketches of
-   outsiders with their whole bucket: work, not rows, that is the product of both.
+   excluded by its size, by the bound, or compared in full.  The join's keys are the
+   bucket and a class of sizes, so outsiders meet members of similar size only;
+   within these it compares sketches: work, not rows, that is the product of both.
 5. Components by alternating large and small stars, with tables written to the
    shared folder between the rounds.
 
@@ -40,6 +41,8 @@ are ignored, so their names can't clash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +59,9 @@ BANDS, ROWS = 48, 5
 #: Bits of an odd sketch.
 PARITIES = 2048
 SKETCH = [f"o{i}" for i in range(PARITIES // 64)]
+#: Sets of similar sizes are in the same or in neighbouring classes, each so many times as large as the one before: more than
+#: 100 / 75 by a margin for rounding.
+SIZES = 1.34
 #: Ids that are broadcast at most, some tens of MB.
 BROADCAST = 2_000_000
 #: Stars are drawn anew until a round finds less than one link for so many bucket members; this decides on cost only.
@@ -235,7 +241,7 @@ def _can_be_similar(other: str):
     return sizes & (apart * (LEAST[1] + LEAST[0]) <= (n + m) * (LEAST[1] - LEAST[0])), apart
 
 
-def _unresolved(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _unresolved(members: DataFrame, roots: DataFrame | None, folder: str, tag: str) -> DataFrame:
     """Members (key, id, root) of the buckets whose members belong to more than one component."""
     rows = members.select("key", "id")
     if roots is None:
@@ -243,11 +249,12 @@ def _unresolved(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     else:
         rows = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
-    return rows.join(several, "key").select("key", "id", "root")
+    several, found = counted(several, folder, f"several-{tag}", n=F.count(F.lit(1)))
+    return rows.join(checked(several, found["n"]), "key").select("key", "id", "root")
 
 
-def _with_suffix(df: DataFrame, suffix: str, key: str | None = None) -> DataFrame:
-    return df.select([F.col(c) if c == key else F.col(c).alias(c + suffix) for c in df.columns])
+def _with_suffix(df: DataFrame, suffix: str, *keys: str) -> DataFrame:
+    return df.select([F.col(c) if c in keys else F.col(c).alias(c + suffix) for c in df.columns])
 
 
 def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
@@ -270,7 +277,7 @@ def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
         if found:
             roots = _merged(roots, links, folder, f"round-{step}")
         step += 1
-        members, left = counted(_unresolved(members, roots), folder, f"left-{step}", n=F.count(F.lit(1)))
+        members, left = counted(_unresolved(members, roots, folder, str(step)), folder, f"left-{step}", n=F.count(F.lit(1)))
         if not left["n"]:
             return roots
         if step > 2 and found * SETTLED < left["n"]:
@@ -283,11 +290,13 @@ def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
         candidates = nearest.select(F.col("best.id_c").alias("a"), F.col("id").alias("b"))
     # What is left: members outside a bucket's largest component, with every member of another component.
     most = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.max(F.struct("many", "root")).alias("_m"))
-    rest = written(members.join(about, "id").join(most.select("key", F.col("_m.root").alias("main")), "key"), folder, "rest")
-    outer = _with_suffix(rest.where("root <> main").drop("main"), "_o", "key")
+    placed = members.join(about, "id").join(most.select("key", F.col("_m.root").alias("main")), "key")
+    rest = written(placed.withColumn("class", F.floor(F.log("n") / math.log(SIZES)).cast("int")), folder, "rest")
+    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    outer = _with_suffix(rest.where("root <> main").drop("main").withColumn("class", near), "_o", "key", "class")
     possible, _ = _can_be_similar("_o")
     once = (F.col("root") != F.col("root_o")) & ((F.col("root") == F.col("main")) | (F.col("id_o") < F.col("id")))
-    pairs = rest.join(outer, "key").where(once & possible).select(F.col("id_o").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = rest.join(outer, ["key", "class"]).where(once & possible).select(F.col("id_o").alias("a"), F.col("id").alias("b")).distinct()
     links, found = _confirmed(pairs, sets, folder, "rest")
     return _merged(roots, links, folder, "round-rest") if found else roots
 
