@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -156,23 +157,21 @@ def parsed_values_text(reply: Column, raw: Column) -> Column:
     return F.array_join(F.filter(F.concat(items, F.array(got["raw"], raw)), lambda v: F.coalesce(v, F.lit("")) != ""), "\n")
 
 
-def _walk(node, out: list[str]) -> None:
+def _pieces(node) -> Iterator[str]:
+    """Texts within a part of a reply, in reading order: a part's own text first; of a part that says it is text its content
+    comes before that of its message, else after it."""
     if isinstance(node, str):
-        if node.strip():
-            out.append(node)
+        yield node
     elif isinstance(node, list):
-        for x in node:
-            _walk(x, out)
+        for part in node:
+            yield from _pieces(part)
     elif isinstance(node, dict):
-        out += [node[k] for k in ("text", "output_text") if isinstance(node.get(k), str) and node[k].strip()]
-        plain = str(node.get("type") or "").lower() in {"message", "output_text", "text"}
-        inner = node.get("message")
-        if plain:
-            _walk(node.get("content"), out)
-        if isinstance(inner, dict):
-            _walk(inner.get("content"), out)
-        if not plain:
-            _walk(node.get("content"), out)
+        yield from (v for v in map(node.get, ("text", "output_text")) if isinstance(v, str))
+        message = node.get("message")
+        inner = [node.get("content"), message.get("content") if isinstance(message, dict) else None]
+        says_text = str(node.get("type") or "").lower() in {"message", "output_text", "text"}
+        for part in inner if says_text else reversed(inner):
+            yield from _pieces(part)
 
 
 def reply_text(payload: str | None) -> str:
@@ -185,13 +184,9 @@ def reply_text(payload: str | None) -> str:
         return ""
     if isinstance(top.get("output_text"), str) and top["output_text"].strip():
         return top["output_text"]
-    out: list[str] = []
-    choices = top.get("choices")
-    for choice in choices if isinstance(choices, list) else ():
-        if isinstance(choice, dict):
-            _walk(choice.get("message"), out)
-    _walk(top.get("output"), out)
-    return "\n".join(x for x in out if x.strip())
+    choices = top.get("choices") if isinstance(top.get("choices"), list) else []
+    parts = [c.get("message") for c in choices if isinstance(c, dict)]
+    return "\n".join(x for x in _pieces([*parts, top.get("output")]) if x.strip())
 
 
 @F.pandas_udf(T.StringType())
