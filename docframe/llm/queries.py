@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to the whole of its table.
+"""The queries op1 to op13: each applies its operator to the whole of its table.
 
 Tokenizer files: parameters of the operators; these queries take them from the
 installed package `public_tokenizers`.
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import gif, licences, lm, neardup, packing, piecebpe, quality_knn, quality_rules, toxicity, warc
+from docframe.llm import alignment, gif, licences, lm, neardup, ngramjoin, packing, piecebpe, quality_knn, quality_rules, toxicity, warc, whitening
 from docframe.llm.arrowmap import shared_dir
 from docframe.llm.labelled import fold
 
@@ -80,6 +80,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.classes(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.linked(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    made = whitening.whiten(rows, whitening.fit(rows))
+    return made.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -91,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scan": licences.ORACLE,
