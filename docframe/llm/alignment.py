@@ -46,6 +46,8 @@ from docframe.llm.textbytes import ragged, slices, text_bytes
 
 #: Bytes of text that are aligned at once.
 SLICE = 1 << 20
+#: Words that each encoder of a task remembers.
+CACHE = 250_000
 #: Parts into which the counts of a pair are dealt first.
 SALTS = 16
 
@@ -170,7 +172,7 @@ class Both:
     """The two encoders of a task."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteBpe(path_a), PieceBpe(path_b)
+        self.a, self.b = ByteBpe(path_a, CACHE), PieceBpe(path_b, CACHE)
         self.spelt = [_Bytes(self.a.tokens), _Bytes(self.b.pieces)]
         self.digits = Digits(max(len(self.a.tokens), len(self.b.pieces)))
 
@@ -245,7 +247,8 @@ def align(df: DataFrame, path_a: str, path_b: str, pairs: Pairs, text_col: str =
                 if groups:
                     made.append(pa.array([bytes(view[x : max(x, y - 1)]).decode() for x, y in spans], pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, n) for k in range(len(keep))] + made, schema=kinds)
-        release()
+            del buf, batch
+            release()
 
     # The text goes last and under a name of its own, so that it may be kept as well.
     return df.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(work, schema)
