@@ -16,12 +16,13 @@ sequence as one); two documents link if their Jaccard similarity is at least
    if prefixes of that length are compared, and what is left to be compared in
    full (a partner is met by each shared shingle, but counted once in `need`).
 3. Copies are one class by their fingerprint from here on.  The first n - T + 1
-   shingles are the keys of a join; a member meets the others of its key through
-   a star's centre, never all of them.
-4. A candidate pair is verified if the sizes and the places of the shared key
-   allow it and the prefixes share the lesser of both needs; the full sets
-   decide.  Links are merged into components.
-5. Keys whose members are in several components, and whose sizes and places
+   shingles are the keys of a join.  A key of two members is one pair, known from
+   the aggregate alone; up to SMALL members meet in pairs, as the sizes and the
+   places of the key allow; of larger keys a member meets only a star's centre.
+4. A candidate pair is verified if its odd sketches allow a link and the prefixes
+   share the lesser of both needs; the full sets decide.  Links are merged into
+   components.
+5. Large keys whose members are in several components, and whose sizes and places
    still allow a link between two of them, get a new centre round by round (each
    member is tried with the nearest one).  Once a round finds few links, members
    outside a key's largest component meet the members of other components and of
@@ -43,18 +44,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe.llm.arrowmap import counted, drop_dir, list_array, release, shared_dir, to_arrow, written
 from docframe.llm.neardup import SKETCH, _merged, _set_arrays, _with_suffix, checked, shingles
+from docframe.llm.store import grow, shrink
 
 #: Similarity of at least 80 / 100.
 LEAST = (80, 100)
 #: Counters of shingles, a power of two.
-CELLS = 1 << 22
+CELLS = 1 << 23
 #: Classes of counters to the octave.
 STEPS = 8
 #: A prefix is lengthened by at most so many shingles less one.
@@ -63,7 +64,11 @@ NEED = 16
 SIZES = 1.27
 #: Stars are drawn anew until a round finds less than one link for so many members; this decides on cost only.
 SETTLED = 1000
+#: Keys of at most so many members are compared pair by pair; this decides on cost only.
+SMALL = 16
 DEPTH = 4
+#: Bits of a sum of sizes, below the number of members.
+_SUM = 40
 
 
 def required(n):
@@ -72,6 +77,7 @@ def required(n):
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
+    """The counters' classes."""
     return np.minimum(255, np.round(STEPS * np.log2(1.0 + counts))).astype(np.uint8)
 
 
@@ -109,9 +115,8 @@ def _marked(df: DataFrame, cells: int) -> DataFrame:
         for batch in batches:
             sets = shingles(batch.column(1))
             prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-            total = np.zeros(cells, np.int64) if total is None else total
-            where = np.concatenate([np.zeros(0, np.uint64), *sets]) & np.uint64(cells - 1)
-            total += np.bincount(where.astype(np.int64), minlength=cells)
+            total = np.zeros(cells, np.uint32) if total is None else total
+            np.add.at(total, (np.concatenate([np.zeros(0, np.uint64), *sets]) & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), prints, pa.nulls(len(sets), pa.binary())], schema=kinds)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0].type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_small(total)], pa.binary())], schema=kinds)
@@ -122,19 +127,21 @@ def _marked(df: DataFrame, cells: int) -> DataFrame:
 
 
 def _small(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Counters as compressed bytes, in 4 bytes each as long as sums of two can't be larger, then in 8."""
+    if counts.dtype == np.uint32 and counts.max(initial=0) < 1 << 31:
+        return b"4" + shrink(counts)
+    return b"8" + shrink(counts.astype(np.uint64))
 
 
 def _large(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
+    return grow(blob[1:], np.uint32 if blob[:1] == b"4" else np.uint64)
 
 
 def _counters(marked: DataFrame, cells: int) -> np.ndarray:
     """The counters of all tasks; a partial result is a few MB, whatever the input."""
     add = lambda a, b: b if a is None else a if b is None else _small(_large(a) + _large(b))
     total = marked.where("_cells is not null").select("_cells").rdd.map(lambda r: bytes(r[0])).treeAggregate(None, add, add, depth=DEPTH)
-    return np.zeros(cells, np.int64) if total is None else _large(total)
+    return np.zeros(cells, np.uint32) if total is None else _large(total)
 
 
 def _cut(df: DataFrame, prefixes) -> DataFrame:
@@ -169,10 +176,10 @@ def _allowed(other: str):
     return _overlap(F.col("n"), F.col(f"n{other}")) <= F.least("room", f"room{other}")
 
 
-def _similar(other: str):
+def _similar(one: str, other: str):
     """What holds for every linked pair, from sizes and odd sketches; and the sketches' distance."""
-    n, m = F.col("n"), F.col(f"n{other}")
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + other))) for c in SKETCH), F.lit(0))
+    n, m = F.col(f"n{one}"), F.col(f"n{other}")
+    apart = sum((F.bit_count(F.col(c + one).bitwiseXOR(F.col(c + other))) for c in SKETCH), F.lit(0))
     sizes = F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]
     return sizes & (apart * (LEAST[1] + LEAST[0]) <= (n + m) * (LEAST[1] - LEAST[0])), apart
 
@@ -186,13 +193,15 @@ def _both(pairs: DataFrame, table: DataFrame, ids: int, *columns: str) -> DataFr
     return pairs
 
 
-def _confirmed(candidates: DataFrame, prefixes: DataFrame, sets: DataFrame, folder: str, tag: str) -> tuple[DataFrame, int]:
-    """Candidate pairs that link, and their number: those whose prefixes share enough are compared in full."""
+def _confirmed(candidates: DataFrame, about: DataFrame, prefixes: DataFrame, sets: DataFrame, folder: str, tag: str) -> tuple[DataFrame, int]:
+    """Candidate pairs that link, and their number: those whose sketches allow it and whose prefixes share enough are compared in full."""
     candidates, tried = counted(candidates, folder, f"candidates-{tag}", n=F.count(F.lit(1)))
-    match = _both(candidates, prefixes, 2 * tried["n"], "_prefix", "need")
+    near = _both(candidates, about, 2 * tried["n"], "n", *SKETCH)
+    near, left = counted(near.where(_similar("_a", "_b")[0]).select("a", "b").distinct(), folder, f"near-{tag}", n=F.count(F.lit(1)))
+    match = _both(near, prefixes, 2 * left["n"], "_prefix", "need")
     enough = F.size(F.array_intersect("_prefix_a", "_prefix_b")) >= F.least("need_a", "need_b")
-    left, kept = counted(match.where(enough).select("a", "b").distinct(), folder, f"matched-{tag}", n=F.count(F.lit(1)))
-    full = _both(left, sets, 2 * kept["n"], "_set")
+    match, kept = counted(match.where(enough).select("a", "b").distinct(), folder, f"matched-{tag}", n=F.count(F.lit(1)))
+    full = _both(match, sets, 2 * kept["n"], "_set")
     same = F.size(F.array_intersect("_set_a", "_set_b"))
     linked = same * LEAST[1] >= (F.size("_set_a") + F.size("_set_b") - same) * LEAST[0]
     links, found = counted(full.where(linked).select("a", "b").distinct(), folder, f"links-{tag}", n=F.count(F.lit(1)))
@@ -216,26 +225,39 @@ def _possible():
     return _overlap(F.col("n"), least) <= F.least("room", "_most")
 
 
-def _links(docs: DataFrame, cut: DataFrame, folder: str) -> DataFrame | None:
-    """(node, root) of all ids that are linked with another one."""
+def _links(docs: DataFrame, cut: DataFrame, folder: str, repeated: bool) -> DataFrame | None:
+    """(node, root) of all ids that are linked with another one. repeated: some ids have a set several times."""
     rows = cut.select(F.col("_id").alias("id"), "n", F.posexplode(F.slice("_prefix", F.lit(1), F.col("_first"))).alias("_at", "key")).select("key", "id", "n", (F.col("n") - F.col("_at")).alias("room"))
-    # The centre is the least id; sizes and places show which members can't link with any other.
-    about = rows.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("_far"), F.min("n").alias("_least"), F.max("room").alias("_most")).where("centre <> _far").drop("_far")
-    members, seen = counted(rows.join(about, "key").where(_possible()).select("key", "id", "n", "room", "centre"), folder, "members", n=F.count(F.lit(1)))
+    # A key of two members is a pair, and all that its bound needs comes with the aggregate, the number of members above the sum of sizes.
+    sums = (F.min("id").alias("centre"), F.max("id").alias("_far"), F.sum(F.col("n") + F.lit(1 << _SUM)).alias("_sum"), F.min("room").alias("_room"))
+    keys = written(rows.groupBy("key").agg(*sums).where("centre <> _far").withColumn("size", F.shiftright("_sum", _SUM)), folder, "keys")
+    sizes = F.col("_sum").bitwiseAND(F.lit((1 << _SUM) - 1))
+    twos = keys.where((F.col("size") == 2) & (_overlap(sizes, 0) <= F.col("_room"))).select(F.col("centre").alias("a"), F.col("_far").alias("b"))
+    more, many = counted(keys.where("size > 2").select("key", "centre", "size"), folder, "more", n=F.count(F.lit(1)))
+    members = written(rows.join(checked(more, many["n"]), "key").select("key", "id", "n", "room", "centre", "size"), folder, "members")
+    # Keys of some members more: pairs, in proportion to the members.
+    few = members.where(F.col("size") <= SMALL).select("key", "id", "n", "room")
+    few = few.join(_with_suffix(few, "_o", "key"), "key").where((F.col("id") < F.col("id_o")) & _allowed("_o")).select(F.col("id").alias("a"), F.col("id_o").alias("b"))
+    # All others: the first stars. A member is tried with the centre, the least id, that it shares most keys with.
+    members = members.where(F.col("size") > SMALL)
+    shared = members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("keys"))
+    stars = shared.groupBy("id").agg(F.max(F.struct("keys", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
+    members = members.drop("centre", "size")
+    candidates, seen = counted(twos.unionByName(few).unionByName(stars).distinct(), folder, "first", n=F.count(F.lit(1)))
     if not seen["n"]:
         return None
-    met, several = counted(members.select(F.col("id").alias("_id")).distinct(), folder, "met", n=F.count(F.lit(1)))
+    met = candidates.select(F.explode(F.array("a", "b")).alias("_id")).unionByName(members.select(F.col("id").alias("_id")))
+    met, several = counted(met.distinct(), folder, "met", n=F.count(F.lit(1)))
     prefixes = written(cut.select("_id", "_prefix", "need").join(checked(met, several["n"]), "_id", "left_semi"), folder, "prefixes")
-    texts = docs.join(checked(met, several["n"]), "_id", "left_semi").withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_id", "_h"]).select("_id", "_text")
-    sets = written(_set_arrays(texts, "_text").where(F.size("_set") > 0).select("_id", "_set", *SKETCH), folder, "sets")
-    about = sets.select(F.col("_id").alias("id"), F.size("_set").alias("_n"), *SKETCH)
-    # The first stars: a member is tried with the centre that it shares most keys with.
-    shared = members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("keys"))
-    candidates = shared.groupBy("id").agg(F.max(F.struct("keys", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
-    members = members.drop("centre")
+    sets = _set_arrays(docs.join(checked(met, several["n"]), "_id", "left_semi"), "_text").where(F.size("_set") > 0)
+    if repeated:
+        sets = sets.withColumn("_h", F.xxhash64("_set")).dropDuplicates(["_id", "_h"])
+    sets = written(sets.select("_id", F.size("_set").alias("n"), "_set", *SKETCH), folder, "sets")
+    tables = sets.select("_id", "n", *SKETCH), prefixes, sets
+    about = sets.select(F.col("_id").alias("id"), "n", *SKETCH)
     roots, step = None, 1
     while True:
-        links, found = _confirmed(candidates, prefixes, sets, folder, str(step))
+        links, found = _confirmed(candidates, *tables, folder, str(step))
         if found:
             roots = _merged(roots, links, folder, f"round-{step}")
         step += 1
@@ -244,13 +266,13 @@ def _links(docs: DataFrame, cut: DataFrame, folder: str) -> DataFrame | None:
             return roots
         members = still.drop("root")
         # An id that is listed with several texts has several sets and sizes: a member goes with its own.
-        placed = still.join(about, (still["id"] == about["id"]) & (still["n"] == about["_n"])).drop(about["id"]).drop("_n")
+        placed = still.join(about, ["id", "n"])
         if step > 2 and found * SETTLED < left["n"]:
             break
         # Another star in each key: a member is tried with the nearest centre of its keys, by the sketches.
-        drawn = placed.groupBy("key").agg(F.min_by(F.struct("id", "n", "room", "root", *SKETCH), F.xxhash64("key", "id", F.lit(step))).alias("c")).select("key", "c.*")
-        similar, apart = _similar("_c")
-        pairs = placed.join(_with_suffix(drawn, "_c", "key"), "key").where((F.col("root") != F.col("root_c")) & _allowed("_c") & similar)
+        drawn = still.groupBy("key").agg(F.min_by(F.struct("id", "n", "room", "root"), F.xxhash64("key", "id", F.lit(step))).alias("c")).select("key", "c.*")
+        similar, apart = _similar("", "_c")
+        pairs = placed.join(_with_suffix(drawn.join(about, ["id", "n"]), "_c", "key"), "key").where((F.col("root") != F.col("root_c")) & _allowed("_c") & similar)
         nearest = pairs.groupBy("id").agg(F.min(F.struct(apart.alias("apart"), F.col("id_c"))).alias("best"))
         candidates = nearest.select(F.col("best.id_c").alias("a"), F.col("id").alias("b"))
     # What is left: members outside a key's largest component, with every member of another component.
@@ -258,10 +280,10 @@ def _links(docs: DataFrame, cut: DataFrame, folder: str) -> DataFrame | None:
     rest = written(placed.join(most.select("key", F.col("_m.root").alias("main")), "key").withColumn("class", F.floor(F.log("n") / math.log(SIZES)).cast("int")), folder, "rest")
     near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
     outer = _with_suffix(rest.where("root <> main").drop("main").withColumn("class", near), "_o", "key", "class")
-    similar, _ = _similar("_o")
+    similar, _ = _similar("", "_o")
     once = (F.col("root") != F.col("root_o")) & ((F.col("root") == F.col("main")) | (F.col("id_o") < F.col("id")))
     pairs = rest.join(outer, ["key", "class"]).where(once & _allowed("_o") & similar).select(F.col("id_o").alias("a"), F.col("id").alias("b")).distinct()
-    links, found = _confirmed(pairs, prefixes, sets, folder, "rest")
+    links, found = _confirmed(pairs, *tables, folder, "rest")
     return _merged(roots, links, folder, "round-rest") if found else roots
 
 
@@ -275,10 +297,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells
     prefixes = spark.sparkContext.broadcast(Prefixes(_levels(counts), float(counts.mean())))
     rows = marked.where("_cells is null").select("_id", "n_shingles", "_print")
     filled = rows.where("_print is not null and _id is not null")
-    copies, many = counted(filled.groupBy("_print").agg(F.min("_id").alias("rep")), folder, "copies", n=F.count(F.lit(1)))
+    by_id = filled.groupBy("_print", "_id").agg(F.count(F.lit(1)).alias("_rows"))
+    copies, many = counted(by_id.groupBy("_print").agg(F.min("_id").alias("rep"), F.max("_rows").alias("_rows")), folder, "copies", n=F.count(F.lit(1)), most=F.max("_rows"))
+    repeated = (many["most"] or 0) > 1
     first = checked(copies.select("_print", F.col("rep").alias("_id")), many["n"])
-    cut = written(_cut(docs.where("_id is not null"), prefixes).join(first, ["_print", "_id"], "left_semi"), folder, "links/cut")
-    roots = _links(docs.where("_id is not null"), cut, f"{folder}/links")
+    cut = _cut(docs.where("_id is not null"), prefixes).join(first, ["_print", "_id"], "left_semi")
+    cut = written(cut.dropDuplicates(["_print", "_id"]) if repeated else cut, folder, "links/cut")
+    roots = _links(docs.where("_id is not null"), cut, f"{folder}/links", repeated)
     roots = copies.withColumn("root", F.col("rep")) if roots is None else copies.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_print", F.coalesce("root", "rep").alias("root"))
     roots = written(roots.select("_print", "root"), folder, "roots")
     drop_dir(spark, f"{folder}/links")

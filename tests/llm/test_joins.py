@@ -73,8 +73,9 @@ def families(rng):
     return [" ".join(w) for w in texts]
 
 
-@pytest.mark.parametrize("cells", [1 << 4, 1 << 16])
-def test_join_equals_brute_force(spark, cells):
+@pytest.mark.parametrize("cells, small", [(1 << 4, 2), (1 << 16, 3), (1 << 12, 16)])
+def test_join_equals_brute_force(spark, monkeypatch, cells, small):
+    monkeypatch.setattr(ngramjoin, "SMALL", small)
     rows = list(enumerate(families(np.random.default_rng(cells))))
     rows += [(5000, None), (5001, ""), (5002, " \t\n"), (5003, "One two"), (5004, "one  TWO"), (7, rows[300][1]), (5005, "É é x y z"), (5006, "é é x y z")]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows] + [(None, "one two", 1, 2)], "doc_id long, text string, component_id int, root int").repartition(4)
