@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.session import kept, shared_folder
+
 #: Parts of names whose values are hidden (fixed values).
 SECRET = r"(?i)key|token|secret|password"
 # Parts of lower-case messages by which providers' errors are told apart.
@@ -76,20 +78,25 @@ def split_by_cache(wanted: DataFrame, cache: DataFrame, key: str = "key") -> tup
     return wanted.join(cache, key), wanted.join(cache.select(key), key, "left_anti")
 
 
-def evicted(cache: DataFrame, cap: int, key: str = "key", steps: int = 4096) -> DataFrame:
-    """Entries to remove, oldest first, until the rest fits (unknown times are oldest).
-
-    A running sum over all entries without sorting them in one task: times fall in `steps` equal steps, the sums of
-    whole steps are taken first (a table of as many rows), then the running sum within each step."""
-    timed = cache.withColumn("_at", F.coalesce(F.col("accessed").cast("double"), F.lit(0.0)))
-    low, high = timed.agg(F.min("_at"), F.max("_at")).first()
-    width = ((high - low) if low is not None else 0.0) / steps or 1.0
-    timed = timed.withColumn("_step", F.floor((F.col("_at") - F.lit(low or 0.0)) / width))
-    newer = Window.orderBy(F.col("_step").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = timed.groupBy("_step").agg(F.sum("bytes").alias("_bytes")).select("_step", F.coalesce(F.sum("_bytes").over(newer), F.lit(0)).alias("_newer"))
-    own = Window.partitionBy("_step").orderBy(F.col("_at").desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    summed = timed.withColumn("_own", F.sum("bytes").over(own)).join(whole, "_step")
-    return summed.where(F.col("_own") + F.col("_newer") > cap).drop("_at", "_step", "_own", "_newer")
+def evicted(cache: DataFrame, cap: int, key: str = "key", ranges: int | None = None) -> DataFrame:
+    """Entries to remove, oldest first, until the rest fits (unknown times are oldest; unknown sizes take no room).
+
+    An exact running sum without sorting all entries in one task: Spark samples (time, key) into ranges of about equal
+    numbers of entries, so a time that many entries share is split by their keys.  The sums of whole ranges say of each
+    whether it stays or goes; only the range in which the cap falls is sorted.  Entries stand in one order by time and key,
+    so keys should be unique; of equal ones either may go first.  ranges: their number, by default the session's shuffle partitions."""
+    spark = cache.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    timed = cache.withColumns({"_at": F.coalesce(F.col("accessed").cast("double"), F.lit(0.0)), "_size": F.coalesce(F.col("bytes"), F.lit(0))})
+    dealt = kept(timed.repartitionByRange(ranges, F.desc("_at"), F.desc(key)).withColumn("_range", F.spark_partition_id()), shared_folder(spark), "ranges")
+    newer = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
+    whole = dealt.groupBy("_range").agg(F.sum("_size").alias("_sum")).withColumn("_newer", F.coalesce(F.sum("_sum").over(newer), F.lit(0)))
+    placed = dealt.join(F.broadcast(whole), "_range")
+    gone = placed.where(F.col("_newer") > cap)
+    own = Window.partitionBy("_range").orderBy(F.desc("_at"), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    border = placed.where((F.col("_newer") <= cap) & (F.col("_newer") + F.col("_sum") > cap))
+    border = border.withColumn("_own", F.sum("_size").over(own)).where(F.col("_own") + F.col("_newer") > cap)
+    return gone.select(*cache.columns).unionByName(border.select(*cache.columns))
 
 
 def redacted(params: Column) -> Column:

@@ -351,19 +351,23 @@ def without_measures(text: Column) -> Column:
     return F.regexp_replace(x, r"\d+(?:\.\d+)? ?(?:ms|s|sec|MB|KB|GB)\b", "<measure>")
 
 
+#: Characters of a template's beginning, or of its end where there is no beginning, that are the key of the join.
+_KEY = 8
+
+
 def template_pairs(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """Lines with the template that they are made of: equal to it, or with something in place of {0}.
 
-    Templates are a list of some hundreds; each is split at its first place holder, and the beginnings' first eight characters are the
-    join's key for those that have them."""
-    parts = templates.select("template", F.substring_index("template", "{", 1).alias("_head"), F.regexp_extract("template", r"\}([^{]*)$", 1).alias("_tail"), F.contains("template", F.lit("{")).alias("_open"))
-    key = lambda c: F.left(c, F.lit(8))
-    long, short = parts.where(F.length("_head") >= 8), parts.where(F.length("_head") < 8)
-    fits = F.when(F.col("_open"), F.startswith("line", F.col("_head")) & F.endswith("line", F.col("_tail")) & (F.length("line") >= F.length("_head") + F.length("_tail"))).otherwise(F.col("line") == F.col("template"))
-    keyed = lines.withColumn("_k", key("line")).join(long.withColumn("_k", key("_head")), "_k").where(fits)
-    heads = [r["template"] for r in short.select("template").take(1000)]  # templates are a bounded list
-    found = keyed.select(*lines.columns, "template")
-    if heads:
-        listed = lines.withColumn("template", F.explode(F.array(*map(F.lit, heads)))).join(F.broadcast(short), "template").where(fits)
-        found = found.unionByName(listed.select(*lines.columns, "template"))
-    return found
+    A join on equal keys for any number of templates: a template's key is its beginning before the first place holder, cut
+    to eight characters, or, if it has none, its end; a line has a key of each length that fits it.  A template that is a
+    place holder alone meets every line, as it should."""
+    head, tail = F.substring_index("template", "{", 1), F.regexp_extract("template", r"\}([^{]*)$", 1)
+    parts = templates.select("template", head.alias("_head"), tail.alias("_tail"), F.contains("template", F.lit("{")).alias("_open"))
+    key = lambda side, text: F.struct(F.lit(side).alias("side"), F.length(text).alias("n"), text.alias("text"))
+    first, last = F.left(F.col("_head"), F.lit(_KEY)), F.right(F.col("_tail"), F.lit(_KEY))
+    parts = parts.withColumn("_k", F.when(F.length("_head") > 0, key("head", first)).otherwise(key("tail", last)))
+    line = F.col("line")
+    sides = [F.when(F.length(line) >= n, key(side, cut(line, F.lit(n)))) for n in range(_KEY + 1) for side, cut in (("head", F.left), ("tail", F.right)) if n or side == "tail"]
+    keyed = lines.withColumn("_k", F.explode(F.array_compact(F.array(*sides))))
+    fits = F.when(F.col("_open"), F.startswith("line", F.col("_head")) & F.endswith("line", F.col("_tail")) & (F.length("line") >= F.length("_head") + F.length("_tail"))).otherwise(line == F.col("template"))
+    return keyed.join(parts, "_k").where(fits).select(*lines.columns, "template")

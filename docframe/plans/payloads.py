@@ -18,8 +18,11 @@ from docframe.operators import verify as R
 from docframe.operators import words as W
 from docframe.plans import derived as D
 from docframe.plans.registry import Register, over, rows
+from docframe.session import shared_folder
 from docframe.sources import exports as E
 from docframe.sources import files as S
+from docframe.sources import framescan as N
+from docframe.sources import packages as K
 from docframe.sources import pdf as B
 from docframe.sources import payloads as P
 
@@ -218,7 +221,7 @@ _SAME = "list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filt
 
 
 @register(f"SELECT event_id, matched::BIGINT AS matched_count, CASE WHEN matched / 4.0 >= 0.75 THEN 'pass' ELSE 'review' END AS status, round(matched / 4.0, 4)::DOUBLE AS numeric_agreement, 0.5::DOUBLE AS text_jaccard FROM (SELECT event_id, coalesce({_SAME}, 0) AS matched FROM {_LISTS})")
-def verification(spark, sf_dir):
+def verification_lists(spark, sf_dir):
     """Numbers between marks, some written as entities, and words of which one is common to both."""
     n = lambda v: v.cast("string")
     p = F.concat(n(F.col("user_id") % 7), F.lit("; "), n(F.col("event_id") % 5), F.lit("; <b>&#51;</b> same "))
@@ -227,6 +230,34 @@ def verification(spark, sf_dir):
     return got.select("event_id", "matched_count", "status", "numeric_agreement", "text_jaccard")
 
 
+_DATE = r"[0-9]{1,4}(?:[./-][0-9]{1,2}){1,2}"
+_NUMBER = r"\b(?:" + _DATE + r"|[0-9]{1,3}(?:[ \x{00A0}][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+[.,][0-9]+|[0-9]+)\b"
+_SEEN = r"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+
+
+def _exact(x):
+    """Exact-value tokens in SQL: letters become x first, as DuckDB's word border knows those of ASCII only."""
+    found = rf"regexp_extract_all(regexp_replace({_SEEN.format(x=x)}, '[\p{{L}}\p{{M}}]', 'x', 'g'), '{_NUMBER}')"
+    plain = "trim(replace(v, chr(160), ' '))"
+    return f"list_transform({found}, lambda v: CASE WHEN regexp_full_match({plain}, '{_DATE}') THEN array_to_string(regexp_extract_all({plain}, '[0-9]+'), '-') ELSE translate(replace({plain}, ' ', ''), '.', ',') END)"
+
+
+_READ = f"SELECT doc_id, {_exact('text')} AS a, {_exact(D.SECOND)} AS b, list_distinct(regexp_extract_all(lower({_SEEN.format(x='text')}), '[a-zа-яё]{{2,}}')) AS wa, list_distinct(regexp_extract_all(lower({_SEEN.format(x=D.SECOND)}), '[a-zа-яё]{{2,}}')) AS wb FROM documents"
+
+
+@register(
+    f"""WITH r AS ({_READ}), a AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(a) AS t FROM r) GROUP BY ALL), b AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(b) AS t FROM r) GROUP BY ALL),
+    m AS (SELECT doc_id, sum(least(a.n, b.n)) AS m FROM a JOIN b USING (doc_id, t) GROUP BY doc_id),
+    s AS (SELECT r.*, coalesce(m, 0)::BIGINT AS matched, greatest(len(a), len(b)) AS total, len(list_distinct(list_concat(wa, wb))) AS u FROM r LEFT JOIN m USING (doc_id))
+    SELECT doc_id, CASE WHEN total = 0 THEN 'insufficient' WHEN matched / total >= 0.9 THEN 'pass' ELSE 'review' END AS status, CASE WHEN total > 0 THEN round(matched / total, 4) ELSE 0 END AS numeric_agreement,
+    CASE WHEN u > 0 THEN round(len(list_intersect(wa, wb)) / u, 4) ELSE 0 END AS text_jaccard, len(a) AS primary_count, len(b) AS secondary_count, matched AS matched_count FROM s"""
+)
+def verification(spark, sf_dir):
+    """Whole documents against a second engine's reading of them."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", D.second_text().alias("other"))
+    return R.verify(docs, "text", "other", "doc_id")
+
+
 _CASES = (  # rows, cols, the cell's row and column, spans, text, source of its place, confidence, anchors
     (2, 3, 0, 0, 1, 1, "WORD", "provider_native", None, None), (2, 3, 0, 1, 1, 2, "x", "tesseract_native_alignment", 1.0, 2), (2, 3, 0, 0, 1, 1, "12", "physical_grid_verified", 0.8, None),
     (1, 1, 5, 0, 1, 1, "y", "provider_native", None, None), (1, 1, 0, 0, 1, 1, "z", "physical_grid_verified", 0.6, None),
@@ -428,6 +459,88 @@ def ruled_tables(spark, sf_dir):
     return G.tables_of(pages).groupBy("page_id").agg(F.count("*").cast("int").alias("cells"), F.max("colspan").alias("widest"), F.sum(area).alias("area"))
 
 
+@register(
+    """SELECT CAST(page_id AS VARCHAR) AS document_id, '1.1' AS version, url AS text, (page_id % 3)::INT AS engines, length(url) AS found, 0.5 * (page_id % 3) AS confidence, sha256(html) AS html_sha256, (page_id % 2 + 1)::INT AS files FROM pages"""
+)
+def package_round_trip(spark, sf_dir):
+    """Packages with regions, candidates of up to two engines and side files, written by tasks and read from the committed bundles."""
+    K.register(spark)
+    engine = lambda n: F.struct(F.lit(0).alias("page"), F.lit(f"engine {n}").alias("engine"), F.col("url").alias("text"), F.lit(0.5).alias("confidence"))
+    region = F.struct(F.lit(1).alias("region"), F.lit("text").alias("kind"), F.col("url").alias("text"), F.array(F.lit(0), F.lit(0), F.length("url"), F.lit(9)).alias("box"))
+    file = lambda name, content: F.struct(F.lit(name).alias("name"), content.cast("binary").alias("content"))
+    made = D.table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("document_id"), F.lit("1.1").alias("version"), F.array(F.struct(F.lit(0).alias("page"), F.col("url").alias("text"), F.array(region).alias("regions"))).alias("pages"),
+        F.slice(F.array(engine(1), engine(2)), F.lit(1), (F.col("page_id") % 3).cast("int")).alias("candidates"),
+        F.when(F.col("page_id") % 2 == 1, F.array(file("page.html", F.col("html")), file("../note", F.lit(None)))).otherwise(F.array(file("page.html", F.col("html")))).alias("files"),
+    )
+    folder = shared_folder(spark)
+    made.write.format(K.FORMAT).mode("append").save(folder)
+    back = spark.read.format(K.FORMAT).load(folder)
+    return back.select(
+        "document_id", "version", F.col("pages")[0]["text"].alias("text"), F.size("candidates").alias("engines"), F.col("pages")[0]["regions"][0]["box"][2].cast("long").alias("found"),
+        F.aggregate("candidates", F.lit(0.0), lambda n, c: n + c["confidence"]).alias("confidence"), F.sha2(F.col("files")[0]["content"], 256).alias("html_sha256"), F.size("files").alias("files"),
+    )
+
+
+def _tiff(shades: list[int]) -> bytes:
+    """Frames of 4 by 3 pixels of one shade each, in little-endian order."""
+    out, at = b"II*\0" + (8).to_bytes(4, "little"), 8
+    for i, shade in enumerate(shades):
+        tags = ((256, 4), (257, 3), (258, 8), (259, 1), (262, 1), (273, at + 102), (277, 1), (279, 12))
+        body = len(tags).to_bytes(2, "little") + b"".join(t.to_bytes(2, "little") + b"\4\0\1\0\0\0" + v.to_bytes(4, "little") for t, v in tags)
+        at += 102 + 12
+        out += body + (at if i + 1 < len(shades) else 0).to_bytes(4, "little") + bytes([shade]) * 12
+    return out
+
+
+@register("SELECT page_id, frame, frames, (page_id + frame) % 200 AS shade FROM (SELECT page_id, (page_id % 70 + 1)::INT AS frames, unnest(range(page_id % 70 + 1))::INT AS frame FROM pages) WHERE frame % 7 = 3 OR frame < 2")
+def frame_ranges(spark, sf_dir):
+    """Files of many pages, of which some pages are chosen by the index and decoded."""
+    folder = shared_folder(spark)
+
+    def store(parts):
+        for part in parts:
+            for i in part["page_id"]:
+                files, root = K.opened(folder)
+                files.create_dir(root, recursive=True)
+                with files.open_output_stream(f"{root}/{i}.tif") as out:
+                    out.write(_tiff([(i + k) % 200 for k in range(i % 70 + 1)]))
+            yield pd.DataFrame({"page_id": part["page_id"]})
+
+    D.table(spark, sf_dir, "pages").select("page_id").mapInPandas(store, "page_id long").write.format("noop").mode("overwrite").save()
+    found = N.index(N.listed(spark, folder))
+    chosen = found.where("frame % 7 = 3 OR frame < 2")
+    shade = F.pandas_udf(lambda images: images.map(lambda data: float(G.png_decode(data).mean())), "double")
+    number = F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long")
+    shades = N.frames(chosen).select("path", "frame", shade("content").cast("long").alias("shade"))
+    return shades.join(chosen.select("path", "frame", "frames"), ["path", "frame"]).select(number.alias("page_id"), "frame", "frames", "shade")
+
+
+@F.pandas_udf(T.BinaryType())
+def _slanted_page(halves: pd.Series) -> pd.Series:
+    """A page of lines of words that go down to the right by so many half degrees."""
+
+    def one(n: int) -> bytes:
+        y, x = np.mgrid[0:220, 0:400].astype(np.float64)
+        along = np.tan(np.radians(n / 2))
+        row, column = y - (x - 200) * along, x + (y - 110) * along
+        inside = (row > 20) & (row < 200) & (column > 20) & (column < 380)
+        return G.png_encode(np.where(inside & (row % 24 < 8) & (column % 50 < 40), 20, 250).astype(np.uint8))
+
+    return halves.map(one)
+
+
+@register("SELECT page_id, (page_id % 21 - 10) / 2.0 AS angle, true AS near, 0.0::DOUBLE AS after FROM pages")
+def page_skew(spark, sf_dir):
+    """The angle that is found to the half degree, whether it is right within a fifth, and the angle of the straightened page."""
+    drawn = F.col("page_id") % 21 - 10
+    pages = D.table(spark, sf_dir, "pages").select("page_id", drawn.alias("drawn"), _slanted_page(drawn.cast("int")).alias("content"))
+    found = G.skew_angles(pages)
+    level = G.skew_angles(G.clean_pages(found, level=0, strip=False), out="left")
+    half = lambda c: F.round(F.col(c) * 2) / 2 + 0.0
+    return level.select("page_id", half("skew").alias("angle"), (F.abs(F.col("skew") - F.col("drawn") / 2) <= 0.2).alias("near"), half("left").alias("after"))
+
+
 @register("SELECT page_id, unnest([1, 2]) AS page, unnest(['page ' || page_id || ' Ж' || chr(10) || '(next)', url]) AS text, 3 AS pages FROM pages")
 def pdf_round_trip(spark, sf_dir):
     pages = D.table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), "url", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("page"))

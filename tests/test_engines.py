@@ -174,7 +174,7 @@ def test_eviction_order(spark):
         if total > 900:
             gone.add(k)
     for steps in (1, 7, 4096):
-        assert {r.key for r in C.evicted(cache, 900, steps=steps).collect()} == gone
+        assert {r.key for r in C.evicted(cache, 900, ranges=steps).collect()} == gone
     assert C.evicted(cache.limit(0), 10).count() == 0
 
 
