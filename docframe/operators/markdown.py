@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions import text as X
+from docframe.operators.scan import scanned
 
 
 def is_table_line(x: Column) -> Column:
@@ -17,17 +18,16 @@ def table_blocks(lines: DataFrame, by: str = "doc_id", no: str = "line_no", line
     """Runs of table lines: first and last line, rows, and the headings that hold when the run has ended.
 
     A run is an island of line number minus rank.  As the context is taken on
-    the line after it, a heading there counts already.
+    the line after it, a heading there counts already.  A heading of the second
+    level ends that of the third, so the last heading of both gives the third.
     """
-    w = Window.partitionBy(by).orderBy(no)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    h2 = F.nullif(F.regexp_extract(line, r"^##\s+(.+)$", 1), F.lit(""))
-    h3 = F.nullif(F.regexp_extract(line, r"^###\s+(.+)$", 1), F.lit(""))
-    marked = lines.withColumn("_h2", F.trim(h2)).withColumn("_h3", F.trim(h3)).withColumn("_table", is_table_line(F.col(line)))
-    marked = marked.withColumn("h2", F.last("_h2", True).over(so_far)).withColumn("_part", F.sum(F.when(F.col("_h2").isNotNull(), 1).otherwise(0)).over(so_far))
-    marked = marked.withColumn("h3", F.last("_h3", True).over(Window.partitionBy(by, "_part").orderBy(no).rowsBetween(Window.unboundedPreceding, 0)))
-    after = marked.withColumn("_next", F.lead(F.struct("h2", "h3")).over(w)).withColumn("_end", F.coalesce("_next", F.struct("h2", "h3")))
-    rows = after.where("_table").withColumn("_island", F.col(no) - F.row_number().over(w))
+    h2 = F.trim(F.nullif(F.regexp_extract(line, r"^##\s+(.+)$", 1), F.lit("")))
+    h3 = F.trim(F.nullif(F.regexp_extract(line, r"^###\s+(.+)$", 1), F.lit("")))
+    head = F.when(h2.isNotNull() | h3.isNotNull(), F.struct(h2.alias("h2"), h3.alias("h3")))
+    marked = lines.select(by, no, head.alias("_head"), is_table_line(F.col(line)).alias("_table"))
+    marked = scanned(marked, by, no, {"_rank": F.col("_table").cast("int")}, {"_h2": F.col("_head.h2"), "_last": F.col("_head")}, after={"_next": F.col("_head")})
+    end = F.struct(F.coalesce("_next.h2", "_h2").alias("h2"), F.when(F.col("_next").isNotNull(), F.col("_next.h3")).otherwise(F.col("_last.h3")).alias("h3"))
+    rows = marked.where("_table").select(by, no, (F.col(no) - F.col("_rank")).alias("_island"), end.alias("_end"))
     blocks = rows.groupBy(by, "_island").agg(F.min(no).alias("start_line"), F.max(no).alias("end_line"), F.count("*").alias("rows"), F.max_by("_end", no).alias("_c"))
     return blocks.select(by, "start_line", "end_line", "rows", F.col("_c.h2").alias("h2"), F.col("_c.h3").alias("h3"))
 
@@ -54,11 +54,10 @@ def line_kinds(line: Column) -> Column:
 
 def blocks(lines: DataFrame, by: str = "doc_id", no: str = "line_no", line: str = "line") -> DataFrame:
     """Blocks in order: kind and source lines. Paragraph and table lines run together; separators are dropped within tables."""
-    w = Window.partitionBy(by).orderBy(no)
     kind = line_kinds(F.col(line))
     kinds = lines.withColumn("_raw", kind).withColumn("kind", F.when(F.col("_raw") == "table_separator", "table").otherwise(F.col("_raw")))
-    runs = F.col("kind").isin("paragraph", "table") & (F.lag("kind").over(w) == F.col("kind"))
-    numbered = kinds.withColumn("_new", F.when(F.coalesce(runs, F.lit(False)), 0).otherwise(1)).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = F.col("kind").isin("paragraph", "table") & (F.col("_before") == F.col("kind"))
+    numbered = scanned(scanned(kinds, by, no, before={"_before": F.col("kind")}), by, no, {"block": F.when(F.coalesce(runs, F.lit(False)), 0).otherwise(1)})
     kept = numbered.where((F.col("kind") != "blank") & (F.col("_raw") != "table_separator"))
     parts = kept.groupBy(by, "block").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct(no, line))).alias("_l"))
     return parts.select(by, "block", "kind", F.transform("_l", lambda x: F.trim(x[line])).alias("lines"))
@@ -66,17 +65,15 @@ def blocks(lines: DataFrame, by: str = "doc_id", no: str = "line_no", line: str
 
 def slides(lines: DataFrame, by: str = "doc_id", no: str = "line_no", line: str = "line") -> DataFrame:
     """Lines with the slide they stand on: a heading starts one; tables and blank lines are left out."""
-    w = Window.partitionBy(by).orderBy(no).rowsBetween(Window.unboundedPreceding, 0)
     kind = F.regexp_extract(line, r"^(#{1,3})\s", 1)
-    placed = lines.withColumn("level", F.length(kind)).withColumn("slide", F.sum(F.when(F.length(kind) > 0, 1).otherwise(0)).over(w))
+    placed = scanned(lines.withColumn("level", F.length(kind)), by, no, {"slide": F.when(F.length(kind) > 0, 1).otherwise(0)})
     return placed.where((F.trim(line) != "") & ~F.trim(line).startswith("|"))
 
 
 def fenced(lines: DataFrame, by: str = "doc_id", no: str = "line_no", line: str = "line") -> DataFrame:
     """Lines with is_code: between two fences, which themselves are left out."""
     fence = F.trim(line).startswith("```")
-    n = F.sum(F.when(fence, 1).otherwise(0)).over(Window.partitionBy(by).orderBy(no).rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("is_code", n % 2 == 1).where(~fence)
+    return scanned(lines, by, no, {"is_code": F.when(fence, 1).otherwise(0)}).withColumn("is_code", F.col("is_code") % 2 == 1).where(~fence)
 
 
 def csv_table(text: Column) -> Column:
