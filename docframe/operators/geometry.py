@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from docframe.operators.merges import tables
+from docframe.session import kept, shared_folder
+
 GAP = 5
 DARK = 180
 PNG_MARK = b"\x89PNG\r\n\x1a\n"
@@ -364,36 +367,17 @@ def _runs(on: np.ndarray, gap: int = GAP) -> list[int]:
     return [int(round((part[0] + part[-1]) / 2)) for part in np.split(at, np.flatnonzero(np.diff(at) > gap) + 1)]
 
 
-def ruled_grid(gray: np.ndarray, columns: float = 0.25, rows: float = 0.30, coverage: float = 0.50) -> list[dict]:
-    """Cells (row, col, rowspan, colspan, box) of a ruled table: places between lines, joined where a separator is
-    missing in the head row; nothing if the joined places of a cell aren't a rectangle."""
+def ruled_places(gray: np.ndarray, columns: float = 0.25, rows: float = 0.30, coverage: float = 0.50) -> list[tuple[int, int, list[int], bool]]:
+    """Places (row, col, box) between the lines of a ruled table, and whether the separator to the right is missing, which is
+    looked at in the head row."""
     dark = gray < DARK
     xs, ys = _runs(dark.mean(0) >= columns), _runs(dark.mean(1) >= rows)
     if len(xs) < 2 or len(ys) < 2:
         return []
-    n_rows, n_cols = len(ys) - 1, len(xs) - 1
-    group = {(r, c): (r, c) for r in range(n_rows) for c in range(n_cols)}
-
-    def root(k):
-        while group[k] != k:
-            k = group[k]
-        return k
-
-    for c in range(n_cols - 1):
-        x, top, bottom = xs[c + 1], ys[0] + 4, ys[1] - 4
-        band = dark[top:bottom, max(0, x - 3) : x + 4]
-        if bottom > top and band.size and band.mean(0).max() < coverage:
-            group[max(root((0, c)), root((0, c + 1)))] = min(root((0, c)), root((0, c + 1)))
-    parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for k in group:
-        parts.setdefault(root(k), []).append(k)
-    cells = []
-    for (r, c), members in sorted(parts.items()):
-        r1, c1 = max(m[0] for m in members), max(m[1] for m in members)
-        if (r1 - r + 1) * (c1 - c + 1) != len(members):
-            return []
-        cells.append({"row": r, "col": c, "rowspan": r1 - r + 1, "colspan": c1 - c + 1, "box": [xs[c], ys[r], xs[c1 + 1] - xs[c], ys[r1 + 1] - ys[r]]})
-    return cells
+    top, bottom = ys[0] + 4, ys[1] - 4
+    bands = [dark[top:bottom, max(0, x - 3) : x + 4] for x in xs]
+    missing = [bottom > top and band.size > 0 and band.mean(0).max() < coverage for band in bands]
+    return [(r, c, [xs[c], ys[r], xs[c + 1] - xs[c], ys[r + 1] - ys[r]], bool(r == 0 and c + 2 < len(xs) and missing[c + 1])) for r in range(len(ys) - 1) for c in range(len(xs) - 1)]
 
 
 def clean_page(gray: np.ndarray, level: int = 1, strip: bool = True, scale: int = 0, straight: bool = True, binary: bool = False, intent: str = "text", enlarge=None) -> np.ndarray:
@@ -434,13 +418,25 @@ def png_size(content: str):
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height"))).otherwise(F.struct(F.lit(0).alias("width"), F.lit(0).alias("height")))
 
 
-def tables_of(pages: DataFrame, id_col: str = "page_id", content: str = "content") -> DataFrame:
-    """Cells of the ruled table on each page."""
+def places_of(pages: DataFrame, id_col: str = "page_id", content: str = "content") -> DataFrame:
+    """The places of the ruled table on each page, with what is joined to the right (see ruled_places)."""
 
     def work(frames):
         for frame in frames:
-            out = [(i, c["row"], c["col"], c["rowspan"], c["colspan"], c["box"]) for i, data in zip(frame[id_col], frame[content], strict=True) if data is not None for c in ruled_grid(png_decode(data))]
-            yield pd.DataFrame(out, columns=[id_col, "row", "col", "rowspan", "colspan", "box"])
+            out = [(i, *place, False) for i, data in zip(frame[id_col], frame[content], strict=True) if data is not None for place in ruled_places(png_decode(data))]
+            yield pd.DataFrame(out, columns=[id_col, "row", "col", "box", "open_right", "open_down"])
 
     kind = dict(pages.dtypes)[id_col]
-    return pages.select(id_col, content).mapInPandas(work, f"{id_col} {kind}, row int, col int, rowspan int, colspan int, box array<int>")
+    return pages.select(id_col, content).mapInPandas(work, f"{id_col} {kind}, row int, col int, box array<int>, open_right boolean, open_down boolean")
+
+
+def tables_of(pages: DataFrame, id_col: str = "page_id", content: str = "content") -> DataFrame:
+    """Cells (row, col, rowspan, colspan, box) of the ruled table on each page; none if a joined cell isn't a rectangle."""
+    grid = kept(places_of(pages, id_col, content), shared_folder(pages.sparkSession), "places")
+    cells = tables(grid, id_col)
+    corner = grid.select(id_col, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("box").alias("_last"))
+    last = cells.join(grid.select(id_col, "row", "col", F.col("box").alias("_first")), [id_col, "row", "col"]).withColumn("_r", F.col("row") + F.col("rowspan") - 1).withColumn("_c", F.col("col") + F.col("colspan") - 1)
+    whole = last.join(corner, [id_col, "_r", "_c"])
+    x, y = F.col("_first")[0], F.col("_first")[1]
+    box = F.array(x, y, F.col("_last")[0] + F.col("_last")[2] - x, F.col("_last")[1] + F.col("_last")[3] - y)
+    return whole.select(id_col, "row", "col", "rowspan", "colspan", box.alias("box"))

@@ -8,6 +8,7 @@ from docframe.functions import text as X
 from docframe.operators import control as C
 from docframe.operators import geometry as G
 from docframe.operators import lines as L
+from docframe.operators import merges as M
 from docframe.operators import numeric as N
 from docframe.plans import derived as D
 from docframe.plans.registry import Register, over, rows
@@ -333,4 +334,23 @@ def resolver_normalize(spark, sf_dir):
     return N.resolver_result(rows(spark, _RAW, sf_dir)).select("id", "visible", "confidence", "safe")
 
 
+_GRID = "(SELECT page_id, (i // 7)::INT AS row, (i % 7)::INT AS col, (page_id * 31 + i * 17) % 11 < 3 AND i % 7 < 6 AS open_right, (page_id * 13 + i * 29) % 17 < 2 AND i // 7 < 4 AS open_down FROM (SELECT page_id, unnest(range(35)) AS i FROM pages))"
+
+
+@register(
+    f"""WITH RECURSIVE g AS {_GRID}, e AS (SELECT page_id, row * 7 + col AS a, row * 7 + col + 1 AS b FROM g WHERE open_right UNION ALL SELECT page_id, row * 7 + col, row * 7 + col + 7 FROM g WHERE open_down),
+    s AS (SELECT page_id, a, b FROM e UNION ALL SELECT page_id, b, a FROM e), r AS (SELECT page_id, row * 7 + col AS node, row * 7 + col AS seen FROM g UNION SELECT r.page_id, r.node, s.b FROM r JOIN s ON r.page_id = s.page_id AND r.seen = s.a),
+    c AS (SELECT page_id, node, min(seen) AS root FROM r GROUP BY ALL)
+    SELECT page_id, min(node // 7)::INT AS row, min(node % 7)::INT AS col, (max(node // 7) - min(node // 7) + 1)::INT AS rowspan, (max(node % 7) - min(node % 7) + 1)::INT AS colspan, count(*) AS places,
+    (max(node // 7) - min(node // 7) + 1) * (max(node % 7) - min(node % 7) + 1) = count(*) AS rectangular FROM c GROUP BY page_id, root"""
+)
+def merged_cells(spark, sf_dir):
+    """Grids of five by seven places with missing separators: cells of any shape, and whether they are rectangles."""
+    i, p = F.col("i"), F.col("page_id")
+    grid = D.table(spark, sf_dir, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(34))).alias("i"))
+    col, row = i % 7, F.floor(i / 7).cast("int")
+    grid = grid.select("page_id", row.alias("row"), col.alias("col"), ((p * 31 + i * 17) % 11 < 3).alias("open_right"), ((p * 13 + i * 29) % 17 < 2).alias("open_down"))
+    return M.merged(grid, "page_id")
+
+
 QUERIES, ORACLES = register.queries, register.oracles

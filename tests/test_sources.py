@@ -147,16 +147,17 @@ def test_group_lines_keeps_a_lines_first_centre(spark):
     assert [r.line_no for r in words.group_lines(df).orderBy("word_no").collect()] == [1, 1, 2, 3]
 
 
-def test_ruled_grid():
+def test_ruled_grid(spark):
     page = np.full((280, 620), 255, np.uint8)
     for y in (20, 100, 180, 260):
         page[y : y + 3, 20:600] = 0
     for x in (20, 597):
         page[20:262, x : x + 3] = 0
     page[100:262, 310:313] = 0  # none in the head row
-    cells = geometry.ruled_grid(page)
-    assert len(cells) == 5 and cells[0]["colspan"] == 2 and {(c["row"], c["col"]) for c in cells} == {(0, 0), (1, 0), (1, 1), (2, 0), (2, 1)}
-    assert geometry.ruled_grid(np.full((50, 50), 255, np.uint8)) == []
+    rows = [(1, geometry.png_encode(page)), (2, geometry.png_encode(np.full((50, 50), 255, np.uint8))), (3, None)]
+    cells = sorted(geometry.tables_of(spark.createDataFrame(rows, "page_id int, content binary")).collect())
+    assert [(c.page_id, c.row, c.col, c.rowspan, c.colspan) for c in cells] == [(1, 0, 0, 1, 2), (1, 1, 0, 1, 1), (1, 1, 1, 1, 1), (1, 2, 0, 1, 1), (1, 2, 1, 1, 1)]
+    assert cells[0].box == [21, 21, 577, 80] and cells[4].box[:2] == [311, 181]
 
 
 def test_images(spark):
