@@ -77,8 +77,11 @@ def required(n):
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    """The counters' classes."""
-    return np.minimum(255, np.round(STEPS * np.log2(1.0 + counts))).astype(np.uint8)
+    """The counters' classes, made in blocks to keep what is held small."""
+    out = np.empty(len(counts), np.uint8)
+    for i in range(0, len(out), 1 << 18):
+        out[i : i + (1 << 18)] = np.minimum(255, np.round(STEPS * np.log2(1.0 + counts[i : i + (1 << 18)])))
+    return out
 
 
 class Prefixes:
@@ -104,6 +107,14 @@ class Prefixes:
         return hashes[order[: keys - 1 + need]], keys, need
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, as a text's shingles take several times its room."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        release()
+
+
 def _marked(df: DataFrame, cells: int) -> DataFrame:
     """_id, n_shingles and _print of each row, and a row a task with the shingles that it has counted in cells."""
     schema = T.StructType([df.schema["_id"], T.StructField("n_shingles", T.LongType()), T.StructField("_print", T.BinaryType()), T.StructField("_cells", T.BinaryType())])
@@ -112,7 +123,7 @@ def _marked(df: DataFrame, cells: int) -> DataFrame:
         import xxhash
 
         kinds, total = to_arrow(schema), None
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = shingles(batch.column(1))
             prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             total = np.zeros(cells, np.uint32) if total is None else total
@@ -152,7 +163,7 @@ def _cut(df: DataFrame, prefixes) -> DataFrame:
         import xxhash
 
         kinds, cutter = to_arrow(schema), prefixes.value
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = shingles(batch.column(1))
             full = [i for i, s in enumerate(sets) if len(s)]
             made = [cutter.cut(sets[i]) for i in full]
