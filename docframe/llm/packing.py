@@ -3,9 +3,11 @@
 Lengths are whole numbers up to `capacity`, so the whole problem is its
 histogram of at most `capacity` counts, however many documents there are.  On
 the driver, all patterns of one to three lengths that fill a sequence exactly
-are enumerated (for lengths that have none, the fullest), their repeat counts are fitted to the histogram by non-negative
-least squares and rounded: down first, then up while documents last.  What is
-left is too short for three to fill a sequence, so the same is done for a half
+are enumerated (for lengths that have none, the fullest), their repeat counts are
+fitted to the histogram by non-negative least squares with an active set and
+rounded, the largest first, as far as there are documents.  What rounding left
+over is fitted again, until a fit places next to nothing; patterns that the
+residue still fills come last.  What is left then is too short for three to fill a sequence, so the same is done for a half
 of a sequence, a quarter and so on: blocks of these sizes stand one after another,
 the larger ones first, and never cross a sequence's border.  The residue that no
 pattern takes is packed best fit, longest first, many equal sequences at a time:
@@ -37,17 +39,21 @@ from docframe.llm.wordbpe import WordBpe
 
 CAPACITY = 4096
 END_ID = 1
-#: Steps of the fit.
-ROUNDS = 80
-#: Patterns, times the capacity, that get their fitted count; all others are taken in the order of theirs while documents last.
-#: This bounds the plan, which is sent to the executors: some tens of thousands of rows.
-COUNTED = 1
+#: The fit: patterns join the active set this many times at most, each time its counts are gone through so often one by one and
+#: so often together; it ends earlier once that lowers the sum of squares by less than this share.
+ROUNDS = 40
+SWEEPS = 2
+STEPS = 150
+GAIN = 0.005
+#: What rounding leaves over is fitted again as long as this many more such fits would place it.
+AGAIN = 16
 
 
 @dataclass
 class Plan:
     """Rows ascending by (length, rank): documents of `length` with ranks from `rank` on, `each` of them side by side at
-    `place`, the next ones `stride` further; places count tokens over all sequences.  fitted: documents that patterns took."""
+    `place`, the next ones `stride` further; places count tokens over all sequences.  fitted: documents placed by rounded counts
+    of the fit; filled: by patterns that the residue still filled."""
 
     capacity: int
     length: np.ndarray
@@ -57,6 +63,7 @@ class Plan:
     stride: np.ndarray
     sequences: int
     fitted: int
+    filled: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of documents given by length and rank."""
@@ -99,50 +106,99 @@ def patterns(histogram: np.ndarray, target: int | None = None) -> np.ndarray:
 
 
 def nnls(rows: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Repeat counts x >= 0 that bring the tokens used, length by length, closest to those of the histogram.
-
-    Accelerated projected gradient on || W (A x - h) ||^2 with W the lengths over the longest."""
+    """Repeat counts x >= 0 that bring the tokens used, length by length, closest to those of the histogram: non-negative least
+    squares on || W (A x - h) ||^2 with W the lengths over the longest, by an active set.
+
+    The set starts with the patterns of one and two lengths; of all patterns, those with the steepest gradient among the ones of equal longest length join it. Its counts are
+    fitted one by one, the longest first, which leaves most at nought, and then together by accelerated projected gradient;
+    those at nought go again. So few patterns have a count (some one to four a length), and a count is seldom a small
+    fraction, which rounding would lose."""
+    x = np.zeros(len(rows))
     if not len(rows):
-        return np.zeros(0)
+        return x
     weight = (np.arange(len(histogram)) / (len(histogram) - 1)) ** 2
     weight[0] = 0
-    histogram = histogram.astype(np.float32)
-    # Column by column, in single precision: there may be over a million patterns.
-    use = lambda x: sum(np.bincount(c, x, len(histogram)) for c in rows.T).astype(np.float32)
-    back = lambda r: sum((weight * r).astype(np.float32)[c] for c in rows.T)
-    v = np.ones(len(rows), np.float32)
-    for _ in range(30):  # the largest eigenvalue, for the step
-        w = back(use(v))
-        v = w / np.linalg.norm(w)
-    step = 1 / (1.05 * np.linalg.norm(back(use(v))))
-    x = y = np.zeros(len(rows), np.float32)
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - np.float32(step) * back(use(y) - histogram))
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = new + np.float32((t - 1) / t_new) * (new - x)
-        x, t = new, t_new
+    w = weight.tolist()
+    over = histogram.astype(float)  # documents that the counts don't use yet
+    order = np.argsort(rows[:, 0], kind="stable")
+    by_longest = rows[order].astype(np.intp)
+    firsts = np.flatnonzero(np.diff(by_longest[:, 0], prepend=-1))
+    sizes = np.diff(firsts, append=len(rows))
+    least, before = 1e-9 * float((weight * over).max()), np.inf
+    short = np.flatnonzero(rows[:, 2] == 0)
+    for nth in range(rounds):
+        pull = weight * over
+        gradient = pull[by_longest].sum(1)
+        steepest = np.repeat(np.maximum.reduceat(gradient, firsts), sizes)
+        hits = np.flatnonzero((gradient == steepest) & (gradient > least))
+        joined = order[hits[np.diff(by_longest[hits, 0], prepend=-1) > 0]]
+        active = np.union1d(joined, np.flatnonzero(x)) if nth or not len(short) else short
+        if not len(active):
+            break
+        active = active[np.argsort(-rows[active, 0], kind="stable")]
+        parts, counts, left = rows[active].tolist(), x[active].tolist(), over.tolist()
+        squares = [sum(w[p] * three.count(p) ** 2 for p in set(three)) for three in parts]
+        for _ in range(SWEEPS):
+            for k, (a, b, c) in enumerate(parts):
+                step = max((w[a] * left[a] + w[b] * left[b] + w[c] * left[c]) / squares[k], -counts[k])
+                if step:
+                    counts[k] += step
+                    left[a] -= step
+                    left[b] -= step
+                    left[c] -= step
+        x[active] = together(rows[active].astype(np.intp), np.array(counts), histogram, weight)
+        over = histogram - used(rows[active], x[active], len(histogram))
+        cost = float((weight * over * over).sum())
+        if cost > before * (1 - GAIN):
+            break
+        before = cost
     return x
 
 
-def rounded(rows: np.ndarray, x: np.ndarray, left: np.ndarray, chunk: int = 8192) -> Iterator[tuple[list[int], int]]:
-    """Patterns with whole counts: x rounded down, the largest first, then what is still there, the longest
-    document first and in the order of x; `left` (documents by length) goes down as they are taken."""
-    order = np.argsort(-x, kind="stable")
-    down = np.zeros(len(x), np.int64)
-    down[order[: COUNTED * len(left)]] = np.floor(x[order[: COUNTED * len(left)]])
-    rest = np.lexsort((-x, -rows[:, 0]))
-    for order, whole in ((order, down), (rest, np.full(len(x), np.iinfo(np.int64).max))):
-        for at in range(0, len(order), chunk):
-            some = order[at : at + chunk]
-            some = some[(whole[some] > 0) & ((left[rows[some]] > 0) | (rows[some] == 0)).all(1)]
-            for i in some.tolist():
-                parts = [int(n) for n in rows[i] if n]
-                n = min(int(whole[i]), *(int(left[p]) // parts.count(p) for p in parts))
-                if n > 0:
-                    for p in parts:
-                        left[p] -= n
-                    yield parts, n
+def used(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Documents by length that counts x of patterns use."""
+    return np.bincount(rows.ravel(), np.repeat(x, rows.shape[1]), n)
+
+
+def together(rows: np.ndarray, x: np.ndarray, histogram: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Counts of the patterns given, from x on, by steps of accelerated projected gradient."""
+    back = lambda over: (weight * over)[rows].sum(1)
+    v = np.ones(len(rows))
+    for _ in range(15):  # the largest eigenvalue, for the step
+        v = back(used(rows, v / np.linalg.norm(v), len(weight)))
+    step, y, t = 1 / (1.1 * np.linalg.norm(v)), x, 1.0
+    for _ in range(STEPS):
+        new = np.maximum(0, y + step * back(histogram - used(rows, y, len(weight))))
+        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        y, x = new + (last - 1) / t * (new - x), new
+    return x
+
+
+def rounded(rows: np.ndarray, x: np.ndarray, left: np.ndarray) -> Iterator[tuple[list[int], int]]:
+    """Patterns with their counts rounded to whole numbers, the largest first, as far as there are documents; `left` (documents
+    by length) goes down as they are taken."""
+    some = np.flatnonzero(x >= 0.5)
+    for i in some[np.argsort(-x[some], kind="stable")].tolist():
+        parts = [int(n) for n in rows[i] if n]
+        n = min(int(x[i] + 0.5), *(int(left[p]) // parts.count(p) for p in parts))
+        if n > 0:
+            for p in parts:
+                left[p] -= n
+            yield parts, n
+
+
+def residual(rows: np.ndarray, x: np.ndarray, left: np.ndarray, chunk: int = 8192) -> Iterator[tuple[list[int], int]]:
+    """Patterns that what rounding left over still fills, the longest document first and in the order of x."""
+    order = np.lexsort((-x, -rows[:, 0]))
+    for at in range(0, len(order), chunk):
+        some = order[at : at + chunk]
+        for i in some[((left[rows[some]] > 0) | (rows[some] == 0)).all(1)].tolist():
+            parts = [int(n) for n in rows[i] if n]
+            n = min(int(left[p]) // parts.count(p) for p in parts)
+            if n > 0:
+                for p in parts:
+                    left[p] -= n
+                yield parts, n
 
 
 def make_plan(histogram: np.ndarray) -> Plan:
@@ -196,10 +252,11 @@ def make_plan(histogram: np.ndarray) -> Plan:
                 if many:
                     room[capacity - used].append((first, many))
 
-    target, fitted = capacity, 0
-    while left.any():
-        rows = patterns(left, target)
-        for parts, n in rounded(rows, nnls(rows, left[: target + 1]), left):
+    def blocks(target: int, found: Iterator[tuple[list[int], int]]) -> int:
+        """Blocks of patterns, one after another; the number of documents in them."""
+        nonlocal end
+        documents = 0
+        for parts, n in found:
             inner = 0
             for p in parts:
                 put(p, n, 1, end + inner, target)
@@ -207,7 +264,18 @@ def make_plan(histogram: np.ndarray) -> Plan:
             if inner < target:
                 room[target - inner].append((end // capacity, n))
             end += n * target
-            fitted += n * len(parts)
+            documents += n * len(parts)
+        return documents
+
+    target, fitted, filled = capacity, 0, 0
+    while left.any():
+        placed = left.sum()
+        while placed * AGAIN >= left.sum() > 0:
+            rows = patterns(left, target)
+            x = nnls(rows, left[: target + 1])
+            placed = blocks(target, rounded(rows, x, left))
+            fitted += placed
+        filled += blocks(target, residual(rows, x, left))
         # What is too long for the shorter blocks is residue; it comes before them, as they would use up what goes with it.
         best_fit(0 if target % 2 else target // 2 + 1)
         if target % 2:
@@ -215,7 +283,7 @@ def make_plan(histogram: np.ndarray) -> Plan:
         target //= 2
     steps.sort()
     columns = [np.array(x, np.int64) for x in zip(*steps, strict=True)] if steps else [np.zeros(0, np.int64)] * 5
-    return Plan(capacity, *columns, -(-end // capacity), fitted)
+    return Plan(capacity, *columns, -(-end // capacity), fitted, filled)
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
