@@ -31,13 +31,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.arrowmap import written
+from docframe.llm.arrowmap import counted, written
 from docframe.llm.store import Store
 
 #: Uncompressed bytes of an archive, of its dictionary's samples at most, and of the dictionary.
 ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
+#: Bytes of ids and keys of revisits that are sent to all executors, so that payloads stay where they were read; if there are
+#: more, the rows are merged, payloads included.
+SIDE_BYTES = 32 << 20
+#: Archives are read by so many tasks a core, or by one for so many of their bytes if that is more.
+READERS, READ_BYTES = 16, 1 << 30
 MAGIC = 0x184D2A5D
 DATE = "2000-01-01T00:00:00Z"
 
@@ -111,15 +116,23 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+def _side(table: DataFrame, size: int | None) -> DataFrame:
+    """The lesser side of a join, of so many bytes: sent to all executors up to SIDE_BYTES, merged beyond."""
+    return F.broadcast(table) if (size or 0) <= SIDE_BYTES else table.hint("merge")
+
+
 def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes all pages into archives in the shared folder; a row per archive: name, layout, records, bytes."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    # The key says that payloads are equal; hot keys are split by Spark's skew join, as the first ids are summed up before.
-    key = F.sha2(F.encode("html", "utf-8"), 256)
-    firsts = rows.select("id", key.alias("key"), F.octet_length("html").alias("n")).where((F.col("n") >= least) & F.col("id").isNotNull()).groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    firsts = written(firsts.select("key", "first"), folder, "firsts")
-    known = rows.withColumn("key", key).join(firsts, "key", "left").select("id", "url", "html", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
-    known = known.withColumn("refers_to", F.when(F.octet_length("html") >= least, F.col("refers_to")))
+    # The key says that payloads are equal. Only ids and keys are moved; hot keys are summed up before they are.
+    key = F.unhex(F.sha2(F.encode("html", "utf-8"), 256)).alias("key")
+    keys = written(rows.where((F.octet_length("html") >= least) & F.col("id").isNotNull()).select("id", key), folder, "keys")
+    size = lambda *ids: F.sum(32 + sum(F.octet_length(F.col(c).cast("string")) for c in ids))
+    firsts = keys.groupBy("key").agg(F.min("id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").select("key", "refers_to")
+    firsts, told = counted(firsts, folder, "firsts", bytes=size("refers_to"))
+    again = keys.distinct().join(_side(firsts, told["bytes"]), "key").where(F.col("id") != F.col("refers_to"))
+    again, told = counted(again, folder, "again", bytes=size("id", "refers_to"))
+    known = rows.select("*", key).join(_side(again, told["bytes"]), ["id", "key"], "left").select("id", "url", "html", "refers_to")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -146,7 +159,8 @@ def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id"
 def read(archives: DataFrame, folder: str, id_kind: str = "long") -> DataFrame:
     """A row per record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, html (null
     in revisits). The payloads of responses are checked against their digests.  id_kind: the type of the ids."""
-    n = archives.count()
+    n, size = archives.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(READERS * archives.sparkSession.sparkContext.defaultParallelism, size // READ_BYTES)))
     kind = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, html binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,5 +180,5 @@ def read(archives: DataFrame, folder: str, id_kind: str = "long") -> DataFrame:
                     rows.append((ids[0], fields.get("warc-target-uri"), size, told, fields["warc-type"], ids[1], body if response else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    found = archives.select("name", "layout").repartition(max(1, n)).mapInArrow(work, kind)
+    found = archives.select("name", "layout").repartition(tasks).mapInArrow(work, kind)
     return found.withColumns({c: F.col(c).cast(id_kind) for c in ("page_id", "refers_to")})

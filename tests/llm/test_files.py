@@ -303,10 +303,13 @@ def test_warc_with_other_ids_and_long_payloads(spark):
     assert out["c/3"].record_type == "revisit" and out["c/3"].refers_to == "b/2"
 
 
-@pytest.mark.parametrize("least", [0, 10])
-def test_warc_operator(spark, monkeypatch, least):
+@pytest.mark.parametrize("least, side", [(0, 32 << 20), (10, 32 << 20), (0, 0), (10, 0)])
+def test_warc_operator(spark, monkeypatch, least, side):
+    """Revisits found by a broadcast table, and, as if there were too many for that, by merging."""
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
-    rows = [(7, "u", "same long text"), (3, "u", "same long text"), (9, None, "same long text"), (4, "v", "tiny"), (5, "v", "tiny"), (6, "w", None), (8, "w", ""), (None, "x", "tiny"), (3, "u", "same long text")]
+    monkeypatch.setattr(warc, "SIDE_BYTES", side)
+    monkeypatch.setattr(warc, "READERS", 1)
+    rows = [(7, "u", "same long text"), (3, "u", "same long text"), (9, None, "same long text"), (4, "v", "tiny"), (5, "v", "tiny"), (6, "w", None), (8, "w", ""), (None, "x", "tiny"), (3, "u", "same long text"), (9, "u", "tiny"), (9, None, "same long text"), (4, "y", "an id of two payloads")]
     df = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, key string").repartition(3)
     folder = shared_dir(spark)
     out = warc.read(warc.write(df, folder, least), folder).collect()
