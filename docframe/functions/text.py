@@ -40,6 +40,12 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """A double rounded as C and SQL engines do it: scaled, rounded to a whole number and scaled back.  F.round goes by the shortest
+    decimal instead, so that it has 0.48224999999999996, whose ten thousandfold is 4822.5, as 0.4822, not as 0.4823."""
+    return F.round(_col(x) * 10.0**places) / 10.0**places
+
+
 def squeeze(x: Column | str) -> Column:
     """White space of any kind as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(_col(x), r"(?U)\s+", " "))

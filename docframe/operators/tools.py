@@ -160,7 +160,7 @@ def with_source(pages: DataFrame, sources: DataFrame, key: str = "document_id")
 
 def audit_sheet(pages: DataFrame, words: DataFrame, key: str = "page") -> DataFrame:
     """A row of the audit sheet for each page: engine, status and numbers of both verifications, fusion's replacements and reviews, mean confidence."""
-    mean = words.where("confidence >= 0").groupBy(key).agg(F.round(F.avg("confidence"), 4).alias("confidence"))
+    mean = words.where("confidence >= 0").groupBy(key).agg(X.rounded(F.avg("confidence"), 4).alias("confidence"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     joined = pages.join(mean, key, "left")
     return joined.select((F.col(key) + 1).alias("page"), "engine", *[text(c).alias(c) for c in ("first_status", "first_numbers", "second_status", "second_numbers")], F.coalesce("replaced", F.lit(0)).alias("replaced"), F.coalesce("review", F.lit(0)).alias("review"), text("confidence").alias("confidence"))

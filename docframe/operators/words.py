@@ -117,7 +117,7 @@ def cell_is_trusted(box: Column, source: Column, confidence: Column, anchors: Co
 
 def confidence_stats(words: DataFrame, *by: str) -> DataFrame:
     """Word metrics: number, mean confidence, share under 0.70."""
-    return words.groupBy(*by).agg(F.count("*").alias("n_words"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.round(F.avg((F.col("confidence") < 0.70).cast("double")), 4).alias("low_share"))
+    return words.groupBy(*by).agg(F.count("*").alias("n_words"), X.rounded(F.avg("confidence"), 4).alias("mean_confidence"), X.rounded(F.avg((F.col("confidence") < 0.70).cast("double")), 4).alias("low_share"))
 
 
 def matrix(cells: DataFrame, table: str = "table_id") -> DataFrame:

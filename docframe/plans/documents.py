@@ -139,7 +139,7 @@ def export_markdown(spark, sf_dir):
 )
 def audit_rows(spark, sf_dir):
     w = D.words(D.table(spark, sf_dir, "documents"))
-    return w.groupBy("doc_id").agg(F.round(F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))), 4).alias("mean_confidence"), F.count("*").alias("words"), F.count_if(F.col("confidence") < 0.7).alias("weak"), F.sum(F.length("text")).alias("chars"))
+    return w.groupBy("doc_id").agg(X.rounded(F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))), 4).alias("mean_confidence"), F.count("*").alias("words"), F.count_if(F.col("confidence") < 0.7).alias("weak"), F.sum(F.length("text")).alias("chars"))
 
 
 QUERIES, ORACLES = register.queries, register.oracles
