@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe.functions import text as X
+from docframe.session import kept, shared_folder
 
 # Fixed values that define results.
 SECRET_PARTS = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "access_key", "private_key", "credential")
@@ -353,21 +354,31 @@ def without_measures(text: Column) -> Column:
 
 #: Characters of a template's beginning, or of its end where there is no beginning, that are the key of the join.
 _KEY = 8
+#: Templates that are broadcast at most.
+_BROADCAST = 10_000
 
 
 def template_pairs(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """Lines with the template that they are made of: equal to it, or with something in place of {0}.
 
     A join on equal keys for any number of templates: a template's key is its beginning before the first place holder, cut
-    to eight characters, or, if it has none, its end; a line has a key of each length that fits it.  A template that is a
-    place holder alone meets every line, as it should."""
+    to eight characters, or, if it has none, its end; a line has a key of each length that fits it and that some template's key
+    has.  Up to _BROADCAST templates are broadcast, so that lines stay where they are; more are met by a shuffle.  A template
+    that is a place holder alone meets every line, as it should."""
     head, tail = F.substring_index("template", "{", 1), F.regexp_extract("template", r"\}([^{]*)$", 1)
     parts = templates.select("template", head.alias("_head"), tail.alias("_tail"), F.contains("template", F.lit("{")).alias("_open"))
     key = lambda side, text: F.struct(F.lit(side).alias("side"), F.length(text).alias("n"), text.alias("text"))
     first, last = F.left(F.col("_head"), F.lit(_KEY)), F.right(F.col("_tail"), F.lit(_KEY))
     parts = parts.withColumn("_k", F.when(F.length("_head") > 0, key("head", first)).otherwise(key("tail", last)))
+    parts = kept(parts, shared_folder(lines.sparkSession), "templates")
+    kinds = parts.groupBy("_k.side", "_k.n").count().collect()  # at most 2 * _KEY + 1 rows
     line = F.col("line")
-    sides = [F.when(F.length(line) >= n, key(side, cut(line, F.lit(n)))) for n in range(_KEY + 1) for side, cut in (("head", F.left), ("tail", F.right)) if n or side == "tail"]
+    cut = {"head": F.left, "tail": F.right}
+    sides = [F.when(F.length(line) >= r["n"], key(r["side"], cut[r["side"]](line, F.lit(r["n"])))) for r in kinds if r["side"] is not None and r["n"] is not None]
+    if not sides:
+        return lines.join(parts.select("template"), F.lit(False))
     keyed = lines.withColumn("_k", F.explode(F.array_compact(F.array(*sides))))
+    if sum(r["count"] for r in kinds) <= _BROADCAST:
+        parts = F.broadcast(parts)
     fits = F.when(F.col("_open"), F.startswith("line", F.col("_head")) & F.endswith("line", F.col("_tail")) & (F.length("line") >= F.length("_head") + F.length("_tail"))).otherwise(line == F.col("template"))
     return keyed.join(parts, "_k").where(fits).select(*lines.columns, "template")

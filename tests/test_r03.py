@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docframe.operators import tools
+from docframe.operators import runs, tools
 
 
 def test_mean_confidence_is_rounded_as_sql_does(spark):
@@ -10,3 +10,17 @@ def test_mean_confidence_is_rounded_as_sql_does(spark):
     pages = spark.createDataFrame([(i, "e", "", "", "", "", 0, 0) for i in range(4)], "page long, engine string, first_status string, first_numbers string, second_status string, second_numbers string, replaced int, review int")
     words = spark.createDataFrame([(i, m) for i, m in enumerate(means)], "page long, confidence double")
     assert [r.confidence for r in tools.audit_sheet(pages, words).orderBy("page").collect()] == ["0.4823", "0.4862", "0.6587", ""]
+
+
+def test_templates_are_broadcast_and_lines_keyed_only_as_they_need(spark, monkeypatch):
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(["ended with 3 errors", "7 views", "done", "", "ended with", "views", None, "ended with  errors"])], "id long, line string")
+    templates = spark.createDataFrame([("ended with {0} errors",), ("{0} views",), ("done",), ("{0}",), (None,), ("",)], "template string")
+    want = [(0, "ended with {0} errors"), (0, "{0}"), (1, "{0} views"), (1, "{0}"), (2, "done"), (2, "{0}"), (3, ""), (3, "{0}"), (4, "{0}"), (5, "{0}"), (7, "ended with {0} errors"), (7, "{0}")]
+    got = runs.template_pairs(lines, templates)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.id, r.template) for r in got.collect()) == sorted(want)
+    monkeypatch.setattr(runs, "_BROADCAST", 0)
+    assert sorted((r.id, r.template) for r in runs.template_pairs(lines, templates).collect()) == sorted(want)
+    assert runs.template_pairs(lines, templates.limit(0)).columns == ["id", "line", "template"]
+    assert runs.template_pairs(lines, templates.limit(0)).count() == 0
