@@ -3,6 +3,7 @@
 import numpy as np
 
 from docframe.operators import geometry, runs, tools
+from docframe.sources import pdf
 
 
 def test_mean_confidence_is_rounded_as_sql_does(spark):
@@ -35,3 +36,11 @@ def test_pages_are_spread_and_a_known_angle_is_not_measured_again(spark, monkeyp
     assert (geometry.clean_page(page, 0, False, angle=angle) == geometry.rotated(page, angle)).all()
     assert (geometry.clean_page(page, 0, False, angle=0.0) == page).all()
     assert geometry.spread(spark.range(100), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_font_map_is_no_table_of_all_codes():
+    codes = pdf._unicode(b"beginbfchar <0041> <0416> endbfchar beginbfrange <0000> <FFFF> <0000> endbfrange beginbfrange <0042> <0043> <0410> endbfrange")
+    assert len(codes.single) == 1 and len(codes.ranges) == 2
+    assert [codes.get(v, "") for v in (0x41, 0x42, 0x43, 0x44, 0xD800, 0x10000)] == ["A", "А", "Б", "D", "", ""]
+    only = pdf._unicode(b"beginbfchar <41> <00660066> endbfchar beginbfrange <50> <51> <D800> endbfrange")
+    assert [only.get(v, "?") for v in (0x41, 0x50, 0x52)] == ["ff", "?", "?"]
