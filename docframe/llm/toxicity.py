@@ -144,6 +144,24 @@ def fit_words(words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray, order
     return Model(grams[by_hash], evidence[by_hash].astype(np.float32), order, share, (0.0, 0.0, 0.0))
 
 
+def _fitted(counts: DataFrame, order: int = ORDER, share: float = TOXIC_SHARE) -> Model:
+    """As fit_words(), in a task: the fit takes some hundred megabytes, which the driver needs not have; the sample bounds the words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, schema)
+        model = fit_words(table["word"].to_pylist(), table["ordinary"].to_numpy(), table["toxic"].to_numpy(), order, share)
+        del table
+        yield pa.RecordBatch.from_arrays([pa.array(model.grams.view(np.int64)), pa.array(model.evidence, pa.float32())], names=["gram", "evidence"])
+        del model
+        release()
+
+    schema = pa.schema([("word", pa.binary()), ("ordinary", pa.int64()), ("toxic", pa.int64())])
+    made = counts.repartition(1).mapInArrow(work, "gram long, evidence float").toArrow().combine_chunks()
+    grams, evidence = made["gram"].to_numpy().view(np.uint64), made["evidence"].to_numpy()
+    by_hash = np.argsort(grams, kind="stable")  # as they come, unless batches were put in another order
+    return Model(grams[by_hash], evidence[by_hash], order, share, (0.0, 0.0, 0.0))
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted logistic regression with a slight ridge, by Newton's method; the last column of x is the constant."""
     scale = np.maximum(x.std(0), 1e-9)
@@ -209,8 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     spark = docs.sparkSession
     rows, (n_ordinary, n_toxic) = labelled.sample(docs, labels, label, most, id_col, text_col)
     rows = written(rows, shared_dir(spark), "labelled")
-    table = _word_counts(rows.where("_fold <> 1")).toArrow()  # at most the words of 2 * most documents
-    model = fit_words(table["word"].to_pylist(), table["ordinary"].to_numpy(), table["toxic"].to_numpy())
+    model = _fitted(_word_counts(rows.where("_fold <> 1")))
     shared = spark.sparkContext.broadcast(model)
     seen = rows.where("_fold = 1").select("_text", "_label")
     out = T.StructType([T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])

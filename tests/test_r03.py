@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from docframe.llm import toxicity
 from docframe.operators import geometry, runs, tools
 from docframe.sources import pdf
 
@@ -44,3 +45,12 @@ def test_a_font_map_is_no_table_of_all_codes():
     assert [codes.get(v, "") for v in (0x41, 0x42, 0x43, 0x44, 0xD800, 0x10000)] == ["A", "А", "Б", "D", "", ""]
     only = pdf._unicode(b"beginbfchar <41> <00660066> endbfchar beginbfrange <50> <51> <D800> endbfrange")
     assert [only.get(v, "?") for v in (0x41, 0x50, 0x52)] == ["ff", "?", "?"]
+
+
+def test_the_toxicity_model_is_fitted_in_a_task(spark):
+    rows = [(f"w{i}x".encode(), 5 - i % 3, i % 4) for i in range(200)]
+    counts = spark.createDataFrame(rows, "word binary, ordinary long, toxic long")
+    want = toxicity.fit_words([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+    got = toxicity._fitted(counts.repartition(3))
+    assert (got.grams == want.grams).all() and np.allclose(got.evidence, want.evidence, atol=1e-5)
+    assert len(toxicity._fitted(counts.limit(0)).grams) == 0
