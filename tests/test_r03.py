@@ -3,7 +3,7 @@
 import numpy as np
 
 from docframe.llm import toxicity
-from docframe.operators import geometry, runs, tools
+from docframe.operators import geometry, more, runs, tools
 from docframe.sources import pdf
 
 
@@ -54,3 +54,12 @@ def test_the_toxicity_model_is_fitted_in_a_task(spark):
     got = toxicity._fitted(counts.repartition(3))
     assert (got.grams == want.grams).all() and np.allclose(got.evidence, want.evidence, atol=1e-5)
     assert len(toxicity._fitted(counts.limit(0)).grams) == 0
+
+
+def test_nearest_lines_take_many_pages_a_call(spark):
+    rows = [(1, 1, 0, 100, 20), (1, 2, 50, 104, 20), (1, 3, 0, 10, 20), (1, 4, 60, 22, 8), (1, 5, 9, 130, 20), (2, 7, 0, 5, 10)]
+    words = spark.createDataFrame(rows, "page long, word long, x int, y int, h int")
+    got = more.nearest_lines(words)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "FlatMapGroupsInPandas" not in plan
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (1, 2, 2), (1, 3, 1), (1, 4, 1), (1, 5, 3), (2, 7, 1)]
