@@ -306,6 +306,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells
     marked = written(_marked(docs, cells), folder, "marked")
     counts = _counters(marked, cells)
     prefixes = spark.sparkContext.broadcast(Prefixes(_levels(counts), float(counts.mean())))
+    del counts  # the driver needs its memory in the rounds that follow
+    release()
     rows = marked.where("_cells is null").select("_id", "n_shingles", "_print")
     filled = rows.where("_print is not null and _id is not null")
     by_id = filled.groupBy("_print", "_id").agg(F.count(F.lit(1)).alias("_rows"))

@@ -1,8 +1,10 @@
 """What the third review found."""
 
+import weakref
+
 import numpy as np
 
-from docframe.llm import toxicity
+from docframe.llm import ngramjoin, toxicity
 from docframe.operators import geometry, more, runs, tools
 from docframe.sources import pdf
 
@@ -63,3 +65,19 @@ def test_nearest_lines_take_many_pages_a_call(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "FlatMapGroupsInPandas" not in plan
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (1, 2, 2), (1, 3, 1), (1, 4, 1), (1, 5, 3), (2, 7, 1)]
+
+
+def test_the_counters_are_gone_before_the_rounds(spark, monkeypatch):
+    made, alive = [], []
+    counters, links = ngramjoin._counters, ngramjoin._links
+
+    def counted(*given):
+        out = counters(*given)
+        made.append(weakref.ref(out))
+        return out
+
+    monkeypatch.setattr(ngramjoin, "_counters", counted)
+    monkeypatch.setattr(ngramjoin, "_links", lambda *given: alive.append(made[0]() is not None) or links(*given))
+    docs = spark.createDataFrame([(i, "one two three four five six seven") for i in range(3)], "doc_id long, text string")
+    assert {r.component_id for r in ngramjoin.classes(docs, cells=1 << 12).collect()} == {0}
+    assert alive == [False]
