@@ -23,6 +23,14 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, as what is made of a text takes several times its room; what a part took is given back before the next."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+            release()
+
+
 def add_columns(df: DataFrame, needs: list[str], out: T.StructType, make: Maker) -> DataFrame:
     """df with the columns of `out`, one row per row; a column of the same name is replaced.
 

@@ -64,6 +64,8 @@ SKETCH = [f"o{i}" for i in range(PARITIES // 64)]
 SIZES = 1.34
 #: Ids that are broadcast at most, some tens of MB.
 BROADCAST = 2_000_000
+#: Rows of a table of pairs that stay in one task at most, a few MB: small tables aren't dealt out to all shuffle partitions.
+TOGETHER = 100_000
 #: Stars are drawn anew until a round finds less than one link for so many bucket members; this decides on cost only.
 SETTLED = 1000
 
@@ -183,6 +185,11 @@ def _set_arrays(df: DataFrame, text: str) -> DataFrame:
     return add_columns(df, [text], out, make)
 
 
+def together(pairs: DataFrame, n: int) -> DataFrame:
+    """A table of n narrow rows: up to TOGETHER as one partition, so that groups and joins among such tables need no shuffle."""
+    return pairs.coalesce(1) if n <= TOGETHER else pairs
+
+
 def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
     """(node, root) of every node of the edges (a, b), root the least id of its component, by alternating stars.
 
@@ -195,6 +202,7 @@ def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
     n = 0
     while True:
         n += 1
+        pairs = together(pairs, before["n"])
         # Large star: every larger neighbour of a node, to the least of the node and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -205,6 +213,7 @@ def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
         ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
         pairs, after = counted(joined.select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct(), folder, f"{tag}-{n}", **mark)
         if before == after:
+            pairs = together(pairs, after["n"])
             roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = after
@@ -227,9 +236,12 @@ def _confirmed(candidates: DataFrame, sets: DataFrame, folder: str, tag: str) ->
     return links, found["n"]
 
 
-def _merged(known: DataFrame | None, links: DataFrame, folder: str, tag: str) -> DataFrame:
-    edges = links if known is None else links.unionByName(known.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return written(components(edges, folder, f"{tag}-star"), folder, f"{tag}-roots")
+def _merged(known: tuple[DataFrame, int] | None, links: DataFrame, found: int, folder: str, tag: str) -> tuple[DataFrame, int]:
+    """(node, root) of what is known and so many links, written, and their number."""
+    edges = links if known is None else links.unionByName(known[0].where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    edges = together(edges, found + (known[1] if known else 0))
+    roots, many = counted(components(edges, folder, f"{tag}-star"), folder, f"{tag}-roots", n=F.count(F.lit(1)))
+    return roots, many["n"]
 
 
 def _can_be_similar(other: str):
@@ -271,11 +283,12 @@ def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
     # The first stars: a member is tried with the centre that it shares most buckets with.
     shared = members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("bands"))
     candidates = shared.groupBy("id").agg(F.max(F.struct("bands", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
-    roots, step = None, 1
+    merged, step = None, 1
     while True:
         links, found = _confirmed(candidates, sets, folder, str(step))
         if found:
-            roots = _merged(roots, links, folder, f"round-{step}")
+            merged = _merged(merged, links, found, folder, f"round-{step}")
+        roots = merged and merged[0]
         step += 1
         members, left = counted(_unresolved(members, roots, folder, str(step)), folder, f"left-{step}", n=F.count(F.lit(1)))
         if not left["n"]:
@@ -298,7 +311,7 @@ def _links(docs: DataFrame, signed: DataFrame, folder: str) -> DataFrame | None:
     once = (F.col("root") != F.col("root_o")) & ((F.col("root") == F.col("main")) | (F.col("id_o") < F.col("id")))
     pairs = rest.join(outer, ["key", "class"]).where(once & possible).select(F.col("id_o").alias("a"), F.col("id").alias("b")).distinct()
     links, found = _confirmed(pairs, sets, folder, "rest")
-    return _merged(roots, links, folder, "round-rest") if found else roots
+    return _merged(merged, links, found, folder, "round-rest")[0] if found else roots
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:

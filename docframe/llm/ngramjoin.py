@@ -48,8 +48,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.arrowmap import counted, drop_dir, list_array, release, shared_dir, to_arrow, written
-from docframe.llm.neardup import SKETCH, _merged, _set_arrays, _with_suffix, checked, shingles
+from docframe.llm.arrowmap import counted, drop_dir, in_parts, list_array, release, shared_dir, to_arrow, written
+from docframe.llm.neardup import SKETCH, _merged, _set_arrays, _with_suffix, checked, shingles, together
 from docframe.llm.store import grow, shrink
 
 #: Similarity of at least 80 / 100.
@@ -67,6 +67,8 @@ SETTLED = 1000
 #: Keys of at most so many members are compared pair by pair; this decides on cost only.
 SMALL = 16
 DEPTH = 4
+#: Sets whose sketches are broadcast at most, some MB.
+SKETCHES = 20_000
 #: Bits of a sum of sizes, below the number of members.
 _SUM = 40
 
@@ -107,14 +109,6 @@ class Prefixes:
         return hashes[order[: keys - 1 + need]], keys, need
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, as a text's shingles take several times its room."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-        release()
-
-
 def _marked(df: DataFrame, cells: int) -> DataFrame:
     """_id, n_shingles and _print of each row, and a row a task with the shingles that it has counted in cells."""
     schema = T.StructType([df.schema["_id"], T.StructField("n_shingles", T.LongType()), T.StructField("_print", T.BinaryType()), T.StructField("_cells", T.BinaryType())])
@@ -123,7 +117,7 @@ def _marked(df: DataFrame, cells: int) -> DataFrame:
         import xxhash
 
         kinds, total = to_arrow(schema), None
-        for batch in _pieces(batches):
+        for batch in in_parts(batches):
             sets = shingles(batch.column(1))
             prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             total = np.zeros(cells, np.uint32) if total is None else total
@@ -163,7 +157,7 @@ def _cut(df: DataFrame, prefixes) -> DataFrame:
         import xxhash
 
         kinds, cutter = to_arrow(schema), prefixes.value
-        for batch in _pieces(batches):
+        for batch in in_parts(batches):
             sets = shingles(batch.column(1))
             full = [i for i, s in enumerate(sets) if len(s)]
             made = [cutter.cut(sets[i]) for i in full]
@@ -199,6 +193,8 @@ def _both(pairs: DataFrame, table: DataFrame, ids: int, *columns: str) -> DataFr
     """pairs (a, b) with the columns of both from a table by _id; only the rows that they name are moved."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     needed = table.select("_id", *columns).join(checked(named, ids), "_id", "left_semi")
+    if ids <= SKETCHES and set(columns) <= {"n", *SKETCH}:
+        needed = F.broadcast(needed)
     for side in ("a", "b"):
         pairs = pairs.join(needed.select(F.col("_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
@@ -207,12 +203,13 @@ def _both(pairs: DataFrame, table: DataFrame, ids: int, *columns: str) -> DataFr
 def _confirmed(candidates: DataFrame, about: DataFrame, prefixes: DataFrame, sets: DataFrame, folder: str, tag: str) -> tuple[DataFrame, int]:
     """Candidate pairs that link, and their number: those whose sketches allow it and whose prefixes share enough are compared in full."""
     candidates, tried = counted(candidates, folder, f"candidates-{tag}", n=F.count(F.lit(1)))
+    candidates = together(candidates, tried["n"])
     near = _both(candidates, about, 2 * tried["n"], "n", *SKETCH)
     near, left = counted(near.where(_similar("_a", "_b")[0]).select("a", "b").distinct(), folder, f"near-{tag}", n=F.count(F.lit(1)))
-    match = _both(near, prefixes, 2 * left["n"], "_prefix", "need")
+    match = _both(together(near, left["n"]), prefixes, 2 * left["n"], "_prefix", "need")
     enough = F.size(F.array_intersect("_prefix_a", "_prefix_b")) >= F.least("need_a", "need_b")
     match, kept = counted(match.where(enough).select("a", "b").distinct(), folder, f"matched-{tag}", n=F.count(F.lit(1)))
-    full = _both(match, sets, 2 * kept["n"], "_set")
+    full = _both(together(match, kept["n"]), sets, 2 * kept["n"], "_set")
     same = F.size(F.array_intersect("_set_a", "_set_b"))
     linked = same * LEAST[1] >= (F.size("_set_a") + F.size("_set_b") - same) * LEAST[0]
     links, found = counted(full.where(linked).select("a", "b").distinct(), folder, f"links-{tag}", n=F.count(F.lit(1)))
@@ -266,11 +263,12 @@ def _links(docs: DataFrame, cut: DataFrame, folder: str, repeated: bool) -> Data
     sets = written(sets.select("_id", F.size("_set").alias("n"), "_set", *SKETCH), folder, "sets")
     tables = sets.select("_id", "n", *SKETCH), prefixes, sets
     about = sets.select(F.col("_id").alias("id"), "n", *SKETCH)
-    roots, step = None, 1
+    merged, step = None, 1
     while True:
         links, found = _confirmed(candidates, *tables, folder, str(step))
         if found:
-            roots = _merged(roots, links, folder, f"round-{step}")
+            merged = _merged(merged, links, found, folder, f"round-{step}")
+        roots = merged and merged[0]
         step += 1
         still, left = counted(_open(members, roots, folder, str(step)), folder, f"left-{step}", n=F.count(F.lit(1)))
         if not left["n"]:
@@ -295,7 +293,7 @@ def _links(docs: DataFrame, cut: DataFrame, folder: str, repeated: bool) -> Data
     once = (F.col("root") != F.col("root_o")) & ((F.col("root") == F.col("main")) | (F.col("id_o") < F.col("id")))
     pairs = rest.join(outer, ["key", "class"]).where(once & _allowed("_o") & similar).select(F.col("id_o").alias("a"), F.col("id").alias("b")).distinct()
     links, found = _confirmed(pairs, *tables, folder, "rest")
-    return _merged(roots, links, folder, "round-rest") if found else roots
+    return _merged(merged, links, found, folder, "round-rest")[0] if found else roots
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:

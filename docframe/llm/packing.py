@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.arrowmap import release, shared_dir, to_arrow, written
+from docframe.llm.arrowmap import in_parts, release, shared_dir, to_arrow, written
 from docframe.llm.wordbpe import WordBpe
 
 CAPACITY = 4096
@@ -293,7 +293,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, schema, seen, task = WordBpe(tokenizer), to_arrow(out), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, counts = encoder.encode(batch.column(1))
             ends = np.cumsum(counts)
             made: list[list] = [[] for _ in range(4)]
@@ -313,6 +313,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity:
             seen += np.bincount(length, minlength=capacity + 1)
             columns = [batch.column(0).take(pa.array(parents, pa.int64())), *(pa.array(x, f.type) for x, f in zip([*made, np.full(len(length), task), nth], list(schema)[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            del batch, ids, counts, ends, made, parents, length, order, ranked, nth, columns
         del encoder
         release()
 

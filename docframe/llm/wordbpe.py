@@ -17,6 +17,8 @@ from docframe.llm.bpe import Merges, WordCache
 from docframe.llm.textbytes import LOWER, hash_spans, ragged, slices, text_bytes
 
 LONG = 96
+#: Bytes of texts that are encoded at once; what is made of them takes some fifty times their room.
+SLICE = 1 << 19
 _SPACE, _LETTER, _NUMBER, _OTHER = 1, 2, 3, 4
 
 
@@ -66,7 +68,7 @@ class WordBpe:
         """All ids of a column of texts, and their number for each row (null: none)."""
         buf, offsets = text_bytes(texts)
         ids, counts = [], []
-        for a, b in slices(offsets, 2 << 20):
+        for a, b in slices(offsets, SLICE):
             part = offsets[a : b + 1] - offsets[a]
             x, n = self._slice(buf[offsets[a] : offsets[b]], part)
             ids.append(x)
