@@ -19,9 +19,12 @@ import time
 from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docframe.functions import text as X
 from docframe.functions.udf import decoded, markers, repaired, seq_ratio
@@ -35,6 +38,10 @@ from docframe.session import kept, shared_folder
 from docframe.sources.payloads import strip_fence
 
 
+#: Words (or pages) that a task holds at most before it hands its pages on, and those of one page.
+WORDS = 10_000
+
+
 class Adapter(Protocol):
     def recognize(self, content: bytes, params: dict) -> dict:
         """text, and words as a list of {text, box, confidence}."""
@@ -154,22 +161,30 @@ def cache_key(content: str, engine: str, params: dict) -> F.Column:
 
 def recognize(pages: DataFrame, make: Callable[[], Adapter], params: dict, key: str = "key", content: str = "content") -> DataFrame:
     """key, ok, text, words and error of each page."""
-    kind = f"{key} string, ok boolean, text string, words array<struct<text:string,box:array<int>,confidence:double>>, error string"
-
-    def work(frames):
-        adapter = make()
-        for frame in frames:
-            out = []
-            for k, data in zip(frame[key], frame[content], strict=True):
+    word = T.StructType().add("text", "string").add("box", T.ArrayType(T.IntegerType())).add("confidence", "double")
+    kind = T.StructType().add(key, "string").add("ok", "boolean").add("text", "string").add("words", T.ArrayType(word)).add("error", "string")
+    kinds = to_arrow_schema(kind)
+
+    def work(batches):
+        adapter, names, out, size = make(), [key, "ok", "text", "words", "error"], [], 0
+        for batch in batches:
+            for k, data in zip(batch.column(0), batch.column(1), strict=True):
+                k, data = k.as_py(), data.as_py()
                 try:
                     got = adapter.recognize(bytes(data), params)
                     words = [{"text": w["text"], "box": list(w["box"]), "confidence": float(w.get("confidence", 1.0))} for w in got.get("words", []) if w.get("box")]
                     out.append((k, True, got.get("text", ""), words, None))
+                    size += len(words)
                 except Exception as e:  # noqa: BLE001 - whatever an engine raises belongs to its page
                     out.append((k, False, None, [], f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(out, columns=[key, "ok", "text", "words", "error"])
-
-    return pages.select(key, content).mapInPandas(work, kind)
+                # Words take many times their room as Python objects, so pages are handed on by the number of words.
+                if size >= WORDS or len(out) >= WORDS:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=kinds)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=kinds)
+
+    return pages.select(key, content).mapInArrow(work, kind)
 
 
 def run_pages(pages: DataFrame, cache: DataFrame, engine: str, make: Callable[[], Adapter], params: dict, content: str = "content") -> tuple[DataFrame, DataFrame]:
