@@ -18,14 +18,19 @@ def lines(docs: DataFrame) -> DataFrame:
 def words(docs: DataFrame) -> DataFrame:
     """Words between single spaces, with a box on a synthetic page (60 by 30 a cell) and a confidence."""
     parts = lines(docs).select("doc_id", "line_pos", F.posexplode(F.split("line", " ")).alias("word_pos", "text")).where("text <> ''")
-    return parts.select(
-        "doc_id", "line_pos", "word_pos", "text",
-        (F.col("word_pos") * 60).alias("x"),
-        (F.col("line_pos") * 30 + F.col("word_pos") * 7 % 5).alias("y"),
-        (F.length("text") * 8).alias("w"),
-        F.lit(20).alias("h"),
-        (((F.col("doc_id") * 31 + F.col("line_pos") * 17 + F.col("word_pos") * 7) % 101) / 100.0).alias("confidence"),
-    )
+    place = word(F.col("text"), F.col("word_pos"))
+    return parts.select("doc_id", "line_pos", "word_pos", "text", *[c.alias(k) for k, c in place.items()])
+
+
+def word(text, no) -> dict:
+    """Box and confidence of the word with this number in its line, from the columns doc_id and line_pos."""
+    return {
+        "x": no * 60,
+        "y": F.col("line_pos") * 30 + no * 7 % 5,
+        "w": F.length(text) * 8,
+        "h": F.lit(20),
+        "confidence": ((F.col("doc_id") * 31 + F.col("line_pos") * 17 + no * 7) % 101) / 100.0,
+    }
 
 
 def second_text(column: str = "text"):
