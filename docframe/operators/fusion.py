@@ -1,16 +1,22 @@
 """Text fusion: which of two or three readings of a region or cell is taken, and why.
 
 The cheap rules are built-in expressions; the similarity that the others need
-is computed only for rows that these leave open, which are filtered out first,
-as a function inside a CASE would run for all rows.
+is computed only for rows that these leave open: a function inside a CASE would
+run for all rows, so it gets nulls for the others, or they are filtered out first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docframe.functions import text as X
 from docframe.functions.udf import seq_ratio
@@ -37,8 +43,8 @@ def decide(df: DataFrame, primary: str = "primary", other: str = "candidate", an
     """df with selected and reason; anchored asks for more, as the place itself was found by text."""
     marked = df.withColumn("reason", X.prefix_conditions(F.col(primary), F.col(other)))
     ask = F.col("reason").isNull() if not anchored else F.col("reason").isNull() | F.col("reason").isin("primary_empty", "numeric_agreement")
-    settled = marked.where(~ask)
-    open_ = marked.where(ask).withColumn("_a", X.semantic_normal(F.col(primary))).withColumn("_b", X.semantic_normal(F.col(other)))
+    # One pass over all rows: those that are settled have null texts here, whose similarity takes no time.
+    open_ = marked.withColumn("_ask", ask).withColumn("_a", F.when(F.col("_ask"), X.semantic_normal(F.col(primary)))).withColumn("_b", F.when(F.col("_ask"), X.semantic_normal(F.col(other))))
     rated = _with_similarity(open_, ("_s", "_a", "_b"))
     share = overlap(_tokens("_a"), _tokens("_b"))
     reason = F.coalesce("reason", F.when((F.col("_s") < 0.50) & (share < 0.35), "semantic_mismatch").otherwise("preferred_candidate"))
@@ -51,8 +57,8 @@ def decide(df: DataFrame, primary: str = "primary", other: str = "candidate", an
             .when((F.col("_s") < 0.76) | (share < 0.50), "anchored_text_mismatch").otherwise("coordinate_consensus")
         )
         reason = F.when(reason == "semantic_mismatch", reason).otherwise(strict)
-    done = rated.withColumn("reason", reason).select(*settled.columns)
-    return settled.unionByName(done).withColumn("selected", F.col("reason").isin(*TAKEN))
+    done = rated.withColumn("reason", F.when(F.col("_ask"), reason).otherwise(F.col("reason"))).select(*marked.columns)
+    return done.withColumn("selected", F.col("reason").isin(*TAKEN))
 
 
 def decide_physical(df: DataFrame, primary: str = "primary", other: str = "candidate", third: str = "third") -> DataFrame:
@@ -118,6 +124,109 @@ def fuse_regions(regions: DataFrame, words: DataFrame, by: str = "doc_id", regio
     return fused_text(decide(joined))
 
 
+#: Pages of about this many words are matched at a time, and pairs of words and regions are looked at in runs of this many.
+_WORDS = 200_000
+
+
+def _line_texts(region: np.ndarray, n: int, word: pa.StructArray) -> pa.Array:
+    """The text of each of n regions from its words, of which each stands beside its region's number; as _texts() gives it."""
+    x, y, w, h = (np.asarray(word.field(c).to_numpy(zero_copy_only=False)) for c in ("x", "y", "w", "h"))
+    text = word.field("text")
+    order = np.lexsort((h, w, y, x, region))
+    if len(order) and np.logical_and.reduce([np.diff(c[order]) == 0 for c in (h, w, y, x, region)]).any():
+        # Only boxes that are equal are put in order by their texts.
+        order = np.lexsort((pc.rank(text, tiebreaker="dense").to_numpy(), h, w, y, x, region))
+    region, cy, h = region[order], (y + h / 2.0)[order], h[order]
+    counts = np.bincount(region, minlength=n)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    # Words by their centres; a region whose centres are all near its first one is one line.
+    down = np.lexsort((cy, region))
+    tall = h[np.lexsort((h, region))]
+    some = np.flatnonzero(counts)
+    tolerance = np.zeros(n)
+    tolerance[some] = tall[starts[some] + counts[some] // 2] * 0.6
+    first, last = np.zeros(n), np.zeros(n)
+    first[some], last[some] = cy[down[starts[some]]], cy[down[starts[some + 1] - 1]]
+    line = np.zeros(len(region), np.int64)
+    for r in np.flatnonzero(last - first > tolerance):
+        base, no = None, -1
+        for i in down[starts[r] : starts[r + 1]]:
+            if base is None or cy[i] - base > tolerance[r]:
+                base, no = cy[i], no + 1
+            line[i] = no
+    put = np.lexsort((line, region))
+    region, line = region[put], line[put]
+    new = np.ones(len(put), bool)
+    new[1:] = (region[1:] != region[:-1]) | (line[1:] != line[:-1])
+    at = np.append(np.flatnonzero(new), len(put)).astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), text.take(pa.array(order[put]))), " ")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(region[new], minlength=n))]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), joined), "\n")
+
+
+def _candidates(at: np.ndarray, regions: pa.StructArray, of: np.ndarray, words: pa.StructArray) -> pa.Array:
+    """The text of the words whose centres each region holds; at and of: the pages of regions and words, ascending."""
+    valid = pc.and_(pc.not_equal(pc.utf8_trim(words.field("text"), " "), ""), pc.and_(pc.greater_equal(words.field("w"), 0), pc.greater_equal(words.field("h"), 0)))
+    valid = pc.and_(valid, pc.and_(pc.is_valid(words.field("x")), pc.is_valid(words.field("y"))))
+    kept = np.flatnonzero(valid.fill_null(False).to_numpy(zero_copy_only=False))
+    words, of = words.take(pa.array(kept)), of[kept]
+    x, y, w, h = (np.asarray(words.field(c).to_numpy(zero_copy_only=False)) for c in ("x", "y", "w", "h"))
+    left, top, wide, high = (regions.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y", "w", "h"))
+    cx, cy = x + w / 2.0, y + h / 2.0
+    by = np.lexsort((cy, of))
+    # Bounds stand among the words by page and height: before the words as high for the upper one, after them for the lower one.
+    n, m = len(at), len(by)
+    place = np.lexsort((np.repeat([0, 1, 2], [n, m, n]), np.concatenate([top, cy[by], top + high]), np.concatenate([at, of[by], at])))
+    before = np.empty(n + m + n, np.int64)
+    before[place] = np.cumsum((place >= n) & (place < n + m))
+    low, up = before[:n], np.maximum(before[:n], before[n + m :])
+    up = np.where(np.isnan(left + top + wide + high), low, up)
+    # A page's words are those of its own, so bounds of no height or on other pages hold none.
+    region, word = [], []
+    ends = np.cumsum(up - low)
+    r = 0
+    while r < n:
+        to = max(r + 1, int(np.searchsorted(ends, (ends[r - 1] if r else 0) + _WORDS, "right")))
+        size = up[r:to] - low[r:to]
+        rows = np.repeat(np.arange(r, to), size)
+        found = by[np.arange(len(rows)) + np.repeat(low[r:to] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)]
+        inside = (cx[found] >= left[rows]) & (cx[found] <= left[rows] + wide[rows])
+        region.append(rows[inside])
+        word.append(found[inside])
+        r = to
+    chosen = words.take(pa.array(np.concatenate(word) if word else np.zeros(0, np.int64)))
+    return _line_texts(np.concatenate(region) if region else np.zeros(0, np.int64), n, chosen)
+
+
+def fuse_pages(pages: DataFrame, by: str = "doc_id", region: str = "region_id") -> DataFrame:
+    """What fuse_regions() gives, for pages whose lists stand in their rows: regions (an array of structures of region, x, y, w, h
+    and text, of which region is unique on its page) and words (of text, x, y, w and h).
+
+    Nothing is shuffled: a page's words are matched and put in lines where the page was read, in an Arrow pass."""
+    lists = {f.name: f.dataType.elementType for f in pages.select("regions", "words").schema}
+    fields = [region, "x", "y", "w", "h", "text"]
+    schema = T.StructType([pages.schema[by], *[T.StructField({"text": "primary"}.get(f, f), lists["regions"][f].dataType) for f in fields], T.StructField("candidate", T.StringType())])
+    kinds = to_arrow_schema(schema)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.cumsum(pc.list_value_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False))
+            i = 0
+            while i < batch.num_rows:
+                to = max(i + 1, int(np.searchsorted(n, (n[i - 1] if i else 0) + _WORDS, "right")))
+                yield batch.slice(i, to - i)
+                i = to
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            pages_of = lambda c: np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False))  # noqa: B023, E731
+            at, regions = pages_of(1), batch.column(1).flatten()
+            found = _candidates(at, regions, pages_of(2), batch.column(2).flatten())
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([batch.column(0).take(pa.array(at)), *[regions.field(f) for f in fields], found], kinds, strict=True)], schema=kinds)
+
+    return fused_text(decide(pages.select(by, "regions", "words").mapInArrow(work, schema)))
+
+
 def fuse_tables(tables: DataFrame, cells: DataFrame, words: DataFrame, third: DataFrame, by: str = "doc_id", region: str = "region_id") -> DataFrame:
     """Decisions on the cells of tables (rows, cols): a row per trusted cell, with the words of two other engines in its
     box as candidate and third, or one row of kind table where no cell's place may be trusted.

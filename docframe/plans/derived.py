@@ -22,14 +22,15 @@ def words(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", "line_pos", "word_pos", "text", *[c.alias(k) for k, c in place.items()])
 
 
-def word(text, no) -> dict:
-    """Box and confidence of the word with this number in its line, from the columns doc_id and line_pos."""
+def word(text, no, line_pos=None) -> dict:
+    """Box and confidence of the word with this number in its line, from the columns doc_id and line_pos (or the line's number given)."""
+    line_pos = F.col("line_pos") if line_pos is None else line_pos
     return {
         "x": no * 60,
-        "y": F.col("line_pos") * 30 + no * 7 % 5,
+        "y": line_pos * 30 + no * 7 % 5,
         "w": F.length(text) * 8,
         "h": F.lit(20),
-        "confidence": ((F.col("doc_id") * 31 + F.col("line_pos") * 17 + no * 7) % 101) / 100.0,
+        "confidence": ((F.col("doc_id") * 31 + line_pos * 17 + no * 7) % 101) / 100.0,
     }
 
 
