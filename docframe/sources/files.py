@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
+from functools import lru_cache
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -61,12 +64,72 @@ def _table(rows: list[list[str]]) -> str:
     return "\n".join([lines[0], "| " + " | ".join(["---"] * n) + " |", *lines[1:]])
 
 
+@lru_cache(maxsize=1024)
 def _name(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+_BREAKS = {"t": "", "tab": "\t", "br": "\n"}
+
+
 def _runs(node) -> str:
-    return "".join((x.text or "") if _name(x.tag) == "t" else "\t" if _name(x.tag) == "tab" else "\n" if _name(x.tag) == "br" else "" for x in node.iter())
+    return "".join([_BREAKS[name] or x.text or "" for x in node.iter() if (name := _name(x.tag)) in _BREAKS])
+
+
+_ENTRY = struct.Struct("<4s6H3L5H2L")
+
+
+class _Parts:
+    """The parts of an office archive: plain ones are found by its directory, all others (comments, 64 bits, encryption, other
+    methods, damage) by zipfile, which also says what is wrong."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.places = self._directory()
+        if self.places is None:
+            self._zip().close()
+
+    def _zip(self) -> zipfile.ZipFile:
+        return zipfile.ZipFile(io.BytesIO(self.data))
+
+    def _directory(self) -> dict[str, tuple] | None:
+        data, end, places = self.data, len(self.data) - 22, {}
+        if end < 0 or data[end : end + 4] != b"PK\5\6":
+            return None
+        disk, of, here, total, size, at, note = struct.unpack_from("<4H2LH", data, end + 4)
+        if disk or of or here != total or note or at + size != end:
+            return None
+        while at + 46 <= end:
+            sign, _, _, flags, method, _, _, crc, packed, full, n, extra, note, _, _, _, start = _ENTRY.unpack_from(data, at)
+            path = data[at + 46 : at + 46 + n]
+            if sign != b"PK\1\2" or flags & ~0x80E or method not in (0, 8) or extra or note or b"\0" in path or not path.isascii():
+                return None
+            places[path.decode()] = (start, path, method, crc, packed, full)
+            at += 46 + n
+            total -= 1
+        return None if total or at != end else places
+
+    def names(self) -> list[str]:
+        if self.places is not None:
+            return list(self.places)
+        with self._zip() as z:
+            return z.namelist()
+
+    def read(self, name: str) -> bytes:
+        if self.places is not None and name in self.places:
+            start, path, method, crc, packed, full = self.places[name]
+            sign, n, extra = self.data[start : start + 4], *struct.unpack("<2H", self.data[start + 26 : start + 30].ljust(4, b"\0"))
+            at = start + 30 + n + extra
+            out = self.data[at : at + packed]
+            if sign == b"PK\3\4" and self.data[start + 30 : start + 30 + n] == path and len(out) == packed:
+                try:
+                    out = zlib.decompress(out, -15, max(full, 1)) if method else out
+                except zlib.error:
+                    out = b""
+                if len(out) == full and zlib.crc32(out) == crc:
+                    return out
+        with self._zip() as z:
+            return z.read(name)
 
 
 def docx_markdown(data: bytes) -> str:
@@ -89,40 +152,55 @@ def docx_markdown(data: bytes) -> str:
 
 def pptx_markdown(data: bytes) -> str:
     """A heading for each slide; a shape of one line as it is, of several as items."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        out = []
-        for i, n in enumerate(names, 1):
-            out.append(f"## Slide {i}")
-            for shape in (x for x in ET.fromstring(z.read(n)).iter() if _name(x.tag) == "txBody"):
-                lines = [t for p in shape if _name(p.tag) == "p" and (t := _runs(p).strip())]
-                out.append("\n".join(lines) if len(lines) == 1 else "\n".join(f"- {x}" for x in lines))
+    parts = _Parts(data)
+    names = sorted((n for n in parts.names() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    out = []
+    for i, n in enumerate(names, 1):
+        out.append(f"## Slide {i}")
+        for shape in (x for x in ET.fromstring(parts.read(n)).iter() if _name(x.tag) == "txBody"):
+            lines = [t for p in shape if _name(p.tag) == "p" and (t := _runs(p).strip())]
+            out.append("\n".join(lines) if len(lines) == 1 else "\n".join(f"- {x}" for x in lines))
     return "\n\n".join(x for x in out if x)
 
 
+def _sheets(book: bytes, rels: bytes) -> list[tuple[str, str]]:
+    """Name and part of each sheet."""
+    links = {x.attrib["Id"]: x.attrib["Target"] for x in ET.fromstring(rels)}
+    sheets = [x for x in ET.fromstring(book).iter() if _name(x.tag) == "sheet"]
+    return [(x.attrib["name"], "xl/" + links[next(v for k, v in x.attrib.items() if _name(k) == "id")].lstrip("/").removeprefix("xl/")) for x in sheets]
+
+
+#: Small lists of sheets are alike in many files.
+_sheets_small = lru_cache(maxsize=256)(_sheets)
+
+
+@lru_cache(maxsize=1024)
+def _column_number(letters: str) -> int:
+    at = 0
+    for ch in letters:
+        at = at * 26 + ord(ch) - 64
+    return at
+
+
 def xlsx_markdown(data: bytes) -> str:
     """A heading and a table for each sheet, without its empty rows."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = [_runs(x) for x in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-        book = ET.fromstring(z.read("xl/workbook.xml"))
-        links = {x.attrib["Id"]: x.attrib["Target"] for x in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for sheet in (x for x in book.iter() if _name(x.tag) == "sheet"):
-            target = links[next(v for k, v in sheet.attrib.items() if _name(k) == "id")]
-            rows = []
-            for r in (x for x in ET.fromstring(z.read("xl/" + target.lstrip("/").removeprefix("xl/"))).iter() if _name(x.tag) == "row"):
-                row: list[str] = []
-                for c in r:
-                    letters = re.match(r"[A-Z]+", c.attrib.get("r", ""))
-                    at = 0
-                    for ch in letters[0] if letters else "":
-                        at = at * 26 + ord(ch) - 64
-                    value = next((x.text or "" for x in c.iter() if _name(x.tag) == "v"), None)
-                    text = shared[int(value)] if c.attrib.get("t") == "s" and value else _runs(c) if value is None else value
-                    row += [""] * ((at or len(row) + 1) - 1 - len(row)) + [text]
-                if any(v.strip() for v in row):
-                    rows.append(row)
-            out += [f"## {sheet.attrib['name']}", _table(rows) or "_Empty sheet_"]
+    parts = _Parts(data)
+    shared = [_runs(x) for x in ET.fromstring(parts.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in parts.names() else []
+    book, rels = parts.read("xl/workbook.xml"), parts.read("xl/_rels/workbook.xml.rels")
+    out = []
+    for name, target in (_sheets_small if len(book) + len(rels) <= 4096 else _sheets)(book, rels):
+        rows = []
+        for r in (x for x in ET.fromstring(parts.read(target)).iter() if _name(x.tag) == "row"):
+            row: list[str] = []
+            for c in r:
+                letters = re.match(r"[A-Z]+", c.attrib.get("r", ""))
+                at = _column_number(letters[0]) if letters else 0
+                value = next((x.text or "" for x in c.iter() if _name(x.tag) == "v"), None)
+                text = shared[int(value)] if c.attrib.get("t") == "s" and value else _runs(c) if value is None else value
+                row += [""] * ((at or len(row) + 1) - 1 - len(row)) + [text]
+            if any(v.strip() for v in row):
+                rows.append(row)
+        out += [f"## {name}", _table(rows) or "_Empty sheet_"]
     return "\n\n".join(out)
 
 
