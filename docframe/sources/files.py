@@ -134,16 +134,16 @@ class _Parts:
 
 def docx_markdown(data: bytes) -> str:
     """Paragraphs and tables in body order; headings by style, list paragraphs as items, rows filled up to the first."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ET.fromstring(z.read("word/document.xml"))[0]
+    body = ET.fromstring(_Parts(data).read("word/document.xml"))[0]
     out = []
     for node in body:
         if _name(node.tag) == "p":
             text = _runs(node).strip()
-            style = next((v for x in node.iter() if _name(x.tag) == "pStyle" for v in x.attrib.values()), "")
-            level = re.match(r"(?i)heading\s*([1-6])", style)
             if text:
-                out.append("#" * int(level[1]) + " " + text if level else "- " + text if "list" in style.lower() or any(_name(x.tag) == "numPr" for x in node.iter()) else text)
+                marks = [x for x in node.iter() if _name(x.tag) in ("pStyle", "numPr")]
+                style = next((v for x in marks if _name(x.tag) == "pStyle" for v in x.attrib.values()), "")
+                level = re.match(r"(?i)heading\s*([1-6])", style)
+                out.append("#" * int(level[1]) + " " + text if level else "- " + text if "list" in style.lower() or any(_name(x.tag) == "numPr" for x in marks) else text)
         elif _name(node.tag) == "tbl":
             rows = [[" ".join(_runs(c).split()) for c in r if _name(c.tag) == "tc"] for r in node if _name(r.tag) == "tr"]
             out.append(_table([(r + [""] * len(rows[0]))[: len(rows[0])] for r in rows] if rows else []))
