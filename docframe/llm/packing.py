@@ -1,8 +1,8 @@
 """Packing of token sequences by fitted few-document patterns (pattern packing by non-negative least squares).
 
 Lengths are whole numbers up to `capacity`, so the whole problem is its
-histogram of at most `capacity` counts, however many documents there are.  On
-the driver, all patterns of one to three lengths that fill a sequence exactly
+histogram of at most `capacity` counts, however many documents there are.  In
+one task, all patterns of one to three lengths that fill a sequence exactly
 are enumerated (for lengths that have none, the fullest), their repeat counts are
 fitted to the histogram by non-negative least squares with an active set and
 rounded, the largest first, as far as there are documents.  What rounding left
@@ -286,6 +286,27 @@ def make_plan(histogram: np.ndarray) -> Plan:
     return Plan(capacity, *columns, -(-end // capacity), fitted, filled)
 
 
+def _planned(counts: DataFrame, capacity: int) -> Plan:
+    """As make_plan(), in a task: the patterns take some hundred megabytes, which the driver needs not have. counts: length and
+    number of documents, at most `capacity` rows; the plan's rows come to the driver."""
+    columns = ["length", "rank", "each", "at", "stride", "sequences", "fitted", "filled"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        histogram = np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            histogram[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+        plan = make_plan(histogram)
+        n = len(plan.length)
+        made = [plan.length, plan.rank, plan.each, plan.at, plan.stride, *(np.full(n, x, np.int64) for x in (plan.sequences, plan.fitted, plan.filled))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=columns)
+        del plan, made
+        release()
+
+    made = counts.repartition(1).mapInArrow(work, ", ".join(f"{c} long" for c in columns)).toArrow().sort_by([("length", "ascending"), ("rank", "ascending")])
+    found = [made[c].to_numpy() for c in columns]
+    return Plan(capacity, *found[:5], *(int(x[0]) if len(x) else 0 for x in found[5:]))
+
+
 def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row per piece of at most `capacity` ids: id, piece, start, length, ids_crc32, and for ranking the task and
     the number of pieces of that length before it in the task."""
@@ -330,12 +351,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     spark = df.sparkSession
     rows = written(pieces(df, tokenizer, id_col, text_col, capacity, end_id), shared_dir(spark), "pieces")
     by_task = rows.groupBy("task", "length").agg(F.count("*").alias("n"))
-    # At most `capacity` rows come to the driver.
-    histogram = np.zeros(capacity + 1, np.int64)
-    for length, n in by_task.groupBy("length").agg(F.sum("n")).collect():
-        histogram[length] = n
-    plan = spark.sparkContext.broadcast(make_plan(histogram))
-    release()
+    plan = spark.sparkContext.broadcast(_planned(by_task.groupBy("length").agg(F.sum("n").alias("n")), capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = rows.join(base, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))

@@ -17,6 +17,7 @@ the same names are replaced, others pass through; an empty table stays empty.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from docframe.llm import labelled
-from docframe.llm.arrowmap import add_columns, release
+from docframe.llm.arrowmap import add_columns, release, to_arrow
 from docframe.llm.textbytes import hash_spans, slices, spans, text_bytes
 
 PAIRS = 4096
@@ -35,6 +36,8 @@ NEIGHBOURS = 40
 POWER = 32
 #: Labelled documents of each class that vote at most.
 SAMPLE = 2048
+#: The parts of a model.
+NAMES = ["idf", "basis", "vectors", "good", "weight"]
 
 
 def _byte_classes() -> np.ndarray:
@@ -88,7 +91,10 @@ class Model:
     weight: np.ndarray
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        z = _weighted(counts, self.idf) @ self.basis
+        return self.projected(_weighted(counts, self.idf))
+
+    def projected(self, weighted: np.ndarray) -> np.ndarray:
+        z = weighted @ self.basis
         return z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-12)
 
     def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +127,38 @@ def fit_terms(counts: np.ndarray, good: np.ndarray, totals: tuple[int, int], see
     _, _, v = np.linalg.svd(x @ q, full_matrices=False)
     basis = (q @ v.T)[:, :DIMENSIONS]
     model = Model(idf, basis.astype(np.float32), np.zeros((0, 1), np.float32), good.astype(np.float64), np.ones(n))
-    model.vectors = model.project(counts).astype(np.float32)
+    model.vectors = model.projected(x).astype(np.float32)
     have = np.array([(good == 0).sum(), (good == 1).sum()])
     model.weight = (np.array(totals) / np.maximum(have, 1))[good.astype(int)]
     return model
 
 
+def _fitted(sample: DataFrame, totals: tuple[int, int]) -> Model:
+    """As fit_terms(), in a task: the sample's terms take some hundred megabytes, which the driver needs not have; SAMPLE bounds
+    them. sample: id, label and the terms as bytes."""
+    kinds = to_arrow(sample.schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, kinds).sort_by(kinds.names[0])
+        counts = np.empty((len(table), PAIRS + STYLES), np.float32)
+        for i in range(len(table)):
+            counts[i] = np.frombuffer(table.column(2)[i].as_buffer(), np.float16)
+        good = table.column(1).to_numpy()
+        del table
+        model = fit_terms(counts, good, totals)
+        del counts
+        parts = (model.idf, model.basis, model.vectors, model.good, model.weight)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=NAMES)
+        del model, parts
+        release()
+
+    made = sample.repartition(1).mapInArrow(work, ", ".join(f"{x} binary" for x in NAMES)).collect()
+    if not made or not made[0].good:  # an empty sample may have no task
+        return fit_terms(np.zeros((0, PAIRS + STYLES), np.float32), np.zeros(0, np.int64), totals)
+    idf, basis, vectors, good, weight = (np.frombuffer(x, kind) for x, kind in zip(made[0], (np.float32, np.float32, np.float32, np.float64, np.float64), strict=True))
+    return Model(idf, basis.reshape(PAIRS + STYLES, -1), vectors.reshape(len(good), -1), good, weight)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Model:
     rows, totals = labelled.sample(docs, labels, label, most, id_col, text_col)
     out = T.StructType([T.StructField("_terms", T.BinaryType())])
@@ -142,12 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         return run
 
     # At most 2 * most rows of 2 * (PAIRS + STYLES) bytes.
-    got = add_columns(rows, ["_text"], out, make).select("_id", "_label", "_terms").toArrow().sort_by("_id")
-    counts = np.frombuffer(b"".join(got["_terms"].to_pylist()), np.float16).reshape(-1, PAIRS + STYLES).astype(np.float32)
-    model = fit_terms(counts, got["_label"].to_numpy(), totals)
-    del got, counts
-    release()
-    return model
+    return _fitted(add_columns(rows, ["_text"], out, make).select("_id", "_label", "_terms"), totals)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
