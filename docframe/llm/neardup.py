@@ -69,6 +69,9 @@ TOGETHER = 100_000
 #: Stars are drawn anew until a round finds less than one link for so many bucket members; this decides on cost only.
 SETTLED = 1000
 
+#: Bytes of texts whose shingles are made at once.
+SLICE = 1 << 19
+
 _STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(64)]
 
 
@@ -76,7 +79,7 @@ def shingles(column: pa.Array, width: int = WORDS) -> list[np.ndarray]:
     """The ascending distinct 64-bit hashes of each text's shingles."""
     buf, offsets = text_bytes(column)
     out: list[np.ndarray] = []
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SLICE):
         part = LOWER[buf[offsets[a] : offsets[b]]]
         begin, stop, row = spans(part, offsets[a : b + 1] - offsets[a])
         word = hash_spans(part, begin, stop)

@@ -56,6 +56,8 @@ from docframe.llm.store import grow, shrink
 LEAST = (80, 100)
 #: Counters of shingles, a power of two.
 CELLS = 1 << 23
+#: Counters that are packed and added up at once.
+BLOCK = 1 << 18
 #: Classes of counters to the octave.
 STEPS = 8
 #: A prefix is lengthened by at most so many shingles less one.
@@ -111,7 +113,7 @@ class Prefixes:
 
 def _marked(df: DataFrame, cells: int) -> DataFrame:
     """_id, n_shingles and _print of each row, and a row a task with the shingles that it has counted in cells."""
-    schema = T.StructType([df.schema["_id"], T.StructField("n_shingles", T.LongType()), T.StructField("_print", T.BinaryType()), T.StructField("_cells", T.BinaryType())])
+    schema = T.StructType([df.schema["_id"], T.StructField("n_shingles", T.LongType()), T.StructField("_print", T.BinaryType()), T.StructField("_cells", T.ArrayType(T.BinaryType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -122,9 +124,9 @@ def _marked(df: DataFrame, cells: int) -> DataFrame:
             prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             total = np.zeros(cells, np.uint32) if total is None else total
             np.add.at(total, (np.concatenate([np.zeros(0, np.uint64), *sets]) & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), prints, pa.nulls(len(sets), pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), prints, pa.nulls(len(sets), kinds[3].type)], schema=kinds)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0].type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_small(total)], pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0].type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_blocks(total)], kinds[3].type)], schema=kinds)
         del total
         release()
 
@@ -142,11 +144,25 @@ def _large(blob: bytes) -> np.ndarray:
     return grow(blob[1:], np.uint32 if blob[:1] == b"4" else np.uint64)
 
 
+def _blocks(counts: np.ndarray) -> list[bytes]:
+    """Counters in packed blocks, so that adding up two tables never holds a whole one."""
+    return [_small(counts[i : i + BLOCK]) for i in range(0, len(counts), BLOCK)]
+
+
+def _sum(a: list[bytes], b: list[bytes]) -> list[bytes]:
+    return [_small(_large(x) + _large(y)) for x, y in zip(a, b, strict=True)]
+
+
 def _counters(marked: DataFrame, cells: int) -> np.ndarray:
     """The counters of all tasks; a partial result is a few MB, whatever the input."""
-    add = lambda a, b: b if a is None else a if b is None else _small(_large(a) + _large(b))
-    total = marked.where("_cells is not null").select("_cells").rdd.map(lambda r: bytes(r[0])).treeAggregate(None, add, add, depth=DEPTH)
-    return np.zeros(cells, np.uint32) if total is None else _large(total)
+    add = lambda a, b: b if a is None else a if b is None else _sum(a, b)
+    total = marked.where("_cells is not null").select("_cells").rdd.map(lambda r: [bytes(x) for x in r[0]]).treeAggregate(None, add, add, depth=DEPTH)
+    out = np.zeros(cells, np.uint64 if total and any(x[:1] == b"8" for x in total) else np.uint32)
+    at = 0
+    for block in map(_large, total or []):
+        out[at : at + len(block)] = block
+        at += len(block)
+    return out
 
 
 def _cut(df: DataFrame, prefixes) -> DataFrame:

@@ -14,8 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once (whole documents; a longer document makes a slice of its own).
 SLICE_BYTES = 2 << 20
-#: Bytes that are hashed at once.
-HASH_BYTES = 1 << 20
+#: Bytes that are hashed at once; what is made of them takes some fifty times their room.
+HASH_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1

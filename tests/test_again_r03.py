@@ -1,9 +1,12 @@
 """What the checks of the third review found: memory of the driver and of executors."""
 
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
-from docframe.llm import packing, quality_knn
+from docframe.llm import neardup, ngramjoin, packing, quality_knn, textbytes
 
 
 def test_the_quality_model_is_fitted_in_a_task(spark, monkeypatch):
@@ -41,3 +44,36 @@ def test_the_packing_plan_is_made_in_a_task(spark, monkeypatch):
     assert packing._planned(counts.limit(0), 4096).sequences == 0
     docs = spark.createDataFrame([(i, "w " * (i % 50)) for i in range(200)], "doc_id long, text string")
     assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 200 and not called  # on the driver
+
+
+def test_counters_are_added_up_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BLOCK", 1000)
+    seen, large = [], ngramjoin._large
+    monkeypatch.setattr(ngramjoin, "_large", lambda blob: seen.append(len(large(blob))) or large(blob))
+    rng = np.random.default_rng(5)
+    tables = [rng.integers(0, 50, 4096).astype(np.uint32) for _ in range(3)]
+    tables[1][[7, 4000]] = (1 << 31) + 5  # beyond what 4 bytes hold once it is added to itself
+    total = ngramjoin._blocks(tables[0])
+    for table in [*tables[1:], tables[1]]:
+        total = ngramjoin._sum(total, ngramjoin._blocks(table))
+    want = sum(t.astype(np.uint64) for t in [*tables, tables[1]])
+    assert np.array_equal(np.concatenate([large(x) for x in total]), want) and max(seen) == 1000
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 7} seven") for i in range(50)] + [(99, None)], "_id long, _text string").repartition(3)
+    for block in (1 << 18, 1000):
+        monkeypatch.setattr(ngramjoin, "BLOCK", block)
+        counts = ngramjoin._counters(ngramjoin._marked(docs, 4096), 4096)
+        assert counts.sum() == sum(r.n_shingles for r in ngramjoin._marked(docs, 4096).where("_cells is null").collect())
+    assert not ngramjoin._counters(ngramjoin._marked(docs.limit(0), 4096), 4096).any()
+
+
+def test_shingles_are_made_in_small_parts(monkeypatch):
+    texts = pa.array([" ".join(f"w{i * j % 997}" for j in range(400)) for i in range(1500)] + ["long" * 300_000, None, "a b"])
+    tracemalloc.start()
+    got = neardup.shingles(texts)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak - kept < 32e6
+    monkeypatch.setattr(neardup, "SLICE", 1 << 30)
+    monkeypatch.setattr(textbytes, "HASH_BYTES", 1 << 26)
+    assert all(np.array_equal(a, b) for a, b in zip(got, neardup.shingles(texts), strict=True))
