@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.session import kept, shared_folder
 
+#: What stands between the pages of a source, and the bytes of merged text from which rows are handed on.
+RULE, MERGED = b"\n\n---\n\n", 1 << 20
 #: Parts of names whose values are hidden (fixed values).
 SECRET = r"(?i)key|token|secret|password"
 # Parts of lower-case messages by which providers' errors are told apart.
@@ -62,10 +68,43 @@ def assemble(responses: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def merged_pages(assembled: DataFrame) -> DataFrame:
-    """One text of each source: its good pages in order, with a rule between."""
-    good = assembled.where(F.col("error").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    pages_of = good.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"), F.count("*").alias("pages"))
-    return pages_of.select("source", "pages", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n---\n\n").alias("text"))
+    """One text of each source: its good pages in order, with a rule between.
+
+    Pages are sorted by Spark, on disk if they are many, and put one after another outside of the JVM's heap: of a source's
+    text, which one row has to hold, writing that row takes several copies there.
+    """
+    good = assembled.where(F.col("error").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("source", "page", "text")
+    kind = good.schema["source"].dataType.simpleString()
+    return good.repartition("source").sortWithinPartitions("source", "page", "text").select("source", "text").mapInArrow(_merge, f"source {kind}, pages bigint, text string")
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts joined while their source stays the same; rows are handed on when there is text of MERGED bytes."""
+    sources, pages, ends, joined, kind = [], [], [0], io.BytesIO(), None
+
+    def rows() -> pa.RecordBatch:
+        texts = pa.StringArray.from_buffers(len(pages), pa.py_buffer(np.array(ends, np.int32)), pa.py_buffer(joined.getbuffer()))
+        return pa.RecordBatch.from_arrays([pa.array(sources, kind), pa.array(pages, pa.int64()), texts], names=["source", "pages", "text"])
+
+    for batch in batches:
+        kind = batch.schema.field("source").type
+        for source, text in zip(batch.column("source").to_pylist(), batch.column("text"), strict=True):
+            if sources and source == sources[-1]:
+                joined.write(RULE)
+                pages[-1] += 1
+            else:
+                if joined.tell() >= MERGED:
+                    yield rows()
+                    sources, pages, ends, joined = [], [], [0], io.BytesIO()
+                sources.append(source)
+                pages.append(1)
+                ends.append(0)
+            joined.write(text.as_buffer())
+            ends[-1] = joined.tell()
+            if ends[-1] >= 1 << 31:
+                raise OverflowError(f"{source}: its pages are 2 GB or more, which a string can't hold")
+    if pages:
+        yield rows()
 
 
 def chunked(df: DataFrame, size: int, by: str, order: str) -> DataFrame:
